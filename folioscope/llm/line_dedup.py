@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from folioscope.llm.common import cut_lineage
 from folioscope.llm.packed import bounds, bucket_count, expand, sent, squeeze, texts_by_block, unpack_texts
@@ -198,6 +198,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Guarantee: a run of LEAST_RUN lines or more that stands earlier holds a fingerprint; each
     fingerprint is matched with its first place in the corpus and extended to both sides there.
     """
+    return _deduped(docs).drop("digest")
+
+
+def _deduped(docs: DataFrame) -> DataFrame:
     answers = cut_lineage(first_places(docs))
 
     def run(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
@@ -216,9 +220,32 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 mine = gone[a : a + len(spans)]
                 n = int(mine.sum())
                 new, cuts = without(t, spans, mine) if n else (t, [])
-                rows.append((i, new, len(spans), n, ",".join(f"{x}:{y}" for x, y in cuts)))
-            out.append(pd.DataFrame(rows, columns=["doc_id", "text", "n_lines", "n_removed", "removed"]).astype({"doc_id": "Int64"}))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("doc_id", "text", "n_lines", "n_removed", "removed")})
+                digest = xxhash.xxh64_intdigest(t.encode("utf-8"), 42)  # as xxhash64() of the text
+                rows.append((i, new, len(spans), n, ",".join(f"{x}:{y}" for x, y in cuts), digest - (digest >> 63 << 64)))
+            out.append(pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in names})
 
-    shape = "doc_id long, text string, n_lines long, n_removed long, removed string"
+    shape = "doc_id long, text string, n_lines long, n_removed long, removed string, digest long"
+    names = [x.split()[0] for x in shape.split(", ")]
     return texts_by_block(docs).groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, shape)
+
+
+def dedup_columns(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with later repeated runs deleted from text; n_chars follows the text.
+
+    Texts without a repeat stay as they are, null ones too; rows whose text is left blank by the
+    deletion go, rows that were blank before stay. Rows meet their result by doc_id and a hash of
+    the old text, equal rows by their number among equals.
+    """
+    equal = W.partitionBy("id", "digest")
+    rest = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").isNull().alias("none"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest")
+    ).withColumn("nth", F.row_number().over(equal.orderBy("digest")))
+    new = _deduped(docs).select(F.col("doc_id").alias("id"), "digest", F.col("text").alias("new"), "n_removed").withColumn("nth", F.row_number().over(equal.orderBy("n_removed")))
+    new = new.withColumnsRenamed({"id": "new_id", "digest": "new_digest", "nth": "new_nth"})
+    both = rest.join(new, F.col("id").eqNullSafe(F.col("new_id")) & (F.col("digest") == F.col("new_digest")) & (F.col("nth") == F.col("new_nth")))
+    kept = both.filter((F.col("n_removed") == 0) | (F.trim("new") != ""))
+    out = {"text": F.when(~F.col("none"), F.col("new"))}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return kept.select(*[out.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

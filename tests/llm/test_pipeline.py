@@ -1,0 +1,63 @@
+"""The pipeline's stages, each against brute force on what the stage before kept."""
+
+from collections import defaultdict
+
+import corpus_pipeline
+from folioscope.llm import simhash
+from test_operators import DOCS, spans_of, texts
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_stages(spark, tmp_path):
+    rows = texts()
+    docs = spark.createDataFrame(rows, DOCS).select(*COLUMNS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "lines", "near_copies", "secrets", "packing"]
+    outs = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{k}.parquet")
+        outs.append(docs.collect())
+        if k < 4:
+            assert docs.columns == COLUMNS
+    language, lines, near, clean, packed = outs
+    text = {r.doc_id: r.text for r in language}
+    assert set(range(40)) <= set(text) and not {400, 401, 402, 403} & set(text) and all(any(c.isalpha() for c in t) for t in text.values())
+    # lines: the first of each repeat is whole, later ones shrink or go
+    after = {r.doc_id: r for r in lines}
+    assert after[3].text == text[3] and not {200, 201, 202} & set(after) and after[100].text == text[100] and len(after[101].text) < len(text[101])
+    assert all(len(r.text) == r.n_chars for r in lines)
+    # near copies: the smallest id of each group of linked fingerprints stays
+    fps = {r.doc_id: simhash.fingerprint(r.text) for r in lines if r.doc_id is not None}
+    group = {i: i for i in fps}
+    for _ in fps:
+        for a in fps:
+            for b in fps:
+                if bin(fps[a] ^ fps[b]).count("1") <= 3:
+                    group[a] = group[b] = min(group[a], group[b])
+        if all(group[group[a]] == group[a] for a in group):
+            break
+    assert {r.doc_id for r in near if r.doc_id is not None} == {i for i, g in group.items() if i == g}
+    # secrets: none is left, the rest of the texts is as it was
+    before = {r.doc_id: r.text for r in near}
+    for r in clean:
+        if not spans_of(before[r.doc_id]) and r.doc_id != 602:
+            assert r.text == before[r.doc_id]
+        else:
+            assert "[" in r.text and not [x for x in spans_of(r.text) if x[3] in ("access", "hex")]
+    assert len(clean) == len(near)
+    # packing: each document's pieces are gapless
+    by = defaultdict(list)
+    for r in packed:
+        by[r.doc_id].append(r)
+    assert set(by) == {r.doc_id for r in clean}
+    for parts in by.values():
+        at = 0
+        for r in sorted(parts, key=lambda r: r.start):
+            assert r.start == at
+            at += r.length
+        assert at == parts[0].doc_tokens
+    same = corpus_pipeline.run(spark, str(tmp_path))
+    assert same.count() == len(packed)
