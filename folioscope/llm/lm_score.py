@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from folioscope.llm.common import cut_lineage
-from folioscope.llm.packed import bounds, bucket_count, expand, sent, squeeze, texts_by_block, unpack_texts
+from folioscope.llm.packed import bounds, bucket_count, expand, pack_sorted, sent, squeeze, texts_by_block, unpack_sorted, unpack_texts
 
 #: Longest n-gram, back-off factor, and least count at which an n-gram of two words or more is kept.
 ORDER, BACKOFF, LEAST = 3, 0.4, 2
@@ -56,7 +56,7 @@ def gram_hashes(words: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tu
 def ngram_counts(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
     """(block, bucket, n, counts, tokens): for each block and range of hashes, the corpus counts of the block's n-grams.
 
-    Keys go as the 40 low bits within their bucket, so that two n-grams of a bucket meet with a
+    Keys go as the 40 leading bits within their bucket, so that two n-grams of a bucket meet with a
     chance of keys / 2**40 whatever the input. Counts below `least` of two words or more are 0.
     """
     buckets = bucket_count(docs)
@@ -69,15 +69,10 @@ def ngram_counts(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> Dat
             for b in range(buckets):
                 own = keys[at[b] : at[b + 1]]
                 if len(own):
-                    low = np.ascontiguousarray(own).view(np.uint8).reshape(-1, 8)[:, :5]
-                    yield {"block": block, "bucket": b, "n": n, "tokens": int(counts[at[b] : at[b + 1]].sum()), "keys": low.tobytes(), "counts": squeeze(counts[at[b] : at[b + 1]].astype(np.uint32))}
+                    yield {"block": block, "bucket": b, "n": n, "tokens": int(counts[at[b] : at[b + 1]].sum()), "keys": pack_sorted(own, b, buckets), "counts": squeeze(counts[at[b] : at[b + 1]].astype(np.uint32))}
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = []
-        for blob in rows["keys"]:
-            wide = np.zeros((len(blob) // 5, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-            keys.append(wide.reshape(-1).view(np.uint64))
+        keys = [unpack_sorted(blob) for blob in rows["keys"]]
         ends = np.cumsum([len(x) for x in keys])
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, weights=np.concatenate([expand(c, np.uint32) for c in rows["counts"]])).astype(np.int64)

@@ -33,6 +33,24 @@ def expand(blob: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=dtype)
 
 
+def pack_sorted(keys: np.ndarray, bucket: int, buckets: int) -> bytes:
+    """The leading 40 bits, within the bucket's range, of sorted keys: as differences, byte planes apart."""
+    low = (bucket << 64) // buckets
+    shift = max(0, (((bucket + 1) << 64) // buckets - low - 1).bit_length() - 40)
+    gaps = np.diff((keys - np.uint64(low)) >> np.uint64(shift), prepend=np.uint64(0))
+    width = 4 if gaps.max() < (1 << 32) else 8
+    planes = np.ascontiguousarray(gaps).view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + squeeze(planes)
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    planes = expand(blob[1:], np.uint8).reshape(width, -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, :width] = planes.T
+    return np.cumsum(wide.reshape(-1).view(np.uint64), dtype=np.uint64)
+
+
 def pack_texts(ids: list, texts: list[str]) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, _TEXTS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
