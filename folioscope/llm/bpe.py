@@ -17,7 +17,7 @@ from folioscope.llm.common import id_and_text, ship, shipped, sliced_texts
 #: Characters of text whose new words are replayed together.
 BLOCK_CHARS = 16 << 20
 #: Words remembered by a worker before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 _NONE = np.iinfo(np.int32).max
 
@@ -146,15 +146,15 @@ class BlockEncoder:
         self.bytes: dict[str, bytes] = {}
 
     def learn(self, texts_words: Iterable[list[str]]) -> None:
-        new: set[str] = set()
+        seen: set[str] = set()
         known = self.ids
         for ws in texts_words:
-            new.update(ws)
-        new -= known.keys()
-        if len(known) + len(new) > REMEMBERED and known:
+            seen.update(ws)
+        new = seen - known.keys()
+        if len(known) + len(new) > REMEMBERED:
             known.clear()
             self.bytes.clear()
-            new = set().union(*map(set, texts_words))
+            new = seen
         listed = list(new)
         tokens = self.replay.tokens
         for w, ids in zip(listed, self.replay.encode([w.encode("utf-8") for w in listed]), strict=True):
