@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from folioscope.llm.common import id_and_text, sliced_texts
 
 #: Characters of text of a block, and of all text for each bucket.
-BLOCK_CHARS, BUCKET_CHARS = 12 << 20, 12 << 20
+BLOCK_CHARS, BUCKET_CHARS = 8 << 20, 8 << 20
 
 _TEXTS = pa.schema([("doc_id", pa.int64()), ("text", pa.large_string())])
 
