@@ -39,9 +39,13 @@ def rotate(x: np.ndarray, table: int) -> np.ndarray:
     return x
 
 
-def unit_rows(vectors: list, width: int, longest: float, queries: bool) -> np.ndarray:
-    """Unit vectors whose angles order inner products: rows keep their share of the longest norm, the lost length goes to one more axis."""
-    size = 1 << max(0, (width + 1 - 1).bit_length())
+def unit_rows(vectors: list, width: int, longest: float, lifted: bool, queries: bool) -> np.ndarray:
+    """Unit vectors whose angles order inner products.
+
+    If norms differ (lifted), rows keep their share of the longest norm and the lost length goes to
+    one more axis; vectors of one norm are only scaled.
+    """
+    size = 1 << (width + lifted - 1).bit_length()
     out = np.zeros((len(vectors), max(2, size)))
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
@@ -49,7 +53,7 @@ def unit_rows(vectors: list, width: int, longest: float, queries: bool) -> np.nd
     out = out / np.where(scale > 0, scale, 1)
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
     out /= np.where(norm > 0, norm, 1)
-    if not queries:
+    if lifted and not queries:
         share = np.minimum(1.0, (norm * scale / longest)[:, 0])
         out *= share[:, None]
         out[:, width] = np.sqrt(np.maximum(0.0, 1 - share * share))
@@ -90,9 +94,11 @@ def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, tables: int
     least = rows.dropDuplicates(["vec_id", "digest"]).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(16))).withColumn("r", F.row_number().over(some)).filter(F.col("r") <= k + 1)
     least = least.drop("r", "salt").withColumn("r", F.row_number().over(each)).filter(F.col("r") <= k + 1)
     distinct = cut_lineage(least.groupBy("digest", "embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("rep", F.col("ids")[0]))
-    width, longest = distinct.agg(F.max(F.size("embedding")), F.sqrt(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)))).first()
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    width, shortest, longest = distinct.agg(F.max(F.size("embedding")), F.min(norm), F.max(norm)).first()
     if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    lifted = shortest < 0.999 * longest
 
     def hashed(n: int, asked: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +106,7 @@ def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, tables: int
                 if not batch.num_rows:
                     continue
                 reps, vectors = batch.column(0).to_numpy(), batch.column(1)
-                unit = unit_rows(vectors.to_pylist(), width, longest, asked)
+                unit = unit_rows(vectors.to_pylist(), width, longest, lifted, asked)
                 for t in range(tables):
                     axes = nearest_axes(rotate(unit, t), n)
                     at = np.repeat(np.arange(len(reps)), axes.shape[1])
