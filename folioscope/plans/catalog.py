@@ -508,3 +508,82 @@ def block_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = load(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     return n.withColumn("rank", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("n"), "event_type")).cast("long")).filter("rank <= 3")
+
+
+# articles, paths, reports
+
+
+@query("""WITH b AS (SELECT page_id, url, 'acct' || page_id % 3 AS account, 't' || page_id % 10 AS title FROM pages), f AS (SELECT url, min(page_id) AS seq FROM b GROUP BY url), r AS (SELECT b.url, account || '/' || title AS base, seq FROM b JOIN f ON b.url = f.url AND b.page_id = f.seq),
+m AS (SELECT base, min(seq) AS lead FROM r GROUP BY base) SELECT url, CASE WHEN seq = lead THEN base ELSE base || '--20260711-' || left(sha1(url), 8) END AS path FROM r JOIN m USING (base)""")
+def output_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.operators import paths
+
+    p = load(spark, sf_dir, "pages").select(F.concat(F.lit("acct"), (F.col("page_id") % 3).cast("string")).alias("account"), F.concat(F.lit("t"), (F.col("page_id") % 10).cast("string")).alias("title"), F.lit("2026-07-11").alias("date"), "url", F.col("page_id").alias("seq"))
+    return paths.plan_paths(p)
+
+
+@query("""SELECT c_nationkey::VARCHAR AS fakeid, count(DISTINCT c_mktsegment) AS albums, (SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTINCT c_mktsegment AS s FROM customer y WHERE y.c_nationkey = x.c_nationkey)) AS titles FROM customer x GROUP BY c_nationkey""")
+def albums_by_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.operators import articles as rows
+
+    album = F.array(F.struct(F.col("c_mktsegment").alias("id"), F.col("c_mktsegment").alias("title")))
+    a = load(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("fakeid"), F.col("c_custkey").alias("create_time"), album.alias("appmsg_album_infos"))
+    return rows.albums_by_account(a).withColumn("titles", F.array_join("titles", ","))
+
+
+@query("""SELECT n_name AS account_name, o_orderkey::VARCHAR AS aid, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS create_time, CASE WHEN o_orderkey % 2 = 1 AND o_orderstatus = 'F' THEN '原创' ELSE '' END AS copyright,
+CASE o_orderkey % 3 WHEN 0 THEN '普通图文' WHEN 2 THEN '未识别' ELSE '未识别' END AS item_show_type, '#' || o_orderpriority AS album, CASE WHEN o_orderkey % 4 = 0 THEN 'p' ELSE o_orderstatus END AS cover, n.lines AS read_num
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY 1) n ON l_orderkey = o_orderkey""")
+def table_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.operators import articles as rows
+
+    o = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    k = F.col("o_orderkey")
+    at = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    a = o.select(
+        F.col("c_nationkey").cast("string").alias("fakeid"), k.cast("string").alias("aid"), k.cast("string").alias("link"), F.lit("t").alias("title"), F.when(k % 4 == 0, "p").otherwise("").alias("pic_cdn_url_235_1"), F.col("o_orderstatus").alias("cover"),
+        F.lit("").alias("digest"), at.alias("create_time"), at.alias("update_time"), F.lit("").alias("author_name"), (k % 2).cast("int").alias("copyright_stat"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("copyright_type"), (k % 3).cast("int").alias("item_show_type"),
+        F.array(F.struct(F.col("o_orderpriority").alias("id"), F.col("o_orderpriority").alias("title"))).alias("appmsg_album_infos"),
+    )
+    accounts = load(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("fakeid"), F.col("n_name").alias("nickname"))
+    counts = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("url")).agg(F.count("*").alias("read_num"))
+    return rows.export_rows(a, accounts, counts).select("account_name", "aid", "create_time", "copyright", "item_show_type", "album", "cover", "read_num")
+
+
+@query("""SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey IN (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING count(*) = 1) AND s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)""")
+def single_publishers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.operators import articles as rows
+
+    s = load(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey").cast("string").alias("publisher"))
+    known = load(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").cast("string").alias("publisher"))
+    return rows.single_publishers(s, known).select("s_suppkey", "s_name")
+
+
+@query("""WITH e AS (SELECT user_id, event_type, CAST(epoch_ms(ts) // 1000 AS BIGINT) AS sec FROM events) SELECT user_id, count(*) FILTER (WHERE sec >= 1706659200 - 86400) AS d1, count(*) FILTER (WHERE sec >= epoch(DATE '2024-02-01') - 3 * 86400) AS d3, count(*) FILTER (WHERE sec >= epoch(DATE '2024-01-01')) AS m1 FROM e GROUP BY user_id""")
+def deadline_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.operators import articles as rows
+
+    now = F.lit(NOW)
+    return timed(spark, sf_dir).groupBy("user_id").agg(*[F.count_if(F.col("at") >= rows.deadline(p, now)).alias(n) for n, p in (("d1", "24h"), ("d3", "3d"), ("m1", "1m"))])
+
+
+@query("""WITH l AS (SELECT l_orderkey, unnest(range(1, 4)) AS k FROM (SELECT DISTINCT l_orderkey FROM lineitem)) SELECT l_orderkey::VARCHAR AS url, (l_orderkey + k)::VARCHAR AS resource FROM l WHERE (l_orderkey + k) IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)""")
+def resources_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.operators import articles as rows
+
+    k = F.col("l_orderkey")
+    maps = load(spark, sf_dir, "lineitem").select(k.cast("string").alias("url"), F.array(*[(k + n).cast("string") for n in (1, 2, 3)]).alias("resources")).distinct()
+    stored = load(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").cast("string").alias("url"))
+    return rows.resources_found(maps, stored)
+
+
+@query()
+def product_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.products(load(spark, sf_dir, "documents"), "doc_id", "text", ALIASES).select("doc_id", "block", "name", "publisher", F.size("links").alias("links"), "description")
+
+
+@query("""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, CAST(0 AS BIGINT) AS create_time FROM pages""")
+def article_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.operators import articles as rows
+
+    return load(spark, sf_dir, "pages").select("page_id", rows.article_meta("html").alias("m")).select("page_id", "m.title", "m.create_time")
