@@ -43,13 +43,15 @@ def sliced_texts(batches: Iterator[pa.RecordBatch], most_chars: int) -> Iterator
     texts: list[str] = []
     size = 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if texts and (size + len(t) > most_chars or len(texts) >= 100_000):
-                yield ids, texts
-                ids, texts, size = [], [], 0
-            ids.append(i)
-            texts.append(t)
-            size += len(t)
+        for start in range(0, batch.num_rows, 256):  # a batch's texts are never all strings at once
+            part = batch.slice(start, 256)
+            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if texts and (size + len(t) > most_chars or len(texts) >= 100_000):
+                    yield ids, texts
+                    ids, texts, size = [], [], 0
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
     if texts:
         yield ids, texts
 

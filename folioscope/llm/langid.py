@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from folioscope.llm.common import id_and_text, sliced_texts
@@ -188,10 +189,12 @@ def keep_identified(docs: DataFrame, filters: Filters, least_score: float = 0.05
         table = None
         for batch in batches:
             table = _letters() if table is None else table
-            keep: list[bool] = []
-            for start in range(0, batch.num_rows, 256):
-                texts = [t or "" for t in batch.column(at).slice(start, 256).to_pylist()]
-                keep += [lang != "und" and s >= least_score for lang, s in decide(filters, texts, table)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                texts = pa.RecordBatch.from_arrays([pa.nulls(part.num_rows), pa.compute.fill_null(part.column(at), "")], names=["id", "text"])
+                keep: list[bool] = []
+                for _, some in sliced_texts(iter([texts]), 1 << 20):
+                    keep += [lang != "und" and s >= least_score for lang, s in decide(filters, some, table)]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
