@@ -119,9 +119,10 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least:
                 context = np.r_[0, by_place[n - 1][:-1]] if len(words) else by_place[0]
                 have = by_place[n] > 0
                 best[have] = (order - 1 - n) * math.log(backoff) + np.log(by_place[n][have]) - np.log(context[have])
-            ends = np.cumsum(sizes)
-            sums = np.r_[0.0, np.cumsum(best)]
-            log = sums[ends] - sums[ends - sizes]
+            log = np.zeros(len(sizes))
+            full = np.flatnonzero(sizes)
+            if len(full):  # each text is summed by itself, so that its score does not depend on its block
+                log[full] = np.add.reduceat(best, (np.cumsum(sizes) - sizes)[full])
             out.append(pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n_tokens": sizes, "log_score": log, "mean_log_score": pd.array([x / s if s else None for x, s in zip(log.tolist(), sizes.tolist(), strict=True)], dtype="Float64")}))
         return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n_tokens": [], "log_score": [], "mean_log_score": []})
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope.llm import ann, bpe, langid, licenses, line_dedup, lm_score, packing, secrets, simhash, topk
 
@@ -40,7 +40,8 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(_table(spark, sf_dir, "documents"))
+    found = lm_score.score(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_tokens", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,5 +79,45 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+#: op7 in SQL: counts of words, pairs and triples, and the longest kept one of each place.
+OP7_SQL = """
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+t AS (SELECT doc_id, unnest(w) AS c, unnest(range(len(w))) AS i FROM d),
+g AS (SELECT doc_id, c, lag(c, 1) OVER (PARTITION BY doc_id ORDER BY i) AS b, lag(c, 2) OVER (PARTITION BY doc_id ORDER BY i) AS a FROM t),
+c1 AS (SELECT c, count(*) AS n FROM g GROUP BY ALL),
+c2 AS (SELECT b, c, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY ALL),
+c3 AS (SELECT a, b, c, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY ALL),
+s AS (
+  SELECT g.doc_id, CASE WHEN c3.n >= 2 THEN ln(c3.n / p2.n) WHEN c2.n >= 2 THEN ln(0.4) + ln(c2.n / p1.n) ELSE 2 * ln(0.4) + ln(c1.n / (SELECT count(*) FROM g)) END AS score
+  FROM g JOIN c1 ON g.c = c1.c LEFT JOIN c2 ON g.b = c2.b AND g.c = c2.c LEFT JOIN c3 ON g.a = c3.a AND g.b = c3.b AND g.c = c3.c
+  LEFT JOIN c2 p2 ON g.a = p2.b AND g.b = p2.c LEFT JOIN c1 p1 ON g.b = p1.c),
+r AS (SELECT doc_id, count(*) AS n, sum(score) AS score FROM s GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, round(coalesce(score, 0), 3) AS log_score, round(score / n, 6) AS mean_log_score FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
+def _op4_sql() -> str:
+    """op4 in SQL: matches and the gaps between them, one query a kind; lengths add up to positions."""
+
+    def kind(order: int, rule: secrets.Rule) -> str:
+        p = rule.pattern.replace("'", "''")
+        least = f"AND length(regexp_extract_all(t, '{p}', {rule.group})[i]) >= {rule.least}"
+        return f"""
+SELECT doc_id, '{rule.kind}' AS kind, {order} AS o, list_sum(list_transform(string_split_regex(t, '{p}')[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(regexp_extract_all(t, '{p}')[1:i-1], lambda x: length(x))), 0) AS s,
+  length(regexp_extract_all(t, '{p}')[i]) AS n FROM (SELECT doc_id, t, unnest(range(1, len(regexp_extract_all(t, '{p}')) + 1)) AS i FROM d) WHERE true {least}"""
+
+    rules = (*secrets.BASE, *secrets.ADDED)
+    found = " UNION ALL ".join(kind(n, r) for n, r in enumerate(rules))
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE)
+    one = "kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}),
+r AS (SELECT doc_id, {counts}, coalesce(string_agg({one}, ',' ORDER BY s, o) FILTER (WHERE o < {len(secrets.BASE)}), '') AS base, string_agg({one}, ',' ORDER BY s, o) AS spans FROM f GROUP BY doc_id)
+SELECT doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_top_k": OP10_SQL}
+    return {"op4_secrets": _op4_sql(), "op7_lm_score": OP7_SQL, "op10_top_k": OP10_SQL}

@@ -61,3 +61,12 @@ def test_stages(spark, tmp_path):
         assert at == parts[0].doc_tokens
     same = corpus_pipeline.run(spark, str(tmp_path))
     assert same.count() == len(packed)
+
+
+def test_empty(spark, tmp_path):
+    docs = spark.createDataFrame([], DOCS).select(*COLUMNS)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0
+        docs = out if k < 4 else docs
+        assert k == 4 or docs.columns == COLUMNS
