@@ -73,8 +73,9 @@ def is_legacy_row() -> Column:
     return (F.col("origin") == "web-research") & F.col("synthesis_type").isin("attribution", "profile") & (t.endswith("产品归因（公众号文章）") | t.endswith("产品档案（公众号文章）")) & F.coalesce("content", F.lit("")).contains("公众号")
 
 
-def is_active_document(active_only: bool = True) -> Column:
-    ours = F.col("source_type") == "wechat-product-analysis"
+def is_active_document(source_type: str, active_only: bool = True) -> Column:
+    """Documents of a source; active ones are not rejected and tagged as products."""
+    ours = F.col("source_type") == source_type
     return ours & ((F.coalesce("status", F.lit("")) != "rejected") & F.array_contains(F.coalesce("tags", F.array().cast("array<string>")), "products")) if active_only else ours
 
 

@@ -369,7 +369,7 @@ def date_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", text.format_epoch("s").alias("at"), text.date_slug(day).alias("slug"), text.publish_epoch(day).alias("day_epoch"), text.recency("s", F.lit(1706572800 + 3600)).alias("label"))
 
 
-@query("""SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.2f KB', n_chars / 1024.0) ELSE printf('%.2f MB', n_chars / 1048576.0) END AS size, left(sha256(source || chr(10) || lang), 24) AS source_key FROM documents""")
+@query("""SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.2f KB', round(n_chars / 1024.0, 2)) ELSE printf('%.2f MB', round(n_chars / 1048576.0, 2)) END AS size, left(sha256(source || chr(10) || lang), 24) AS source_key FROM documents""")
 def sizes_and_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", text.format_bytes("n_chars").alias("size"), text.stable_hash(24, F.col("source"), F.col("lang")).alias("source_key"))
 

@@ -62,8 +62,8 @@ def test_rows(spark):
     assert [(x.aid, x.create_time) for x in articles.recovered(m, "Acct", "B").collect()] == [("5_2", 1757347200)]
     album = spark.createDataFrame([('{"getalbum_resp":{"article_list":{"title":"a"}}}',), ('{"getalbum_resp":{"article_list":[{"title":"a"},{"title":"b"}]}}',), ("x",)], "j string").select(F.size(articles.album_list("j")).alias("n"))
     assert sorted(r.n for r in album.collect()) == [0, 1, 2]
-    docs = spark.createDataFrame([(["products", "x"], "active", "wechat-product-analysis"), (["x"], "active", "wechat-product-analysis")], "tags array<string>, status string, source_type string")
-    assert docs.filter(articles.is_active_document()).count() == 1
+    docs = spark.createDataFrame([(["products", "x"], "active", "analysis"), (["x"], "active", "analysis")], "tags array<string>, status string, source_type string")
+    assert docs.filter(articles.is_active_document("analysis")).count() == 1
     r = articles.mark_rejected(docs, F.array_contains("tags", "products"), "noise").filter("status = 'rejected'").first()
     assert r.tags == ["x", "rejected"] and r.reason == "noise"
     raw = spark.createDataFrame([('{"usefor":"app","accounts":[{"fakeid":"a","nickname":"n"},{"fakeid":""}]}',), ('{"usefor":"no","accounts":[{"fakeid":"b"}]}',)], "json string")
