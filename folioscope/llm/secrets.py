@@ -5,7 +5,6 @@ from __future__ import annotations
 import re._constants as sre
 import re._parser as sre_parse
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -219,7 +218,3 @@ def redact(docs: DataFrame, base: tuple[Rule, ...] = BASE, added: tuple[Rule, ..
     new = found.select("row", F.when(F.col("row.text").isNotNull(), clean).alias("clean"))
     out = {"text": F.col("clean")} | ({"n_chars": F.char_length("clean").cast("long")} if "n_chars" in docs.columns else {})
     return new.select(*[out.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
-
-
-def trigrams_of(rules: tuple[Rule, ...]) -> set[str]:
-    return reduce(set.union, (set().union(*(trigram_query(r.pattern) or [])) for r in rules), set())
