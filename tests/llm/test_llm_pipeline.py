@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import corpus_pipeline
 from folioscope.llm import simhash
-from test_operators import DOCS, spans_of, texts
+from test_llm_operators import DOCS, spans_of, texts
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
