@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from folioscope.functions.text import _c
+from folioscope.functions.text import _c, bind
 
 # The word lists and patterns that decide what is a product name.
 NOISE_EXACT = ("merge", "rpg", "rpg类", "slg", "slg类", "竞技对战", "天天射击")
@@ -61,8 +61,10 @@ def _cjk(x: Column) -> Column:
 
 def is_noise(x: Column | str) -> Column:
     """Whether a name is no product's: too short or long, a listed word, beginning or part, a label or a sentence."""
-    name = F.coalesce(_c(x), F.lit(""))
-    plain = F.lower(F.regexp_replace(name, r"(?U)\s+", ""))
+    return bind(F.coalesce(_c(x), F.lit("")), lambda name: bind(F.lower(F.regexp_replace(name, r"(?U)\s+", "")), lambda plain: _noise(name, plain)))
+
+
+def _noise(name: Column, plain: Column) -> Column:
     size = F.char_length(name)
     sentence = (_cjk(name) >= 12) & name.rlike(SENTENCE_WORDS)
     return (size < 2) | (size > 60) | plain.isin(*NOISE_EXACT) | _any(plain, NOISE_PREFIXES, "startswith") | _any(plain, NOISE_PARTS, "contains") | name.rlike(ENDINGS) | name.rlike(LABEL_START) | sentence
@@ -70,8 +72,10 @@ def is_noise(x: Column | str) -> Column:
 
 def is_noise_old(x: Column | str) -> Column:
     """The older, broader rule: any of seven common words marks noise."""
-    name = F.coalesce(_c(x), F.lit(""))
-    return (F.char_length(name) < 2) | (F.char_length(name) > 60) | _any(name, OLD_NOISE_PARTS, "contains") | name.rlike("[。：:]$")
+    def noise(name: Column) -> Column:
+        return (F.char_length(name) < 2) | (F.char_length(name) > 60) | _any(name, OLD_NOISE_PARTS, "contains") | name.rlike("[。：:]$")
+
+    return bind(F.coalesce(_c(x), F.lit("")), noise)
 
 
 def clean_value(x: Column | str) -> Column:
@@ -83,24 +87,32 @@ def clean_value(x: Column | str) -> Column:
 
 
 def field_key(label: Column) -> Column:
-    plain = F.regexp_replace(clean_value(label), r"(?U)[\s*：:]", "")
-    out = F.lit(None).cast("string")
-    for key, labels in FIELDS.items():
-        out = F.when(plain.isin(*labels), key).otherwise(out)
-    return out
+    def key_of(plain: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for key, labels in FIELDS.items():
+            out = F.when(plain.isin(*labels), key).otherwise(out)
+        return out
+
+    return bind(F.regexp_replace(clean_value(label), r"(?U)[\s*：:]", ""), key_of)
 
 
 def field_line(x: Column | str) -> Column:
     """Struct (key, value) of a `label: value` line with a known label, else null."""
-    line = clean_value(x)
     pattern = r"^([^：:]{1,16})\s*[：:]\s*(.*?)\s*$"
-    key = field_key(F.regexp_extract(line, pattern, 1))
-    return F.when(key.isNotNull(), F.struct(key.alias("key"), clean_value(F.regexp_extract(line, pattern, 2)).alias("value")))
+
+    def parse(line: Column) -> Column:
+        value = clean_value(F.regexp_extract(line, pattern, 2))
+        return bind(field_key(F.regexp_extract(line, pattern, 1)), lambda key: F.when(key.isNotNull(), F.struct(key.alias("key"), value.alias("value"))))
+
+    return bind(clean_value(x), parse)
 
 
 def is_heading(x: Column | str) -> Column:
     """Whether a text is a chapter heading: a generic one, a label, a number, a genre or a round-up."""
-    plain = F.lower(F.regexp_replace(F.regexp_replace(clean_value(x), r"^[.。]+|[.。]+$", ""), r"(?U)\s+", ""))
+    return bind(F.lower(F.regexp_replace(F.regexp_replace(clean_value(x), r"^[.。]+|[.。]+$", ""), r"(?U)\s+", "")), _heading)
+
+
+def _heading(plain: Column) -> Column:
     return (
         plain.isin(*[re.sub(r"\s+", "", h).lower() for h in HEADINGS])
         | field_key(plain).isNotNull()
@@ -112,7 +124,10 @@ def is_heading(x: Column | str) -> Column:
 
 def suspicious(x: Column | str) -> Column:
     """Reasons for which a product name is doubted, in a fixed order."""
-    name = clean_value(x)
+    return bind(clean_value(x), _doubts)
+
+
+def _doubts(name: Column) -> Column:
     size, cjk = F.char_length(name), _cjk(name)
     tags = (
         ("invalid_length", (size < 2) | (size > 80)),
@@ -128,35 +143,48 @@ def suspicious(x: Column | str) -> Column:
 
 
 def is_plausible(x: Column | str) -> Column:
-    name = clean_value(x)
-    return (F.size(suspicious(name)) == 0) & ~_any(name, EXCLUDED, "contains") & ~name.rlike(COMPANY)
+    return bind(clean_value(x), lambda name: (F.size(suspicious(name)) == 0) & ~_any(name, EXCLUDED, "contains") & ~name.rlike(COMPANY))
 
 
 def candidate(x: Column | str) -> Column:
     """Struct (name, publisher) of a line that names a product: labelled, bold, heading, columns or a Latin title; else null."""
     line = F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"(?U)^\s+|\s+$", "")
-    cleaned = clean_value(line)
-    none = F.lit(None).cast("struct<name:string,publisher:string>")
+    return bind(line, lambda line: bind(clean_value(line), lambda cleaned: _candidate(line, cleaned)))
+
+
+def _found(name: Column, publisher: Column | None = None, ok: Column | None = None) -> Column:
+    told = F.lit(None).cast("string") if publisher is None else publisher
+    return bind(name, lambda n: F.when((F.lit(True) if ok is None else ok) & is_plausible(n), F.struct(n.alias("name"), told.alias("publisher"))))
+
+
+def _columned(value: Column, numbered: Column) -> Column:
+    """The product of a line of columns: name and publisher, apart by a wide gap, or a numbered name."""
+    def parse(columns: Column) -> Column:
+        name, second = clean_value(columns[0]), clean_value(F.coalesce(F.get(columns, F.lit(1)), F.lit("")))
+        return bind(second, lambda p: bind(name, lambda n: _found(n, F.nullif(p, F.lit("")), fits(columns, n, p))))
 
-    def found(name: Column, publisher: Column | None = None, ok: Column | None = None) -> Column:
-        good = is_plausible(name) & (F.lit(True) if ok is None else ok)
-        return F.when(good, F.struct(name.alias("name"), (F.lit(None).cast("string") if publisher is None else publisher).alias("publisher")))
+    def fits(columns: Column, name: Column, publisher: Column) -> Column:
+        short = (F.char_length(publisher) <= 80) & ~publisher.rlike(r"(?i)https?://|www\.") & ~publisher.rlike("[。，；！!？?]$")
+        return (numbered | (F.size(columns) > 1)) & (name != "") & ((publisher == "") | short)
 
-    label = F.regexp_replace(clean_value(F.regexp_extract(cleaned, r"^([^：:]{1,16})\s*[：:]\s*(.+?)\s*$", 1)), r"(?U)\s+", "")
-    labelled = clean_value(F.regexp_extract(cleaned, r"^([^：:]{1,16})\s*[：:]\s*(.+?)\s*$", 2))
+    return bind(F.split(value, WIDE_GAP, 2), parse)
+
+
+def _candidate(line: Column, cleaned: Column) -> Column:
+    none = F.lit(None).cast("struct<name:string,publisher:string>")
+    labelled_at = r"^([^：:]{1,16})\s*[：:]\s*(.+?)\s*$"
+    label = F.regexp_replace(clean_value(F.regexp_extract(cleaned, labelled_at, 1)), r"(?U)\s+", "")
+    labelled = clean_value(F.regexp_extract(cleaned, labelled_at, 2))
     bold_at, heading_at = r"^\*{1,2}(?:\d+[.、]\s*)?(.+?)\*{1,2}[.。]?$", r"^#{2,4}\s+(.+?)\s*$"
-    numbered = F.regexp_extract(line, r"^\s*\d+\s*(?:\\\.|[.．、])\s*(.+?)\s*$", 1)
-    value = F.when(numbered != "", numbered).otherwise(line)
-    columns = F.split(value, WIDE_GAP, 2)
-    name, publisher = clean_value(columns[0]), clean_value(F.coalesce(F.get(columns, F.lit(1)), F.lit("")))
-    inline_ok = ((numbered != "") | (F.size(columns) > 1)) & (name != "") & ((publisher == "") | ((F.char_length(publisher) <= 80) & ~publisher.rlike(r"(?i)https?://|www\.") & ~publisher.rlike("[。，；！!？?]$")))
-    latin = found(cleaned, None, line.rlike(r"^[A-Z][A-Za-z0-9][A-Za-z0-9\s:!&\-'\.]{2,55}$"))
+    number = F.regexp_extract(line, r"^\s*\d+\s*(?:\\\.|[.．、])\s*(.+?)\s*$", 1)
+    inline = bind(number, lambda n: _columned(F.when(n != "", n).otherwise(line), n != ""))
+    latin = _found(cleaned, None, line.rlike(r"^[A-Z][A-Za-z0-9][A-Za-z0-9\s:!&\-'\.]{2,55}$"))
     return (
         F.when((line == "") | field_line(line).isNotNull(), none)
-        .when(label.isin(*NAME_LABELS), found(labelled))
-        .when(line.rlike(bold_at), found(clean_value(F.regexp_extract(line, bold_at, 1))))
-        .when(line.rlike(heading_at), found(clean_value(F.regexp_extract(line, heading_at, 1))))
-        .otherwise(F.coalesce(found(name, F.nullif(publisher, F.lit("")), inline_ok), latin))
+        .when(label.isin(*NAME_LABELS), _found(labelled))
+        .when(line.rlike(bold_at), _found(clean_value(F.regexp_extract(line, bold_at, 1))))
+        .when(line.rlike(heading_at), _found(clean_value(F.regexp_extract(line, heading_at, 1))))
+        .otherwise(F.coalesce(inline, latin))
     )
 
 
@@ -169,21 +197,22 @@ def detect(x: Column | str, rules: list[tuple[str, str]], words: dict[str, str]
 
     Rules are literals of a chain, not rows of a join: their order is their rank.
     """
-    text, out = _c(x), F.lit(None).cast("string")
-    for word, name in reversed((words or {}).items()):
-        out = F.when(F.lower(text).contains(word.lower()), name).otherwise(out)
-    for pattern, name in reversed(rules):
-        out = F.when(text.rlike(pattern), name).otherwise(out)
-    return out
+    def name_of(text: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for word, name in reversed((words or {}).items()):
+            out = F.when(F.lower(text).contains(word.lower()), name).otherwise(out)
+        for pattern, name in reversed(rules):
+            out = F.when(text.rlike(pattern), name).otherwise(out)
+        return out
+
+    return bind(_c(x), name_of)
 
 
 def publishers_of(x: Column | str, rules: list[tuple[str, str]]) -> Column:
     """The detected publisher alone, else the parts of the value."""
-    value = clean_value(x)
-    known = detect(value, rules)
-    return F.when(known.isNotNull(), F.array(known)).otherwise(split_values(value))
+    return bind(clean_value(x), lambda value: bind(detect(value, rules), lambda known: F.when(known.isNotNull(), F.array(known)).otherwise(split_values(value))))
 
 
 def resolve(names: Column) -> Column:
     """The one publisher, or the marks for none and for several."""
-    return F.when(F.size(names) == 1, names[0]).when(F.size(names) == 0, UNKNOWN).otherwise(CONFLICT)
+    return bind(names, lambda n: F.when(F.size(n) == 1, n[0]).when(F.size(n) == 0, UNKNOWN).otherwise(CONFLICT))

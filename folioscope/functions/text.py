@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -16,6 +17,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bind(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x evaluated once, however often use names it: nested rules stay linear in size."""
+    return F.transform(F.array(x), use)[0]
+
+
 def filled(x: Column | str) -> Column:
     """x, or null where it is empty."""
     return F.nullif(_c(x), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from folioscope.functions import names
-from folioscope.functions.text import _c, distinct_filled
+from folioscope.functions.text import _c, bind, distinct_filled
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -58,7 +58,7 @@ def products(docs: DataFrame, key: str, text: str, rules: list[tuple[str, str]],
     told = F.concat_ws("\n", F.coalesce("prose", none), F.coalesce("description", none))
     direct = F.array_distinct(F.concat(named, listed))
     guessed = names.detect(told, rules)
-    every = F.when(F.size(direct) > 0, direct).when(guessed.isNotNull(), F.array(guessed)).otherwise(none)
+    every = bind(direct, lambda d: F.when(F.size(d) > 0, d).otherwise(bind(guessed, lambda g: F.when(g.isNotNull(), F.array(g)).otherwise(none))))
     about = F.when(F.size(F.coalesce("description", none)) > 0, F.col("description")).otherwise(F.coalesce("prose", none))
     return row.withColumn("candidates", every).select(
         key, "block", "name", names.resolve(F.col("candidates")).alias("publisher"), "candidates",
