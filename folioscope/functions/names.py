@@ -49,10 +49,9 @@ WIDE_GAP = r"[ \t 　]{2,}"
 
 
 def _any(x: Column, words: tuple[str, ...], how: str) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | getattr(x, how)(w)
-    return out
+    """Whether x contains, or starts with, one of the words, as a single pattern."""
+    start = "^" if how == "startswith" else ""
+    return x.rlike(start + "(?:" + "|".join(rf"\Q{w}\E" for w in words) + ")")
 
 
 def _cjk(x: Column) -> Column:
@@ -179,13 +178,13 @@ def _candidate(line: Column, cleaned: Column) -> Column:
     number = F.regexp_extract(line, r"^\s*\d+\s*(?:\\\.|[.．、])\s*(.+?)\s*$", 1)
     inline = bind(number, lambda n: _columned(F.when(n != "", n).otherwise(line), n != ""))
     latin = _found(cleaned, None, line.rlike(r"^[A-Z][A-Za-z0-9][A-Za-z0-9\s:!&\-'\.]{2,55}$"))
-    return (
-        F.when((line == "") | field_line(line).isNotNull(), none)
-        .when(label.isin(*NAME_LABELS), _found(labelled))
-        .when(line.rlike(bold_at), _found(clean_value(F.regexp_extract(line, bold_at, 1))))
-        .when(line.rlike(heading_at), _found(clean_value(F.regexp_extract(line, heading_at, 1))))
-        .otherwise(F.coalesce(inline, latin))
+    marked = (
+        F.when(label.isin(*NAME_LABELS), labelled)
+        .when(line.rlike(bold_at), clean_value(F.regexp_extract(line, bold_at, 1)))
+        .when(line.rlike(heading_at), clean_value(F.regexp_extract(line, heading_at, 1)))
     )
+    chosen = bind(marked, lambda name: F.when(name.isNotNull(), _found(name)).otherwise(F.coalesce(inline, latin)))
+    return F.when((line == "") | field_line(line).isNotNull(), none).otherwise(chosen)
 
 
 def split_values(x: Column | str) -> Column:
