@@ -16,40 +16,93 @@ from folioscope.llm.packed import bounds, bucket_count, expand, sent, squeeze, t
 GRAM, WINDOW = 2, 3
 #: Shortest run of lines that is deleted.
 LEAST_RUN = GRAM + WINDOW - 1
-#: Lines of more characters are wrapped after so many words.
-WRAP_CHARS, WRAP_WORDS = 80, 8
+#: Runs of fewer words stay, however many lines they are.
+LEAST_WORDS = 20
+#: Lines of more characters are wrapped at one space in WRAP_ONE_IN, chosen by the characters around it.
+WRAP_CHARS, WRAP_ONE_IN = 80, 6
+#: What still has more words than MOST_WORDS is wrapped after every WRAP_WORDS.
+MOST_WORDS, WRAP_WORDS = 16, 8
 #: Lines to each side of a fingerprint that are sent with it.
 REACH = WINDOW - 1
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.iinfo(np.int64).max
+#: Whether a code point is white space as str.strip() knows it; the last entry stands for all later ones.
+_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
+#: Characters of texts that are cut into lines at a time.
+_AT_ONCE = 1 << 18
+
+
+def _wraps(code: np.ndarray, hard: np.ndarray) -> np.ndarray:
+    """Spaces at which lines between the hard breaks are wrapped."""
+    edge = np.r_[-1, hard, len(code)]
+    gap = np.flatnonzero(code == 32)
+    gap = gap[(gap > 0) & (code[gap - 1] != 32) & (code[gap - 1] != 10)]
+    of = np.searchsorted(gap, edge)
+    long = np.repeat(np.diff(edge) - 1 > WRAP_CHARS, np.diff(of))
+    long[of[1:-1][gap[np.minimum(of[1:-1], len(gap) - 1)] == hard] if len(gap) else []] = False  # a space after a sentence is a break already
+    gap = gap[long]
+    around = np.r_[np.full(2, 10, np.uint32), code, np.full(2, 10, np.uint32)]
+    h = np.zeros(len(gap), np.uint64)
+    for k in (0, 1, 3, 4):
+        h = ((h ^ (h >> np.uint64(29))) + around[gap + k] + np.uint64(1)) * _STEP
+    soft = (h >> np.uint64(33)) % np.uint64(WRAP_ONE_IN) == 0
+    # the other spaces by their number since the last break
+    inner = gap[~soft]
+    edge = np.sort(np.r_[edge, gap[soft]])
+    since = np.searchsorted(inner, edge)
+    sizes = np.diff(since)
+    size = np.repeat(sizes, sizes)
+    nth = np.arange(len(inner)) - np.repeat(since[:-1], sizes)
+    more = (size >= MOST_WORDS) & (nth % WRAP_WORDS == WRAP_WORDS - 1) & (size - nth > WRAP_WORDS // 2)
+    return np.r_[gap[soft], inner[more]]
+
+
+def _cut(texts: list[str]) -> tuple[list[list[tuple[int, int]]], np.ndarray]:
+    """The lines of each text, and the number of words of every line."""
+    code = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+    ends = np.flatnonzero((code == 46) | (code == 33) | (code == 63)) + 1
+    ends = ends[ends < len(code)]
+    hard = np.sort(np.r_[np.flatnonzero(code == 10), ends[code[ends] == 32]])
+    cut = np.r_[-1, np.sort(np.r_[hard, _wraps(code, hard)]), len(code)]
+    # words begin and end where white space does
+    ink = ~_SPACE[np.minimum(code, len(_SPACE) - 1)]
+    turn = np.flatnonzero(np.diff(np.r_[False, ink, False]))
+    word, stop = turn[::2], turn[1::2]
+    at = np.searchsorted(word, cut)
+    lo, hi = at[:-1], at[1:]
+    lo, hi = lo[hi > lo], hi[hi > lo]
+    start, end, n_words = word[lo], stop[hi - 1], hi - lo
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    first = np.cumsum(sizes + 1) - sizes - 1
+    to = np.searchsorted(start, np.r_[first, len(code) + 1])
+    shift = np.repeat(first, np.diff(to))
+    spans = list(zip((start - shift).tolist(), (end - shift).tolist(), strict=True))
+    return [spans[a:e] for a, e in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)], n_words
+
+
+def cut_lines(texts: list[str]) -> tuple[list[list[tuple[int, int]]], np.ndarray]:
+    """(start, end) of the lines of each text, and the number of words of every line.
+
+    A line ends with a line break or with a sentence, and long ones are wrapped at spaces that the
+    characters around them choose, so that a passage is the same run of lines wherever it is
+    quoted, also from the middle of a sentence or after a changed word. Blank lines are none.
+    """
+    spans: list[list[tuple[int, int]]] = []
+    words = [np.zeros(0, np.int64)]
+    a, size = 0, 0
+    for e, t in enumerate(texts, 1):
+        size += len(t)
+        if size >= _AT_ONCE or e == len(texts):
+            got, n = _cut(texts[a:e])
+            spans += got
+            words.append(n)
+            a, size = e, 0
+    return spans, np.concatenate(words)
 
 
 def lines_of(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the lines of a text.
-
-    A line ends with a line break or with a sentence, and long ones are wrapped, so that a
-    passage is the same run of lines wherever it is quoted. Blank lines are none.
-    """
-    out, at = [], 0
-    for raw in text.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n"):
-        if len(raw) <= WRAP_CHARS:
-            s = raw.strip()
-            if s:
-                a = at + raw.index(s)
-                out.append((a, a + len(s)))
-        else:
-            words = raw.split(" ")
-            here = at
-            for k in range(0, len(words), WRAP_WORDS):
-                part = " ".join(words[k : k + WRAP_WORDS])
-                s = part.strip()
-                if s:
-                    a = here + part.index(s)
-                    out.append((a, a + len(s)))
-                here += len(part) + 1
-        at += len(raw) + 1
-    return out
+    return cut_lines([text])[0][0]
 
 
 class Block:
@@ -57,7 +110,7 @@ class Block:
 
     def __init__(self, ids: list, texts: list[str]):
         digest = xxhash.xxh64_intdigest
-        self.spans = [lines_of(t) for t in texts]
+        self.spans, n_words = cut_lines(texts)
         sizes = np.array([len(s) for s in self.spans], dtype=np.int64)
         # a gap of REACH + GRAM zeros between documents: no gram, window or extension crosses it
         gap = REACH + GRAM
@@ -71,6 +124,8 @@ class Block:
         doc = np.full(n, -1, dtype=np.int64)
         for d, (a, s) in enumerate(zip(self.first.tolist(), sizes.tolist(), strict=True)):
             doc[a : a + s] = d
+        self.words = np.zeros(n, dtype=np.int64)
+        self.words[doc >= 0] = n_words
         # grams
         h = self.line[: n - GRAM + 1].copy()
         inside = doc[: n - GRAM + 1] >= 0
@@ -140,7 +195,7 @@ def first_places(docs: DataFrame) -> DataFrame:
 
 
 def repeated(b: Block, later: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
-    """Which lines of a block lie in a run of LEAST_RUN lines or more that stands earlier.
+    """Which lines of a block lie in a run of LEAST_RUN lines and LEAST_WORDS words or more that stands earlier.
 
     later and elsewhere: for each distinct fingerprint, whether its first place is outside the
     block, and for those the context there. Each match is extended to both sides as far as the
@@ -162,7 +217,7 @@ def repeated(b: Block, later: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
     marked = np.cumsum(marks)[:-1] > 0
     edges = np.flatnonzero(np.diff(np.r_[False, marked, False].astype(np.int8)))
     for a, e in edges.reshape(-1, 2).tolist():
-        if e - a < LEAST_RUN:
+        if e - a < LEAST_RUN or b.words[a:e].sum() < LEAST_WORDS:
             marked[a:e] = False
     return marked
 
@@ -197,6 +252,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Guarantee: a run of LEAST_RUN lines or more that stands earlier holds a fingerprint; each
     fingerprint is matched with its first place in the corpus and extended to both sides there.
+    Runs of fewer than LEAST_WORDS words stay.
     """
     return _deduped(docs).drop("digest")
 

@@ -70,6 +70,12 @@ def test_line_dedup(docs, rows, empty):
     # brute force: every window minimum, first place in the order of ids, extension to both sides
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
     lines = {k: [(rows[k][1] or "")[a:b] for a, b in line_dedup.lines_of(rows[k][1] or "")] for k in order}
+    together, words = line_dedup.cut_lines([rows[k][1] or "" for k in order])
+    assert [[(rows[k][1] or "")[a:b] for a, b in spans] for k, spans in zip(order, together, strict=True)] == [lines[k] for k in order]
+    assert words.tolist() == [len(x.split()) for k in order for x in lines[k]]
+    for k in order:  # nothing but white space lies between lines, and no line is blank or holds a break
+        assert "".join("".join(x.split()) for x in lines[k]) == "".join((rows[k][1] or "").split())
+        assert all(x == x.strip() != "" and "\n" not in x and len(x.split()) <= line_dedup.MOST_WORDS or len(x) <= line_dedup.WRAP_CHARS or "  " in x for x in lines[k])
     blocks = {k: line_dedup.Block([rows[k][0]], [rows[k][1] or ""]) for k in order}
     first = {}
     for k in order:
@@ -90,9 +96,13 @@ def test_line_dedup(docs, rows, empty):
                 hi += 1
             for x in range(p - lo, p + hi):
                 gone[x] = True
-        n, run = 0, 0
-        for g in [*gone, False]:
-            run = run + 1 if g else 0 * (n := n + (run if run >= line_dedup.LEAST_RUN else 0))
+        n, run = 0, []
+        for g, x in zip([*gone, False], [*lines[k], ""], strict=True):
+            if g:
+                run.append(x)
+            else:
+                n += len(run) * (len(run) >= line_dedup.LEAST_RUN and sum(len(y.split()) for y in run) >= line_dedup.LEAST_WORDS)
+                run = []
         removed[rows[k][0], len(lines[k]), n] += 1
     assert Counter((r.doc_id, r.n_lines, r.n_removed) for r in got) == removed
     by = {r.doc_id: r for r in got}
@@ -116,6 +126,22 @@ def test_line_dedup(docs, rows, empty):
             seen.add(w)
 
 
+def test_lines_of_a_quoted_passage():
+    """A passage of 50 words or more loses its later copy though it begins inside long sentences and a word before it changed."""
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice("thewosranidlmu") for _ in range(r.randint(2, 8))) for _ in range(400)]
+    for n in range(200):
+        passage = " ".join(r.choice(vocabulary) for _ in range(100))
+        a, b = (" ".join(r.choice(vocabulary) for _ in range(r.randint(0, 40))) + " " + passage + " " + " ".join(r.choice(vocabulary) for _ in range(30)) for _ in range(2))
+        block = line_dedup.Block([1, 2], [a, b])
+        gone = line_dedup.repeated(block, np.zeros(len(block.leaders), bool), np.zeros((0, 2 * line_dedup.REACH), np.uint32))
+        first = block.first.tolist()
+        assert not gone[: first[1]].any()
+        left = line_dedup.without(b, block.spans[1], gone[first[1] : first[1] + len(block.spans[1])])[0].split()
+        held = {tuple(a.split()[k : k + 50]) for k in range(len(a.split()) - 49)}
+        assert not any(tuple(left[k : k + 50]) in held for k in range(len(left) - 49)), n
+
+
 def vectors():
     g = np.random.default_rng(3)
     centres = g.normal(size=(6, 24))
