@@ -18,6 +18,10 @@ TABLES, PROBES = 10, 12
 ROUNDS, SEED = 3, 20_17
 #: Vectors of one bucket that a task meets at once; larger buckets are dealt out in parts, each probed.
 BUCKET_ROWS = 4096
+#: Rows are indexed by norm, in bands of a BAND-th of a power of two; the last takes all shorter ones.
+BAND, MOST_BANDS = 4, 32
+#: Cosines at which the probes needed are sampled, and the share of rows at the least cosine of interest that may be missed.
+COSINES, MISSED = 50, 0.03
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -39,25 +43,38 @@ def rotate(x: np.ndarray, table: int) -> np.ndarray:
     return x
 
 
-def unit_rows(vectors: list, width: int, longest: float, lifted: bool, queries: bool) -> np.ndarray:
-    """Unit vectors whose angles order inner products.
-
-    If norms differ (lifted), rows keep their share of the longest norm and the lost length goes to
-    one more axis; vectors of one norm are only scaled.
-    """
-    size = 1 << (width + lifted - 1).bit_length()
-    out = np.zeros((len(vectors), max(2, size)))
+def unit_rows(vectors: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The directions of vectors, and their norms."""
+    out = np.zeros((len(vectors), max(2, 1 << (width - 1).bit_length())))
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
     scale = np.abs(out).max(axis=1, keepdims=True)
     out = out / np.where(scale > 0, scale, 1)
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
     out /= np.where(norm > 0, norm, 1)
-    if lifted and not queries:
-        share = np.minimum(1.0, (norm * scale / longest)[:, 0])
-        out *= share[:, None]
-        out[:, width] = np.sqrt(np.maximum(0.0, 1 - share * share))
-    return out
+    return out, (norm * scale)[:, 0]
+
+
+def probes_needed(size: int, tables: int) -> np.ndarray:
+    """For cosines of 0, 1 / COSINES and so on: the probes a table that find a row at that cosine, but for MISSED of all.
+
+    Sampled on random rotations: how near to a query the axis of such a row is, in the best of the tables.
+    """
+    g = np.random.default_rng([SEED, size])
+    n = max(100, min(1000, (1 << 20) // (tables * size)))
+    out = np.empty(COSINES + 1, np.int64)
+    for i in range(COSINES + 1):
+        c = i / COSINES
+        q, w = g.normal(size=(2, n * tables, size))
+        q /= np.linalg.norm(q, axis=1, keepdims=True)
+        w -= (w * q).sum(axis=1, keepdims=True) * q
+        x = c * q + math.sqrt(1 - c * c) * w / np.linalg.norm(w, axis=1, keepdims=True)
+        top = np.abs(x).argmax(axis=1)
+        at = np.arange(len(x))
+        own = q[at, top] * np.sign(x[at, top])
+        rank = (q > own[:, None]).sum(axis=1) + (-q > own[:, None]).sum(axis=1)
+        out[i] = np.quantile(rank.reshape(n, tables).min(axis=1), 1 - MISSED, method="higher") + 1
+    return np.minimum.accumulate(out)
 
 
 def nearest_axes(rotated: np.ndarray, probes: int) -> np.ndarray:
@@ -82,10 +99,14 @@ def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, tables: int
     are not read.
 
     Equal vectors are indexed once, with their k + 1 smallest ids, which is all that a result can
-    hold of them. Each is hashed to its nearest signed axis in every table; a query probes its
-    nearest axes. A bucket's task reranks by exact products on the original vectors and sends the
-    best k + 1; buckets of more than BUCKET_ROWS are dealt out in parts that are all probed. There
-    are at most 2 * width * tables buckets, whose counts alone reach the driver.
+    hold of them. Each is hashed to its nearest signed axis in every table of its norm band; a query
+    probes its nearest axes in all bands. What it finds there bounds what it lacks: a row of a band
+    can only enter at a cosine of that score to the product of the query's and the band's longest
+    norm, and where rows at that cosine need more probes, the band is probed further, or met whole
+    where this is no more work. A query that found fewer than k rows meets all. A bucket's task
+    reranks by exact products on the original vectors and sends the best k + 1; buckets of more than
+    BUCKET_ROWS are dealt out in parts that are all probed. There are at most
+    2 * width * tables * MOST_BANDS buckets, whose counts alone reach the driver.
     """
     spark = embeddings.sparkSession
     rows = usable(embeddings).filter(F.exists("embedding", lambda x: x != 0)).withColumn("digest", F.xxhash64("embedding"))
@@ -93,41 +114,74 @@ def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, tables: int
     each = W.partitionBy("digest", "embedding").orderBy("vec_id")
     least = rows.dropDuplicates(["vec_id", "digest"]).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(16))).withColumn("r", F.row_number().over(some)).filter(F.col("r") <= k + 1)
     least = least.drop("r", "salt").withColumn("r", F.row_number().over(each)).filter(F.col("r") <= k + 1)
-    distinct = cut_lineage(least.groupBy("digest", "embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("rep", F.col("ids")[0]))
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    width, shortest, longest = distinct.agg(F.max(F.size("embedding")), F.min(norm), F.max(norm)).first()
+    distinct = cut_lineage(least.groupBy("digest", "embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("rep", F.col("ids")[0]).withColumn("peak", F.array_max(F.transform("embedding", F.abs)).cast("double")))
+    width = distinct.agg(F.max(F.size("embedding"))).first()[0]
     if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lifted = shortest < 0.999 * longest
+    norm = F.col("peak") * F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x / F.col("peak")) * (x / F.col("peak"))))
+    longest = distinct.agg(F.max(norm)).first()[0]
+    band = F.floor(F.lit(BAND) * F.log2(F.lit(longest) / norm) + 1e-9)
+    distinct = cut_lineage(distinct.withColumn("band", F.least(F.greatest(band, F.lit(0)), F.lit(MOST_BANDS - 1)).cast("int")).withColumn("norm", norm))
+    bands = dict(map(tuple, distinct.groupBy("band").agg(F.max("norm")).collect()))  # at most MOST_BANDS
+    size = max(2, 1 << (width - 1).bit_length())
+    needed = probes_needed(size, tables)
+    shape = "band int, tab int, axis int, rep long, embedding array<double>"
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                unit, _ = unit_rows(batch.column(1).to_pylist(), width)
+                for t in range(tables):
+                    axes = nearest_axes(rotate(unit, t), 1)[:, 0]
+                    yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(np.full(len(axes), t, np.int32)), pa.array(axes.astype(np.int32)), batch.column(0), batch.column(1)], names=["band", "tab", "axis", "rep", "embedding"])
+
+    index = distinct.select("rep", "embedding", "band").mapInArrow(placed, shape)
+    sizes = {(b, t, a): n for b, t, a, n in index.groupBy("band", "tab", "axis").count().collect()}  # at most 2 * width a table and band
+    parts = [(*at, max(1, math.ceil(n / BUCKET_ROWS))) for at, n in sorted(sizes.items())]
+    held = np.zeros((max(bands) + 1, tables, 2 * size), bool)
+    held[tuple(np.array(list(sizes)).T)] = True
 
-    def hashed(n: int, asked: bool):
+    def dealt() -> DataFrame:
+        return F.broadcast(spark.createDataFrame(parts, "band int, tab int, axis int, parts int"))
+
+    def whole(n: np.ndarray) -> np.ndarray:
+        return n * tables >= 2 * size
+
+    def probed(further: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                reps, vectors = batch.column(0).to_numpy(), batch.column(1)
-                unit = unit_rows(vectors.to_pylist(), width, longest, lifted, asked)
+                reps, vectors, least = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+                unit, length = unit_rows(vectors.to_pylist(), width)
+                found = least.to_numpy(zero_copy_only=False)
+                want = np.full((len(reps), max(bands) + 1), probes)
+                if further:
+                    for b, most in bands.items():
+                        cosine = np.nan_to_num(found, nan=-1.0) / length / most
+                        # above 1 nothing in the band can enter, but for rounding
+                        want[:, b] = np.where(cosine > 1 + 1e-9, 0, needed[np.clip(np.floor(COSINES * cosine), 0, COSINES).astype(int)])
+                        want[np.isnan(found) | (cosine <= 0), b] = 2 * size
                 for t in range(tables):
-                    axes = nearest_axes(rotate(unit, t), n)
-                    at = np.repeat(np.arange(len(reps)), axes.shape[1])
-                    yield pa.RecordBatch.from_pydict({"tab": pa.array(np.full(len(at), t, np.int32)), "axis": pa.array(axes.ravel().astype(np.int32)), "rep": pa.array(reps[at]), "embedding": vectors.take(pa.array(at))})
+                    axes = nearest_axes(rotate(unit, t), 2 * size)
+                    nth = np.arange(2 * size)
+                    for b in bands:
+                        n = want[:, b, None]
+                        take = np.where(whole(n), t == 0, (nth < n) & (nth >= (probes if further else 0))) & held[b, t][axes]
+                        at, k = np.nonzero(take)
+                        for s in range(0, len(at), 1 << 14):
+                            i = at[s : s + (1 << 14)]
+                            tab, of = np.full(len(i), t, np.int32), np.full(len(i), b, np.int32)
+                            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(tab), pa.array(axes[i, k[s : s + (1 << 14)]].astype(np.int32)), pa.array(reps[i]), vectors.take(pa.array(i)), least.take(pa.array(i))], names=["band", "tab", "axis", "rep", "embedding", "least"])
 
         return run
 
-    shape = "tab int, axis int, rep long, embedding array<double>"
-    index = distinct.select("rep", "embedding").mapInArrow(hashed(1, False), shape)
-    sizes = {(t, a): n for t, a, n in index.groupBy("tab", "axis").count().collect()}  # at most 2 * width a table
-    parts = [(t, a, max(1, math.ceil(n / BUCKET_ROWS))) for (t, a), n in sorted(sizes.items())]
-
-    def dealt() -> DataFrame:
-        return F.broadcast(spark.createDataFrame(parts, "tab int, axis int, parts int"))
-
     asked = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "digest", "embedding").dropDuplicates(["query_id"])
     with_rep = asked.join(distinct.select("digest", "embedding", "rep"), ["digest", "embedding"])
     with_rep = cut_lineage(with_rep.select("query_id", "rep", "embedding"))
-    probes_df = with_rep.dropDuplicates(["rep"]).select("rep", "embedding").mapInArrow(hashed(probes, True), shape)
-    left = index.join(dealt(), ["tab", "axis"]).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
-    right = probes_df.join(dealt(), ["tab", "axis"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    queries = with_rep.dropDuplicates(["rep"]).select("rep", "embedding")
+    keys = ["band", "tab", "axis", "part"]
+    left = index.join(dealt(), keys[:3]).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
 
     def rerank(have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -137,16 +191,27 @@ def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, tables: int
                 q, names = table(ask.embedding.iloc[s : s + 256], width), ask.rep.to_numpy()[s : s + 256]
                 rough = q @ v.T
                 most = min(k + 1, len(ids))
-                cut = -np.partition(-rough, most - 1, axis=1)[:, most - 1]
+                cut = np.fmax(-np.partition(-rough, most - 1, axis=1)[:, most - 1], ask.least.to_numpy(float)[s : s + 256])
                 slack = 1e-9 * (1 + np.abs(rough).max(axis=1))
                 qi, vi = np.nonzero(rough >= (cut - slack)[:, None])
                 out.append(pd.DataFrame({"qrep": names[qi], "rep": ids[vi], "score": products(q[qi], v[vi])}))
         return pd.concat(out) if out else pd.DataFrame({"qrep": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
-    keys = ["tab", "axis", "part"]
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(rerank, "qrep long, rep long, score double").dropDuplicates(["qrep", "rep"])
     order = W.partitionBy("qrep").orderBy(F.desc("score"), "rep")
-    best = pairs.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).drop("r")
+
+    def met(asked: DataFrame, further: bool) -> DataFrame:
+        ask = asked.mapInArrow(probed(further), f"{shape}, least double")
+        right = ask.join(dealt(), keys[:3]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(rerank, "qrep long, rep long, score double")
+
+    def first(pairs: DataFrame) -> DataFrame:
+        return pairs.dropDuplicates(["qrep", "rep"]).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
+
+    best = first(met(queries.withColumn("least", F.lit(None).cast("double")), False))
+    if not whole(np.array(probes)):
+        best = cut_lineage(best)
+        least = best.filter(F.col("r") == k + 1).select(F.col("qrep").alias("rep"), F.col("score").alias("least"))
+        best = first(best.drop("r").unionByName(met(queries.join(least, "rep", "left"), True)))
     members = distinct.select("rep", "ids")
     lists = best.join(members, "rep").groupBy("qrep").agg(F.collect_list(F.struct("score", "ids")).alias("found"))  # at most k + 1 lists of k + 1 ids
     results = with_rep.select("query_id", F.col("rep").alias("qrep")).join(lists, "qrep").select("query_id", F.explode("found").alias("f")).select("query_id", "f.score", F.explode("f.ids").alias("vec_id"))

@@ -172,6 +172,29 @@ def test_neighbours(spark):
     assert not ann.neighbours(none).collect() and not topk.top_k(none).collect()
 
 
+@pytest.mark.parametrize("norms", ["one", "outlier", "varied"])
+def test_neighbours_of_varied_norms(spark, norms):
+    """Every query gets k rows, and nearly all of the right ones, whatever the norms."""
+    g = np.random.default_rng(8)
+    x = g.normal(size=(1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "outlier":
+        x[7] *= 10
+    if norms == "varied":
+        x *= g.lognormal(0, 0.5, (1000, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.neighbours(df, k=20, every=20).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 1000, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert len(got[q]) == 20
+        hits += len(got[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hits / 1000 >= 0.97
+
+
 def test_top_k(spark):
     rows = vectors()
     big = [(2000, [3e9, -1e9]), (2050, [2e9, 5.0])]
