@@ -1,4 +1,4 @@
-"""Line dedup by winnowing over hashes of lines."""
+"""Line dedup by hashes of windows of lines, every window, none sampled."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from folioscope.llm.common import cut_lineage
 from folioscope.llm.packed import bounds, bucket_count, expand, sent, squeeze, texts_by_block, unpack_texts
 
-#: Lines of a gram, and grams of a window: every repeated run of GRAM + WINDOW - 1 lines holds a fingerprint.
+#: Lines of a gram, and grams of a window: a run of GRAM + WINDOW - 1 lines is a window at least.
 GRAM, WINDOW = 2, 3
 #: Shortest run of lines that is deleted.
 LEAST_RUN = GRAM + WINDOW - 1
@@ -22,7 +22,7 @@ LEAST_WORDS = 20
 WRAP_CHARS, WRAP_ONE_IN = 80, 6
 #: What still has more words than MOST_WORDS is wrapped after every WRAP_WORDS.
 MOST_WORDS, WRAP_WORDS = 16, 8
-#: Lines to each side of a fingerprint that are sent with it.
+#: Lines of a window beside its first gram.
 REACH = WINDOW - 1
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -106,13 +106,19 @@ def lines_of(text: str) -> list[tuple[int, int]]:
 
 
 class Block:
-    """Lines and fingerprints of a block of texts."""
+    """Lines and fingerprints of a block of texts.
+
+    The fingerprints are the hashes of all least windows: from every line the fewest lines on, and up
+    to every line the fewest lines back, that are LEAST_RUN lines and LEAST_WORDS words. Which
+    windows those are depends on the lines in them alone, so a run that stands elsewhere has the
+    same windows there; and the windows of a run cover it whole.
+    """
 
     def __init__(self, ids: list, texts: list[str]):
         digest = xxhash.xxh64_intdigest
         self.spans, n_words = cut_lines(texts)
         sizes = np.array([len(s) for s in self.spans], dtype=np.int64)
-        # a gap of REACH + GRAM zeros between documents: no gram, window or extension crosses it
+        # a gap of REACH + GRAM zeros between documents
         gap = REACH + GRAM
         self.first = np.cumsum(sizes + gap) - sizes
         self.sizes = sizes
@@ -124,36 +130,34 @@ class Block:
         doc = np.full(n, -1, dtype=np.int64)
         for d, (a, s) in enumerate(zip(self.first.tolist(), sizes.tolist(), strict=True)):
             doc[a : a + s] = d
-        self.words = np.zeros(n, dtype=np.int64)
-        self.words[doc >= 0] = n_words
-        # grams
-        h = self.line[: n - GRAM + 1].copy()
-        inside = doc[: n - GRAM + 1] >= 0
-        for k in range(1, GRAM):
-            h = (h ^ (h >> np.uint64(31))) * _STEP + self.line[k : n - GRAM + 1 + k]
-            inside &= doc[k : n - GRAM + 1 + k] >= 0
-        h = (h ^ (h >> np.uint64(32))) * _STEP
-        # window minima, rightmost of equals; windows that do not fit a document are left out
-        m = len(h) - WINDOW + 1
-        chosen = np.zeros(len(h), dtype=bool)
-        if m > 0:
-            best, value = np.arange(m), h[:m].copy()
-            full = inside[:m].copy()
-            for k in range(1, WINDOW):
-                other = h[k : k + m]
-                better = other <= value
-                best = np.where(better, np.arange(m) + k, best)
-                value = np.where(better, other, value)
-                full &= inside[k : k + m]
-            chosen[best[full]] = True
-        self.at = np.flatnonzero(chosen)
-        self.key = h[self.at]
+        words = np.zeros(n, dtype=np.int64)
+        words[doc >= 0] = n_words
+        before = np.r_[0, np.cumsum(words)]
+        p = np.flatnonzero(doc >= 0)
+        stop = (self.first + sizes)[doc[p]]
+        on = np.maximum(p + LEAST_RUN, np.searchsorted(before, before[p] + LEAST_WORDS))
+        back = np.minimum(p + 1 - LEAST_RUN, np.searchsorted(before, before[p + 1] - LEAST_WORDS, "right") - 1)
+        end_on = np.zeros(n, dtype=np.int64)
+        end_on[p] = on
+        # a window that is the least on and back is one
+        more = back >= self.first[doc[p]]
+        more[more] = end_on[back[more]] != p[more] + 1
+        self.at = np.r_[p[on <= stop], back[more]]
+        self.end = np.r_[on[on <= stop], p[more] + 1]
+        # grow the hashes line by line, the longer windows alone
+        h = np.zeros(len(self.at), dtype=np.uint64)
+        grow, k = np.arange(len(self.at)), 0
+        while len(grow):
+            h[grow] = (h[grow] ^ (h[grow] >> np.uint64(31))) * _STEP + self.line[self.at[grow] + k]
+            k += 1
+            grow = grow[self.end[grow] - self.at[grow] > k]
+        self.key = (h ^ (h >> np.uint64(32))) * _STEP
         self.doc = doc[self.at]
         number = np.array([_LAST if i is None else i for i in ids], dtype=np.int64)
         self.doc_id = number[self.doc] if len(self.at) else np.zeros(0, np.int64)
-        self.place = self.at - self.first[self.doc] if len(self.at) else np.zeros(0, np.int64)
-        around = [*range(-REACH, 0), *range(GRAM, GRAM + REACH)]
-        self.context = np.stack([(self.line[self.at + k] >> np.uint64(32)).astype(np.uint32) for k in around], axis=1) if len(self.at) else np.zeros((0, 2 * REACH), np.uint32)
+        # windows back from a line are placed by their last LEAST_RUN lines
+        back_from = np.arange(len(self.at)) >= len(self.at) - int(more.sum())
+        self.place = np.where(back_from, self.end - LEAST_RUN, self.at) - self.first[self.doc] if len(self.at) else np.zeros(0, np.int64)
         order = np.lexsort((self.place, self.doc, self.doc_id, self.key))
         new = np.r_[True, self.key[order][1:] != self.key[order][:-1]] if len(order) else np.zeros(0, bool)
         self.order, self.number = order, np.cumsum(new) - 1
@@ -161,7 +165,7 @@ class Block:
 
 
 def first_places(docs: DataFrame) -> DataFrame:
-    """(block, bucket, status, context): for each fingerprint of a block, whether its first place in the corpus is elsewhere, and what lies around that."""
+    """(block, bucket, status): for each fingerprint of a block, whether its first place in the corpus is elsewhere."""
     buckets = bucket_count(docs)
 
     def make(block: int, ids: list, texts: list[str]) -> Iterator[dict]:
@@ -171,7 +175,7 @@ def first_places(docs: DataFrame) -> DataFrame:
         for k in range(buckets):
             own = b.leaders[at[k] : at[k + 1]]
             if len(own):
-                yield {"block": block, "bucket": k, "keys": np.ascontiguousarray(b.key[own]).tobytes(), "doc_id": squeeze(b.doc_id[own]), "place": squeeze(b.place[own]), "context": b.context[own].tobytes()}
+                yield {"block": block, "bucket": k, "keys": np.ascontiguousarray(b.key[own]).tobytes(), "doc_id": squeeze(b.doc_id[own]), "place": squeeze(b.place[own])}
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("block")
@@ -180,46 +184,32 @@ def first_places(docs: DataFrame) -> DataFrame:
         key = np.concatenate(keys)
         doc_id = np.concatenate([expand(x, np.int64) for x in rows["doc_id"]])
         place = np.concatenate([expand(x, np.int64) for x in rows["place"]])
-        context = np.frombuffer(b"".join(rows["context"]), np.uint32).reshape(-1, 2 * REACH)
         order = np.lexsort((place, doc_id, key))  # stable: then by block
         new = np.r_[True, key[order][1:] != key[order][:-1]]
         first = np.empty(len(key), np.int64)
         first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
         later = first != np.arange(len(key))
         status = [squeeze(later[e - len(x) : e].astype(np.uint8)) for e, x in zip(ends, keys, strict=True)]
-        around = [squeeze(context[first[e - len(x) : e][later[e - len(x) : e]]]) for e, x in zip(ends, keys, strict=True)]
-        return pd.DataFrame({"block": rows["block"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "status": status, "context": around})
+        return pd.DataFrame({"block": rows["block"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "status": status})
 
-    claims = sent(docs, make, "block long, bucket int, keys binary, doc_id binary, place binary, context binary")
-    return claims.groupBy("bucket").applyInPandas(meet, "block long, bucket int, status binary, context binary")
+    claims = sent(docs, make, "block long, bucket int, keys binary, doc_id binary, place binary")
+    return claims.groupBy("bucket").applyInPandas(meet, "block long, bucket int, status binary")
 
 
-def repeated(b: Block, later: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
+def repeated(b: Block, later: np.ndarray, elsewhere: np.ndarray | None = None) -> np.ndarray:
     """Which lines of a block lie in a run of LEAST_RUN lines and LEAST_WORDS words or more that stands earlier.
 
-    later and elsewhere: for each distinct fingerprint, whether its first place is outside the
-    block, and for those the context there. Each match is extended to both sides as far as the
-    contexts agree; matches that touch make one run.
+    later: for each distinct fingerprint, whether its first place is outside the block. Whole
+    windows are compared, so nothing around a place elsewhere is needed.
     """
     marks = np.zeros(len(b.line) + 1, dtype=np.int64)
     if len(b.order):
-        context = b.context[b.leaders].copy()
-        context[later] = elsewhere
         is_leader = np.zeros(len(b.key), dtype=bool)
         is_leader[b.leaders] = True
-        hit = later[b.number] | ~is_leader[b.order]
-        rows, numbers = b.order[hit], b.number[hit]
-        same = (b.context[rows] == context[numbers]) & (b.context[rows] != 0)
-        left = np.cumprod(same[:, :REACH][:, ::-1], axis=1).sum(axis=1)
-        right = np.cumprod(same[:, REACH:], axis=1).sum(axis=1)
-        np.add.at(marks, b.at[rows] - left, 1)
-        np.add.at(marks, b.at[rows] + GRAM + right, -1)
-    marked = np.cumsum(marks)[:-1] > 0
-    edges = np.flatnonzero(np.diff(np.r_[False, marked, False].astype(np.int8)))
-    for a, e in edges.reshape(-1, 2).tolist():
-        if e - a < LEAST_RUN or b.words[a:e].sum() < LEAST_WORDS:
-            marked[a:e] = False
-    return marked
+        rows = b.order[later[b.number] | ~is_leader[b.order]]
+        np.add.at(marks, b.at[rows], 1)
+        np.add.at(marks, b.end[rows], -1)
+    return np.cumsum(marks)[:-1] > 0
 
 
 def without(text: str, spans: list[tuple[int, int]], gone: np.ndarray) -> tuple[str, list[tuple[int, int]]]:
@@ -250,9 +240,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     empty; an empty table gives no rows; other columns are not read. docs must give the same rows
     in the same tasks each time it is read, as tables and checkpoints do; a difference is an error.
 
-    Guarantee: a run of LEAST_RUN lines or more that stands earlier holds a fingerprint; each
-    fingerprint is matched with its first place in the corpus and extended to both sides there.
-    Runs of fewer than LEAST_WORDS words stay.
+    Guarantee: the lines deleted are those of all runs of LEAST_RUN lines and LEAST_WORDS words or
+    more that stand earlier as they are, in one place each, and no others.
     """
     return _deduped(docs).drop("digest")
 
@@ -264,13 +253,12 @@ def _deduped(docs: DataFrame) -> DataFrame:
         out = []
         found = found.sort_values("bucket")
         later = np.concatenate([expand(x, np.uint8) for x in found["status"]]).astype(bool) if len(found) else np.zeros(0, bool)
-        elsewhere = np.concatenate([expand(x, np.uint32) for x in found["context"]]).reshape(-1, 2 * REACH) if len(found) else np.zeros((0, 2 * REACH), np.uint32)
         for blob in texts["blob"]:
             ids, own = unpack_texts(blob)
             b = Block(ids, own)
             if len(later) != len(b.leaders):
                 raise ValueError("the documents changed between two reads")
-            gone = repeated(b, later, elsewhere)
+            gone = repeated(b, later)
             rows = []
             for i, t, spans, a in zip(ids, own, b.spans, b.first.tolist(), strict=True):
                 mine = gone[a : a + len(spans)]

@@ -142,6 +142,40 @@ def test_lines_of_a_quoted_passage():
         assert not any(tuple(left[k : k + 50]) in held for k in range(len(left) - 49)), n
 
 
+def runs_of_frequent_lines(spark):
+    """Documents of few distinct lines in varying order with quotes of earlier ones; which lines true earlier runs delete, and what dedup_lines deletes."""
+    r = random.Random(17)
+    common = [" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(r.randint(1, 7))) for _ in range(30)]
+    docs = []
+    for _ in range(300):
+        own = [r.choice(common) if r.random() < 0.7 else f"only {r.random()} here" for _ in range(r.randint(3, 14))]
+        if docs and r.random() < 0.4:
+            quoted = r.choice(docs)
+            a = r.randrange(len(quoted))
+            own += quoted[a : a + r.randint(2, 8)]
+        docs.append(own)
+    seen, want = set(), []
+    for own in docs:
+        gone = [False] * len(own)
+        for a in range(len(own)):
+            for e in range(a + line_dedup.LEAST_RUN, len(own) + 1):
+                run = tuple(own[a:e])
+                if sum(len(x.split()) for x in run) >= line_dedup.LEAST_WORDS:
+                    if run in seen:
+                        gone[a:e] = [True] * (e - a)
+                    seen.add(run)
+        want.append([x for x, g in zip(own, gone, strict=True) if not g])
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")
+    got = {x.doc_id: [y for y in x.text.split("\n") if y] for x in line_dedup.dedup_lines(df).collect()}
+    return docs, want, [got[i] for i in range(len(docs))]
+
+
+def test_line_dedup_deletes_all_true_runs(spark):
+    docs, want, got = runs_of_frequent_lines(spark)
+    assert sum(len(x) for x in want) < sum(len(x) for x in docs)
+    assert not [i for i, (w, g) in enumerate(zip(want, got, strict=True)) if Counter(g) - Counter(w)]
+
+
 def vectors():
     g = np.random.default_rng(3)
     centres = g.normal(size=(6, 24))
