@@ -176,6 +176,15 @@ def test_line_dedup_deletes_all_true_runs(spark):
     assert not [i for i, (w, g) in enumerate(zip(want, got, strict=True)) if Counter(g) - Counter(w)]
 
 
+def test_line_dedup_deletes_nothing_else(spark):
+    docs, want, got = runs_of_frequent_lines(spark)
+    assert not [i for i, (w, g) in enumerate(zip(want, got, strict=True)) if Counter(w) - Counter(g)]
+    # two pairs of lines that stand in two earlier documents are no run of four lines
+    x = [" ".join(f"{a}{k}" for k in range(6)) for a in "abcdefgh"]
+    df = spark.createDataFrame([(1, "\n".join([x[0], x[1], x[4], x[5]])), (2, "\n".join([x[6], x[2], x[3], x[7]])), (3, "\n".join(x[:4]))], "doc_id long, text string")
+    assert not [r for r in line_dedup.dedup_lines(df).collect() if r.n_removed]
+
+
 def vectors():
     g = np.random.default_rng(3)
     centres = g.normal(size=(6, 24))
