@@ -7,7 +7,7 @@ packed pieces. Stages work on whole texts of all that the stage before kept.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from folioscope.llm import langid, line_dedup, packing, secrets, simhash
 from folioscope.llm.common import cut_lineage
@@ -24,12 +24,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays; documents without an id stay."""
-    found = cut_lineage(simhash.near_duplicates(docs))
-    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    own = [F.col(f"d.`{c}`").alias(c) for c in docs.columns]
-    kept = docs.alias("d").join(stay, F.col("d.doc_id") == F.col("kept_id")).select(*own)
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """Of each group of near copies one row stays: of the smallest doc_id, null ids last; of that, the text with the least hash."""
+    row_key = F.xxhash64(F.lit("row"), "doc_id", "text").alias("row_key")
+    found = simhash.near_duplicates(docs.select(row_key.alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    ids = docs.select(row_key, "doc_id").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("least")
+    stay = cut_lineage(found.join(ids, "row_key").groupBy("component_id").agg(least).select(F.col("least.row_key").alias("kept_key")))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*own).alias("row"), row_key, F.xxhash64(*own).alias("all"))
+    kept = rows.join(stay, F.col("row_key") == F.col("kept_key")).withColumn("nth", F.row_number().over(W.partitionBy("kept_key").orderBy("all")))
+    return kept.filter("nth = 1").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,6 +63,17 @@ def test_stages(spark, tmp_path):
     assert same.count() == len(packed)
 
 
+def test_one_row_of_each_group_of_near_copies_stays(spark):
+    """Also where rows share a doc_id or have none."""
+    rows = [(1, "alpha beta gamma delta"), (1, "alpha beta gamma delta"), (1, "one two three four five six"), (2, "one two three four five six"), (None, "red green blue white"), (None, "red green blue white")]
+    rows += [(None, "alpha beta gamma delta"), (3, "nothing like the other texts")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert got.columns == COLUMNS
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert kept == sorted([(1, rows[0][1]), (1, rows[2][1]), (None, rows[4][1]), (3, rows[7][1])], key=str)
+
+
 def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], DOCS).select(*COLUMNS)
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
