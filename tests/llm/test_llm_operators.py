@@ -64,50 +64,47 @@ def same(a, b):
     assert sorted(map(tuple, a), key=key) == sorted(map(tuple, b), key=key)
 
 
-def test_line_dedup(docs, rows, empty):
-    got = line_dedup.dedup_lines(docs).collect()
-    assert len(got) == len(rows) and not line_dedup.dedup_lines(empty).collect()
-    # brute force: every window minimum, first place in the order of ids, extension to both sides
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
-    lines = {k: [(rows[k][1] or "")[a:b] for a, b in line_dedup.lines_of(rows[k][1] or "")] for k in order}
+def signed_hash(text):
+    x = xxhash.xxh64_intdigest(text.encode(), 42)
+    return x - (x >> 63 << 64)
+
+
+def true_runs(docs, least_lines, least_words):
+    """Which lines of each document, in order, lie in a run that stands earlier: brute force over all runs."""
+    seen, out = set(), []
+    for lines in docs:
+        gone = [False] * len(lines)
+        for a in range(len(lines)):
+            for e in range(a + least_lines, min(len(lines), a + 60) + 1):  # a longer run is a union of shorter ones
+                run = tuple(lines[a:e])
+                if sum(len(x.split()) for x in run) >= least_words:
+                    if run in seen:
+                        gone[a:e] = [True] * (e - a)
+                    seen.add(run)
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize("least", [(2, 20), (3, 0), (4, 12)])
+def test_line_dedup(docs, rows, empty, least):
+    got = line_dedup.dedup_lines(docs, *least).collect()
+    assert len(got) == len(rows) and not line_dedup.dedup_lines(empty, *least).collect()
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, signed_hash(rows[k][1] or "")))
+    lines = [[(rows[k][1] or "")[a:b] for a, b in line_dedup.lines_of(rows[k][1] or "")] for k in order]
     together, words = line_dedup.cut_lines([rows[k][1] or "" for k in order])
-    assert [[(rows[k][1] or "")[a:b] for a, b in spans] for k, spans in zip(order, together, strict=True)] == [lines[k] for k in order]
-    assert words.tolist() == [len(x.split()) for k in order for x in lines[k]]
-    for k in order:  # nothing but white space lies between lines, and no line is blank or holds a break
-        assert "".join("".join(x.split()) for x in lines[k]) == "".join((rows[k][1] or "").split())
-        assert all(x == x.strip() != "" and "\n" not in x and len(x.split()) <= line_dedup.MOST_WORDS or len(x) <= line_dedup.WRAP_CHARS or "  " in x for x in lines[k])
-    blocks = {k: line_dedup.Block([rows[k][0]], [rows[k][1] or ""]) for k in order}
-    first = {}
-    for k in order:
-        for h, p in sorted(zip(blocks[k].key.tolist(), blocks[k].place.tolist(), strict=True), key=lambda x: x[1]):
-            first.setdefault(h, (k, p))
-    removed = Counter()
-    for k in order:
-        gone = [False] * len(lines[k])
-        for h, p in zip(blocks[k].key.tolist(), blocks[k].place.tolist(), strict=True):
-            a, q = first[h]
-            if (a, q) == (k, p):
-                continue
-            lo, hi = 0, line_dedup.GRAM
-            assert lines[k][p : p + hi] == lines[a][q : q + hi]
-            while lo < line_dedup.REACH and p - lo > 0 and q - lo > 0 and lines[k][p - lo - 1] == lines[a][q - lo - 1]:
-                lo += 1
-            while hi < line_dedup.GRAM + line_dedup.REACH and p + hi < len(lines[k]) and q + hi < len(lines[a]) and lines[k][p + hi] == lines[a][q + hi]:
-                hi += 1
-            for x in range(p - lo, p + hi):
-                gone[x] = True
-        n, run = 0, []
-        for g, x in zip([*gone, False], [*lines[k], ""], strict=True):
-            if g:
-                run.append(x)
-            else:
-                n += len(run) * (len(run) >= line_dedup.LEAST_RUN and sum(len(y.split()) for y in run) >= line_dedup.LEAST_WORDS)
-                run = []
-        removed[rows[k][0], len(lines[k]), n] += 1
-    assert Counter((r.doc_id, r.n_lines, r.n_removed) for r in got) == removed
+    assert [[(rows[k][1] or "")[a:b] for a, b in spans] for k, spans in zip(order, together, strict=True)] == lines
+    assert words.tolist() == [len(x.split()) for own in lines for x in own]
+    for k, own in zip(order, lines, strict=True):  # nothing but white space lies between lines, and no line is blank or holds a break
+        assert "".join("".join(x.split()) for x in own) == "".join((rows[k][1] or "").split())
+        assert all(x == x.strip() != "" and "\n" not in x and len(x.split()) <= line_dedup.MOST_WORDS or len(x) <= line_dedup.WRAP_CHARS or "  " in x for x in own)
+    some = [own[:400] for own in lines]  # one text of 20,000 equal words is cut short for the brute force alone
+    gone = true_runs(some, *least)
+    want = Counter((rows[k][0], sum(g)) for k, g, own in zip(order, gone, lines, strict=True) if len(own) <= 400)
+    long = {rows[k][0] for k, own in zip(order, lines, strict=True) if len(own) > 400}
+    assert Counter((r.doc_id, r.n_removed) for r in got if r.doc_id not in long) == want
     by = {r.doc_id: r for r in got}
-    assert all(by[100 + k].n_removed >= line_dedup.LEAST_RUN for k in range(1, 6)) and not by[100].n_removed
-    assert all(by[201 + k].n_removed == by[3].n_lines for k in range(4)) and by[3].n_removed == 0
+    assert all(by[100 + k].n_removed >= 2 for k in range(1, 6)) and not by[100].n_removed
+    assert all(not by[201 + k].text.strip() for k in range(4)) and by[3].n_removed == 0
     text = {i: t or "" for i, t, *_ in rows}
     for r in got:
         if r.doc_id is not None:
@@ -115,35 +112,47 @@ def test_line_dedup(docs, rows, empty):
             for a, b in (map(int, x.split(":")) for x in r.removed.split(",") if x):
                 kept, at = kept + text[r.doc_id][at:a], b
             assert r.text == kept + text[r.doc_id][at:]
-    # the guarantee: a run of LEAST_RUN lines that stands earlier loses a line at least
-    seen = set()
-    for k in order:
-        n = line_dedup.LEAST_RUN
-        for p in range(len(lines[k]) - n + 1):
-            w = tuple(lines[k][p : p + n])
-            if w in seen:
-                assert blocks[k].key.size
-            seen.add(w)
-
-
-def test_lines_of_a_quoted_passage():
-    """A passage of 50 words or more loses its later copy though it begins inside long sentences and a word before it changed."""
+
+
+def test_fingerprints_are_window_minima():
+    """Two texts that share a run share a fingerprint, the least line hash of a window in it."""
+    _, rest = zip(*[(i, t or "") for i, t, *_ in texts()], strict=True)
+    w = line_dedup.windows(list(rest))
+    for a, e, least in zip(w.at.tolist(), w.end.tolist(), w.least.tolist(), strict=True):
+        assert a <= least < e and w.line[least] == w.line[a:e].min()
+    of = defaultdict(set)
+    for k, least in zip(w.key.tolist(), w.least.tolist(), strict=True):
+        of[k].add(int(w.line[least]))
+    assert all(len(x) == 1 for x in of.values())
+
+
+def test_a_quoted_passage_goes(spark):
+    """A passage of 51 to 100 words loses its later copy though it begins and ends inside sentences."""
     r = random.Random(11)
     vocabulary = ["".join(r.choice("thewosranidlmu") for _ in range(r.randint(2, 8))) for _ in range(400)]
-    for n in range(200):
-        passage = " ".join(r.choice(vocabulary) for _ in range(100))
-        a, b = (" ".join(r.choice(vocabulary) for _ in range(r.randint(0, 40))) + " " + passage + " " + " ".join(r.choice(vocabulary) for _ in range(30)) for _ in range(2))
-        block = line_dedup.Block([1, 2], [a, b])
-        gone = line_dedup.repeated(block, np.zeros(len(block.leaders), bool), np.zeros((0, 2 * line_dedup.REACH), np.uint32))
-        first = block.first.tolist()
-        assert not gone[: first[1]].any()
-        left = line_dedup.without(b, block.spans[1], gone[first[1] : first[1] + len(block.spans[1])])[0].split()
-        held = {tuple(a.split()[k : k + 50]) for k in range(len(a.split()) - 49)}
+
+    def prose(n):
+        out = []
+        while len(out) < n:
+            out += [r.choice(vocabulary) for _ in range(r.randint(3, 25))]
+            out[-1] += "."
+        return " ".join(out[:n])
+
+    pairs = []
+    for n in range(300):
+        passage = prose(r.randint(51, 100))
+        pairs += [(2 * n, prose(r.randint(0, 40)) + " " + passage + " " + prose(30)), (2 * n + 1, prose(r.randint(0, 40)) + " " + passage + " " + prose(30))]
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
+    text = dict(pairs)
+    for n in range(300):
+        assert got[2 * n] == text[2 * n]
+        held = {tuple(text[2 * n].split()[k : k + 50]) for k in range(len(text[2 * n].split()) - 49)}
+        left = got[2 * n + 1].split()
         assert not any(tuple(left[k : k + 50]) in held for k in range(len(left) - 49)), n
 
 
-def runs_of_frequent_lines(spark):
-    """Documents of few distinct lines in varying order with quotes of earlier ones; which lines true earlier runs delete, and what dedup_lines deletes."""
+def frequent_lines():
+    """Documents of few distinct lines in varying order with quotes of earlier ones."""
     r = random.Random(17)
     common = [" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(r.randint(1, 7))) for _ in range(30)]
     docs = []
@@ -154,32 +163,27 @@ def runs_of_frequent_lines(spark):
             a = r.randrange(len(quoted))
             own += quoted[a : a + r.randint(2, 8)]
         docs.append(own)
-    seen, want = set(), []
-    for own in docs:
-        gone = [False] * len(own)
-        for a in range(len(own)):
-            for e in range(a + line_dedup.LEAST_RUN, len(own) + 1):
-                run = tuple(own[a:e])
-                if sum(len(x.split()) for x in run) >= line_dedup.LEAST_WORDS:
-                    if run in seen:
-                        gone[a:e] = [True] * (e - a)
-                    seen.add(run)
-        want.append([x for x, g in zip(own, gone, strict=True) if not g])
-    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")
-    got = {x.doc_id: [y for y in x.text.split("\n") if y] for x in line_dedup.dedup_lines(df).collect()}
-    return docs, want, [got[i] for i in range(len(docs))]
-
-
-def test_line_dedup_deletes_all_true_runs(spark):
-    docs, want, got = runs_of_frequent_lines(spark)
+    return docs
+
+
+@pytest.mark.parametrize(("least", "hot", "block"), [((2, 20), False, 8 << 20), ((4, 20), True, 1000), ((3, 0), True, 300), ((2, 0), False, 1000)])
+def test_line_dedup_deletes_true_runs_and_nothing_else(spark, monkeypatch, least, hot, block):
+    """Also where blocks are small, and with frequent fingerprints dealt by window."""
+    docs = frequent_lines()
+    monkeypatch.setattr(line_dedup, "BLOCK_CHARS", block)
+    if hot:
+        monkeypatch.setattr(line_dedup, "HOT_SHARE", 1e-9)
+        monkeypatch.setattr(line_dedup, "HOT_LEAST", 3)
+    gone = true_runs(docs, *least)
+    want = [[x for x, g in zip(own, gs, strict=True) if not g] for own, gs in zip(docs, gone, strict=True)]
     assert sum(len(x) for x in want) < sum(len(x) for x in docs)
-    assert not [i for i, (w, g) in enumerate(zip(want, got, strict=True)) if Counter(g) - Counter(w)]
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(docs)], "doc_id long, text string").repartition(5)
+    got = {x.doc_id: [y for y in x.text.split("\n") if y] for x in line_dedup.dedup_lines(df, *least).collect()}
+    assert [got[i] for i in range(len(docs))] == want
 
 
-def test_line_dedup_deletes_nothing_else(spark):
-    docs, want, got = runs_of_frequent_lines(spark)
-    assert not [i for i, (w, g) in enumerate(zip(want, got, strict=True)) if Counter(w) - Counter(g)]
-    # two pairs of lines that stand in two earlier documents are no run of four lines
+def test_line_dedup_of_two_sources(spark):
+    """Two pairs of lines that stand in two earlier documents are no run of four lines."""
     x = [" ".join(f"{a}{k}" for k in range(6)) for a in "abcdefgh"]
     df = spark.createDataFrame([(1, "\n".join([x[0], x[1], x[4], x[5]])), (2, "\n".join([x[6], x[2], x[3], x[7]])), (3, "\n".join(x[:4]))], "doc_id long, text string")
     assert not [r for r in line_dedup.dedup_lines(df).collect() if r.n_removed]
