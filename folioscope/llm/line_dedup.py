@@ -32,8 +32,12 @@ _LAST = np.iinfo(np.int64).max
 _SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
 #: Characters of texts that are cut into lines at a time.
 _AT_ONCE = 1 << 18
-#: A window of a fingerprint: its hash, and its first and one past its last line, from the fingerprint's line.
-_WINDOW = np.dtype([("h", "<u8"), ("back", "<u2"), ("on", "<u2")])
+
+
+def _window(least: int) -> np.dtype:
+    """A window of a fingerprint: its hash, and its first and one past its last line, from the fingerprint's line."""
+    size = "<u1" if least < 1 << 8 else "<u4"
+    return np.dtype([("h", "<u8"), ("back", size), ("on", size)])
 
 
 def _wraps(code: np.ndarray, hard: np.ndarray) -> np.ndarray:
@@ -234,7 +238,7 @@ def _block(ids: list, digests: np.ndarray, texts: list[str], least_lines: int, l
     least = w.least[own]
     starts = np.flatnonzero(_groups(least, w.key[own] * apart))
     sizes = np.diff(np.r_[starts, len(own)])
-    packed = np.empty(len(own), _WINDOW)
+    packed = np.empty(len(own), _window(max(least_lines, least_words)))  # a line has a word at least
     packed["h"], packed["back"], packed["on"] = w.key[own], least - w.at[own], w.end[own] - least
     head = own[starts]
     who = doc[head]
@@ -248,7 +252,7 @@ def _block(ids: list, digests: np.ndarray, texts: list[str], least_lines: int, l
         yield pa.RecordBatch.from_arrays([*cols, _binary(packed[a:b], sizes[s:e])], schema=_FOUND)
 
 
-def _resolve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+def _resolve(table: pa.Table, window: np.dtype) -> Iterator[pa.RecordBatch]:
     """The spans of lines, by document, of windows that stand at an earlier place."""
     table = table.combine_chunks()
     fp = table.column("fp").combine_chunks()
@@ -262,7 +266,7 @@ def _resolve(table: pa.Table) -> Iterator[pa.RecordBatch]:
     fp, digest, line = (column[c].to_numpy() for c in ("fp", "digest", "line"))
     none = column["doc_id"].is_null().to_numpy(zero_copy_only=False)
     number = column["doc_id"].fill_null(_LAST).to_numpy()
-    packed, sizes = _values(column["windows"], _WINDOW)
+    packed, sizes = _values(column["windows"], window)
     row = np.repeat(np.arange(len(fp)), sizes)
     at = line[row].astype(np.int64) - packed["back"]
     order = np.lexsort((at, digest[row], number[row], none[row], fp[row], packed["h"]))
@@ -306,7 +310,7 @@ def repeated_spans(keyed: DataFrame, least_lines: int = LEAST_LINES, least_words
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if held:
-            yield from _resolve(pa.Table.from_batches(held))
+            yield from _resolve(pa.Table.from_batches(held), _window(max(least_lines, least_words)))
 
     order = ["doc_id", "digest", "text"]
     seen = drawn.select(*order).mapInArrow(found(np.zeros(0, np.uint64)), _FOUND_SQL).filter("fp is not null")
@@ -349,10 +353,13 @@ def _deduped(docs: DataFrame, least_lines: int, least_words: int) -> DataFrame:
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "doc_id")]
     own = docs.select(F.struct(F.col("doc_id"), F.col("text").isNull().alias("none"), F.struct(*rest).alias("rest") if rest else F.lit(0).alias("rest")).alias("row"), id_col, text_col)
     own = own.withColumn("digest", F.xxhash64("text"))
-    marks = repeated_spans(own.select("doc_id", "text", "digest"), least_lines, least_words).withColumnsRenamed({"doc_id": "of_id", "digest": "of_digest"})
-    both = own.join(marks, own.doc_id.eqNullSafe(F.col("of_id")) & (own.digest == F.col("of_digest")), "left")
+    marks = repeated_spans(own.select("doc_id", "text", "digest"), least_lines, least_words)
+    # keys without nulls, so that join and window deal the texts out once
+    keys = ["id", "no_id", "digest"]
+    with_keys = {"id": F.coalesce("doc_id", F.lit(0).cast("long")), "no_id": F.col("doc_id").isNull()}
+    both = own.withColumns(with_keys).join(marks.withColumns(with_keys).drop("doc_id"), keys, "left")
     # rows that are equal in id and text: all but one are later repeats of it
-    nth = F.row_number().over(W.partitionBy("doc_id", "digest").orderBy("digest"))
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy("digest"))
     both = both.select("row", "doc_id", "text", "spans", nth.alias("nth"))
     shape = both.select("row", "doc_id", "text").schema
 
