@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscope.llm.common import id_and_text, sliced_texts
 
@@ -16,10 +16,8 @@ from folioscope.llm.common import id_and_text, sliced_texts
 SIZES = (3, 4)
 #: Documents of one language that the filters are learned from, in expectation; the bound of the sample.
 SAMPLE_DOCS = 3000
-#: Most n-grams of one language that are entered into a filter.
-MOST_GRAMS = 60_000
 #: Slots of the filters, each one bit per language, and slots set per n-gram.
-SLOTS, HASHES = 1 << 20, 2
+SLOTS, HASHES = 1 << 22, 2
 _SPACE = 32
 
 
@@ -76,40 +74,54 @@ def _slots(h: np.ndarray, k: int) -> np.ndarray:
     return ((h >> np.uint64(22 * k)) & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def build(entries: list[tuple[str, int]]) -> Filters:
-    """Filters of (language, signed n-gram hash) pairs. More than 64 languages take more words per slot."""
-    languages = sorted({lang for lang, _ in entries})
-    slots = np.zeros((max(1, -(-len(languages) // 64)), SLOTS), dtype=np.uint64)
-    by: dict[str, list[int]] = {lang: [] for lang in languages}
-    for lang, h in entries:
-        by[lang].append(h)
-    false = []
-    for bit, lang in enumerate(languages):
-        h = np.array(by[lang], dtype=np.int64).view(np.uint64)
-        for k in range(HASHES):
-            slots[bit // 64, _slots(h, k)] |= np.uint64(1 << (bit % 64))
-        fill = (slots[bit // 64] >> np.uint64(bit % 64) & np.uint64(1)).mean()
-        false.append(float(fill) ** HASHES)
-    return Filters(languages, slots, np.array(false))
+def _width(languages: int) -> tuple[int, type]:
+    """Bits of a word of the slots and its type: one word of the least size if it holds all languages."""
+    for bits, kind in ((8, np.uint8), (16, np.uint16), (32, np.uint32)):
+        if languages <= bits:
+            return bits, kind
+    return 64, np.uint64
+
+
+def enter(slots: np.ndarray, language: int, h: np.ndarray) -> None:
+    """Set a language's bit in all slots of n-gram hashes."""
+    bits, kind = 8 * slots.itemsize, slots.dtype.type
+    for k in range(HASHES):
+        slots[language // bits, _slots(h, k)] |= kind(1 << language % bits)
+
+
+def no_slots(languages: int) -> np.ndarray:
+    bits, kind = _width(languages)
+    return np.zeros((max(1, -(-languages // bits)), SLOTS), kind)
+
+
+def filters_of(languages: list[str], slots: np.ndarray) -> Filters:
+    bits = 8 * slots.itemsize
+    fill = [float((slots[k // bits] >> slots.dtype.type(k % bits) & slots.dtype.type(1)).mean()) for k in range(len(languages))]
+    return Filters(languages, slots, np.array(fill) ** HASHES)
 
 
 def decide(filters: Filters, texts: list[str], table: np.ndarray) -> list[tuple[str, float]]:
-    """(language, score) of each text: und and 0.0 where there is no letter or nothing was learned."""
+    """(language, score) of each text: und and 0.0 where there is no letter or nothing was learned.
+
+    Ties go to the language with the fewest n-grams, of which each is the likelier, then to the one sorted first.
+    """
     n = len(texts)
     total, hits = np.zeros(n), np.zeros((len(filters.languages), n))
     for h, owner in grams(texts, table):
         total += np.bincount(owner, minlength=n)
         first, second = (_slots(h, k) for k in range(HASHES))
+        bits, kind = 8 * filters.slots.itemsize, filters.slots.dtype.type
         for word, slots in enumerate(filters.slots):
             mask = slots[first] & slots[second]
-            for bit in range(64 * word, min(64 * word + 64, len(filters.languages))):
-                here = (mask >> np.uint64(bit - 64 * word) & np.uint64(1)).astype(bool)
+            for bit in range(bits * word, min(bits * word + bits, len(filters.languages))):
+                here = (mask >> kind(bit - bits * word) & kind(1)).astype(bool)
                 hits[bit] += np.bincount(owner[here], minlength=n)
     if not filters.languages:
         return [("und", 0.0)] * n
     rate = filters.false[:, None]
     true = np.clip((hits - total * rate) / (1 - rate), 0, None)
-    best = true.argmax(axis=0)
+    by_fill = np.argsort(filters.false, kind="stable")
+    best = by_fill[np.round(true[by_fill], 6).argmax(axis=0)]
     score = np.clip(true[best, np.arange(n)] / np.maximum(total, 1), 0, 1)
     return [(filters.languages[b], float(s)) if t else ("und", 0.0) for b, s, t in zip(best.tolist(), score.tolist(), total.tolist(), strict=True)]
 
@@ -119,45 +131,45 @@ def bucket_of(doc_id: Column | str, folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most_grams: int = MOST_GRAMS, folds: int = 5) -> Filters:
-    """Filters from rows with a non-null lang whose crc32(doc_id) mod folds is not 0.
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, folds: int = 5) -> Filters:
+    """Filters from rows with a non-null text and lang whose crc32(doc_id) mod folds is not 0.
 
-    At most sample_docs rows of each language are expected to be read, drawn by a hash of the id;
-    n-grams are counted on the executors, and the driver receives at most most_grams a language.
+    About sample_docs rows of each language are read, drawn by a hash of the id, so repeated rows
+    are drawn together; every n-gram of them is entered. Tasks set bits and send the words of slots
+    that are not zero, which meet by bitwise or: the driver receives SLOTS words for each 64
+    languages at most. No labelled row, an empty table among them, gives filters without a language.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter("lang is not null and text is not null").filter(bucket_of("doc_id", folds) != 0)
     counts = base.groupBy("lang").count().collect()
+    languages = sorted(lang for lang, _ in counts)
+    slots = no_slots(len(languages))
     if not counts:
-        return build([])
+        return filters_of([], slots)
     fraction = F.lit(0.0)
     for lang, n in counts:
         fraction = F.when(F.col("lang") == lang, min(1.0, sample_docs / n)).otherwise(fraction)
     drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < fraction * (1 << 30)
-    number = {lang: k for k, (lang, _) in enumerate(sorted(map(tuple, counts)))}
-    names = {k: lang for lang, k in number.items()}
+    number = {lang: k for k, lang in enumerate(languages)}
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = None
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, own = _letters(), no_slots(len(languages))
         for langs, texts in sliced_texts(batches, 2 << 20):
-            table = _letters() if table is None else table
             of = np.array([number[x] for x in langs])
-            pairs = [(h, of[owner]) for h, owner in grams(texts, table)]
-            h, lang = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            for k in np.unique(lang).tolist():
-                found, n = np.unique(h[lang == k], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"k": pa.array([k] * len(found), pa.int32()), "h": pa.array(found.view(np.int64)), "n": pa.array(n, pa.int64())})
-
-    seen = base.filter(drawn).select("lang", "text").mapInArrow(count, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
-    share = F.col("n") / F.sum("n").over(W.partitionBy("k"))
-    best = W.partitionBy("k").orderBy(F.desc("n"), "h")
-    kept = (
-        seen.withColumn("share", share)
-        .withColumn("most", F.max("share").over(W.partitionBy("h")))
-        .filter(F.col("share") >= 0.25 * F.col("most"))
-        .withColumn("r", F.row_number().over(best))
-        .filter(F.col("r") <= most_grams)
-    )
-    return build([(names[k], h) for k, h in kept.select("k", "h").collect()])
+            for h, owner in grams(texts, table):
+                lang = of[owner]
+                for k in np.unique(lang).tolist():
+                    enter(own, k, h[lang == k])
+        for word, row in enumerate(own):
+            at = np.flatnonzero(row)
+            for s in range(0, len(at), 1 << 16):
+                part = at[s : s + (1 << 16)]
+                yield pa.RecordBatch.from_pydict({"word": pa.array(np.full(len(part), word, np.int32)), "slot": pa.array(part.astype(np.int32)), "bits": pa.array(row[part].astype(np.uint64).view(np.int64))})
+
+    sent = base.filter(drawn).select("lang", "text").mapInArrow(bits, "word int, slot int, bits long")
+    met = sent.groupBy("word", "slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    word, slot, found = (met.column(c).to_numpy() for c in ("word", "slot", "bits"))
+    slots[word, slot] = found.view(np.uint64).astype(slots.dtype)
+    return filters_of(languages, slots)
 
 
 def identify(docs: DataFrame, filters: Filters, folds: int = 5) -> DataFrame:
@@ -165,7 +177,8 @@ def identify(docs: DataFrame, filters: Filters, folds: int = 5) -> DataFrame:
 
     A null text or one without a letter is `und` with score 0; so is everything if nothing was
     learned. Score: share of the text's n-grams that the language's filter holds, corrected for
-    false positives. Null doc_ids and repeated rows stay; ties go to the language sorted first.
+    false positives. Null doc_ids and repeated rows stay; an empty table
+    gives no rows; ties as in decide().
     """
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
@@ -181,7 +194,11 @@ def identify(docs: DataFrame, filters: Filters, folds: int = 5) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, filters: Filters, least_score: float = 0.05) -> DataFrame:
-    """The rows of docs, all columns as they are, whose text is of a learned language; und and scores below least_score go."""
+    """The rows of docs, all columns as they are, whose text is of a learned language; und and scores below least_score go.
+
+    Null and empty texts and texts without a letter go; null doc_ids and repeated rows are judged
+    each by its own text; an empty table stays empty.
+    """
 
     at = docs.columns.index("text")
 

@@ -341,6 +341,36 @@ def test_trigram_queries():
                 assert query is None or any(all(g in low for g in way) for way in query)
 
 
+def test_language_filters_hold_all_ngrams(spark):
+    """Popcounts against sets of n-grams: every n-gram of the learning rows is in its language's filter, and the corrected counts decide as the sets do."""
+    r = random.Random(2)
+    rows = [(i, " ".join("".join(r.choice(a) for _ in range(r.randint(3, 7))) for _ in range(30)), x) for i in range(60) for x, a in (("a", "abcdef"), ("b", "defghi"), ("c", "xyzabc"))]
+    rows = [(k, t, x) for k, (_, t, x) in enumerate(rows)] + [(1000, "  ", "a"), (1001, None, "b"), (1002, "no lang", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.learn(df)
+
+    def grams_of(t):
+        padded = " " + re.sub(r"[^a-z]", " ", t.lower()) + " "
+        return Counter(padded[k : k + n] for n in langid.SIZES for k in range(len(padded) - n + 1) if padded[k + 1 : k + n - 1].isalpha())
+
+    sets = defaultdict(set)
+    for i, t, x in rows:
+        if x and t and zlib.crc32(str(i).encode()) % 5:
+            sets[x] |= set(grams_of(t))
+    table = langid._letters()
+    for k, x in enumerate(filters.languages):
+        for h, _ in langid.grams([t for i, t, y in rows if y == x and t and zlib.crc32(str(i).encode()) % 5], table):
+            held = np.logical_and.reduce([filters.slots[0][langid._slots(h, j)] >> np.uint8(k) & np.uint8(1) for j in range(langid.HASHES)])
+            assert held.all()
+    for got in langid.identify(df, filters).collect():
+        text = next(t for i, t, _ in rows if i == got.doc_id) or ""
+        found = grams_of(text)
+        share = {x: sum(n for g, n in found.items() if g in s) / max(1, sum(found.values())) for x, s in sets.items()}
+        assert got.lang_pred == ("und" if not found else got.lang_pred)
+        if found:
+            assert share[got.lang_pred] >= max(share.values()) - 0.02 and abs(got.score - share[got.lang_pred]) < 0.02
+
+
 def test_language(docs, rows, empty):
     filters = langid.learn(docs)
     got = langid.identify(docs, filters).collect()
