@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -262,10 +263,30 @@ def test_top_k(spark):
         same(topk.top_k(df).collect(), want)
 
 
-def test_packing(docs, rows, empty):
+def test_ids_of_special_strings(tmp_path):
+    path = P.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    some = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext|", " x <|endoftext|>\n y", "", "  \n a"]
+    encode = packing.IdEncoder(path)
+    assert encode.fast is not None and encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+    assert [encode(t).tolist() for t in some] == [own.encode(t, add_special_tokens=False).ids for t in some]
+    own.encode_special_tokens = True
+    plain = packing.IdEncoder(path, plain_special=True)
+    assert [plain(t).tolist() for t in some] == [own.encode(t, add_special_tokens=False).ids for t in some]
+    # a file whose merges stand in another order is run as its library runs it
+    spec = json.load(open(path, encoding="utf-8"))
+    spec["model"]["merges"].reverse()
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    turned, own = packing.IdEncoder(str(other)), Tokenizer.from_file(str(other))
+    assert turned.fast is None and turned("the rest of it").tolist() == own.encode("the rest of it", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("part", [packing.PART_PIECES, 7])
+def test_packing(docs, rows, empty, monkeypatch, part):
+    monkeypatch.setattr(packing, "PART_PIECES", part)
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     got = packing.pack(docs, path, 64).collect()
     by = defaultdict(list)
     for r in got:
@@ -299,6 +320,7 @@ def test_shortest_pack_first():
         for length in p:
             placed[length] += n
     assert placed == hist
+    assert len(patterns) <= 2 * 1024
     assert sum(n * (1024 - sum(p)) for p, n in patterns) < 0.02 * 1024 * sum(n for _, n in patterns)
 
 
