@@ -16,6 +16,8 @@ from folioscope.llm.common import id_and_text, ship, shipped, sliced_texts
 
 #: Characters of text whose new words are replayed together.
 BLOCK_CHARS = 16 << 20
+#: Bytes of a word from which it is replayed by itself.
+LONG_WORD = 2048
 #: Words remembered by a worker before it starts anew.
 REMEMBERED = 500_000
 
@@ -35,7 +37,9 @@ class MergeReplay:
     rank to the places where its pair stands. The lowest rank with places is applied to them, and
     only the pairs at both sides of a merged place are looked up again. In these vocabularies a
     token can be older than its parts, so that a merge makes a pair of a lower rank; ranks that can
-    do so are applied to the leftmost place of each word only, the others everywhere at once.
+    do so are applied to the leftmost place of each word only, the others everywhere at once. Very
+    long words, which would take a round for each such place, are replayed one by one, with the
+    index as a heap of places by rank.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -53,15 +57,52 @@ class MergeReplay:
         order = np.argsort(np.array(keys, dtype=np.int64))
         self.keys, self.merged = np.array(keys, dtype=np.int64)[order], np.array(merged, dtype=np.int32)[order]
         self.careful = careful
+        self.pair_rank: dict[int, int] = {}
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.merged[at], _NONE)
 
+    def encode_long(self, word: bytes) -> list[int]:
+        """Ids of one word, in time that grows with its length times the logarithm of it."""
+        if not self.pair_rank:
+            self.pair_rank = dict(zip(self.keys.tolist(), self.merged.tolist(), strict=True))
+        rank_of = self.pair_rank.get
+        start = self.byte[np.frombuffer(word, np.uint8)]
+        n = len(start)
+        found = self.rank_of(start[:-1], start[1:])
+        sym, rank = start.tolist(), [*found.tolist(), _NONE]
+        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
+        at = np.flatnonzero(found != _NONE)
+        places = np.sort(found[at].astype(np.int64) << 32 | at).tolist()  # a sorted list is a heap
+        push, pop, low = heapq.heappush, heapq.heappop, (1 << 32) - 1
+        while places:
+            top = pop(places)
+            p, r = top & low, top >> 32
+            if rank[p] != r:
+                continue
+            gone = nxt[p]
+            after = nxt[gone]
+            sym[p], sym[gone], rank[gone], nxt[p] = r, -1, _NONE, after
+            rank[p] = _NONE
+            if after < n:
+                prv[after] = p
+                new = rank_of(r << 32 | sym[after])
+                if new is not None:
+                    rank[p] = new
+                    push(places, new << 32 | p)
+            before = prv[p]
+            if before >= 0:
+                new = rank_of(sym[before] << 32 | r)
+                rank[before] = _NONE if new is None else new
+                if new is not None:
+                    push(places, new << 32 | before)
+        return [x for x in sym if x >= 0]
+
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word; a word that is a token itself is that token."""
-        out: list = [[self.ranks[w]] if w in self.ranks else None for w in words]
+        out: list = [[self.ranks[w]] if w in self.ranks else self.encode_long(w) if len(w) > LONG_WORD else None for w in words]
         rest = [k for k, o in enumerate(out) if o is None and words[k]]
         sizes = np.array([len(words[k]) for k in rest], dtype=np.int64)
         if not len(sizes):
@@ -172,8 +213,8 @@ class BlockEncoder:
 def encode(docs: DataFrame, ranks: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, and with_ids the ids themselves.
 
-    A null text is empty: no ids, and digests of nothing. Rows with a null doc_id and repeated
-    rows stay; other columns are not read. Each task replays merges over the distinct words of
+    A null or empty text has no ids, and digests of nothing. Rows with a null doc_id and repeated
+    rows stay; an empty table gives no rows; other columns are not read. Each task replays merges over the distinct words of
     runs of about BLOCK_CHARS characters and needs no shuffle; a text that is longer is whole.
     """
     name = ship(docs, ranks)

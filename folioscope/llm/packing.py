@@ -179,7 +179,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
         .withColumn("rank", F.col("before") + F.col("n"))
         .join(F.broadcast(by_length), "length")
     )
-    found = F.filter("ranges", lambda r: (r["low"] <= F.col("rank")) & (F.col("rank") <= r["high"]))[0]
-    return ranked.withColumn("at", found).select(
+    range_of = F.filter("ranges", lambda r: (r["low"] <= F.col("rank")) & (F.col("rank") <= r["high"]))[0]
+    return ranked.withColumn("at", range_of).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("at.first") + F.col("rank") - F.col("at.low")).alias("sequence_id"), F.col("at.offset").alias("offset")
     )

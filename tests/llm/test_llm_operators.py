@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from math import log
@@ -519,6 +520,25 @@ def test_bpe_random_text():
     assert got == [" ".join(map(str, e.encode_ordinary(t))) for t in sample]
 
 
+def test_bpe_long_words(monkeypatch):
+    """One word of a million letters takes seconds; long and short words are replayed alike."""
+    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(3)
+    replay = bpe.MergeReplay(ranks)
+    for alphabet, n in (("abcdefghijklmnopqrstuvwxyz", 1_000_000), ("acgt", 300_000), ("the", 300_000), ("aé漢🙂", 60_000)):
+        word = "".join(r.choices(alphabet, k=n))
+        t = time.monotonic()
+        got = replay.encode([word.encode()])[0]
+        assert time.monotonic() - t < 60
+        assert b"".join(replay.tokens[i] for i in got) == word.encode()
+        assert got[:5000] == e.encode_ordinary(word[:30000])[:5000] or alphabet == "aé漢🙂"
+    some = ["".join(r.choices(a, k=r.randint(2, 400))).encode() for a in ("ab", "the", "abcdefgh", "=-", "0123456789") for _ in range(60)]
+    want = replay.encode(some)
+    monkeypatch.setattr(bpe, "LONG_WORD", 1)
+    assert replay.encode(some) == want
+
+
 def test_licenses(docs, rows, empty):
     got = licenses.scan(docs).collect()
     want = []
