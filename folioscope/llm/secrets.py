@@ -38,6 +38,8 @@ ADDED = (
 )
 
 _MOST = 64
+#: Matches of a text that are placed one after the other; longer lists go in chunks of so many.
+CHUNK = 256
 
 
 def _grams(s: str) -> frozenset[str]:
@@ -134,25 +136,56 @@ def candidates(keyed: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return met.groupBy("doc_id", "digest").agg(F.collect_set("kind").alias("kinds"))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with value evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _chunked(items: Column) -> Column:
+    """An array as arrays of CHUNK items."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda c: F.slice(items, c * CHUNK + 1, CHUNK))
+
+
+def _running(items: Column, none: Column, total, step) -> Column:
+    """step() over items in order, for out of its state (at, out), an array; at begins at 0.
+
+    Appending to an array copies it, so items go in chunks: total(at, chunk) carries the state
+    over a chunk, and the chunks are then run each from where it begins.
+    """
+
+    def run(chunks: Column) -> Column:
+        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        firsts = F.aggregate(chunks, zero, lambda a, c: F.struct(total(a["at"], c).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        return F.flatten(F.zip_with(chunks, firsts, lambda c, at: F.aggregate(c, F.struct(at.alias("at"), none.alias("out")), step, lambda a: a["out"])))
+
+    return F.when(F.size(items) > 0, _bound(_chunked(items), run)).otherwise(none)
+
+
 def spans(text: Column, rule: Rule, order: int) -> Column:
     """Structs (start, order, end, kind) of a rule's matches, in code points.
 
     Matches and the gaps between them alternate, so their lengths add up to positions.
     """
-    steps = F.arrays_zip(
-        F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("hit"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("value")
-    )
     none = F.array().cast("array<struct<start:bigint,order:int,end:bigint,kind:string>>")
-    zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+
+    def sized(held: Column) -> Column:
+        value = (lambda h: F.regexp_extract(h, rule.pattern, rule.group)) if rule.group else (lambda h: h)
+        return F.zip_with(
+            F.slice(held["gaps"], 1, F.size(held["hits"])),
+            held["hits"],
+            lambda g, h: F.struct(F.char_length(g).cast("long").alias("gap"), F.char_length(h).cast("long").alias("hit"), (F.char_length(value(h)) >= rule.least).alias("keep")),
+        )
+
+    def total(at: Column, chunk: Column) -> Column:
+        return F.aggregate(chunk, at, lambda a, x: a + x["gap"] + x["hit"])
 
     def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.char_length(x["gap"])
-        end = start + F.coalesce(F.char_length(x["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        keep = x["hit"].isNotNull() & (F.char_length(x["value"]) >= rule.least)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+        start = a["at"] + x["gap"]
+        span = F.struct(start.alias("start"), F.lit(order).alias("order"), (start + x["hit"]).alias("end"), F.lit(rule.kind).alias("kind"))
+        return F.struct((start + x["hit"]).alias("at"), F.when(x["keep"], F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(steps, zero, step, lambda a: a["out"])).otherwise(none)
+    held = F.struct(F.split(text, rule.pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("hits"))
+    return F.when(text.rlike(rule.pattern), _bound(_bound(held, sized), lambda x: _running(x, none, total, step))).otherwise(none)
 
 
 def _all(text: Column, rules: tuple[Rule, ...], kinds: Column) -> list[Column]:
@@ -186,7 +219,7 @@ def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, added: tuple[Rule, ...]
     """doc_id, n_<kind> of each base kind, base_sha256, spans of every row.
 
     A null or empty text has no spans. Rows with a null doc_id and repeated rows stay, each with
-    its own spans; other columns are not read. Texts are scanned whole. Rules with mandatory
+    its own spans; an empty table gives no rows; other columns are not read. Texts are scanned whole. Rules with mandatory
     trigrams are verified on the documents that the index names, the others on all.
     """
     rules = (*base, *added)
@@ -199,22 +232,39 @@ def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, added: tuple[Rule, ...]
 def redact(docs: DataFrame, base: tuple[Rule, ...] = BASE, added: tuple[Rule, ...] = ADDED) -> DataFrame:
     """docs, all columns, with every secret in text replaced by its kind in brackets; n_chars follows the text.
 
-    Overlapping spans become one, named by the first. A null text stays null.
+    Overlapping spans become one, named by the first. A null text stays null; empty texts, null
+    doc_ids and repeated rows stay, each with its own spans; an empty table stays empty.
     """
     rules = (*base, *added)
     inner = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     found = _verified(inner, rules).select("text", "row", F.array_sort(F.concat(*[f"s{n}" for n in range(len(rules))])).alias("a"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    new = found.select("row", F.when(F.col("row.text").isNotNull(), without(F.col("text"), F.col("a"))).alias("clean"))
+    out = {"text": F.col("clean")} | ({"n_chars": F.char_length("clean").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return new.select(*[out.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.col("text").substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        fresh = F.concat(acc["out"], gap, F.lit("["), s["kind"], F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
-    def end(acc: Column) -> Column:
-        return F.concat(acc["out"], F.col("text").substr((acc["at"] + 1).cast("int"), F.char_length("text")))
+def without(text: Column, found: Column) -> Column:
+    """text with sorted spans replaced by their kinds in brackets, overlapping ones by the first."""
+    none = F.array().cast("array<struct<from:bigint,to:bigint,kind:string>>")
 
-    clean = F.when(F.size("a") > 0, F.aggregate("a", zero, step, end)).otherwise(F.col("text"))
-    new = found.select("row", F.when(F.col("row.text").isNotNull(), clean).alias("clean"))
-    out = {"text": F.col("clean")} | ({"n_chars": F.char_length("clean").cast("long")} if "n_chars" in docs.columns else {})
-    return new.select(*[out.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    def total(at: Column, chunk: Column) -> Column:
+        return F.greatest(at, F.array_max(F.transform(chunk, lambda s: s["end"])))
+
+    def step(a: Column, s: Column) -> Column:
+        piece = F.struct(a["at"].alias("from"), s["start"].alias("to"), s["kind"].alias("kind"))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(piece))).otherwise(a["out"]).alias("out"))
+
+    def part(t: Column, start: Column, stop: Column) -> Column:
+        return t.substr((start + 1).cast("int"), (stop - start).cast("int"))
+
+    def joined(chunk: Column) -> Column:
+        # places are counted from the chunk's own text, not from the beginning of a long one
+        low = chunk[0]["from"]
+        own = part(text, low, F.element_at(chunk, -1)["to"])
+        return _bound(own, lambda t: F.array_join(F.transform(chunk, lambda p: F.concat(part(t, p["from"] - low, p["to"] - low), F.lit("["), p["kind"], F.lit("]"))), ""))
+
+    def whole(pieces: Column) -> Column:
+        end = F.array_max(F.transform(found, lambda s: s["end"]))
+        return F.concat(F.array_join(F.transform(_chunked(pieces), joined), ""), part(text, end, F.char_length(text).cast("long")))
+
+    return F.when(F.size(found) > 0, _bound(_running(found, none, total, step), whole)).otherwise(text)

@@ -351,6 +351,36 @@ def test_secrets(docs, rows, empty):
     assert secrets.redact(docs).columns == docs.columns
 
 
+def redacted(text):
+    """Brute force: the spans of all rules, overlapping ones as the first."""
+    found = spans_of(text)
+    for order, rule in enumerate(secrets.ADDED, 3):
+        found += [(m.start(), order, m.end(), rule.kind) for m in re.finditer(rule.pattern, text, re.A)]
+    out, at = [], 0
+    for a, _, e, kind in sorted(found):
+        if a >= at:
+            out += [text[at:a], f"[{kind}]"]
+        at = max(at, e)
+    return "".join(out) + text[at:]
+
+
+def test_many_secrets_in_one_text(spark, rows):
+    """A hundred thousand matches take seconds; chunks of matches are placed as one list would be."""
+    text = "".join(f"é token={k:012d}z AKIA{k:016d} deadbeef{k:08d}\n" for k in range(35_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    t = time.monotonic()
+    got = secrets.scan(df).collect()[0]
+    assert time.monotonic() - t < 60
+    want = spans_of(text)
+    assert len(want) >= 100_000 and got.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in want).encode()).hexdigest()
+    t = time.monotonic()
+    assert secrets.redact(df).collect()[0].text == redacted(text)
+    assert time.monotonic() - t < 60
+    some = [(i, t) for i, t, *_ in rows if t]
+    clean = secrets.redact(spark.createDataFrame(some, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in clean) == sorted((str(i), redacted(t)) for i, t in some)
+
+
 def test_trigram_queries():
     assert secrets.trigram_query(r"[0-9a-f]{16,}") is None
     assert secrets.trigram_query(r"AKIA[A-Z0-9]+") == {frozenset({"aki", "kia"})}
