@@ -11,10 +11,10 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from folioscope.llm.common import cut_lineage
-from folioscope.llm.packed import bounds, bucket_count, expand, pack_sorted, sent, squeeze, texts_by_block, unpack_sorted, unpack_texts
+from folioscope.llm.packed import bounds, check_of, exchange, expand, pack_sorted, sent, squeeze, texts_by_block, unpack_sorted, unpack_texts
 
-#: Longest n-gram, back-off factor, and least count at which an n-gram of two words or more is kept.
-ORDER, BACKOFF, LEAST = 3, 0.4, 2
+#: Longest n-gram and back-off factor.
+ORDER, BACKOFF = 3, 0.4
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,49 +53,57 @@ def gram_hashes(words: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tu
         yield np.flatnonzero(ok) + n - 1, h[ok]
 
 
-def ngram_counts(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
-    """(block, bucket, n, counts, tokens): for each block and range of hashes, the corpus counts of the block's n-grams.
+def ngram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """(block, bucket, n, counts, tokens, check): for each block and range of hashes, the corpus counts of the block's n-grams.
 
-    Keys go as the 40 leading bits within their bucket, so that two n-grams of a bucket meet with a
-    chance of keys / 2**40 whatever the input. Counts below `least` of two words or more are 0.
+    The table of counts is partitioned by hash; every count is kept. Keys go as the 40 leading bits
+    within their bucket, so that two n-grams of a bucket meet with a chance of keys / 2**40
+    whatever the input. check is a hash of all the block's n-grams of n words.
     """
-    buckets = bucket_count(docs)
+    size, buckets = exchange(docs)
 
     def make(block: int, ids: list, texts: list[str]) -> Iterator[dict]:
         words, sizes = word_hashes(texts, _Hashes())
         for n, (_, h) in enumerate(gram_hashes(words, sizes, order), 1):
             keys, counts = np.unique(h, return_counts=True)
             at = bounds(keys, buckets)
+            check = check_of(keys)
             for b in range(buckets):
                 own = keys[at[b] : at[b + 1]]
                 if len(own):
-                    yield {"block": block, "bucket": b, "n": n, "tokens": int(counts[at[b] : at[b + 1]].sum()), "keys": pack_sorted(own, b, buckets), "counts": squeeze(counts[at[b] : at[b + 1]].astype(np.uint32))}
+                    yield {"block": block, "bucket": b, "n": n, "tokens": int(counts[at[b] : at[b + 1]].sum()), "check": check, "keys": pack_sorted(own, b, buckets), "counts": squeeze(counts[at[b] : at[b + 1]].astype(np.uint32))}
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         keys = [unpack_sorted(blob) for blob in rows["keys"]]
         ends = np.cumsum([len(x) for x in keys])
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(place, weights=np.concatenate([expand(c, np.uint32) for c in rows["counts"]])).astype(np.int64)
-        if rows["n"].iloc[0] > 1:
-            total[total < least] = 0
-        found = total[place]
+        found = np.bincount(place, weights=np.concatenate([expand(c, np.uint32) for c in rows["counts"]])).astype(np.int64)[place]
         answers = [squeeze(found[e - len(x) : e]) for e, x in zip(ends, keys, strict=True)]
-        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "n": rows["n"], "counts": answers, "tokens": rows["tokens"]})
+        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "n": rows["n"], "counts": answers, "tokens": rows["tokens"], "check": rows["check"]})
 
-    claims = sent(docs, make, "block long, bucket int, n int, tokens long, keys binary, counts binary")
-    return claims.groupBy("bucket", "n").applyInPandas(count, "block long, bucket int, n int, counts binary, tokens long")
+    claims = sent(docs, make, "block long, bucket int, n int, tokens long, check long, keys binary, counts binary", size)
+    return claims.groupBy("bucket", "n").applyInPandas(count, "block long, bucket int, n int, counts binary, tokens long, check long")
 
 
-def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST) -> DataFrame:
+def others(counts: np.ndarray, number: np.ndarray, doc: np.ndarray, keys: int) -> np.ndarray:
+    """Corpus counts of the n-grams at some places (by number) less those of the place's own document."""
+    _, pair, own = np.unique(doc * max(keys, 1) + number, return_inverse=True, return_counts=True)
+    return counts[number] - own[pair]
+
+
+def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
     """doc_id, n_tokens, log_score (natural, of the whole text) and mean_log_score of every row.
 
-    Counts are of all documents, repeated rows included. A word's score is c(n-gram) / c(context)
-    for the longest n-gram ending in it whose count is kept, times backoff for each word dropped; a
-    single word's is c(word) / all words. A null or empty text has no tokens, log_score 0 and a null
-    mean. Null doc_ids and repeated rows stay; other columns are not read. docs must give the same
-    rows in the same tasks each time it is read, as tables and checkpoints do; a difference is an error.
+    Counts are of all documents, repeated rows included; a row is scored by those of all other rows,
+    as its own n-grams would each find themselves. A word's score is c(n-gram) / c(context) for the
+    longest n-gram ending in it that another row holds, times backoff for each word dropped; a
+    single word's is c(word) / all words of the table, and a word that no other row holds counts as
+    held once. A null or empty text has no tokens, log_score 0 and a null mean. Null doc_ids and
+    repeated rows stay; an empty table gives no rows; other columns are not read. docs must give the
+    same rows in the same tasks each time it is read, as tables and checkpoints do; a difference is
+    an error.
     """
-    counts = cut_lineage(ngram_counts(docs, order, least))
+    counts = cut_lineage(ngram_counts(docs, order))
     total = counts.filter("n = 1").agg(F.sum("tokens")).first()[0] or 0
 
     def run(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
@@ -103,18 +111,20 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least:
         for blob in texts["blob"]:
             ids, own = unpack_texts(blob)
             words, sizes = word_hashes(own, _Hashes())
+            doc = np.repeat(np.arange(len(sizes)), sizes)
             by_place = []
             for n, (places, h) in enumerate(gram_hashes(words, sizes, order), 1):
                 rows = found[found["n"] == n].sort_values("bucket")
                 answers = [expand(c, np.int64) for c in rows["counts"]]
                 keys, back = np.unique(h, return_inverse=True)
                 answer = np.concatenate(answers) if answers else np.zeros(0, np.int64)
-                if len(answer) != len(keys):
+                if len(answer) != len(keys) or (rows["check"] != check_of(keys)).any():
                     raise ValueError("the documents changed between two reads")
                 c = np.zeros(len(words), np.int64)
-                c[places] = answer[back] if len(keys) else 0
+                if len(keys):
+                    c[places] = others(answer, back, doc[places], len(keys))
                 by_place.append(c)
-            best = np.full(len(words), (order - 1) * math.log(backoff)) + (np.log(by_place[0]) - math.log(max(total, 1)) if len(words) else 0)
+            best = np.full(len(words), (order - 1) * math.log(backoff)) + (np.log(np.maximum(by_place[0], 1)) - math.log(max(total, 1)) if len(words) else 0)
             for n in range(1, order):
                 context = np.r_[0, by_place[n - 1][:-1]] if len(words) else by_place[0]
                 have = by_place[n] > 0
@@ -127,4 +137,5 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least:
         return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n_tokens": [], "log_score": [], "mean_log_score": []})
 
     shape = "doc_id long, n_tokens long, log_score double, mean_log_score double"
-    return texts_by_block(docs).groupBy("block").cogroup(counts.select("block", "bucket", "n", "counts").groupBy("block")).applyInPandas(run, shape)
+    answers = counts.select("block", "bucket", "n", "counts", "check")
+    return texts_by_block(docs).groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, shape)

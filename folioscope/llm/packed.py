@@ -4,23 +4,27 @@ Exploding every n-gram or line of a corpus to a row of its own costs a shuffle o
 token. Here a block, a run of documents that one task reads, sends each bucket one row: the sorted
 distinct keys that the block holds in the bucket's range, and what it knows of each. A bucket sees
 every block's claim to a key and answers each block in one row, aligned with the keys that the
-block sent. A key that a third of all rows hold reaches its bucket once per block.
+block sent. A key that a third of all rows hold reaches its bucket once per block. Blocks and
+buckets grow with the square root of the text, so that the rows sent, one for each block and
+bucket, grow with the text and not with its square.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from folioscope.llm.common import id_and_text, sliced_texts
 
-#: Characters of text of a block, and of all text for each bucket.
-BLOCK_CHARS, BUCKET_CHARS = 8 << 20, 8 << 20
+#: Least characters of text of a block, and of all text for each bucket; and characters of all text for each row sent, at least.
+BLOCK_CHARS, ROW_CHARS = 8 << 20, 1024
 
 _TEXTS = pa.schema([("doc_id", pa.int64()), ("text", pa.large_string())])
 
@@ -63,10 +67,17 @@ def unpack_texts(blob: bytes) -> tuple[list, list[str]]:
     return table.column(0).to_pylist(), table.column(1).to_pylist()
 
 
-def bucket_count(docs: DataFrame) -> int:
-    """Buckets in proportion to the text, so that a bucket's keys stay as many whatever the input."""
-    chars = id_and_text(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, -(-int(chars) // BUCKET_CHARS))
+def exchange(docs: DataFrame) -> tuple[int, int]:
+    """(characters of a block, buckets). With b characters of each, T of text make (T / b)**2 rows, which are T / ROW_CHARS at most."""
+    chars = int(id_and_text(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    size = max(BLOCK_CHARS, math.isqrt(chars * ROW_CHARS))
+    return size, max(1, -(-chars // size))
+
+
+def check_of(keys: np.ndarray) -> int:
+    """A hash of sorted keys, as a signed long."""
+    digest = xxhash.xxh64_intdigest(np.ascontiguousarray(keys))
+    return digest - (digest >> 63 << 64)
 
 
 def bounds(keys: np.ndarray, buckets: int) -> list[int]:
@@ -75,18 +86,18 @@ def bounds(keys: np.ndarray, buckets: int) -> list[int]:
     return [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
+def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, list, list[str]]]:
     """(number, ids, texts) of each block; a task that runs again makes the same blocks of the same rows."""
     part = TaskContext.get().partitionId() << 32
-    for k, (ids, texts) in enumerate(sliced_texts(batches, BLOCK_CHARS)):
+    for k, (ids, texts) in enumerate(sliced_texts(batches, size)):
         yield part | k, ids, texts
 
 
-def sent(docs: DataFrame, make: Callable[[int, list, list[str]], Iterator[dict]], schema: str) -> DataFrame:
+def sent(docs: DataFrame, make: Callable[[int, list, list[str]], Iterator[dict]], schema: str, size: int) -> DataFrame:
     """Rows that make() gives for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, texts in blocks(batches):
+        for block, ids, texts in blocks(batches, size):
             rows = list(make(block, ids, texts))
             for s in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_pylist(rows[s : s + 64], schema=arrow)
@@ -98,4 +109,5 @@ def sent(docs: DataFrame, make: Callable[[int, list, list[str]], Iterator[dict]]
 
 def texts_by_block(docs: DataFrame) -> DataFrame:
     """(block, blob): the same blocks with their packed texts."""
-    return sent(docs, lambda block, ids, texts: iter([{"block": block, "blob": pack_texts(ids, texts)}]), "block long, blob binary")
+    size, _ = exchange(docs)
+    return sent(docs, lambda block, ids, texts: iter([{"block": block, "blob": pack_texts(ids, texts)}]), "block long, blob binary", size)

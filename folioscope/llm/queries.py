@@ -79,20 +79,22 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
-#: op7 in SQL: counts of words, pairs and triples, and the longest kept one of each place.
+#: op7 in SQL: how often other documents hold the word, pair and triple at each place, and the longest that one does.
 OP7_SQL = """
 WITH d AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 t AS (SELECT doc_id, unnest(w) AS c, unnest(range(len(w))) AS i FROM d),
-g AS (SELECT doc_id, c, lag(c, 1) OVER (PARTITION BY doc_id ORDER BY i) AS b, lag(c, 2) OVER (PARTITION BY doc_id ORDER BY i) AS a FROM t),
-c1 AS (SELECT c, count(*) AS n FROM g GROUP BY ALL),
-c2 AS (SELECT b, c, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY ALL),
-c3 AS (SELECT a, b, c, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY ALL),
+g AS (SELECT doc_id, i, c, lag(c, 1) OVER (PARTITION BY doc_id ORDER BY i) AS b, lag(c, 2) OVER (PARTITION BY doc_id ORDER BY i) AS a FROM t),
+x AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY c, doc_id) AS x1,
+    CASE WHEN b IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY b, c) - count(*) OVER (PARTITION BY b, c, doc_id) END AS x2,
+    CASE WHEN a IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY a, b, c) - count(*) OVER (PARTITION BY a, b, c, doc_id) END AS x3
+  FROM g),
+y AS (SELECT *, lag(x1) OVER (PARTITION BY doc_id ORDER BY i) AS p1, lag(x2) OVER (PARTITION BY doc_id ORDER BY i) AS p2 FROM x),
 s AS (
-  SELECT g.doc_id, CASE WHEN c3.n >= 2 THEN ln(c3.n / p2.n) WHEN c2.n >= 2 THEN ln(0.4) + ln(c2.n / p1.n) ELSE 2 * ln(0.4) + ln(c1.n / (SELECT count(*) FROM g)) END AS score
-  FROM g JOIN c1 ON g.c = c1.c LEFT JOIN c2 ON g.b = c2.b AND g.c = c2.c LEFT JOIN c3 ON g.a = c3.a AND g.b = c3.b AND g.c = c3.c
-  LEFT JOIN c2 p2 ON g.a = p2.b AND g.b = p2.c LEFT JOIN c1 p1 ON g.b = p1.c),
+  SELECT doc_id, CASE WHEN x3 > 0 THEN ln(x3 / p2) WHEN x2 > 0 THEN ln(0.4) + ln(x2 / p1) ELSE 2 * ln(0.4) + ln(greatest(x1, 1) / (SELECT count(*) FROM t)) END AS score
+  FROM y),
 r AS (SELECT doc_id, count(*) AS n, sum(score) AS score FROM s GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, round(coalesce(score, 0), 3) AS log_score, round(score / n, 6) AS mean_log_score FROM d LEFT JOIN r USING (doc_id)
 """

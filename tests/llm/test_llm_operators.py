@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import math
 import random
 import re
 import time
@@ -17,7 +18,7 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from folioscope.llm import ann, bpe, langid, licenses, line_dedup, lm_score, packing, secrets, simhash, topk
+from folioscope.llm import ann, bpe, langid, licenses, line_dedup, lm_score, packed, packing, secrets, simhash, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, key int, shard int, embedding int"
 
@@ -503,20 +504,26 @@ def test_links_connect_all(spark, monkeypatch):
         assert sorted(map(sorted, classes.values())) == sorted(map(sorted, want.values()))
 
 
-def test_lm_score(docs, rows, empty):
+@pytest.mark.parametrize(("block", "row"), [(8 << 20, 1024), (500, 1)])
+def test_lm_score(docs, rows, empty, monkeypatch, block, row):
+    monkeypatch.setattr(packed, "BLOCK_CHARS", block)
+    monkeypatch.setattr(packed, "ROW_CHARS", row)
     words = [(t or "").encode().lower().split() for _, t, *_ in rows]
-    counts = [Counter(tuple(w[k : k + n]) for w in words for k in range(len(w) - n + 1)) for n in (1, 2, 3)]
+    own = [[Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) for n in (1, 2, 3)] for w in words]
+    counts = [sum((o[n] for o in own), Counter()) for n in range(3)]
     total = sum(counts[0].values())
     want = {}
-    for (i, *_), w in zip(rows, words, strict=True):
+    for (i, *_), w, mine in zip(rows, words, own, strict=True):
         s = 0.0
+        left = [{g: counts[n][g] - mine[n][g] for g in mine[n]} for n in range(3)]  # what other rows hold
         for k in range(len(w)):
             for n in (3, 2, 1):
                 if k - n + 1 < 0:
                     continue
                 g = tuple(w[k - n + 1 : k + 1])
-                if n == 1 or counts[n - 1][g] >= 2:
-                    s += (3 - n) * log(0.4) + log(counts[n - 1][g] / (counts[n - 2][g[:-1]] if n > 1 else total))
+                c = left[n - 1][g]
+                if n == 1 or c:
+                    s += (3 - n) * log(0.4) + log(c / left[n - 2][g[:-1]] if n > 1 else max(c, 1) / total)
                     break
         want.setdefault(i, []).append((len(w), s))
     for r in lm_score.score(docs).collect():
@@ -525,6 +532,13 @@ def test_lm_score(docs, rows, empty):
     assert lm_score.score(docs).count() == len(rows) and not lm_score.score(empty).collect()
 
 
+def test_rows_exchanged_grow_with_the_text():
+    """Rows of blocks and buckets for 1 GB to 100 TB of text: one for each ROW_CHARS characters at most."""
+    for chars in (10**9, 10**10, 10**12, 10**14):
+        size = max(packed.BLOCK_CHARS, math.isqrt(chars * packed.ROW_CHARS))
+        assert (-(-chars // size)) ** 2 <= 1.01 * chars / packed.ROW_CHARS + 1
+
+
 def test_bpe(docs, rows, empty):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
     e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
