@@ -609,6 +609,22 @@ def test_template_markup():
     assert not any(accepts(s) for s in ("red a b c fox away", "red fox far away", "the the red fox away", "red fox"))
 
 
+def test_pivots_discard_only_far_pairs():
+    """The table alone leaves few of the far pairs and all of the near ones."""
+    g = np.random.default_rng(6)
+    a = g.integers(0, 2**63, 20_000, dtype=np.uint64)
+    b = a.copy()
+    for k in range(20_000):
+        for bit in g.integers(0, 64, g.integers(0, 9)).tolist():
+            b[k] ^= np.uint64(1 << bit)
+    b[10_000:] = g.permutation(b[10_000:])
+    ta, tb = simhash.distance_table(a), simhash.distance_table(b)
+    apart = np.bitwise_count(a ^ b)
+    assert simhash._within(a, ta, b, tb, 3).tolist() == np.flatnonzero(apart <= 3).tolist()
+    left = (np.abs(ta - tb).max(axis=1) <= 3)
+    assert left[apart <= 3].all() and left[apart > 16].mean() < 0.01
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(k, k + 1) for k in range(60)] + [(1000, 1000 + k) for k in range(1, 200)] + [(r.randint(2000, 2100), r.randint(2000, 2100)) for _ in range(60)]
