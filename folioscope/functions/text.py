@@ -135,8 +135,8 @@ def path_segment(x: Column | str, fallback: str, most: int) -> Column:
 
 
 def hash31(x: Column | str) -> Column:
-    """h * 31 + unit over a text of ASCII characters, in 32 bits unsigned; 0 becomes 1."""
-    units = F.transform(F.filter(F.split(_c(x), ""), lambda u: u != ""), lambda u: F.ascii(u).cast("long"))
+    """h * 31 + unit over the UTF-16 units of a text, in 32 bits unsigned; 0 becomes 1."""
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(_c(x), "UTF-16BE")), F.lit("(.{4})"), F.lit(1)), lambda u: F.conv(u, 16, 10).cast("long"))
     h = F.aggregate(units, F.lit(0).cast("long"), lambda a, u: F.pmod(a * 31 + u, F.lit(4294967296)))
     return F.when(h == 0, F.lit(1).cast("long")).otherwise(h)
 
@@ -214,9 +214,9 @@ def format_bytes(x: Column | str) -> Column:
     return F.when(n < 1024, F.format_string("%d B", _c(x).cast("long"))).otherwise(out)
 
 
-def content_hash(*xs: Column | str) -> Column:
-    """SHA-256 of the columns as JSON, in the order given, nulls as null."""
-    return F.sha2(F.to_json(F.struct(*xs), {"ignoreNullFields": "false"}), 256)
+def content_hash(*names: str) -> Column:
+    """SHA-256 of the columns as JSON with sorted keys and no spaces, nulls as null."""
+    return F.sha2(F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"}), 256)
 
 
 #: Word lists by which a region is guessed, first hit wins; and whether it is domestic (fixed values).

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from folioscope.functions.text import _c, hash31, publish_epoch
+from folioscope.functions.text import _c, filled, hash31
 
 #: Query keys that name an article (fixed values).
 IDENTITY_KEYS = ("__biz", "idx", "mid", "sn")
@@ -51,11 +51,31 @@ def message_of(aid: Column | str) -> Column:
     return F.when(cut != "", cut).otherwise(_c(aid))
 
 
-def aid_of(u: Column | str) -> Column:
-    """mid_idx of a URL; else local-<hash of the URL>_<idx, 1 if missing>."""
-    mid, idx = param(u, "mid"), param(u, "idx")
-    fallback = F.concat(F.lit("local-"), hash31(u).cast("string"), F.lit("_"), F.coalesce(F.when(idx.rlike(r"^[1-9]\d*$"), idx), F.lit("1")))
-    return F.when(mid.rlike(r"^[1-9]\d*$") & idx.rlike(r"^[1-9]\d*$"), F.concat_ws("_", mid, idx)).otherwise(fallback)
+def positive(x: Column) -> Column:
+    """Whether a text is a positive whole number that a double holds exactly."""
+    return F.coalesce(x.rlike(r"^\d+$") & x.try_cast("long").between(1, (1 << 53) - 1), F.lit(False))
+
+
+def message_id(u: Column | str) -> Column:
+    return F.coalesce(filled(param(u, "mid")), param(u, "appmsgid"))
+
+
+def item_index(u: Column | str) -> Column:
+    return F.coalesce(filled(param(u, "idx")), param(u, "itemidx"))
+
+
+def export_link(u: Column | str, allowed_host: str = "mp.weixin.qq.com") -> Column:
+    """The canonical form of an https URL of the allowed host, without port and user; null for any other."""
+    authority = F.lower(F.try_parse_url(_c(u), F.lit("AUTHORITY")))
+    ok = (F.lower(F.try_parse_url(_c(u), F.lit("PROTOCOL"))) == "https") & authority.isin(allowed_host, f"{allowed_host}:443")
+    return F.when(ok, F.regexp_replace(canonical(u), r"^(https://[^/]*):443(?=/|$)", "$1"))
+
+
+def aid_of(link: Column | str) -> Column:
+    """mid_idx of a canonical URL, or local-<hash of the URL>_idx without a positive mid; an idx that is no positive number is 1."""
+    mid, idx = message_id(link), item_index(link)
+    number = F.when(positive(idx), idx.try_cast("long")).otherwise(F.lit(1).cast("long")).cast("string")
+    return F.when(positive(mid), F.concat_ws("_", mid, number)).otherwise(F.concat(F.lit("local-"), hash31(link).cast("string"), F.lit("_"), number))
 
 
 def stable_identity(u: Column | str, allowed_host: str) -> Column:
@@ -65,11 +85,6 @@ def stable_identity(u: Column | str, allowed_host: str) -> Column:
     return F.when(ok, F.concat_ws(":", biz, mid, idx))
 
 
-def recovered_article(u: Column | str, date: Column | str) -> Column:
-    """Struct (aid, create_time) of an exported article."""
-    return F.struct(aid_of(u).alias("aid"), publish_epoch(date).alias("create_time"))
-
-
 def host_allowed(u: Column | str, hosts: tuple[str, ...]) -> Column:
     """Whether the host is one of `hosts` or below one."""
     out = F.lit(False)

@@ -61,7 +61,7 @@ def wanted_candidate(account: Column, name: str, epoch: Column, floor: Column) -
     return (account == name) & ((epoch == 0) | (epoch >= floor))
 
 
-def of_account(name: Column, url: Column, account: str, biz: str) -> Column:
+def of_account(name: Column, url: Column, account: Column | str, biz: str) -> Column:
     """Whether a record is the account's: by its id if the URL tells one, else by name."""
     own = filled(urls.param(url, "__biz"))
     return F.coalesce(own == biz, F.lit(False)) | (name == account)
@@ -151,9 +151,9 @@ def search_results(page: Column | str) -> Column:
     return F.filter(F.transform(items, one), lambda r: r["url"] != "")
 
 
-def ranked_candidates(pages: DataFrame, page: str, name: str, floor: Column, most: int = 300) -> DataFrame:
-    """Hits of an account over result pages: of one title and time the last counts, newest first, `most` of them; hits without a time last."""
-    rows = pages.withColumn("__i", F.monotonically_increasing_id()).select("__i", F.posexplode(search_results(page)).alias("__k", "r")).select("__i", "__k", "r.*")
+def ranked_candidates(pages: DataFrame, page: str, name: str, floor: Column, order: str, most: int = 300) -> DataFrame:
+    """Hits of an account over result pages in the order of a column: of one title and time the last counts, newest first, `most` of them; hits without a time last."""
+    rows = pages.withColumn("__i", F.col(order)).select("__i", F.posexplode(search_results(page)).alias("__k", "r")).select("__i", "__k", "r.*")
     mine = rows.filter(wanted_candidate(F.col("account"), name, F.col("epoch"), floor))
     w = W.partitionBy("title", "epoch").orderBy(F.desc("__i"), F.desc("__k"))
     return mine.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n").orderBy(F.desc("epoch"), "__i", "__k").limit(most).drop("__i", "__k")
@@ -206,7 +206,18 @@ def article_text(row: Column) -> Column:
     return F.when(preview, paid).otherwise(F.concat(title, F.lit("\n\n"), text.collapse_ends(body)))
 
 
-def recovered(manifest: DataFrame, account: str, biz: str) -> DataFrame:
-    """Article rows of an account's export manifest (title, account, url, publish_date)."""
-    mine = manifest.filter(of_account(F.col("account"), F.col("url"), account, biz))
-    return article_rows(mine, fakeid=F.lit(biz), aid=urls.aid_of("url"), link="url", create_time=publish_epoch("publish_date"), update_time=publish_epoch("publish_date"))
+def recovered(manifest: DataFrame, account: str, biz: str, canonical_only: bool = False) -> DataFrame:
+    """Article rows of an account's export manifest (title, account, url, publish_date, mtime_ms).
+
+    Records of the account are taken by the id in their URL or by name; those whose URL is none of
+    the medium's, or names another account, give no row. A date that is none gives way to the time
+    of the file. canonical_only: the URL must name account, message and item, and the date must be one.
+    """
+    names = of_account(collapse("account"), F.col("url"), collapse(F.lit(account)), biz)
+    rows = manifest.filter(names).withColumn("link", urls.export_link("url")).withColumn("__biz", filled(urls.param("link", "__biz")))
+    rows = rows.filter(F.col("link").isNotNull() & F.coalesce(F.col("__biz") == biz, F.lit(True)))
+    if canonical_only:
+        rows = rows.filter(F.col("__biz").isNotNull() & urls.positive(urls.message_id("link")) & urls.positive(urls.item_index("link")) & publish_epoch("publish_date").isNotNull())
+    at = F.coalesce(publish_epoch("publish_date"), F.floor(F.col("mtime_ms") / 1000))
+    index = F.when(urls.positive(urls.item_index("link")), urls.item_index("link").try_cast("int")).otherwise(1)
+    return article_rows(rows, fakeid=F.lit(biz), aid=urls.aid_of("link"), link="link", author_name="account", create_time=at, update_time=at, itemidx=index)

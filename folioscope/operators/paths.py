@@ -31,7 +31,7 @@ def plan_paths(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
 
     A URL that existing (path, url) holds keeps its path. Otherwise the first URL of a directory
     takes it unless it is occupied; others get the date and hex digits of the URL's SHA-1, more
-    digits and then a number as long as that is taken too. First places are found by minima, which
+    digits and then a number as long as existing or this plan holds that too. First places are found by minima, which
     combine before the shuffle, so a directory that many articles share meets in no single task.
     """
     first = rows.groupBy("url").agg(F.min_by(F.struct("account", "title", "date", "seq"), "seq").alias("r"))
@@ -51,11 +51,17 @@ def plan_paths(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     def suffixed(digits: int) -> Column:
         return F.concat(F.col("base"), F.lit("--"), F.when(F.col("day") != "", F.concat("day", F.lit("-"))).otherwise(""), F.left("hash", F.lit(digits)))
 
+    # of each URL's suffixed paths those that nothing else holds, the shortest first
+    taken = own.select(F.col("path").alias("tried")) if held is None else own.select(F.col("path").alias("tried")).unionByName(held.select(F.col("base").alias("tried")))
+    tries = F.posexplode(F.array(*[suffixed(d) for d in HASH_LENGTHS])).alias("k", "tried")
+    open_paths = others.select("url", tries).join(taken.distinct(), "tried", "left_anti").groupBy("url").agg(F.array_sort(F.collect_list(F.struct("k", "tried"))).alias("open"))
+    # numbers at the end of full-length paths that are held
+    whole = r"^(.*--(?:\d{8}-)?[0-9a-f]{40})-(\d+)$"
+    used = taken.select(F.regexp_extract("tried", whole, 1).alias("full"), F.regexp_extract("tried", whole, 2).try_cast("int").alias("number")).filter("full <> ''").groupBy("full").agg(F.max("number").alias("used"))
     n = F.row_number().over(W.partitionBy("short").orderBy("seq", "url"))
-    numbered = others.withColumn("short", suffixed(HASH_LENGTHS[0])).withColumn("n", n)
-    path = F.concat(suffixed(HASH_LENGTHS[-1]), F.lit("-"), (F.col("n") - len(HASH_LENGTHS) + 1).cast("string"))
-    for k, digits in reversed(list(enumerate(HASH_LENGTHS, 1))):
-        path = F.when(F.col("n") == k, suffixed(digits)).otherwise(path)
+    numbered = others.withColumn("short", suffixed(HASH_LENGTHS[0])).withColumn("full", suffixed(HASH_LENGTHS[-1])).withColumn("n", n).join(open_paths, "url", "left").join(used, "full", "left")
+    beyond = F.greatest(F.lit(1), F.coalesce("used", F.lit(1))) + F.col("n") - F.coalesce(F.size("open"), F.lit(0))
+    path = F.when(F.col("n") <= F.coalesce(F.size("open"), F.lit(0)), F.get("open", F.col("n") - 1)["tried"]).otherwise(F.concat("full", F.lit("-"), beyond.cast("string")))
     out = own.unionByName(numbered.select("url", path.alias("path")))
     if kept is not None:
         out = out.unionByName(kept.join(rows.select("url").distinct(), "url", "left_semi"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import tempfile
 from datetime import UTC, datetime, timedelta
 from pathlib import Path
@@ -27,14 +28,18 @@ def listed_files(value: Any) -> list[str]:
     return []
 
 
+def slug(name: str) -> str:
+    """Lower case, word characters, CJK and dashes kept, white space and underscores as one dash, 120 characters."""
+    kept = re.sub(r"[^\w\s一-鿿-]", "", name.lower())
+    return re.sub(r"[\s_]+", "-", kept.strip())[:120]
+
+
 def subject_filter(body: str) -> set[str]:
-    """Names of a JSON list or of lines, as they are and in lower case."""
-    try:
-        names = json.loads(body)
-    except ValueError:
-        names = body.splitlines()
-    names = [str(x).strip() for x in names] if isinstance(names, list) else []
-    return {form for n in names if n for form in (n, n.lower())}
+    """Lower-case names and slugs of a JSON list, if the text begins as one, or of lines; a list that cannot be read is an error."""
+    text = body.strip()
+    names = json.loads(text) if text.startswith("[") else text.splitlines()
+    named = [str(x or "").strip() for x in names]
+    return {form for n in named if n for form in (n.lower(), slug(n))}
 
 
 def next_source(local_records: int, public_failed: bool) -> dict[str, Any]:

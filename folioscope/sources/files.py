@@ -6,9 +6,10 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from folioscope.operators.blocks import frontmatter
+from folioscope.session import cut_lineage
 
 
 def read_articles(spark: SparkSession, root: str, name: str = "index.md") -> DataFrame:
@@ -39,9 +40,8 @@ def read_json_lines(spark: SparkSession, path: str, schema: str, strict: bool =
 
 
 def read_json_lines_split(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(good, bad): rows of a schema, and the lines that are none."""
-    rows = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    kept = rows.cache()
+    """(good, bad): rows of a schema, and the lines that are none. The lines are parsed once for both."""
+    kept = cut_lineage(spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path))
     return kept.filter("_bad is null").drop("_bad"), kept.filter("_bad is not null").select(F.col("_bad").alias("line"))
 
 
@@ -69,20 +69,17 @@ def aligned(rows: DataFrame, vectors: DataFrame, pos: str = "pos") -> DataFrame:
 
 
 def renumber(rows: DataFrame, order: str, into: str = "pos") -> DataFrame:
-    """rows with positions 0, 1, ... by order: ranges are sorted apart and their sizes added up, no single task sees all rows."""
-    from pyspark.sql import Window as W
-
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, order).withColumn("__part", F.spark_partition_id())
-    sizes = {r[0]: r[1] for r in ranged.groupBy("__part").count().collect()}  # one row per partition
-    before, total = [], 0
-    for p in sorted(sizes):
-        before.append((p, total))
-        total += sizes[p]
-    starts = F.broadcast(spark.createDataFrame(before, "__part int, __before long"))
+    """rows with positions 0, 1, ... by order: ranges are sorted apart and their sizes added up, no single task sees all rows.
+
+    The ranges are written once: two runs of the exchange need not draw the same bounds.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(rows.repartitionByRange(n, order).withColumn("__part", F.spark_partition_id()))
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))  # one row per partition
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__part", before.alias("__before"))
     local = F.row_number().over(W.partitionBy("__part").orderBy(order)) - 1
-    return ranged.withColumn("__n", local).join(starts, "__part").withColumn(into, F.col("__before") + F.col("__n")).drop("__part", "__n", "__before")
+    return ranged.withColumn("__n", local).join(F.broadcast(starts), "__part").withColumn(into, F.col("__before") + F.col("__n")).drop("__part", "__n", "__before")
 
 
 def write_staged(df: DataFrame, target: str, fmt: str = "parquet", least_rows: int = 0) -> int:

@@ -1,11 +1,14 @@
 """Golden cases of article rows, output paths and run control."""
 
+import hashlib
 from datetime import UTC, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators import articles, paths
 from folioscope.plans import control
+from folioscope.sources import files
 
 
 def plan(spark, rows, existing=None):
@@ -31,8 +34,8 @@ def test_paths(spark):
 def test_search_results(spark):
     page = """<ul class="news-list"><li d="d1"><h3><a href="/link?url=x&amp;y=1"><em>Ti</em>tle</a></h3><div class="s-p"><span class="all-time-y2">Acct</span><span class="s2"><script>document.write(timeConvert('1757347200'))</script></span></div></li>
     <li d="d2"><h3><a href="/l2">T2</a></h3><span class="all-time-y2">Other</span></li><li d="d3"><h3>none</h3></li><li d="d4"><h3><a href="/l4">T4</a></h3><span class="all-time-y2">Acct</span></li></ul>"""
-    df = spark.createDataFrame([(page,), (page,), (None,)], "p string")
-    got = articles.ranked_candidates(df, "p", "Acct", F.lit(1700000000)).collect()
+    df = spark.createDataFrame([(page, 1), (page, 2), (None, 3)], "p string, at int")
+    got = articles.ranked_candidates(df, "p", "Acct", F.lit(1700000000), "at").collect()
     assert [(r.document_id, r.title, r.url, r.epoch) for r in got] == [("d1", "Title", "/link?url=x&y=1", 1757347200), ("d4", "T4", "/l4", 0)]
     assert [r.url for r in articles.mirror_links(df, "p", "Title").collect()] == ["/link?url=x&y=1"]
 
@@ -58,8 +61,6 @@ def test_rows(spark):
     one = spark.createDataFrame([("b", None)], "fakeid string, title string")
     r = articles.article_rows(one, aid=F.lit("1_1")).first()
     assert (r.fakeid, r.title, r.aid, r.itemidx, r.is_deleted) == ("b", "", "1_1", 1, False)
-    m = spark.createDataFrame([("T", "Acct", "https://mp.weixin.qq.com/s?__biz=B&mid=5&idx=2", "2025-09-09"), ("U", "Else", "https://x/", "2025-09-09")], "title string, account string, url string, publish_date string")
-    assert [(x.aid, x.create_time) for x in articles.recovered(m, "Acct", "B").collect()] == [("5_2", 1757347200)]
     album = spark.createDataFrame([('{"getalbum_resp":{"article_list":{"title":"a"}}}',), ('{"getalbum_resp":{"article_list":[{"title":"a"},{"title":"b"}]}}',), ("x",)], "j string").select(F.size(articles.album_list("j")).alias("n"))
     assert sorted(r.n for r in album.collect()) == [0, 1, 2]
     docs = spark.createDataFrame([(["products", "x"], "active", "analysis"), (["x"], "active", "analysis")], "tags array<string>, status string, source_type string")
@@ -73,9 +74,50 @@ def test_rows(spark):
     assert legacy.filter(articles.is_legacy_row()).count() == 1
 
 
+def test_recovered(spark):
+    base = "https://mp.weixin.qq.com/s?__biz=Mzg5MTcwMTI5Nw%3D%3D&mid=2247502242"
+    biz = "Mzg5MTcwMTI5Nw=="
+    entry = ("Example", "王董的新游戏", f"{base}&idx=1&sn=test#rd", "2025-09-09", 0)
+
+    def rows(*changes, biz=biz, canonical=False):
+        names = ("title", "account", "url", "publish_date", "mtime_ms")
+        found = [tuple((dict(zip(names, entry, strict=True)) | c)[k] for k in names) for c in changes]
+        df = spark.createDataFrame(found, "title string, account string, url string, publish_date string, mtime_ms long")
+        return [(x.aid, x.itemidx, x.create_time, x.link) for x in articles.recovered(df, "王董的新游戏", biz, canonical).collect()]
+
+    (aid, index, at, link), = rows({})
+    assert (aid, index, at) == ("2247502242_1", 1, 1757347200) and "#rd" not in link
+    assert rows({}, biz="wrong-biz") == []
+    short = {"url": "https://mp.weixin.qq.com/s/short-token"}
+    h = 0
+    for c in short["url"]:
+        h = (h * 31 + ord(c)) % 2**32
+    assert [r[0] for r in rows(short, short)] == [f"local-{h}_1"] * 2 and rows(short, canonical=True) == []
+    assert [r[0] for r in rows({"url": base}, {"url": f"{base}&idx=0"}, {"url": base.replace("mid=2247502242", "appmsgid=7&itemidx=3")})] == ["2247502242_1", "2247502242_1", "7_3"]
+    assert rows({"url": base}, {"url": f"{base}&idx=0"}, {"url": base.replace("2247502242", "0") + "&idx=1"}, canonical=True) == []
+    assert [r[0] for r in rows({"account": "历史名称"})] == ["2247502242_1"] and rows({"account": "历史名称"}, biz="wrong-biz") == []
+    for day in ("", "2025/09/09", "2025-02-30"):
+        assert rows({"publish_date": day, "mtime_ms": 1767196800000}, canonical=True) == []
+        assert [r[2] for r in rows({"publish_date": day, "mtime_ms": 1767196800999})] == [1767196800]
+    assert rows({"url": "http://mp.weixin.qq.com/s/a"}, {"url": "https://example.com/s/a"}, {"url": "https://mp.weixin.qq.com:8443/s/a"}) == []
+
+
+def test_suffixed_paths_are_free(spark):
+    digits = hashlib.sha1(b"u2").hexdigest()
+    row = [("A", "T", "u1"), ("A", "T", "u2")]
+    first = f"A/T--20260711-{digits[:8]}"
+    assert plan(spark, row, [("z", "other"), (first, "else")])["u2"] == f"A/T--20260711-{digits[:12]}"
+    held = [(f"A/T--20260711-{digits[:n]}", None) for n in paths.HASH_LENGTHS]
+    assert plan(spark, row, held)["u2"] == f"A/T--20260711-{digits}-2"
+    assert plan(spark, row, [*held, (f"A/T--20260711-{digits}-2", "else")])["u2"] == f"A/T--20260711-{digits}-3"
+    assert plan(spark, [*row, ("A", f"T--20260711-{digits[:8]}", "u3")])["u2"] == f"A/T--20260711-{digits[:12]}"
+
+
 def test_control(tmp_path):
     assert control.listed_files({"files": ["a", ["b"]], "x": "c"}) == ["a", "b"] and control.listed_files({"x": {"y": "c"}}) == ["c"]
-    assert control.subject_filter('["A"]') == {"A", "a"} and control.subject_filter("X\n\ny") == {"X", "x", "y"}
+    assert control.subject_filter('["A b!"]') == {"a b!", "a-b"} and control.subject_filter("X_z\n\ny") == {"x_z", "x-z", "y"}
+    with pytest.raises(ValueError, match="."):
+        control.subject_filter("[1")
     assert control.next_source(3, True)["action"] == "finish-local-partial" and control.next_source(0, True)["source"] == "complete" and control.next_source(-1, False)["records"] == 0
     now = datetime(2026, 1, 1, tzinfo=UTC)
     args = ("d", "s", {}, "g", {"created": 1}, {"pass": True})
@@ -89,3 +131,13 @@ def test_control(tmp_path):
     for g in control.GATES:
         assert control.publish(state, {"a": 1}, gate | {g: "yes"}, before) == [f"gate:{g}"] and state.read_text() == "{}"
     assert control.publish(state, {"a": 1}, gate, before) == [] and control.publish(state, {"a": 2}, gate, before) == ["state-changed"]
+
+
+def test_positions_of_a_large_table(spark):
+    """Every position once, also where ranges are drawn from a sample of the rows."""
+    n = 3_000_000
+    rows = spark.range(n).select(F.xxhash64("id").alias("k"), "id").repartition(16)
+    got = files.renumber(rows, "k").agg(F.count("*"), F.countDistinct("pos"), F.min("pos"), F.max("pos"), F.bit_xor(F.xxhash64("k", "pos"))).first()
+    assert got[:4] == (n, n, 0, n - 1)
+    small = files.renumber(rows.filter("id < 1000"), "k").orderBy("pos").collect()
+    assert [r.k for r in small] == sorted(r.k for r in small) and [r.pos for r in small] == list(range(1000))
