@@ -23,8 +23,8 @@ def published(pages: DataFrame, page_col: str = "publish_page") -> DataFrame:
     return items.select(*[c for c in pages.columns if c != page_col], "message", F.explode("__i.appmsgex").alias("__a")).select("*", "__a.*").drop("__a")
 
 
-def messages(pages: DataFrame, list_col: str = "general_msg_list", hosts: tuple[str, ...] = ()) -> DataFrame:
-    """One row per article of multi-article messages: the primary and its children.
+def messages(pages: DataFrame, order: str, list_col: str = "general_msg_list", hosts: tuple[str, ...] = ()) -> DataFrame:
+    """One row per article of multi-article messages, of pages in the order of a column: the primary and its children.
 
     Deleted ones (del_flag 4), ones without a link and links of foreign hosts go; of one link the last
     entry counts, at the place of its first.
@@ -32,7 +32,7 @@ def messages(pages: DataFrame, list_col: str = "general_msg_list", hosts: tuple[
     from folioscope.functions.urls import host_allowed
 
     one = F.from_json(F.col(list_col), MESSAGES)
-    rows = pages.withColumn("__i", F.monotonically_increasing_id()).select(*[c for c in pages.columns if c != list_col], "__i", F.posexplode(one["list"]).alias("__m", "__x"))
+    rows = pages.withColumn("__i", F.col(order)).select(*[c for c in pages.columns if c != list_col], "__i", F.posexplode(one["list"]).alias("__m", "__x"))
     fields = [f.split(":")[0].strip() for f in EXT_INFO.split(",")]
     primary = F.struct(*[F.col(f"__x.app_msg_ext_info.{f}").alias(f) for f in fields])
     children = F.coalesce(F.col("__x.app_msg_ext_info.multi_app_msg_item_list"), F.array().cast(f"array<struct<{EXT_INFO}>>"))

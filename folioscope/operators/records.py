@@ -155,27 +155,6 @@ def audit(catalog: DataFrame, local: DataFrame, key: str, date: str) -> DataFram
     return both.withColumn("status", status).withColumn("local_date", F.when(F.col("status").isin("matched", "date-mismatch"), F.col("local_date"))).drop("__here", "__there")
 
 
-def one_to_one(catalog: DataFrame, local: DataFrame, group: str, key: str, date: str, seq: str) -> DataFrame:
-    """catalog rows with the local row each takes: in order of seq, each local row once, equal dates first.
-
-    Columns: group, key, seq, local_seq (null if none is left). Sequential within a group and key,
-    which is how often one title repeats.
-    """
-    left = catalog.select(group, key, date, seq)
-    right = local.select(group, key, date, seq)
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        free = b.sort_values(seq)[[date, seq]].values.tolist()
-        out = []
-        for _, row in a.sort_values(seq).iterrows():
-            at = next((k for k, (d, _) in enumerate(free) if d == row[date]), 0 if free else None)
-            out.append((row[group], row[key], row[seq], None if at is None else free.pop(at)[1]))
-        return pd.DataFrame(out, columns=[group, key, seq, "local_seq"]).astype({"local_seq": "Int64"})
-
-    kinds = dict(left.dtypes)
-    return left.groupBy(group, key).cogroup(right.groupBy(group, key)).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, {seq} {kinds[seq]}, local_seq long")
-
-
 def compare_identity(have: tuple[Column, ...], want: tuple[Column, ...]) -> Column:
     """verified, mismatch, repair or untrusted of two (biz, mid, idx): full, conflicting, partial or unknown identity."""
     full = reduce(lambda a, b: a & b, [h.isNotNull() for h in have])
@@ -202,10 +181,11 @@ def merge_full(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return x.join(y, F.col(f"x.{key}") == F.col(f"y.{key}"), "full").select(*cols)
 
 
-def counters(old: DataFrame, new: DataFrame, key: str, adds: list[str], sticky: str) -> DataFrame:
-    """Account counters after a write: sums add up, a completion once true stays."""
+def counters(old: DataFrame, new: DataFrame, key: str, adds: list[str], sticky: str, replace: bool = False) -> DataFrame:
+    """Account counters after a write: sums add up, a completion once true stays; replace: what is written of it counts."""
     x, y = old.alias("x"), new.alias("y")
     cols = [F.coalesce(F.col(f"x.{key}"), F.col(f"y.{key}")).alias(key)]
     cols += [(F.coalesce(F.col(f"x.{c}"), F.lit(0)) + F.coalesce(F.col(f"y.{c}"), F.lit(0))).alias(c) for c in adds]
-    cols.append((F.coalesce(F.col(f"x.{sticky}"), F.lit(False)) | F.coalesce(F.col(f"y.{sticky}"), F.lit(False))).alias(sticky))
+    either = F.coalesce(F.col(f"x.{sticky}"), F.lit(False)) | F.coalesce(F.col(f"y.{sticky}"), F.lit(False))
+    cols.append((F.coalesce(F.col(f"y.{sticky}"), F.col(f"x.{sticky}"), F.lit(False)) if replace else either).alias(sticky))
     return x.join(y, F.col(f"x.{key}") == F.col(f"y.{key}"), "full").select(*cols)

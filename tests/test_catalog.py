@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from folioscope.plans import catalog
+from folioscope.plans import catalog, columns, flows  # noqa: F401  their queries enter the catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -1,12 +1,14 @@
 """Golden cases of record, ingest, block, quality, incremental and file operators."""
 
 import json
+import random
+import re
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import blocks, ingest, quality, records
+from folioscope.operators import blocks, ingest, linkage, lookups, quality, records
 from folioscope.sources import files
 from folioscope.streaming import incremental
 
@@ -34,10 +36,70 @@ def test_recover_is_greedy(spark):
     assert sorted(r.seq for r in records.recover(df, stored, "account", "key", "link", "seq").collect()) == [1, 3]
 
 
-def test_one_to_one(spark):
-    c = spark.createDataFrame([("s", "t", "d1", 1), ("s", "t", "d2", 2), ("s", "t", "d3", 3)], "g string, k string, d string, seq long")
-    local = spark.createDataFrame([("s", "t", "d2", 10), ("s", "t", "x", 11)], "g string, k string, d string, seq long")
-    assert {r.seq: r.local_seq for r in records.one_to_one(c, local, "g", "k", "d", "seq").collect()} == {1: 10, 2: 11, 3: None}
+def test_link_catalog(spark):
+    """Against a walk over all entries in order, with titles that several entries and files share."""
+    r = random.Random(8)
+    titles = ["One, two", "One  two", "ONE TWO", "Three!", "Three?", "four", "Five", "six"]
+    for round_ in range(6):
+        days = [f"2025-0{m}-0{d}" for m in (1, 2) for d in (1, 2, 3)]
+        entries = [(k, r.choice(titles), r.choice(days)) for k in range(r.randint(1, 14))]
+        files = [(f"/{k}/{r.choice(days).replace('-', '') if r.random() < 0.4 else 'x'}", r.choice(titles), r.choice(days)) for k in range(r.randint(0, 12))]
+        boundary = r.choice(["2025-01-01", "2025-01-03"])
+
+        def exact(t):
+            return " ".join(t.split())
+
+        def relaxed(t):
+            return re.sub(r"[\W_]+", "", t.lower())
+
+        todo = [e for e in entries if e[2] >= boundary]
+        used, want = set(), {}
+        for k, t, day in todo:
+            own = [f for f in files if exact(f[1]) == exact(t) and f[0] not in used]
+            found = None
+            for tier, some in ((0, [f for f in own if f[2] == day]), (1, [f for f in own if day.replace("-", "") in f[0]]), (2, own if sum(exact(x[1]) == exact(t) for x in todo) == 1 else [])):
+                if found is None and len(some) == 1:
+                    found = (some[0], linkage.TIERS[tier])
+            if found is None and not own:
+                some = [f for f in files if relaxed(f[1]) == relaxed(t) and f[0] not in used]
+                if len(some) == 1 and sum(relaxed(x[1]) == relaxed(t) for x in todo) == 1:
+                    found = (some[0], linkage.TIERS[3])
+            if found:
+                used.add(found[0][0])
+                want[k] = (found[0][0], "matched" if found[0][2] == day else "date-mismatch", found[1])
+            else:
+                want[k] = (None, "ambiguous" if own else "missing", None)
+        c = spark.createDataFrame(entries, "entry int, title string, date string")
+        got = linkage.link_catalog(c, spark.createDataFrame(files, "file string, title string, date string"), boundary).collect()
+        assert {x.entry: (x.file, x.status, x.tier) for x in got} == want, round_
+
+
+def test_catalog_problems(spark):
+    entries = spark.createDataFrame([("a", 1, "2025-02-02"), ("a", 2, "2025-01-05"), ("a", 3, "2024-12-30"), ("b", 1, "2025-01-01"), ("b", 2, "2025-01-02")], "account string, at int, date string")
+    shape = "account string, loaded int, initial int, initial_oldest string, oldest string, steps int, reached boolean"
+    facts = spark.createDataFrame([("a", 3, 2, "2025-01-05", "2024-12-30", 1, True), ("b", 2, 2, "2025-01-01", "2025-01-02", 0, True), ("c", 0, None, None, None, None, None)], shape)
+    got = {}
+    for x in linkage.catalog_problems(entries, "account", "at", "date", facts, "2025-01-01").collect():
+        got.setdefault(x.account, set()).add(x.problem)
+    assert got == {"b": {"dates rise", "initial date differs", "no scroll", "no growth", "boundary not crossed"}, "c": {"no entries", "no initial count", "boundary not crossed"}}
+
+
+def test_repairs_compare_before_they_set(spark):
+    page = '---\ntitle: "x"\nurl: "https://o"\n---\nurl: body'
+    df = spark.createDataFrame([(page,)], "p string")
+    assert df.select(linkage.patched_frontmatter("p", "url", F.lit("https://o"), F.lit('a"b'))).first()[0] == '---\ntitle: "x"\nurl: "a\\"b"\n---\nurl: body'
+    for key, have in (("url", "https://other"), ("date", "")):
+        with pytest.raises(Exception, match="changed since|not one line"):
+            df.select(linkage.patched_frontmatter("p", key, F.lit(have), F.lit("z"))).collect()
+
+
+def test_lookups(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "nickname string, x int")
+    assert lookups.one_row(df, F.col("nickname") == "b")["x"] == 2 and lookups.any_row(df, F.col("x") > 1) and not lookups.any_row(df, F.col("x") > 2)
+    assert lookups.accounts_named(df, "a")[1] == 1
+    for call in (lambda: lookups.one_row(df, F.col("x") == 9), lambda: lookups.accounts_named(df, "A")):
+        with pytest.raises(LookupError):
+            call()
 
 
 def test_messages(spark):
@@ -45,8 +107,8 @@ def test_messages(spark):
         return {"title": f"t{idx}", "content_url": f"https://{host}/s?mid={mid}&amp;idx={idx}", "del_flag": flag}
 
     page = json.dumps({"list": [{"comm_msg_info": {"id": 1, "datetime": 1757347200}, "app_msg_ext_info": item(100, 1) | {"multi_app_msg_item_list": [item(100, 2), item(100, 3, flag=4), item(100, 4, "evil.example")]}}]})
-    df = spark.createDataFrame([("a", page), ("a", "not json")], "account string, general_msg_list string")
-    got = ingest.messages(df, hosts=("mp.weixin.qq.com",)).orderBy("aid").collect()
+    df = spark.createDataFrame([("a", page, 1), ("a", "not json", 2)], "account string, general_msg_list string, seq int")
+    got = ingest.messages(df, "seq", hosts=("mp.weixin.qq.com",)).orderBy("aid").collect()
     assert [(r.aid, r.create_time) for r in got] == [("100_1", 1757347200), ("100_2", 1757347200)]
     ok = spark.range(1).select(ingest.page_valid(F.lit(10), F.lit(10)), ingest.page_valid(F.lit(10), F.lit(1_000_001)), ingest.page_valid(F.lit(10), F.lit(20))).first()
     assert ok[:] == (False, False, True)
