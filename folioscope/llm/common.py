@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df once to the shared checkpoint folder and read it from there.
-
-    The cluster names the folder in spark.checkpoint.dir; only where that is unset, as in
-    tests, a temporary one of this machine is used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioscope-"))
-    return df.checkpoint(eager=True)
+from folioscope.session import cut_lineage  # noqa: F401  the operators take it from here
 
 
 def shuffle_partitions(df: DataFrame) -> int:
