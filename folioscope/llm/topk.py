@@ -1,4 +1,4 @@
-"""Exact top-k inner products, score at a time over impact-ordered segments."""
+"""Exact top-k inner products, score at a time over impact-ordered segments of postings."""
 
 from __future__ import annotations
 
@@ -9,118 +9,129 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-#: Rows of the index that one task holds, and queries that meet them at a time.
-SHARD_ROWS, QUERY_ROWS = 16_384, 4096
+#: Rows of the index that one task holds, queries that meet them in one group, and queries searched at a time.
+SHARD_ROWS, QUERY_ROWS, AT_ONCE = 16_384, 4096, 256
+#: Impacts are quantised to their first bits, so many steps to a doubling; members are looked for when these shares of the postings are done.
+STEPS, LOOK_AT = 8, (0.6, 0.75, 0.85, 0.93, 1.0)
+#: Possible members per query from which on rescoring is cheaper than the next segments.
+FEW = 256
 
 
 def usable(embeddings: DataFrame, vector_col: str = "embedding") -> DataFrame:
-    """vec_id and embedding (doubles) of the rows that take part: no null and no non-finite component."""
+    """vec_id and embedding (doubles) of the rows that take part: no null and no non-finite component.
+
+    A vec_id names one row: of rows that repeat it the least vector counts, component by component.
+    """
     vector = F.col(vector_col).cast("array<double>")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf))
-    return embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("embedding")).filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(~bad)
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("embedding")).filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(~bad)
+    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
 class ImpactIndex:
-    """Integer vectors as segments by impact: band b holds the components of size 2**b to 2**(b+1) - 1.
+    """Postings of integer vectors (held as doubles) in segments of one quantised impact, highest impact first.
 
-    Segments are processed from the highest band down. What a row still lacks after a band is
-    bounded by the norm of its components in the lower ones (Cauchy-Schwarz) and, per dimension,
-    by the band's largest impact; both are stored with the index.
+    A segment is a dimension, a sign and an impact, with the rows that have it; an impact stands for
+    all components of its step. looks: after how many segments members are looked for, with the norm
+    of what each row's postings up to there leave of it.
     """
 
     def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
+        n, width = vectors.shape
         size = np.abs(vectors)
-        top = int(size.max(initial=0)).bit_length()
-        self.bands: list[np.ndarray] = []
-        self.rest: list[np.ndarray] = []
-        left = vectors.astype(np.float64)
-        for b in range(top - 1, -1, -1):
-            inside = (size >> b) == 1
-            if not inside.any():
-                continue
-            self.bands.append(np.where(inside, left, 0.0))
-            left = np.where(inside, 0.0, left)
-            self.rest.append(np.sqrt((left * left).sum(axis=1)) * (1 + 1e-9))
-
-    def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
-        """Row numbers of each query's k best, and of all that tie with the last, excluding rows whose id is its own."""
-        n = len(self.vectors)
-        exact = queries.astype(np.float64)
-        norm = np.sqrt((exact * exact).sum(axis=1)) * (1 + 1e-9)
-        sums = np.zeros((len(queries), n))
-        sums[own[:, None] == ids[None, :]] = -np.inf
-        alive: list[np.ndarray] | None = None
-        need = min(k, n)
-        for band, rest in zip(self.bands, self.rest, strict=True):
-            sums += exact @ band.T
-            slack = norm[:, None] * rest[None, :]
-            low = sums - slack
-            least = np.partition(low, n - need, axis=1)[:, n - need]
-            alive = [np.flatnonzero(row) for row in sums + slack >= least[:, None]]
-            if sum(map(len, alive)) <= 8 * k * len(queries):
-                break  # the proof: no other row can reach the k-th lower bound
-        return alive if alive is not None else [np.arange(n)] * len(queries)
-
-
-def _rank(scores: list, ids: np.ndarray, k: int) -> list[int]:
-    return sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k]
-
-
-def shard_search(index_ids: np.ndarray, vectors: list, query_ids: np.ndarray, queries: list, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of each query's best k in a shard."""
-    width = max((len(v) for v in [*vectors, *queries]), default=0)
-
-    def table(rows: list) -> np.ndarray:
-        out = np.zeros((len(rows), width))
-        for i, r in enumerate(rows):
-            out[i, : len(r)] = r
-        return np.floor(256 * out)
-
-    have, ask = table(vectors), table(queries)
-    most = max(np.abs(have).max(initial=0), np.abs(ask).max(initial=0), 1.0)
-    if most * most * max(width, 1) >= 2.0**52:  # beyond doubles: Python's own integers
-        whole = [[int(x) for x in r] for r in have.tolist()]
-        for q, row in zip(query_ids.tolist(), ask.tolist(), strict=True):
-            ints = [int(x) for x in row]
-            scores = [sum(a * b for a, b in zip(ints, r, strict=True)) for r in whole]
-            rows = [i for i, v in enumerate(index_ids.tolist()) if v != q]
-            for i in _rank([scores[i] for i in rows], index_ids[rows], k):
-                yield q, int(index_ids[rows[i]]), scores[rows[i]]
+        part, power = np.frexp(size)
+        wide = np.ldexp(1.0, power) / (2 * STEPS)  # whole numbers that share an impact lie in a step this wide
+        low = np.floor(part * 2 * STEPS) * wide
+        value = np.sign(vectors) * (low + np.maximum(wide - 1, 0) / 2)
+        row, dim = np.nonzero(size)
+        order = np.lexsort((row, value[row, dim] < 0, dim, -np.abs(value[row, dim])))
+        row, dim = row[order], dim[order]
+        impact = value[row, dim]
+        cut = np.flatnonzero(np.r_[True, (impact[1:] != impact[:-1]) | (dim[1:] != dim[:-1])]) if len(row) else np.zeros(0, np.int64)
+        self.vectors, self.norm = vectors, np.sqrt((vectors * vectors).sum(axis=1))
+        self.rows, self.ends = row, np.r_[cut[1:], len(row)].astype(np.int64) if len(row) else cut
+        self.starts, self.dims, self.impacts = cut, dim[cut], impact[cut]
+        self.looks: list[tuple[int, np.ndarray]] = []
+        for share in LOOK_AT:
+            upto = int(np.searchsorted(self.ends, share * len(row)))
+            upto = min(upto + 1, len(cut))
+            done = int(self.ends[upto - 1]) if upto else 0
+            left = vectors.copy()
+            left[row[:done], dim[:done]] -= impact[:done]
+            self.looks.append((upto, np.sqrt((left * left).sum(axis=1))))
+
+    def members(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
+        """Row numbers of all that may be among each query's k best, ties with the last included; rows whose id is its own are none.
+
+        Segments are added up in the order of their impacts. What a row still lacks is bounded by the
+        norms of the query and of the rest of the row (Cauchy-Schwarz): a row whose score and bound stay
+        below the k-th largest score less bound is proved to be no member. Segments are left out only
+        when the rows not so proved are few; these are rescored exactly.
+        """
+        n, m = len(self.vectors), len(queries)
+        norm = np.sqrt((queries * queries).sum(axis=1))
+        sums = np.zeros((n, m))
+        mine = own[None, :] == ids[:, None]
+        done = 0
+        for upto, rest in self.looks:
+            for s in range(done, upto):
+                sums[self.rows[self.starts[s] : self.ends[s]]] += self.impacts[s] * queries[:, self.dims[s]]
+            done = upto
+            # besides the rest, what rounding of the sums may cost
+            slack = norm[None, :] * (rest * (1 + 1e-9) + 1e-12 * self.norm)[:, None]
+            low = np.where(mine, -np.inf, sums - slack)
+            least = np.partition(low, n - min(k, n), axis=0)[n - min(k, n)]
+            may = (sums + slack >= least) & ~mine
+            if upto == len(self.starts) or may.sum() <= FEW * m:
+                break
+        return [np.flatnonzero(x) for x in np.ascontiguousarray(may.T)]
+
+
+def shard_search(index_ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
+    """(query_id, vec_id, score) of each query's best k in a shard; both tables hold whole numbers."""
+    if not len(vectors) or not len(queries):
         return
-    have, ask = have.astype(np.int64), ask.astype(np.int64)
-    index = ImpactIndex(have)
-    for s in range(0, len(ask), 256):
-        part, names = ask[s : s + 256], query_ids[s : s + 256]
-        for q, row, places in zip(names.tolist(), part, index.search(part, names, index_ids, k), strict=True):
-            places = places[index_ids[places] != q]
-            scores = have[places] @ row
-            best = np.lexsort((index_ids[places], -scores))[:k]
-            for i in best:
-                yield q, int(index_ids[places[i]]), int(scores[i])
+    index = ImpactIndex(vectors)
+    most = max(np.abs(vectors).max(initial=0), np.abs(queries).max(initial=0), 1.0)
+    # scores beyond 63 bits are added up in Python's own integers
+    kind = np.int64 if most * most * vectors.shape[1] < 2.0**62 else object
+    for s in range(0, len(queries), AT_ONCE):
+        part, names = queries[s : s + AT_ONCE], query_ids[s : s + AT_ONCE]
+        for q, row, places in zip(names.tolist(), part, index.members(part, names, index_ids, k), strict=True):
+            exact = [[int(x) for x in r] for r in [row, *vectors[places]]] if kind is object else np.vstack([row[None, :], vectors[places]]).astype(np.int64)
+            scores = [sum(a * b for a, b in zip(exact[0], r, strict=True)) for r in exact[1:]] if kind is object else (exact[1:] @ exact[0]).tolist()
+            for score, name in sorted(zip((-x for x in scores), index_ids[places].tolist(), strict=True))[:k]:
+                yield q, name, -score
+
+
+def whole_numbers(vectors: list, width: int) -> np.ndarray:
+    out = np.zeros((len(vectors), width))
+    for i, r in enumerate(vectors):
+        out[i, : len(r)] = r
+    return np.floor(256 * out)
 
 
 def top_k(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of each row whose vec_id is divisible by `every`.
 
-    Components x count as floor(256 * x). A query's own rows are all rows of its vec_id; repeated
-    rows of another id each count. Vectors of unequal length meet on their common part. Rows that
-    are null, hold null or non-finite components, or have no id take no part; an empty table gives
-    no rows. Scores beyond a long are an error.
+    Components x count as floor(256 * x). Of rows that repeat a vec_id the least vector counts; ties
+    go to the smaller vec_id. Vectors of unequal length meet on their common part. Rows that are
+    null, hold null or non-finite components, or have no id take no part; an empty table gives no
+    rows; other columns are not read. Scores beyond a long are an error.
 
     Index rows are dealt by hash into shards of about SHARD_ROWS, the queries into blocks of about
     QUERY_ROWS; each pair of a shard and a block is one task's group, and sends k rows a query.
     """
     rows = usable(embeddings)
-    n, q = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
+    n, q, width = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.max(F.size("embedding"))).first()
     shards, blocks = max(1, math.ceil(n / SHARD_ROWS)), max(1, math.ceil(q / QUERY_ROWS))
     index = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
     index = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    queries = rows.filter(F.col("vec_id") % every == 0)
     queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = shard_search(left.vec_id.to_numpy(), left.embedding.tolist(), right.vec_id.to_numpy(), right.embedding.tolist(), k)
+        found = shard_search(left.vec_id.to_numpy(), whole_numbers(left.embedding.tolist(), width), right.vec_id.to_numpy(), whole_numbers(right.embedding.tolist(), width), k)
         return pd.DataFrame(list(found), columns=["query_id", "vec_id", "score"])
 
     best = index.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(run, "query_id long, vec_id long, score long")
