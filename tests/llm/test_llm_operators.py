@@ -265,6 +265,46 @@ def test_top_k(spark):
         same(topk.top_k(df).collect(), want)
 
 
+@pytest.mark.parametrize(("scale", "width"), [(1, 64), (3, 5), (1e6, 16), (2e-2, 8)])
+def test_impact_index_proves_what_it_leaves_out(scale, width):
+    """Members hold every row of the k best, ties included, for skewed, tied and very large impacts; and few others."""
+    g = np.random.default_rng(4)
+    v = g.standard_t(3, size=(3000, width)) * scale
+    v[500:900] = v[:400]
+    v[900:950] = 0
+    v = np.floor(256 * v / np.abs(v).max() * scale if scale < 1 else 256 * v)
+    ids = g.permutation(6000)[:3000]
+    index = topk.ImpactIndex(v)
+    found = index.members(v[:200], ids[:200], ids, 5)
+    whole = np.array([[int(a) for a in row] for row in v.tolist()], dtype=object)
+    scores = whole[:40] @ whole.T
+    for k in range(40):
+        scores[k, k] = -(10**40)
+        last = sorted(scores[k])[-5]
+        assert {r for r in range(len(v)) if scores[k, r] >= last} <= set(found[k].tolist())
+    if width == 64:
+        assert np.mean([len(x) for x in found]) <= topk.FEW and index.looks[-1][0] == len(index.starts)
+    got = list(topk.shard_search(ids, v, ids[:40], v[:40], 5))
+    assert got == [(int(ids[q]), int(ids[r]), int(scores[q, r])) for q in range(40) for r in sorted(range(len(v)), key=lambda r: (-scores[q, r], ids[r]))[:5]]
+
+
+def test_repeated_ids_of_vectors(spark):
+    """Of rows that share a vec_id the least vector counts, as query and as candidate, for both searches."""
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 1.0]), (20, [1.0, 5.0]), (20, [3.0, 0.0]), (20, [1.0, 5.0]), (100, [-1.0, 4.0]), (7, [2.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    one = {0: [1.0, 1.0], 20: [1.0, 5.0], 100: [-1.0, 4.0], 7: [2.0, 2.0]}
+
+    def want(ids, k, scale):
+        out = []
+        for q in ids:
+            best = sorted((-sum(a * b for a, b in zip(one[q], one[i], strict=True)) * scale, i) for i in one if i != q)[:k]
+            out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+        return out
+
+    same(topk.top_k(df).select("query_id", "rank", "vec_id", "score").collect(), [(*x[:3], int(x[3])) for x in want([0, 100], 5, 256 * 256)])
+    same(ann.neighbours(df, k=3).select("query_id", "rank", "vec_id", "score").collect(), want([0, 20, 100], 3, 1.0))
+
+
 def test_ids_of_special_strings(tmp_path):
     path = P.path("byte_bpe_50k.json")
     own = Tokenizer.from_file(path)
