@@ -100,24 +100,36 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, round(coalesce(score, 0), 3)
 """
 
 
+#: Kinds of op4 for its SQL, written apart from the operator's rules: pattern, group, least length of the group.
+OP4_KINDS = (
+    ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", r"AKIA[A-Z0-9]+", 0, 18),
+    ("hex", r"[0-9a-f]+", 0, 16),
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    ("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
+    ("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 0),
+    ("google", r"AIza[A-Za-z0-9_-]{35}", 0, 0),
+    ("stripe", r"[sr]k_live_[A-Za-z0-9]+", 0, 24),
+)
+
+
 def _op4_sql() -> str:
     """op4 in SQL: matches and the gaps between them, one query a kind; lengths add up to positions."""
 
-    def kind(order: int, rule: secrets.Rule) -> str:
-        p = rule.pattern.replace("'", "''")
-        least = f"AND length(regexp_extract_all(t, '{p}', {rule.group})[i]) >= {rule.least}"
+    def kind(order: int, name: str, pattern: str, group: int, least: int) -> str:
+        p = pattern.replace("'", "''")
         return f"""
-SELECT doc_id, '{rule.kind}' AS kind, {order} AS o, list_sum(list_transform(string_split_regex(t, '{p}')[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(regexp_extract_all(t, '{p}')[1:i-1], lambda x: length(x))), 0) AS s,
-  length(regexp_extract_all(t, '{p}')[i]) AS n FROM (SELECT doc_id, t, unnest(range(1, len(regexp_extract_all(t, '{p}')) + 1)) AS i FROM d) WHERE true {least}"""
+SELECT doc_id, '{name}' AS kind, {order} AS o, list_sum(list_transform(string_split_regex(t, '{p}')[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(regexp_extract_all(t, '{p}')[1:i-1], lambda x: length(x))), 0) AS s,
+  length(regexp_extract_all(t, '{p}')[i]) AS n FROM (SELECT doc_id, t, unnest(range(1, len(regexp_extract_all(t, '{p}')) + 1)) AS i FROM d) WHERE length(regexp_extract_all(t, '{p}', {group})[i]) >= {least}"""
 
-    rules = (*secrets.BASE, *secrets.ADDED)
-    found = " UNION ALL ".join(kind(n, r) for n, r in enumerate(rules))
-    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE)
+    found = " UNION ALL ".join(kind(n, *k) for n, k in enumerate(OP4_KINDS))
     one = "kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT)"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}),
-r AS (SELECT doc_id, {counts}, coalesce(string_agg({one}, ',' ORDER BY s, o) FILTER (WHERE o < {len(secrets.BASE)}), '') AS base, string_agg({one}, ',' ORDER BY s, o) AS spans FROM f GROUP BY doc_id)
-SELECT doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r USING (doc_id)
+r AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+  coalesce(string_agg({one}, ',' ORDER BY s, o) FILTER (WHERE o < 3), '') AS base, string_agg({one}, ',' ORDER BY s, o) AS spans FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r USING (doc_id)
 """
 
 

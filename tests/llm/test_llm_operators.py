@@ -482,13 +482,14 @@ def test_language(docs, rows, empty):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= set(range(40))
 
 
-def test_near_duplicates(docs, rows, empty):
-    def simhash_of(t):
-        w = [x for x in re.findall(rb"[^\x20\x09-\x0d]+", t.encode().lower())]
-        s = [b" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
-        h = [xxhash.xxh64_intdigest(x, 42) for x in s]
-        return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
+def simhash_of(t):
+    w = [x for x in re.findall(rb"[^\x20\x09-\x0d]+", t.encode().lower())]
+    s = [b" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
+    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
+
 
+def test_near_duplicates(docs, rows, empty):
     fps = [simhash_of(t or "") for _, t, *_ in rows]
     root = list(range(len(rows)))
 
@@ -638,6 +639,39 @@ def test_licenses(docs, rows, empty):
     assert not licenses.scan(empty).collect()
 
 
+def filled_template(markup, r, optional):
+    """A text that a template accepts: optional parts as told, a few words for each replaceable region."""
+    out, depth, skip = [], 0, None
+    for part in re.findall(r"<<opt>>|<<end>>|<<var:\d+>>|[^<\s]+", markup):
+        if part == "<<opt>>":
+            depth += 1
+            if skip is None and not optional():
+                skip = depth
+        elif part == "<<end>>":
+            skip = None if skip == depth else skip
+            depth -= 1
+        elif skip is None:
+            out += [f"Name{k}" for k in range(r.randint(0, int(part[6:-2])))] if part.startswith("<<") else [part]
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("label", sorted(licenses.TEMPLATES))
+def test_license_texts(label):
+    """Each template accepts its text with any choice of the optional and replaceable regions, and none with another mandatory word."""
+    r = random.Random(label)
+    markup = licenses.TEMPLATES[label]
+    automata = {x: licenses.compile_template(t) for x, t in licenses.TEMPLATES.items()}
+    for trial in range(12):
+        text = filled_template(markup, r, (lambda: True, lambda: False, lambda: r.random() < 0.5)[min(trial, 2)])
+        dressed = "Preface here.\n" + "\n".join(text.upper().split(" ")) + " -- and after"
+        assert label in licenses.scan_text(dressed, automata, {})[5].split(",")
+    bare = filled_template(re.sub(r"<<var:\d+>>", "", markup), r, lambda: False).split()
+    for k in range(len(bare)):
+        if licenses.words_of(bare[k]):
+            broken = " ".join([*bare[:k], "qqq", "qqq", *["qqq"] * 14, *bare[k + 1 :]])
+            assert label not in licenses.scan_text(broken, {label: automata[label]}, {})[5].split(",")
+
+
 def test_template_markup():
     a = licenses.compile_template("<<opt>>the<<end>> red <<var:2>> fox <<opt>>runs <<opt>>far<<end>><<end>> away")
 
