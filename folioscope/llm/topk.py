@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 #: Rows of the index that one task holds, queries that meet them in one group, and queries searched at a time.
 SHARD_ROWS, QUERY_ROWS, AT_ONCE = 16_384, 4096, 256
 #: Impacts are quantised to their first bits, so many steps to a doubling; members are looked for when these shares of the postings are done.
-STEPS, LOOK_AT = 8, (0.6, 0.75, 0.85, 0.93, 1.0)
+STEPS, LOOK_AT = 8, (0.7, 0.8, 0.9, 1.0)
 #: Possible members per query from which on rescoring is cheaper than the next segments.
-FEW = 256
+FEW = 1024
 
 
 def usable(embeddings: DataFrame, vector_col: str = "embedding") -> DataFrame:
@@ -94,14 +94,19 @@ def shard_search(index_ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarr
     index = ImpactIndex(vectors)
     most = max(np.abs(vectors).max(initial=0), np.abs(queries).max(initial=0), 1.0)
     # scores beyond 63 bits are added up in Python's own integers
-    kind = np.int64 if most * most * vectors.shape[1] < 2.0**62 else object
+    fits = most * most * vectors.shape[1] < 2.0**62
+    whole = vectors.astype(np.int64) if fits else None
     for s in range(0, len(queries), AT_ONCE):
         part, names = queries[s : s + AT_ONCE], query_ids[s : s + AT_ONCE]
         for q, row, places in zip(names.tolist(), part, index.members(part, names, index_ids, k), strict=True):
-            exact = [[int(x) for x in r] for r in [row, *vectors[places]]] if kind is object else np.vstack([row[None, :], vectors[places]]).astype(np.int64)
-            scores = [sum(a * b for a, b in zip(exact[0], r, strict=True)) for r in exact[1:]] if kind is object else (exact[1:] @ exact[0]).tolist()
-            for score, name in sorted(zip((-x for x in scores), index_ids[places].tolist(), strict=True))[:k]:
-                yield q, name, -score
+            if whole is not None:
+                exact = whole[places] @ row.astype(np.int64)
+            else:
+                ints = [int(x) for x in row]
+                exact = np.array([sum(a * int(b) for a, b in zip(ints, r, strict=True)) for r in vectors[places]], dtype=object)
+            best = np.lexsort((index_ids[places], -exact))[:k] if whole is not None else sorted(range(len(places)), key=lambda i: (-exact[i], index_ids[places[i]]))[:k]
+            for i in best:
+                yield q, int(index_ids[places[i]]), int(exact[i])
 
 
 def whole_numbers(vectors: list, width: int) -> np.ndarray:
