@@ -46,6 +46,8 @@ UNKNOWN, CONFLICT = "未知", "冲突待审"
 ENDINGS = r"[。，；：:]$"
 CJK_CHAR = r"[一-鿿]"
 WIDE_GAP = r"[ \t 　]{2,}"
+#: What a line that names a product holds at least: a colon, emphasis, a heading, a number in front, a wide gap, or Latin words alone.
+MAY_NAME = rf"[：:*]|^(?U:\s)*(?:#{{2,4}}\s|\d)|\S{WIDE_GAP}|^(?U:\s)*[A-Z][A-Za-z0-9][A-Za-z0-9\s:!&\-'.]{{2,55}}(?U:\s)*$"
 
 
 def _any(x: Column, words: tuple[str, ...], how: str) -> Column:
@@ -103,7 +105,8 @@ def field_line(x: Column | str) -> Column:
         value = clean_value(F.regexp_extract(line, pattern, 2))
         return bind(field_key(F.regexp_extract(line, pattern, 1)), lambda key: F.when(key.isNotNull(), F.struct(key.alias("key"), value.alias("value"))))
 
-    return bind(clean_value(x), parse)
+    # a label ends in a colon: lines without one are not taken apart
+    return F.when(F.coalesce(_c(x), F.lit("")).rlike("[：:]"), bind(clean_value(x), parse))
 
 
 def is_heading(x: Column | str) -> Column:
@@ -147,8 +150,9 @@ def is_plausible(x: Column | str) -> Column:
 
 def candidate(x: Column | str) -> Column:
     """Struct (name, publisher) of a line that names a product: labelled, bold, heading, columns or a Latin title; else null."""
-    line = F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"(?U)^\s+|\s+$", "")
-    return bind(line, lambda line: bind(clean_value(line), lambda cleaned: _candidate(line, cleaned)))
+    raw = F.coalesce(_c(x), F.lit(""))
+    line = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
+    return F.when(raw.rlike(MAY_NAME), bind(line, lambda line: bind(clean_value(line), lambda cleaned: _candidate(line, cleaned))))
 
 
 def _found(name: Column, publisher: Column | None = None, ok: Column | None = None) -> Column:
