@@ -374,11 +374,18 @@ def sizes_and_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", text.format_bytes("n_chars").alias("size"), text.stable_hash(24, F.col("source"), F.col("lang")).alias("source_key"))
 
 
-@query("""SELECT doc_id, md5(regexp_replace(text, '(^|[?&;,\\s])(password|token|secret|key)(\\s*=\\s*)[^&;,\\s]*', '\\1\\2\\3[REDACTED]', 'g')) AS digest FROM documents
-WHERE NOT regexp_matches(text, '(?i)(auth|cookie|passwd|secret|session|sid|token|uin|uuid|key)[A-Za-z0-9_.-]*\\s*[:]')""")
+_KEY = r"(?:(?:[A-Za-z0-9.-]*[_.-])?(?:auth|authorization|cookie|key|passwd|password|secret|session|sessionid|sid|token|uin|uuid)(?:[_.-][A-Za-z0-9_.-]*)?|[A-Za-z0-9_.-]*(?:pass_ticket|wap_sid)[A-Za-z0-9_.-]*)"
+_REDACTED = "text || ' \"api_key\": \"v' || doc_id || '\", token: ' || doc_id"
+for _a, _b in (('"', '"'), ("''", "''"), ('"', "''"), ("''", '"')):
+    _REDACTED = f"regexp_replace({_REDACTED}, '(?i){_a}({_KEY}){_a}(\\s*:\\s*){_b}.*?{_b}', '{_a}\\1{_a}\\2{_b}[REDACTED]{_b}', 'g')"
+_REDACTED = f"regexp_replace({_REDACTED}, '(?i)(^|[?&;,\\s])({_KEY})(\\s*=\\s*)[^&;,\\s]*', '\\1\\2\\3[REDACTED]', 'g')"
+_REDACTED = f"regexp_replace({_REDACTED}, '(?i)(^|[,{{;\\s])({_KEY})(\\s*:\\s*)[^,}}\\s]+', '\\1\\2\\3[REDACTED]', 'g')"
+
+
+@query(f"""SELECT doc_id, md5({_REDACTED}) AS digest FROM documents""")
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = load(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"(?i)(auth|cookie|passwd|secret|session|sid|token|uin|uuid|key)[A-Za-z0-9_.-]*\s*[:]"))
-    return d.select("doc_id", F.md5(text.redact("text")).alias("digest"))
+    more = F.concat(F.col("text"), F.lit(' "api_key": "v'), F.col("doc_id"), F.lit('", token: '), F.col("doc_id"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.md5(text.redact(more)).alias("digest"))
 
 
 @query("""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h1, CAST(len(regexp_extract_all(html, '(?i)<a\\s[^>]*?href=["'']([^"'']*)["'']', 1)) AS BIGINT) AS links,
@@ -403,10 +410,9 @@ def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", html.html_markdown("html").alias("markdown"))
 
 
-@query()
+@query("""WITH t AS (SELECT doc_id, trim(regexp_replace(nfc_normalize(text), '[\\s\\p{Z}]+', ' ', 'g')) AS title FROM documents) SELECT doc_id, md5(title) AS title, md5(regexp_replace(lower(title), '[\\s\\p{Z}\\p{P}\\p{S}]+', '', 'g')) AS relaxed FROM t""")
 def relaxed_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.split("text", "\n")[0]
-    return load(spark, sf_dir, "documents").select("doc_id", text.title_key(first).alias("title"), text.relaxed_title_key(first).alias("relaxed"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.md5(text.title_key("text")).alias("title"), F.md5(text.relaxed_title_key("text")).alias("relaxed"))
 
 
 # rules, quality, plans
@@ -414,17 +420,22 @@ def relaxed_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 NOISE_SQL = "length(t) < 2 OR length(t) > 60 OR lower(regexp_replace(t, '[\\s\\p{Z}]+', '', 'g')) IN ('merge', 'rpg', 'slg') OR regexp_matches(t, '[。，；：:]$')"
 
 
-@query(f"""WITH f AS (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents) SELECT doc_id, {NOISE_SQL} AS noise FROM f""")
+@query(f"""WITH f AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents) SELECT doc_id, CAST(n AS INTEGER) AS line_no, {NOISE_SQL} AS noise FROM f""")
 def noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", names.is_noise(F.split("text", "\n")[0]).alias("noise"))
+    return blocks.lines(load(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "line_no", names.is_noise("line").alias("noise"))
 
 
-@query("""WITH f AS (SELECT p_partkey, p_name || CASE WHEN p_partkey % 5 = 0 THEN '  Ltd' WHEN p_partkey % 7 = 0 THEN ':' WHEN p_partkey % 11 = 0 THEN ' www.x.y' ELSE '' END AS t FROM part)
-SELECT p_partkey, concat_ws(',', CASE WHEN regexp_matches(t, '[。，；：:]$') THEN 'sentence_punctuation' END, CASE WHEN contains(t, 'www.') THEN 'url' END, CASE WHEN regexp_matches(t, '[ \\t]{2,}') THEN 'inline_publisher_suffix' END) AS reasons FROM f""")
+#: Names with the reason for which each is doubted.
+DOUBTED = (
+    ("x", "invalid_length"), ("总结", "chapter_heading"), ("平台：Steam", "metadata_label"), ("Some Game。", "sentence_punctuation"), ("这是什么?", "sentence_question"), ("Game www.x.y", "url"),
+    ("Game  Ltd", "inline_publisher_suffix"), ("这个产品整体可以让玩家很开心啊", "sentence_like"), ("Plain name", ""), ("发行商：", "chapter_heading,metadata_label,sentence_punctuation"),
+)
+
+
+@query(f"""SELECT p_partkey, [{', '.join(f"'{reason}'" for _, reason in DOUBTED)}][CAST(p_partkey % {len(DOUBTED)} + 1 AS INTEGER)] AS reasons FROM part""")
 def suspicious_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey")
-    t = F.concat("p_name", F.when(k % 5 == 0, "  Ltd").when(k % 7 == 0, ":").when(k % 11 == 0, " www.x.y").otherwise(""))
-    return load(spark, sf_dir, "part").select("p_partkey", F.array_join(names.suspicious(t), ",").alias("reasons"))
+    name = F.array(*[F.lit(n) for n, _ in DOUBTED])[(F.col("p_partkey") % len(DOUBTED)).cast("int")]
+    return load(spark, sf_dir, "part").select("p_partkey", F.array_join(names.suspicious(name), ",").alias("reasons"))
 
 
 @query(f"""SELECT doc_id, {ALIAS_CASE} AS publisher FROM documents""")
@@ -443,6 +454,22 @@ def mention_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.withColumn("rank", F.row_number().over(W.orderBy(F.desc("articles"), "publisher")))
 
 
+@query(f"""WITH p AS (SELECT doc_id, {ALIAS_CASE} AS publisher, source || CASE WHEN doc_id % 50 = 0 THEN '：' ELSE '' END AS name FROM documents WHERE doc_id % 9 <> 0), k AS (SELECT regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS key, count(DISTINCT publisher) AS n FROM p GROUP BY 1),
+m AS (SELECT count(*) AS product_record_count, count(*) FILTER (WHERE publisher IS NULL) AS unknown_publisher_count, count(*) FILTER (WHERE doc_id % 50 = 0) AS suspicious_name_count, (SELECT count(*) FROM k) AS unique_product_count, (SELECT count(*) FROM k WHERE n > 1) AS publisher_conflict_count,
+(SELECT count(*) FROM documents) AS article_count, (SELECT count(*) FROM documents WHERE doc_id % 9 = 0) AS articles_without_products_count FROM p)
+SELECT *, round(unknown_publisher_count / product_record_count, 6) AS unknown_publisher_ratio, round(suspicious_name_count / product_record_count, 6) AS suspicious_name_ratio, round(publisher_conflict_count / unique_product_count, 6) AS publisher_conflict_ratio,
+CASE WHEN suspicious_name_count > 0 THEN 'fail' ELSE 'pass' END AS status, CASE WHEN suspicious_name_count > 0 THEN 'suspicious_product_names' ELSE '' END AS failures,
+concat_ws(',', CASE WHEN unknown_publisher_count / product_record_count > 0.6 THEN 'unknown_publisher_ratio_exceeded' END, CASE WHEN publisher_conflict_count / unique_product_count > 0.02 THEN 'publisher_conflict_ratio_exceeded' END, 'articles_without_products') AS warnings FROM m""")
+def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "documents")
+    found = names.detect("text", ALIASES)
+    name = F.concat("source", F.when(F.col("doc_id") % 50 == 0, "：").otherwise(""))
+    p = d.filter("doc_id % 9 <> 0").select("doc_id", name.alias("name"), F.coalesce(found, F.lit("")).alias("publisher"), F.filter(F.array(found), lambda x: x.isNotNull()).alias("candidates"))
+    m = quality.gate(quality.metrics(p, d.select("doc_id"), "doc_id"))
+    counts = ("product_record", "unknown_publisher", "suspicious_name", "unique_product", "publisher_conflict", "article", "articles_without_products")
+    return m.select(*[f"{c}_count" for c in counts], "unknown_publisher_ratio", "suspicious_name_ratio", "publisher_conflict_ratio", "status", F.array_join("failures", ",").alias("failures"), F.array_join("warnings", ",").alias("warnings"))
+
+
 @query(f"""WITH p AS (SELECT doc_id, {ALIAS_CASE} AS publisher, source AS name FROM documents), k AS (SELECT regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS key, count(DISTINCT publisher) AS n FROM p GROUP BY 1)
 SELECT count(*) AS product_record_count, count(*) FILTER (WHERE publisher IS NULL) AS unknown_publisher_count, (SELECT count(*) FROM k) AS unique_product_count, (SELECT count(*) FROM k WHERE n > 1) AS publisher_conflict_count,
 round(count(*) FILTER (WHERE publisher IS NULL) / count(*), 6) AS unknown_publisher_ratio, round((SELECT count(*) FROM k WHERE n > 1) / (SELECT count(*) FROM k), 6) AS publisher_conflict_ratio, 'pass' AS status FROM p""")
@@ -489,12 +516,13 @@ def plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS pos, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings WHERE label <> 3""")
+@query("""SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS pos, CAST(len(embedding) AS INTEGER) AS width, CAST(list_min(embedding) AS DOUBLE) AS least, CAST(list_max(embedding) AS DOUBLE) AS largest, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[-1] AS DOUBLE) AS last FROM embeddings WHERE label <> 3""")
 def legacy_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.sources.files import renumber
 
-    kept = load(spark, sf_dir, "embeddings").filter("label <> 3").select("vec_id", F.col("embedding")[0].cast("double").alias("first"))
-    return renumber(kept, "vec_id").select("vec_id", "pos", "first")
+    kept = renumber(load(spark, sf_dir, "embeddings").filter("label <> 3"), "vec_id")
+    own = F.col("embedding").cast("array<double>")
+    return kept.select("vec_id", "pos", F.size(own).alias("width"), F.array_min(own).alias("least"), F.array_max(own).alias("largest"), own[0].alias("first"), F.element_at(own, -1).alias("last"))
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents), b AS (SELECT *, sum((length(line) < 60)::INT) OVER (PARTITION BY doc_id ORDER BY n) AS block FROM l)
@@ -582,8 +610,17 @@ def product_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.products(load(spark, sf_dir, "documents"), "doc_id", "text", ALIASES).select("doc_id", "block", "name", "publisher", F.size("links").alias("links"), "description")
 
 
-@query("""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, CAST(0 AS BIGINT) AS create_time FROM pages""")
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) ELSE 'T & ' || page_id END AS title, CASE WHEN page_id % 2 = 0 THEN 'Name ' || page_id ELSE 'Writer' END AS account,
+left(repeat('d', 150) || page_id || repeat('e', 50), 160) AS digest, 'https://i.example/' || page_id AS cover, 'Mz' || page_id || '==' AS biz, CAST(page_id AS VARCHAR) AS mid, '2' AS idx, CASE WHEN page_id % 2 = 0 THEN 's' || page_id ELSE '' END AS sn,
+CASE WHEN page_id % 5 = 0 THEN 0 ELSE 1700000000 + page_id END AS create_time FROM pages""")
 def article_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.operators import articles as rows
 
-    return load(spark, sf_dir, "pages").select("page_id", rows.article_meta("html").alias("m")).select("page_id", "m.title", "m.create_time")
+    i = F.col("page_id")
+    title = F.when(i % 3 == 0, "").otherwise(F.concat(F.lit('<meta property="og:title" content="T &amp; '), i, F.lit('">')))
+    name = F.when(i % 2 == 0, F.concat(F.lit('<a id="js_name"> Name <b>'), i, F.lit("</b> </a>"))).otherwise('<meta name="author" content="Writer">')
+    told = F.concat(F.lit('<meta name="description" content="'), F.lit("d" * 150), i, F.lit("e" * 50), F.lit('"><meta property="og:image" content="https://i.example/'), i, F.lit('">'))
+    made = F.concat(F.lit('<script>var biz = "" || "Mz'), i, F.lit('=="; var mid = '), i, F.lit('; var idx = "2" || ""; var sn = "" || "'), F.when(i % 2 == 0, F.concat(F.lit("s"), i)).otherwise(""), F.lit('";'))
+    at = F.when(i % 5 == 0, "").otherwise(F.concat(F.lit("var oriCreateTime = '"), i + 1700000000, F.lit("';")))
+    page = F.concat(title, name, told, made, at, F.lit("</script>"), F.col("html"))
+    return load(spark, sf_dir, "pages").select("page_id", rows.article_meta(page).alias("m")).select("page_id", "m.*")
