@@ -234,6 +234,23 @@ REGIONS = (
     (("beijing", "shanghai", "shenzhen", "guangzhou", "hangzhou", "chengdu", "china", "中国", "北京", "上海", "深圳"), "中国", True),
 )
 
+#: The wider lists of another importer (fixed values).
+REGIONS_WIDE = (
+    (("oyun", "yazilim", "sirketi", "teknoloji"), "土耳其", False),
+    (("korea", "korean", "wemade", "netmarble", "kakaogames", "ncsoft", "neowiz", "com2us"), "韩国", False),
+    (("finland", "oy ", "rovio", "metacore", "supercell"), "芬兰", False),
+    (("japan", "japanese", "square enix", "kabam", "gumi", "gungho"), "日本", False),
+    (("france", "french", "voodoo", "homa", "ketchapp", "ubisoft"), "法国", False),
+    (("vietnam", "viet", "vng", "gplay jsc"), "越南", False),
+    (("brazil", "brasil", "wildlife"), "巴西", False),
+    (("russia", "russian", "matryoshka", "noodlecake", "belka"), "俄罗斯", False),
+    (("sweden", "swedish", "g5 entertainment", "king ab"), "瑞典", False),
+    (("usa", "united states", "inc.", "llc", "corp.", "electronic arts", "zynga", "supercent", "scopely", "jam city"), "美国", False),
+    (("beijing", "shanghai", "shenzhen", "guangzhou", "hangzhou", "chengdu", "nanjing", "china"), "中国", True),
+    (("zplay", "dhgames", "funplus", "lilith", "igg", "centurygames", "topgames", "tap4fun", "4399"), "中国", True),
+    (("limited", "holding", "pte. ltd.", "co., ltd"), "可能香港/中国/新加坡", None),
+)
+
 
 def region(x: Column | str, rules: tuple = REGIONS) -> Column:
     """Struct (region, domestic) of the first word list with a hit."""

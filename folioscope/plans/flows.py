@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from folioscope.functions import text
-from folioscope.operators import articles, blocks, ingest, linkage, lookups, paths, records
+from folioscope.operators import articles, blocks, ingest, linkage, lookups, paths, publishing, records
 from folioscope.plans.catalog import load, query
 
 
@@ -270,3 +270,49 @@ def known_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = d.select("doc_id", F.explode(F.array(F.lower("name"), text.slug("title"))).alias("subject"))
     hit = keys.join(held, "subject", "left_semi").select("doc_id").distinct().withColumn("known", F.lit(True))
     return d.select("doc_id").join(hit, "doc_id", "left").select("doc_id", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@query("""SELECT page_id, '---' || chr(10) || 'title: "T ' || page_id || ' \\"q\\""' || chr(10) || 'author: ""' || chr(10) || 'date: "2024-01-01"' || chr(10) || 'url: "' || url || '"' || chr(10) || CASE WHEN page_id % 2 = 0 THEN 'source_evidence: "e' || page_id || '"' || chr(10) ELSE '' END
+|| '---' || chr(10) || chr(10) || '# T ' || page_id || ' "q"' || chr(10) || chr(10) AS header, CASE page_id % 3 WHEN 0 THEN 'url without identity' WHEN 1 THEN 'another article' END AS problem FROM pages""")
+def markdown_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id")
+    title = F.concat(F.lit("T "), i, F.lit(' "q"'))
+    header = publishing.markdown_header(title, F.lit(None).cast("string"), F.lit("2024-01-01"), "url", F.when(i % 2 == 0, F.concat(F.lit("e"), i)))
+    link = F.when(i % 3 == 0, F.concat(F.lit("https://h/s?mid="), i)).otherwise(F.concat(F.lit("https://h/s?__biz=B&idx=1&mid="), i))
+    page = F.concat(F.lit('<script>var biz = "" || "B"; var mid = "'), F.when(i % 3 == 1, i + 1).otherwise(i), F.lit('"; var idx = "1";</script>'))
+    return load(spark, sf_dir, "pages").select("page_id", header.alias("header"), publishing.identity_problem(page, link).alias("problem"))
+
+
+@query("""SELECT url, '<img src="' || CASE WHEN page_id % 2 = 0 THEN './assets/a' || page_id % 5 ELSE 'https://c.example/' || page_id % 5 || '?x=1&amp;y=2' END || '"><img src="https://c.example/' || page_id % 5 || '/none">' || html AS html FROM pages""")
+def bundled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "pages")
+    k = (F.col("page_id") % 5).cast("string")
+    address = F.concat(F.lit("https://c.example/"), k, F.lit("?x=1&y=2"))
+    own = F.concat(F.lit('<img src="https://c.example/'), k, F.lit('?x=1&amp;y=2"><img src="https://c.example/'), k, F.lit('/none">'))
+    pages = d.select("url", F.concat(own, "html").alias("html"), F.array(F.when(F.col("page_id") % 2 == 0, address).otherwise("https://c.example/other"), F.concat(F.lit("https://c.example/"), k, F.lit("/none"))).alias("resources"))
+    assets = d.select(address.alias("resource"), F.concat(F.lit("./assets/a"), k).alias("asset")).distinct()
+    return publishing.with_assets(pages, assets)
+
+
+@query("""WITH d AS (SELECT CASE WHEN doc_id % 40 = 0 THEN NULL WHEN doc_id % 40 IN (1, 2) THEN doc_id // 40 * 40 + 1 ELSE doc_id END AS id, doc_id % 7 AS m FROM documents)
+SELECT DISTINCT id AS doc_id, CASE WHEN id IS NULL THEN 'no id' WHEN n > 1 THEN 'repeated id' WHEN m = 3 THEN 'unexpected source_type' ELSE 'content hash differs' END AS problem FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM d) WHERE id IS NULL OR n > 1 OR m IN (3, 5)""")
+def document_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, m = F.col("doc_id"), F.col("doc_id") % 7
+    name = F.when(i % 40 == 0, None).when((i % 40).isin(1, 2), F.floor(i / 40) * 40 + 1).otherwise(i).cast("long")
+    d = doc(spark, sf_dir).select(name.alias("doc_id"), F.when(m == 3, "other").otherwise("ours").alias("source_type"), "lang", F.when(m == 5, "x").otherwise(F.sha2("lang", 256)).alias("content_hash"))
+    return publishing.preflight(d, "ours", F.sha2("lang", 256))
+
+
+@query("""SELECT doc_id, 'a "b" ' || doc_id AS json_title, 'a \\"b\\" ' || doc_id AS line_title, CASE WHEN doc_id % 2 = 0 THEN lang END AS author, CASE WHEN doc_id % 3 = 0 THEN 'https://play.google.com/store/apps/details?id=com.' || lang || '&hl=en' END AS google_play,
+CASE WHEN doc_id % 3 = 0 THEN 'com.' || lang END AS package_id, 'https://apps.apple.com/app/id' || doc_id AS app_store, CASE WHEN doc_id % 2 = 0 THEN 'Fun' || lang ELSE '' END AS hints,
+CASE doc_id % 4 WHEN 0 THEN '芬兰' WHEN 1 THEN '美国' WHEN 2 THEN '可能香港/中国/新加坡' ELSE '未知' END AS region FROM documents""")
+def headers_and_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    head = F.concat(F.lit('---\ntitle: "a \\"b\\" '), i, F.lit('"\nauthor: '), F.when(i % 2 == 0, F.concat(F.lit("'"), "lang", F.lit("'"))).otherwise(""), F.lit("\n---\ntitle: no\n"))
+    play = F.when(i % 3 == 0, F.concat(F.lit("(https://play.google.com/store/apps/details?id=com."), "lang", F.lit("&hl=en) "))).otherwise("")
+    hint = F.when(i % 2 == 0, F.concat(F.lit("，也就是Fun"), "lang", F.lit("呗"))).otherwise("，也就是这家呗")
+    body = F.concat(play, F.lit("https://apps.apple.com/app/id"), i)
+    links = publishing.store_links(body)
+    firm = F.when(i % 4 == 0, "Supercell").when(i % 4 == 1, "Some Inc.").when(i % 4 == 2, "X Holding").otherwise("Zed")
+    found = F.when(i % 2 == 0, publishing.hints(hint, 1)).otherwise(publishing.hints(hint))
+    return doc(spark, sf_dir).select("doc_id", publishing.json_field(head, "title").alias("json_title"), publishing.first_lines_field(head, "title").alias("line_title"), publishing.json_field(head, "author").alias("author"), links["google_play"].alias("google_play"), links["package_id"].alias("package_id"), links["app_store"].alias("app_store"), F.array_join(found, "|").alias("hints"), text.region(firm, text.REGIONS_WIDE)["region"].alias("region"))

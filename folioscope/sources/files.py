@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from folioscope.operators.blocks import frontmatter
 from folioscope.session import cut_lineage
@@ -82,29 +83,61 @@ def renumber(rows: DataFrame, order: str, into: str = "pos") -> DataFrame:
     return ranged.withColumn("__n", local).join(F.broadcast(starts), "__part").withColumn(into, F.col("__before") + F.col("__n")).drop("__part", "__n", "__before")
 
 
-def write_staged(df: DataFrame, target: str, fmt: str = "parquet", least_rows: int = 0) -> int:
-    """Write to a staging folder, check the row count, then put it in the target's place; the old folder is kept aside until the new one stands."""
+def _digest(df: DataFrame) -> tuple:
+    """Rows and an order-free hash of a table, combined on the executors."""
+    return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64(*df.columns)), F.sum(F.pmod(F.xxhash64(F.lit(1), *df.columns), F.lit(1 << 31)))).first())
+
+
+def write_staged(df: DataFrame, target: str, fmt: str = "parquet", least_rows: int = 0, after: Callable[[str], None] | None = None) -> int:
+    """Write to a staging folder, check that its rows are those of df, then put it in the target's place; the number of rows.
+
+    df is computed once. The old folder is kept aside until after(target), such as an index that is
+    built anew, has succeeded; if that or the exchange fails, the old folder is put back. Formats
+    that do not keep a row as it is (csv, text) are checked by their count alone.
+    """
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path
     stage, aside = f"{target}.staged", f"{target}.before"
     fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    df.write.mode("overwrite").format(fmt).save(stage)
-    n = spark.read.format(fmt).schema(df.schema).load(stage).count()
-    if n < least_rows:
+    held = cut_lineage(df)
+    held.write.mode("overwrite").format(fmt).save(stage)
+    staged = spark.read.format(fmt).schema(df.schema).load(stage)
+    want, got = _digest(held), _digest(staged)
+    n = got[0]
+    if n < least_rows or (want != got if fmt in ("parquet", "orc", "json") else want[0] != n):
         fs.delete(path(stage), True)
-        raise ValueError(f"{n} rows, at least {least_rows} wanted")
+        raise ValueError(f"{n} rows staged, {want[0]} written, at least {least_rows} wanted")
     fs.delete(path(aside), True)
     had = fs.exists(path(target))
     if had and not fs.rename(path(target), path(aside)):
         raise OSError(f"{target} cannot be set aside")
-    if not fs.rename(path(stage), path(target)):
+    try:
+        if not fs.rename(path(stage), path(target)):
+            raise OSError(f"{target} cannot be replaced")
+        if after is not None:
+            after(target)
+    except BaseException:
+        fs.delete(path(target), True)
         if had:
             fs.rename(path(aside), path(target))
-        raise OSError(f"{target} cannot be replaced")
+        raise
     fs.delete(path(aside), True)
     return n
 
 
+def rewrite_aligned(rows: DataFrame, keep: Column, target: str, order: str = "pos", after: Callable[[str], None] | None = None) -> int:
+    """Rows with their vectors that are kept, numbered anew in order and committed as one table, so that they cannot part."""
+    kept = rows.filter(keep)
+    return write_staged(renumber(kept.withColumnRenamed(order, "__was"), "__was", order).drop("__was").select(*rows.columns), target, after=after)
+
+
+def append_aligned(stored: DataFrame, new: DataFrame, target: str, order: str = "pos") -> int:
+    """stored and new rows with vectors as one committed table: new ones are numbered on by their own order."""
+    last = stored.agg(F.coalesce(F.max(order), F.lit(-1))).first()[0]
+    more = renumber(new.withColumnRenamed(order, "__was"), "__was", order).drop("__was").withColumn(order, F.col(order) + last + 1)
+    return write_staged(stored.unionByName(more.select(*stored.columns)), target)
+
+
 def write_texts(df: DataFrame, path_col: str, text_col: str, root: str) -> None:
     """One text file folder per row's path below root, written by the executors."""
     df.select(F.col(path_col).alias("path"), F.col(text_col).alias("value")).write.mode("overwrite").partitionBy("path").text(root)
