@@ -12,6 +12,7 @@ from folioscope.functions.urls import message_of
 
 
 def _pick(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """The first row of each key: the limit of one row a key is applied in every task before the shuffle too, so a hot key sends a row a task."""
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
@@ -115,9 +116,14 @@ def either_key_anti(rows: DataFrame, stored: DataFrame, keys: list[str]) -> Data
 def recover(rows: DataFrame, stored: DataFrame, account: str, key: str, link: str, seq: str) -> DataFrame:
     """New rows in order of seq, without those whose key or link is stored or was kept before.
 
-    Greedy within an account: a row that is left out blocks no later one.
+    Greedy within an account: a row that is left out blocks no later one. Rows whose key and link no
+    other new row of the account has are kept as they are; only the others are walked through.
     """
     fresh = either_key_anti(rows, stored, [key, link])
+    shared = [fresh.groupBy(account, c).agg(F.count("*").alias("__n")).filter("__n > 1").drop("__n").withColumn(f"__shares_{c}", F.lit(True)) for c in (key, link)]
+    marked = fresh.join(shared[0], [account, key], "left").join(shared[1], [account, link], "left")
+    clash = F.coalesce(f"__shares_{key}", f"__shares_{link}", F.lit(False)) | F.col(account).isNull() | F.col(key).isNull() | F.col(link).isNull()
+    alone, some = marked.filter(~clash).select(*fresh.columns), marked.filter(clash).select(*fresh.columns)
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(seq)
@@ -132,7 +138,7 @@ def recover(rows: DataFrame, stored: DataFrame, account: str, key: str, link: st
                 urls.add(u)
         return rows[kept]
 
-    return fresh.groupBy(account).applyInPandas(keep, fresh.schema)
+    return alone.unionByName(some.groupBy(account).applyInPandas(keep, fresh.schema))  # nulls are equal, as everywhere in a group
 
 
 def match_cardinality(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -60,6 +60,7 @@ def watermark_stream(events: DataFrame, account: str, ts: str, aid: str, state_d
     """Keep each account's high watermark in state_dir, one folder per batch; a batch that runs again writes the same folder.
 
     Each batch meets the state of the batch before, so late rows change nothing but what they should.
+    Folders before that one are removed: a batch that runs again needs no older one.
     """
 
     def step(batch: DataFrame, number: int) -> None:
@@ -70,5 +71,7 @@ def watermark_stream(events: DataFrame, account: str, ts: str, aid: str, state_d
             flat = old.unionByName(new).select(account, "watermark", F.explode("ids").alias("__id"))
             new = high_watermark(flat, account, "watermark", "__id")
         new.write.mode("overwrite").parquet(f"{state_dir}/batch={number}")
+        old_state = spark._jvm.org.apache.hadoop.fs.Path(f"{state_dir}/batch={number - 2}")
+        old_state.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old_state, True)
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -36,6 +36,20 @@ def test_recover_is_greedy(spark):
     assert sorted(r.seq for r in records.recover(df, stored, "account", "key", "link", "seq").collect()) == [1, 3]
 
 
+def test_recover_against_a_walk(spark):
+    r = random.Random(3)
+    rows = [(r.choice("ab"), r.choice([f"k{r.randrange(60)}", None]) if r.random() < 0.1 else f"k{r.randrange(90)}", f"u{r.randrange(90)}", n) for n in range(200)]
+    stored = [("a", f"k{n}", f"u{n + 3}", n) for n in range(0, 60, 6)]
+    want, seen = [], set()
+    for a, k, u, n in rows:
+        if k not in {x[1] for x in stored} and u not in {x[2] for x in stored} and not {(a, "k", k), (a, "u", u)} & seen:
+            seen |= {(a, "k", k), (a, "u", u)}
+            want.append(n)
+    shape = "account string, key string, link string, seq int"
+    got = records.recover(spark.createDataFrame(rows, shape), spark.createDataFrame(stored, shape), "account", "key", "link", "seq")
+    assert sorted(x.seq for x in got.collect()) == want
+
+
 def test_link_catalog(spark):
     """Against a walk over all entries in order, with titles that several entries and files share."""
     r = random.Random(8)
