@@ -56,9 +56,9 @@ def gram_hashes(words: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tu
 def ngram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(block, bucket, n, counts, tokens, check): for each block and range of hashes, the corpus counts of the block's n-grams.
 
-    The table of counts is partitioned by hash; every count is kept. Keys go as the 40 leading bits
-    within their bucket, so that two n-grams of a bucket meet with a chance of keys / 2**40
-    whatever the input. check is a hash of all the block's n-grams of n words.
+    The table of counts is partitioned by hash; every count is kept. Keys go as the KEY_BITS leading
+    bits within their bucket, so that two n-grams of a bucket meet with a chance of keys / 2**48, about
+    one in a hundred million, whatever the input. check is a hash of all the block's n-grams of n words.
     """
     size, buckets = exchange(docs)
 
@@ -123,6 +123,9 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
                 c = np.zeros(len(words), np.int64)
                 if len(keys):
                     c[places] = others(answer, back, doc[places], len(keys))
+                if by_place and len(words):
+                    # no n-gram is held more often than its parts; where hashes met, that bounds the harm
+                    c = np.minimum(c, np.minimum(by_place[-1], np.r_[0, by_place[-1][:-1]]))
                 by_place.append(c)
             best = np.full(len(words), (order - 1) * math.log(backoff)) + (np.log(np.maximum(by_place[0], 1)) - math.log(max(total, 1)) if len(words) else 0)
             for n in range(1, order):

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from folioscope.llm.common import id_and_text, sliced_texts
 
+#: Leading bits of a key within its bucket that are sent.
+KEY_BITS = 48
 #: Least characters of text of a block, and of all text for each bucket; and characters of all text for each row sent, at least.
 BLOCK_CHARS, ROW_CHARS = 8 << 20, 1024
 
@@ -38,9 +40,9 @@ def expand(blob: bytes, dtype) -> np.ndarray:
 
 
 def pack_sorted(keys: np.ndarray, bucket: int, buckets: int) -> bytes:
-    """The leading 40 bits, within the bucket's range, of sorted keys: as differences, byte planes apart."""
+    """The leading KEY_BITS bits, within the bucket's range, of sorted keys: as differences, byte planes apart."""
     low = (bucket << 64) // buckets
-    shift = max(0, (((bucket + 1) << 64) // buckets - low - 1).bit_length() - 40)
+    shift = max(0, (((bucket + 1) << 64) // buckets - low - 1).bit_length() - KEY_BITS)
     gaps = np.diff((keys - np.uint64(low)) >> np.uint64(shift), prepend=np.uint64(0))
     width = 4 if gaps.max() < (1 << 32) else 8
     planes = np.ascontiguousarray(gaps).view(np.uint8).reshape(-1, 8)[:, :width].T

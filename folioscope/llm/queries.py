@@ -41,7 +41,7 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lm_score.score(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_tokens", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+    return found.select("doc_id", "n_tokens", F.round("mean_log_score", 6).alias("mean_log_score"), F.round("log_score", 3).alias("log_score"))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -573,6 +573,15 @@ def test_lm_score(docs, rows, empty, monkeypatch, block, row):
     assert lm_score.score(docs).count() == len(rows) and not lm_score.score(empty).collect()
 
 
+def test_lm_score_where_hashes_meet(spark, monkeypatch):
+    """With keys of a few bits many n-grams are taken for others: scores stay finite, and none is above 0."""
+    monkeypatch.setattr(packed, "KEY_BITS", 7)
+    r = random.Random(1)
+    rows = [(k, " ".join(f"w{r.randrange(300)}" for _ in range(60))) for k in range(40)]
+    got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(math.isfinite(x.log_score) and x.log_score < 0 for x in got)
+
+
 def test_rows_exchanged_grow_with_the_text():
     """Rows of blocks and buckets for 1 GB to 100 TB of text: one for each ROW_CHARS characters at most."""
     for chars in (10**9, 10**10, 10**12, 10**14):
