@@ -59,7 +59,7 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
 
 def pack_texts(ids: list, texts: list[str]) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, _TEXTS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, _TEXTS, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
         w.write_batch(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.large_string())], schema=_TEXTS))
     return sink.getvalue().to_pybytes()
 
