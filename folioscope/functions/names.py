@@ -43,6 +43,44 @@ HEADINGS = (
     "Merge", "RPG", "SLG",
 )
 UNKNOWN, CONFLICT = "未知", "冲突待审"
+ENTITIES = {
+    "海彼 (Habby)": "上海海彼网络科技有限公司（Habby）",
+    "111%": "111% Inc.（中国）",
+    "Voodoo": "Voodoo（法国，合作商多为中国团队）",
+    "Voodoo (Rollic)": "Voodoo Rollic（土耳其/Voodoo系）",
+    "Voodoo (Rivvy)": "Voodoo Rivvy（Voodoo系）",
+    "点点互动 (Dian Dian)": "点点互动（中国）",
+    "游族网络": "游族网络股份有限公司（上海，A股 002174）",
+    "卓航互动": "成都卓杭网络科技（DHGames）",
+    "西安墨焰": "西安墨焰网络科技有限公司",
+    "功夫特牛 / PeakX": "PeakX Games（功夫特牛，中国独立工作室）",
+    "哈喽沃德 (Hello World)": "武汉哈乐沃德网络科技有限公司",
+    "IGG": "IGG Inc.（互动游戏，香港上市 0799.HK）",
+    "Supercell": "Supercell（芬兰，腾讯控股84%）",
+    "Lion Studios": "Lion Studios（美国/AppLovin系）",
+    "Homa Games": "Homa Games（法国）",
+    "网易 (NetEase)": "网易公司（Mattel163 Limited）",
+    "莉莉丝 (Lilith)": "上海莉莉丝科技股份有限公司（Lilith Games）",
+    "波克城市 (Bokul)": "波克城市（中国）",
+    "途游游戏": "途游游戏（中国）",
+    "凉屋游戏": "凉屋游戏（中国）",
+    "重力社": "重力社（中国）",
+    "壳木软件": "壳木软件（中国）",
+    "益世界": "益世界（中国）",
+    "FunPlus": "FunPlus International AG（趣加，中国）",
+    "多益网络": "多益网络（中国）",
+    "智明星通": "智明星通（中国）",
+    "超燃互动": "超燃互动（中国）",
+    "4399": "4399（中国）",
+    "魔兔游戏": "魔兔游戏（中国）",
+    "育碧 (Ubisoft)": "育碧（法国）",
+    "Square Enix": "Square Enix（日本）",
+    "Tap4Fun": "成都创人所爱科技股份有限公司（Tap4Fun）",
+    "Fansipan": "Fansipan（越南）",
+    "Codigame": "Codigame（海外）",
+    "SayGame": "SayGame（中国）",
+    "王铲铲工作室": "王铲铲工作室（中国独立）",
+}
 ENDINGS = r"[。，；：:]$"
 CJK_CHAR = r"[一-鿿]"
 WIDE_GAP = r"[ \t 　]{2,}"

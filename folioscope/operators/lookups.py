@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
-from folioscope.functions.text import _c, filled, first_filled
+from folioscope.functions.text import filled, first_filled
 
 
 def one_row(df: DataFrame, hit: Column) -> Row:
@@ -65,19 +65,6 @@ def export_state(exported: Column, cached: Column, force: bool = False) -> Colum
     return rest if force else F.when(F.coalesce(exported, F.lit(False)), "skip").otherwise(rest)
 
 
-def escape_html(x: Column | str) -> Column:
-    out = F.coalesce(_c(x), F.lit(""))
-    for char, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
-        out = F.replace(out, F.lit(char), F.lit(code))
-    return out
-
-
-def text_section(name: str, x: Column | str) -> Column:
-    """A text as a section of HTML: escaped, line breaks kept."""
-    body = F.regexp_replace(escape_html(x), "\r?\n", "<br />")
-    return F.concat(F.lit(f'<section class="{name}">\n<p class="text_content">'), body, F.lit("</p>\n</section>"))
-
-
 def overdue(state: DataFrame, now: Column, days: int = 30) -> DataFrame:
     """Accounts whose last whole audit is `days` or more ago, or that had none, with the floor from which they are read again.
 
@@ -101,3 +88,18 @@ def stop_reason(page: dict[str, Column], floor: Column, watermark: Column, overl
         .when(page["partial"], F.lit("partial"))
         .when(page["single"], F.lit("first-page"))
     )
+
+
+def missing_evidence(linked: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Entries that need evidence and have none: missing ones, and matched ones whose link is not stable.
+
+    linked: entry, status, stable; evidence: entry. A recovery goes on only where this is empty.
+    """
+    need = (F.col("status") == "missing") | (F.col("status").isin("matched", "date-mismatch") & ~F.coalesce("stable", F.lit(False)))
+    return linked.filter(need).join(evidence.select("entry").distinct(), "entry", "left_anti").select("entry", "status")
+
+
+def account_repairs(rows: DataFrame, found: DataFrame, placeholder: str) -> DataFrame:
+    """(aid, fakeid): the account that a page names for each row whose account is the placeholder."""
+    named = found.filter(filled("biz").isNotNull()).groupBy("link").agg(F.min("biz").alias("fakeid"))
+    return rows.filter(F.col("fakeid") == placeholder).select("aid", "link").join(named, "link").select("aid", "fakeid")

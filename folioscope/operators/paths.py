@@ -79,3 +79,8 @@ def in_scope(path: Column | str, root: str, accounts: list[str] | None = None) -
     parts = F.split(relative, "/")
     ok = ~F.exists(parts, lambda p: p.startswith("_")) & (F.element_at(parts, -1) == "index.md")
     return F.coalesce(ok & (parts[0].isin(*accounts) if accounts else F.lit(True)), F.lit(False))
+
+
+def scoped_files(files: DataFrame, root: str, accounts: list[str] | None = None) -> DataFrame:
+    """Distinct paths of a list (path) that are articles' below root, in order."""
+    return files.filter(in_scope("path", root, accounts)).select("path").distinct().orderBy("path")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from folioscope.functions import text
+from folioscope.functions import names, render, text
 from folioscope.operators import articles, blocks, ingest, linkage, lookups, paths, publishing, records
 from folioscope.plans.catalog import load, query
 
@@ -173,7 +173,7 @@ def export_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id, '<section class="text_content">' || chr(10) || '<p class="text_content">' || replace(replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;'), chr(13) || chr(10), '<br />'), chr(10), '<br />') || '</p>' || chr(10) || '</section>' AS html FROM documents""")
 def text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc(spark, sf_dir).select("doc_id", lookups.text_section("text_content", "text").alias("html"))
+    return doc(spark, sf_dir).select("doc_id", render.text_section("text_content", "text").alias("html"))
 
 
 @query("""SELECT doc_id, '---' || chr(10) || 'title: x' || chr(10) || 'date: "2024-01-02"' || chr(10) || 'url: "https://n/' || doc_id || '?a=1&b=$1"' || chr(10) || '---' || chr(10) || text || chr(10) || 'url: old' AS text FROM documents""")
@@ -316,3 +316,48 @@ def headers_and_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     firm = F.when(i % 4 == 0, "Supercell").when(i % 4 == 1, "Some Inc.").when(i % 4 == 2, "X Holding").otherwise("Zed")
     found = F.when(i % 2 == 0, publishing.hints(hint, 1)).otherwise(publishing.hints(hint))
     return doc(spark, sf_dir).select("doc_id", publishing.json_field(head, "title").alias("json_title"), publishing.first_lines_field(head, "title").alias("line_title"), publishing.json_field(head, "author").alias("author"), links["google_play"].alias("google_play"), links["package_id"].alias("package_id"), links["app_store"].alias("app_store"), F.array_join(found, "|").alias("hints"), text.region(firm, text.REGIONS_WIDE)["region"].alias("region"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '<section class="item_show_type_0"><p>' || lang || '</p><img src="https://i/' || doc_id || '" loading="eager" alt="x"></section>'
+WHEN 1 THEN '<section class="item_show_type_8">' || chr(10) || '<p class="text_content">a<br /><a class="wx_img_refer_link" data-seq="1" data-refer="图1" style="" href="#图1"> 图1 </a></p>' || chr(10) || '<div class="picture_content"><div class="picture_item" id="图1">' || chr(10) || '    <img class="picture_item_img" src="https://i/' || doc_id || '?a=1&amp;b=2" alt="图1" />' || chr(10) || '    <p class="picture_item_label">图1</p>' || chr(10) || '</div></div>' || chr(10) || '</section>'
+WHEN 2 THEN '<section class="item_show_type_10">' || chr(10) || '<p class="text_content">&lt;' || lang || '&gt;<br />x</p>' || chr(10) || '</section>'
+WHEN 3 THEN '<section class="pay_subscribe_notice">' || chr(10) || '<div class="pay_subscribe_badge">付费内容 · ' || CASE WHEN doc_id % 2 = 0 THEN '1.5 元' ELSE '7 微币' END || '</div>' || chr(10) || '<div class="pay_subscribe_desc">d&amp;' || lang || '</div>' || chr(10) || '<div class="pay_subscribe_hint">本文为付费文章，完整内容需购买后查看</div>' || chr(10) || '</section>'
+ELSE '(unknown)' END AS html FROM documents""")
+def article_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, n = F.col("doc_id"), F.col("doc_id") % 5
+    plain = F.concat(F.lit("<p>"), "lang", F.lit('</p><img height="3" data-src="https://i/'), i, F.lit('" alt="x">'))
+    pictured = F.lit('a\n<a class="wx_img_refer_link" data-seq="1" data-refer="图1" style=""> 图1 </a>')
+    row = F.struct(
+        F.col("source").alias("title"), F.when(n == 0, 0).when(n == 1, 8).when(n == 2, 10).when(n == 3, 0).otherwise(7).alias("item_show_type"), F.when(n == 0, plain).when(n == 1, pictured).otherwise(" ").alias("content_noencode"),
+        F.when(n == 3, 1).otherwise(0).alias("is_pay_subscribe"), F.struct(F.concat(F.lit("<"), "lang", F.lit(">\r\nx")).alias("content_noencode")).alias("text_page_info"),
+        F.struct(F.when(i % 2 == 0, 150).alias("fee"), F.lit(7).alias("wecoin_amount"), F.concat(F.lit("d&"), "lang").alias("desc")).alias("pay_subscribe_info"),
+        F.array(F.struct(F.concat(F.lit("https://i/"), i, F.lit("?a=1&amp;b=2")).alias("cdn_url"))).alias("picture_page_info_list"),
+    )
+    return doc(spark, sf_dir).select("doc_id", render.article_html(row).alias("html"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Homa Games（法国）' WHEN 1 THEN 'IGG Inc.（互动游戏，香港上市 0799.HK）' ELSE '' END AS entity, CASE WHEN doc_id % 2 = 0 THEN lang END AS province FROM documents""")
+def entities_and_provinces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("doc_id") % 3 == 0, "Homa Games").when(F.col("doc_id") % 3 == 1, "IGG").otherwise("igg")
+    reply = F.from_json(F.when(F.col("doc_id") % 2 == 0, F.format_string('{"ip_wording":{"province_name":"%s"}}', F.col("lang"))).otherwise("{}"), "ip_wording struct<province_name:string>")
+    return doc(spark, sf_dir).select("doc_id", text.labelled(name, names.ENTITIES, "").alias("entity"), reply["ip_wording"]["province_name"].alias("province"))
+
+
+@query("""SELECT doc_id AS entry, CASE WHEN doc_id % 3 = 0 THEN 'missing' ELSE 'matched' END AS status FROM documents WHERE (doc_id % 3 = 0 OR (doc_id % 3 = 1 AND doc_id % 2 = 0)) AND doc_id % 5 <> 0""")
+def missing_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    linked = doc(spark, sf_dir).select(i.alias("entry"), F.when(i % 3 == 0, "missing").when(i % 3 == 1, "matched").otherwise("ambiguous").alias("status"), F.when(i % 2 == 1, True).alias("stable"))
+    return lookups.missing_evidence(linked, doc(spark, sf_dir).filter("doc_id % 5 = 0").select(i.alias("entry")))
+
+
+@query("""SELECT 'a' || doc_id AS aid, 'b' || doc_id % 10 AS fakeid FROM documents WHERE doc_id % 4 = 0 AND doc_id % 10 <> 0""")
+def account_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    rows = doc(spark, sf_dir).select(F.concat(F.lit("a"), i).alias("aid"), F.concat(F.lit("l"), i % 10).alias("link"), F.when(i % 4 == 0, "SINGLE").otherwise("x").alias("fakeid"))
+    found = doc(spark, sf_dir).select(F.concat(F.lit("l"), i % 10).alias("link"), F.when(i % 10 == 0, "").otherwise(F.concat(F.lit("b"), i % 10)).alias("biz"))
+    return lookups.account_repairs(rows, found, "SINGLE")
+
+
+@query("""SELECT DISTINCT '/r/' || lang || '/' || source || '/index.md' AS path FROM documents WHERE lang IN ('en', 'fr') ORDER BY path""")
+def scoped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.scoped_files(doc(spark, sf_dir).select(F.concat(F.lit("/r/"), "lang", F.lit("/"), "source", F.when(F.col("doc_id") % 9 == 100, "/x.md").otherwise("/index.md")).alias("path")), "/r", ["en", "fr"])

@@ -40,6 +40,19 @@ def read_json_lines(spark: SparkSession, path: str, schema: str, strict: bool =
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
+def read_json_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Objects of JSON lines; blank lines and other JSON values go, a line that is no JSON is an error that names file and line.
+
+    Files are read line by line with their place in the file, so each is one task: for files that one task can read.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    full = lines.filter(F.trim("line") != "")
+    good = F.try_parse_json("line").isNotNull()
+    where = F.concat(F.url_decode("file"), F.lit(":"), (F.col("n") + 1).cast("string"), F.lit(": no JSON"))
+    checked = full.withColumn("line", F.when(good, F.col("line")).otherwise(F.raise_error(where).cast("string")))
+    return checked.filter(F.ltrim("line").startswith("{")).select(F.from_json("line", schema).alias("o")).select("o.*")
+
+
 def read_json_lines_split(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good, bad): rows of a schema, and the lines that are none. The lines are parsed once for both."""
     kept = cut_lineage(spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path))

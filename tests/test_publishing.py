@@ -84,3 +84,12 @@ def test_run_folders(tmp_path):
     assert other != first and other.name.startswith(first.name)
     with pytest.raises(ValueError, match="workflow"):
         leases.reserve_run(tmp_path, "Daily", "me", now)
+
+
+def test_strict_json_lines(spark, tmp_path):
+    file = tmp_path / "a.jsonl"
+    file.write_text('{"a": 1}\n\n[2]\n{"a": 3}\n')
+    assert [r.a for r in files.read_json_objects(spark, str(file), "a int").orderBy("a").collect()] == [1, 3]
+    file.write_text('{"a": 1}\n{"a": \n')
+    with pytest.raises(Exception, match="a.jsonl:2: no JSON"):
+        files.read_json_objects(spark, str(file), "a int").collect()
