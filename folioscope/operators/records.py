@@ -74,11 +74,14 @@ def new_counts(rows: DataFrame, stored: DataFrame, account: str, aid: str) -> Da
     rows and stored hold account and aid. An article counts if its key is not stored; a message
     counts if none of its articles is.
     """
-    keyed = rows.select(account, F.col(aid).alias("__aid"), message_of(aid).alias("__msg")).distinct()
-    known = stored.select(account, F.col(aid).alias("__aid"), message_of(aid).alias("__msg")).distinct()
-    fresh = keyed.join(known.select(account, "__aid"), [account, "__aid"], "left_anti").withColumn("__new", F.lit(1))
-    seen = known.select(account, "__msg").distinct().withColumn("__seen", F.lit(True))
-    return fresh.join(seen, [account, "__msg"], "left").groupBy(account).agg(F.count("*").alias("articles"), F.count_distinct(F.when(F.col("__seen").isNull(), F.col("__msg"))).alias("messages"))
+    def marked(df: DataFrame, new: bool) -> DataFrame:
+        return df.select(account, message_of(aid).alias("__msg"), F.col(aid).alias("__aid"), F.lit(new).alias("__new"))
+
+    # one pass over both tables: what is known of an article, then of its message, then of the account
+    of_article = marked(rows, True).unionByName(marked(stored, False)).groupBy(account, "__msg", "__aid").agg(F.bool_and("__new").alias("__fresh"))
+    of_message = of_article.groupBy(account, "__msg").agg(F.count_if("__fresh").alias("__n"), F.bool_and("__fresh").alias("__unseen"))
+    n = F.sum("__n")
+    return of_message.groupBy(account).agg(n.alias("articles"), F.count_if((F.col("__n") > 0) & F.col("__unseen")).alias("messages")).filter("articles > 0")
 
 
 def reconciled_total(reported: Column, stored: Column, new: Column) -> Column:
