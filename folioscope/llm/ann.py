@@ -171,7 +171,7 @@ def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, tables: int
                     axes = pa.array([int(x).to_bytes(4, "little") for x in second], pa.binary())
                     yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(np.full(len(first), t, np.int32)), pa.array(first.astype(np.int32)), batch.column(0), blobs, axes], names=["band", "tab", "axis", "rep", "vector", "second"])
 
-    index = distinct.select("rep", "embedding", "band").mapInArrow(placed, shape)
+    index = cut_lineage(distinct.select("rep", "embedding", "band").mapInArrow(placed, shape))  # read by the counts and by both searches
     sizes = {(b, t, a): n for b, t, a, n in index.groupBy("band", "tab", "axis").count().collect()}  # at most 2 * width a table and band
     parts = [(*at, max(1, math.ceil(n / BUCKET_ROWS))) for at, n in sorted(sizes.items())]
     held = np.zeros((max(bands) + 1, tables, 2 * size), bool)
