@@ -177,3 +177,15 @@ def publisher_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     found = names.publishers_of(F.when(i % 3 == 0, " ").when(i % 3 == 1, F.concat(F.lit("- **"), "source", F.lit("**"))).otherwise(F.concat("lang", F.lit("、 "), "source", F.lit(";"))), [("^nobody$", "Nobody")])
     return load(spark, sf_dir, "documents").select("doc_id", names.resolve(found).alias("publisher"), F.array_join(found, "|").alias("parts"), names.detect("text", [("(?i)apache", "Apache")], {"the": "The"}).alias("detected"))
+
+
+@query("""SELECT doc_id, source || chr(10) || lang || ' & bold go' || chr(10) || 'one' || chr(10) || doc_id || chr(10) || 'end' AS text,
+'<h1>' || source || '</h1><p>' || lang || ' &amp; <b>bold</b> <a href="https://a.b/' || doc_id || '">go</a></p><ul><li>one</li><li>' || doc_id || '</li></ul><img src="https://i/1" alt="pic"><p>end</p>' AS clean,
+'# ' || source || chr(10) || chr(10) || lang || ' & **bold** [go](https://a.b/' || doc_id || ')' || chr(10) || chr(10) || '-   one' || chr(10) || '-   ' || doc_id || chr(10) || chr(10) || '![pic](https://i/1)' || chr(10) || chr(10) || 'end' AS markdown FROM documents""")
+def html_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    page = F.concat(
+        F.lit("<script>x('</p>')</script><h1>"), "source", F.lit("</h1><p>"), "lang", F.lit(' &amp; <b>bold</b> <a href="https://a.b/'), i, F.lit('" onclick="x()">go</a></p><style>p{}</style><ul><li>one</li><li>'),
+        i, F.lit('</li></ul><img src="https://i/1" alt="pic"><p>end</p>'),
+    )
+    return load(spark, sf_dir, "documents").select("doc_id", html.html_text(page).alias("text"), html.html_clean(page).alias("clean"), html.html_markdown(page).alias("markdown"))

@@ -361,3 +361,17 @@ def account_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT DISTINCT '/r/' || lang || '/' || source || '/index.md' AS path FROM documents WHERE lang IN ('en', 'fr') ORDER BY path""")
 def scoped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.scoped_files(doc(spark, sf_dir).select(F.concat(F.lit("/r/"), "lang", F.lit("/"), "source", F.when(F.col("doc_id") % 9 == 100, "/x.md").otherwise("/index.md")).alias("path")), "/r", ["en", "fr"])
+
+
+@query("""SELECT doc_id, CAST(b.b AS BIGINT) AS block, CASE b.b WHEN 1 THEN 'Game ' || lang ELSE 'Other Thing' END AS name, CASE b.b WHEN 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'Firm One' ELSE '冲突待审' END ELSE '未知' END AS publisher,
+CASE b.b WHEN 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'Firm One' ELSE 'Firm One|' || source END ELSE '' END AS candidates, CASE b.b WHEN 1 THEN 'iOS|Android' ELSE '' END AS platforms, CASE b.b WHEN 1 THEN 'https://s.example/' || doc_id ELSE '' END AS links,
+CASE b.b WHEN 1 THEN 'shine ' || lang ELSE '' END AS highlights, CASE b.b WHEN 1 THEN 'plain prose of ' || source || ', in a line.' ELSE 'more prose, of the second.' END AS description FROM documents, (SELECT unnest([1, 2]) AS b) b""")
+def product_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    firms = F.when(i % 2 == 0, "发行商：The First Firm").otherwise(F.concat(F.lit("发行商：Firm One、"), "source"))
+    body = F.concat(
+        F.lit("an opening line, before all.\n**Game "), "lang", F.lit("**\n"), firms, F.lit("\n平台：iOS，Android\n链接\nhttps://s.example/"), i, F.lit("\n亮点：shine "), "lang", F.lit("\nplain prose of "), "source",
+        F.lit(", in a line.\n![](x.png)\n### Other Thing\nmore prose, of the second."),
+    )
+    found = blocks.products(doc(spark, sf_dir).select("doc_id", body.alias("body")), "doc_id", "body", [("(?i)first firm", "Firm One")])
+    return found.select("doc_id", "block", "name", "publisher", *[F.array_join(c, "|").alias(c) for c in ("candidates", "platforms", "links", "highlights")], "description")
