@@ -39,7 +39,10 @@ def fields(rows: DataFrame, key: str) -> DataFrame:
 
 
 def products(docs: DataFrame, key: str, text: str, rules: list[tuple[str, str]], most: int = 600) -> DataFrame:
-    """One row per product that a document names: name, publisher, candidates, platforms, links, highlights, differences, critique, description."""
+    """One row per product that a document names: name, publisher, candidates, platforms, links, highlights, differences, critique, description.
+
+    A description is a summary of `most` characters, as the importer that takes it expects; all else is whole.
+    """
     rows = lines(docs, key, text).withColumn("c", names.candidate("line"))
     blocks = segment(rows, key, F.col("c").isNotNull()).filter("block > 0")
     heads = blocks.filter("c is not null").select(key, "block", "c.name", F.col("c.publisher").alias("inline"))
