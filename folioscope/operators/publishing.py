@@ -77,6 +77,11 @@ def with_assets(pages: DataFrame, assets: DataFrame) -> DataFrame:
     return pages.join(held, "url", "left").select("url", F.aggregate(F.coalesce("__held", none), F.col("html"), put).alias("html"))
 
 
+def data_uris(resources: DataFrame) -> DataFrame:
+    """(resource, asset) of stored resources (resource, mime, content): their bytes as addresses, for pages that hold their images."""
+    return resources.select("resource", F.concat(F.lit("data:"), "mime", F.lit(";base64,"), F.base64("content")).alias("asset"))
+
+
 def preflight(docs: DataFrame, kind: str, digest: Column) -> DataFrame:
     """(doc_id, problem) of documents that must not be written: no or a repeated id, another source_type, a content_hash that is not the digest."""
     n = docs.groupBy("doc_id").agg(F.count("*").alias("__n"))
@@ -106,6 +111,16 @@ def first_lines_field(text: Column | str, key: str, most: int = 20) -> Column:
     return filled(F.trim(F.regexp_extract(block, rf"""(?m)^{key}:[ \t]*"?([^\r\n]+?)"?[ \t\r]*$""", 1)))
 
 
+def list_field(text: Column | str, key: str) -> Column:
+    """A list of the leading block, in brackets or a dash a line, without quotes; a scalar is a list of one, a missing key none."""
+    block = F.regexp_extract(_c(text), r"(?s)^---\r?\n(.*?)\r?\n---", 1)
+    inline = F.regexp_extract(block, rf"(?m)^{key}:[ \t]*\[([^\]]*)\][ \t\r]*$", 1)
+    dashed = F.regexp_extract(block, rf"(?m)^{key}:[ \t]*\r?\n((?:[ \t]*-[ \t]+[^\n]*(?:\n|$))+)", 1)
+    items = F.when(dashed != "", F.regexp_extract_all(dashed, F.lit(r"(?m)^[ \t]*-[ \t]+([^\r\n]*)"), F.lit(1))).when(inline != "", F.split(inline, ",")).otherwise(F.array(F.coalesce(frontmatter(text, key), F.lit(""))))
+    bare = F.transform(items, lambda x: F.regexp_replace(F.trim(x), r"""^(["'])(.*)\1$""", "$2"))
+    return F.filter(bare, lambda x: (x != "") & (x != "[]"))
+
+
 # Addresses of stores, and phrases by which a text hints at a company.
 PLAY = r"""https://play\.google\.com/store/apps/details[^\s)"']+"""
 APPLE = r"""https://apps\.apple\.com/[^\s)"']+"""

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
 import struct
+import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
 import numpy as np
 import pandas as pd
@@ -161,3 +165,55 @@ def write_table(df: DataFrame, target: str, fmt: str) -> None:
     nested = {f.name for f in df.schema if f.dataType.typeName() in ("array", "struct", "map")}
     flat = df.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in df.columns]) if fmt == "csv" else df
     flat.write.mode("overwrite").format(fmt).option("header", True).option("escape", '"').save(target)
+
+
+#: Rows and characters of a cell that the format holds (fixed values).
+SHEET_ROWS, CELL_CHARS = 1_048_576, 32_767
+
+
+def write_sheet(df: DataFrame, target: str, name: str = "Sheet1") -> int:
+    """One spreadsheet file (xlsx) with a header row; the number of rows. Rows come to the driver one by one and are never held together.
+
+    Numbers stay numbers, booleans too; other values are text, cut at what a cell holds. More rows
+    than a sheet holds are an error, and the file is put in place only when it is whole.
+    """
+    kinds = [f.dataType.typeName() for f in df.schema.fields]
+
+    def cell(value, kind: str) -> str:
+        if value is None:
+            return "<c/>"
+        if kind == "boolean":
+            return f'<c t="b"><v>{int(value)}</v></c>'
+        if kind in ("byte", "short", "integer", "long", "float", "double", "decimal") and str(value) not in ("nan", "inf", "-inf"):
+            return f"<c><v>{value}</v></c>"
+        plain = re.sub(r"[^\t\n\r\x20-\uD7FF\uE000-\uFFFD\U00010000-\U0010FFFF]", "", str(value))[:CELL_CHARS]
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(plain)}</t></is></c>'
+
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    parts = "http://schemas.openxmlformats.org/package/2006"
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    fixed = {
+        "[Content_Types].xml": f'<Types xmlns="{parts}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{parts}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="{escape(name)}" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{parts}/relationships"><Relationship Id="r1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+    }
+    n, fresh = 0, f"{target}.staged"
+    try:
+        with zipfile.ZipFile(fresh, "w", zipfile.ZIP_DEFLATED) as book:
+            for path, body in fixed.items():
+                book.writestr(path, f'<?xml version="1.0" encoding="UTF-8"?>{body}')
+            with book.open("xl/worksheets/sheet1.xml", "w") as sheet:
+                sheet.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{main}"><sheetData><row>{"".join(cell(c, "string") for c in df.columns)}</row>'.encode())
+                for row in df.toLocalIterator():
+                    n += 1
+                    if n >= SHEET_ROWS:
+                        raise ValueError(f"a sheet holds {SHEET_ROWS} rows")
+                    sheet.write(f"<row>{''.join(map(cell, row, kinds))}</row>".encode())
+                sheet.write(b"</sheetData></worksheet>")
+        os.replace(fresh, target)
+    finally:
+        if os.path.exists(fresh):
+            os.remove(fresh)
+    return n

@@ -1,7 +1,9 @@
 """Golden cases of documents, staged commits, aligned tables, leases and run folders."""
 
 import json
+import zipfile
 from datetime import UTC, datetime, timedelta
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +95,29 @@ def test_strict_json_lines(spark, tmp_path):
     file.write_text('{"a": 1}\n{"a": \n')
     with pytest.raises(Exception, match="a.jsonl:2: no JSON"):
         files.read_json_objects(spark, str(file), "a int").collect()
+
+
+def test_sheet(spark, tmp_path):
+    target = tmp_path / "t.xlsx"
+    df = spark.createDataFrame([(1, 2.5, "a <b> & \x01c\nd", True, None), (None, float("nan"), "漢" * 40_000, False, [1, 2])], "i long, x double, s string, b boolean, l array<int>")
+    assert files.write_sheet(df, str(target), "Name & more") == 2
+    with zipfile.ZipFile(target) as book:
+        assert all(ElementTree.fromstring(book.read(n)) is not None for n in book.namelist())
+        ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+        rows = ElementTree.fromstring(book.read("xl/worksheets/sheet1.xml")).findall(".//m:row", ns)
+    cells = [["".join(c.itertext()) for c in r] for r in rows]
+    assert cells[0] == ["i", "x", "s", "b", "l"] and cells[1] == ["1", "2.5", "a <b> & c\nd", "1", ""]
+    assert cells[2][1] == "nan" and len(cells[2][2]) == files.CELL_CHARS and cells[2][3:] == ["0", "[1, 2]"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t.xlsx"]
+
+
+def test_images_within_pages(spark):
+    pages = spark.createDataFrame([("u", '<img src="//i/1">', ["//i/1", "//i/2"])], "url string, html string, resources array<string>")
+    stored = spark.createDataFrame([("//i/1", "image/png", b"abc")], "resource string, mime string, content binary")
+    assert publishing.with_assets(pages, publishing.data_uris(stored)).first().html == '<img src="data:image/png;base64,YWJj">'
+
+
+def test_lists_of_leading_blocks(spark):
+    text = "---\na: [x, 'y z', \"q\"]\nb:\n  - one\n  - 'two: 2'\nc: single\nd: []\n---\nb:\n- no"
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(*[publishing.list_field("t", k) for k in "abcde"]).first()[:] == (["x", "y z", "q"], ["one", "two: 2"], ["single"], [], [])
