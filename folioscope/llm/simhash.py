@@ -25,21 +25,23 @@ CHUNK, CELL_PIVOTS = 8192, 3
 def fingerprint(text: str, shingle: int = 3) -> int:
     """SimHash of a text's word shingles: ASCII lower case, words between ASCII white space."""
     words = text.encode("utf-8").lower().split()
-    if not words:
+    n = len(words)
+    if not n:
         return 0
-    if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], dtype=np.uint64)
+    joined = b" ".join(words)
+    del words  # a long text's words are held once
+    if n <= shingle:
+        starts, ends = np.zeros(1, np.int64), np.array([len(joined)])
     else:
-        joined = memoryview(b" ".join(words))
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[: len(words) - shingle + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+        space = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+        starts, ends = np.r_[0, space + 1][: n - shingle + 1], np.r_[space, len(joined)][shingle - 1 :]
+    view, digest = memoryview(joined), xxhash.xxh64_intdigest
     ones = np.zeros(BITS, np.int64)
-    for k in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    for k in range(0, len(starts), 1 << 14):
+        some = zip(starts[k : k + (1 << 14)].tolist(), ends[k : k + (1 << 14)].tolist(), strict=True)
+        hashes = np.fromiter((digest(view[a:b], SEED) for a, b in some), np.uint64)
+        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
