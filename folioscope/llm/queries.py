@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscope.llm import ann, bpe, langid, licenses, line_dedup, lm_score, packing, secrets, simhash, topk
+from folioscope.llm import ann, bpe, conversations, langid, licenses, line_dedup, lm_score, packing, secrets, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,10 +56,15 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversations.repair(conversations.damaged(_table(spark, sf_dir, "conversations")))
+    return found.select("*", F.sha2(F.array_join("lines", "\n"), 256).alias("repaired_sha256")).drop("lines")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_line_dedup, op2_neighbours, op3_packing, op4_secrets, op5_language, op6_near_duplicates, op7_lm_score, op8_bpe, op9_licenses, op10_top_k)
+    own = (op1_line_dedup, op2_neighbours, op3_packing, op4_secrets, op5_language, op6_near_duplicates, op7_lm_score, op8_bpe, op9_licenses, op10_top_k, op12_conversations)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -133,5 +138,51 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 """
 
 
+#: op12 in SQL: damage, faults, and the cheapest edits turn by turn with the lines that they leave.
+OP12_SQL = """
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, i: xor(c >> 1, (c & 1) * 3988292384), x)) AS tab),
+k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: ascii(x)) AS bytes
+  FROM conversations),
+h AS (SELECT k.*, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1]), 4294967295), 4294967295) % 20 AS kind FROM k, tab),
+r AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM h JOIN (VALUES (1), (2)) AS n(copy) ON kind <> 0 AND (copy = 1 OR kind = 3)),
+f AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM r),
+g AS (
+  SELECT *, role[1] AS i, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY place) AS before,
+    CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM f),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE before || i NOT IN ('su', 'ua', 'au')) AS illegal, max(place) AS n FROM g GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS pos, n, {'c': CAST(0 AS BIGINT), 'a': '', 't': CAST([] AS VARCHAR[])} AS s0, {'c': CAST(1000000000 AS BIGINT), 'a': '', 't': CAST([] AS VARCHAR[])} AS s1,
+    {'c': CAST(3 AS BIGINT), 'a': 'I', 't': ['user:']} AS s2, {'c': CAST(6 AS BIGINT), 'a': 'II', 't': ['user:', 'assistant:']} AS s3 FROM counts
+  UNION ALL
+  SELECT conv_id, place, n, m0, m1, u, list_sort([m3, {'c': u.c + 3, 'a': u.a || 'I', 't': list_append(u.t, 'assistant:')}])[1]
+  FROM (
+    SELECT *, list_sort([m2] || list_transform([m0, m1, m3], lambda m: {'c': m.c + 3, 'a': m.a || 'I', 't': list_append(m.t, 'user:')}))[1] AS u
+    FROM (
+      SELECT w.conv_id, g.place, w.n,
+        {'c': s0.c + 4, 'a': s0.a || 'D', 't': s0.t} AS m0,
+        list_sort([{'c': s1.c + 4, 'a': s1.a || 'D', 't': s1.t}, {'c': s0.c + e + CASE WHEN i = 's' THEN 0 ELSE 1000000000 END, 'a': s0.a || 'K', 't': list_append(s0.t, role || ':' || text)}])[1] AS m1,
+        list_sort([{'c': s2.c + 4, 'a': s2.a || 'D', 't': s2.t}]
+          || list_transform([s0, s1, s3], lambda s: {'c': s.c + e + CASE WHEN i = 'u' THEN 0 ELSE 1000000000 END, 'a': s.a || 'K', 't': list_append(s.t, role || ':' || text)})
+          || list_transform([s0, s1, s3], lambda s: {'c': s.c + e + 3, 'a': s.a || 'R', 't': list_append(s.t, 'user:' || text)}))[1] AS m2,
+        list_sort([{'c': s3.c + 4, 'a': s3.a || 'D', 't': s3.t},
+          {'c': s2.c + e + CASE WHEN i = 'a' THEN 0 ELSE 1000000000 END, 'a': s2.a || 'K', 't': list_append(s2.t, role || ':' || text)},
+          {'c': s2.c + e + 3, 'a': s2.a || 'R', 't': list_append(s2.t, 'assistant:' || text)}])[1] AS m3
+      FROM walk w JOIN (SELECT *, CASE fault WHEN 'truncated' THEN 3 WHEN '' THEN 0 ELSE 1000000000 END AS e FROM g) g ON w.conv_id IS NOT DISTINCT FROM g.conv_id AND g.place = w.pos + 1))),
+ends AS (SELECT conv_id, list_sort([s0, s3])[1] AS best FROM walk WHERE pos = n)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON o.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secrets": _op4_sql(), "op7_lm_score": OP7_SQL, "op10_top_k": OP10_SQL}
+    return {"op4_secrets": _op4_sql(), "op7_lm_score": OP7_SQL, "op10_top_k": OP10_SQL, "op12_conversations": OP12_SQL}
