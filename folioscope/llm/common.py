@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
@@ -52,3 +53,32 @@ def ship(df: DataFrame, path: str) -> str:
 
 def shipped(name: str) -> str:
     return SparkFiles.get(name)
+
+
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def joined_words(text: str) -> tuple[bytes, np.ndarray]:
+    """A text's words in ASCII lower case, each joined to the next by one space, and where those spaces are.
+
+    Words are what stands between ASCII white space; their edges are found on the bytes, so that no
+    list of words is held.
+    """
+    raw = np.frombuffer(text.encode("utf-8").lower(), np.uint8)
+    white = _WHITE[raw]
+    ends = np.flatnonzero(white[1:] & ~white[:-1]) + 1
+    keep = ~white
+    keep[ends] = True  # one white byte behind each word
+    joined = np.where(white, np.uint8(32), raw)[keep]
+    if len(joined) and white[-1] and joined[-1] == 32:
+        joined = joined[:-1]
+    return joined.tobytes(), np.flatnonzero(joined == 32)
+
+
+def shingle_bounds(joined: bytes, spaces: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the shingles of so many words start and end in joined words; fewer words are one, none give none."""
+    n = len(spaces) + 1 if joined else 0
+    if n <= words:
+        return np.zeros(min(n, 1), np.int64), np.full(min(n, 1), len(joined), np.int64)
+    return np.r_[0, spaces + 1][: n - words + 1], np.r_[spaces, len(joined)][words - 1 :]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscope.llm import ann, bpe, conversations, langid, licenses, line_dedup, lm_score, packing, secrets, simhash, topk
+from folioscope.llm import alignment, ann, bpe, conversations, langid, licenses, line_dedup, lm_score, minmax, packing, secrets, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,15 +56,23 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op11_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(_table(spark, sf_dir, "documents"), percent=85, words=5)
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = conversations.repair(conversations.damaged(_table(spark, sf_dir, "conversations")))
     return found.select("*", F.sha2(F.array_join("lines", "\n"), 256).alias("repaired_sha256")).drop("lines")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_line_dedup, op2_neighbours, op3_packing, op4_secrets, op5_language, op6_near_duplicates, op7_lm_score, op8_bpe, op9_licenses, op10_top_k, op12_conversations)
+    own = (op1_line_dedup, op2_neighbours, op3_packing, op4_secrets, op5_language, op6_near_duplicates, op7_lm_score, op8_bpe, op9_licenses, op10_top_k, op11_min_max, op12_conversations, op13_alignment)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -138,6 +146,22 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 """
 
 
+#: op11 in SQL: shared shingles of all pairs that share one, and what links reach.
+OP11_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+t AS (SELECT doc_id, len(w) AS n, CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])) END AS s FROM d),
+g AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS h FROM t),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM g a JOIN g b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+r AS (SELECT doc_id, doc_id AS low FROM t UNION SELECT e.v, r.low FROM r JOIN e ON r.doc_id = e.u WHERE r.low < e.v),
+c AS (SELECT doc_id, min(low) AS component_id FROM r GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, t.doc_id = component_id AS kept FROM t JOIN c USING (doc_id)
+"""
+
+
 #: op12 in SQL: damage, faults, and the cheapest edits turn by turn with the lines that they leave.
 OP12_SQL = """
 WITH RECURSIVE tab AS (
@@ -185,4 +209,4 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON o.conv
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secrets": _op4_sql(), "op7_lm_score": OP7_SQL, "op10_top_k": OP10_SQL, "op12_conversations": OP12_SQL}
+    return {"op4_secrets": _op4_sql(), "op7_lm_score": OP7_SQL, "op10_top_k": OP10_SQL, "op11_min_max": OP11_SQL, "op12_conversations": OP12_SQL}

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folioscope.llm.common import cut_lineage, id_and_text, shuffle_partitions, sliced_texts
+from folioscope.llm.common import cut_lineage, id_and_text, joined_words, shingle_bounds, shuffle_partitions, sliced_texts
 
 BITS = 64
 SEED = 42
@@ -24,17 +24,10 @@ CHUNK, CELL_PIVOTS = 8192, 3
 
 def fingerprint(text: str, shingle: int = 3) -> int:
     """SimHash of a text's word shingles: ASCII lower case, words between ASCII white space."""
-    words = text.encode("utf-8").lower().split()
-    n = len(words)
-    if not n:
+    joined, spaces = joined_words(text)
+    if not joined:
         return 0
-    joined = b" ".join(words)
-    del words  # a long text's words are held once
-    if n <= shingle:
-        starts, ends = np.zeros(1, np.int64), np.array([len(joined)])
-    else:
-        space = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-        starts, ends = np.r_[0, space + 1][: n - shingle + 1], np.r_[space, len(joined)][shingle - 1 :]
+    starts, ends = shingle_bounds(joined, spaces, shingle)
     view, digest = memoryview(joined), xxhash.xxh64_intdigest
     ones = np.zeros(BITS, np.int64)
     for k in range(0, len(starts), 1 << 14):

@@ -16,6 +16,6 @@ def test_query(spark, name):
     want = con.sql(queries.oracle_sql()[name])
     df = queries.queries()[name](spark, SF)
     got = df.select(*want.columns)
-    kinds = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double"}
+    kinds = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean"}
     assert {c: kinds[str(t)] for c, t in zip(want.columns, want.types, strict=True)} == dict(got.dtypes)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
