@@ -56,6 +56,7 @@ class WordPieces:
         pieces = [self.model.id_to_piece(i) for i in range(size)]
         self.bytes_of = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace(_MARK, " ").encode() for p in pieces]
         self.by_word = not any(re.search(f"[^{_MARK}]{_MARK}", p) for p in pieces)
+        self.space = self.model.piece_to_id(_MARK)
         self.known: dict[str, np.ndarray] = {}
 
     def encode(self, text: str) -> np.ndarray:
@@ -66,7 +67,8 @@ class WordPieces:
         if len(self.known) + len(new) > KNOWN_WORDS:
             self.known, new = {}, list(set(words))
         for word, ids in zip(new, self.model.encode([w[1:] for w in new], num_threads=1), strict=True):
-            self.known[word] = np.asarray(ids, np.int32)
+            # an empty text has no pieces, but a space at a text's end is one
+            self.known[word] = np.asarray(ids if word != " " else [self.space], np.int32)
         return np.concatenate([self.known[w] for w in words])
 
 
