@@ -14,10 +14,21 @@ from pyspark.sql import Column, functions as F
 from folioscope.functions.text import _c
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Elements that act, load or ask; they go with their content (fixed values).
-ACTIVE = frozenset("script style noscript object embed applet form input button textarea select option base meta link template".split())
+#: Elements that act; the cleaner takes them out with their content, and `meta` that refreshes (fixed values).
+ACTIVE = frozenset("script object embed base".split())
+#: Elements without text to read.
+SILENT = frozenset("script style noscript template object embed link meta head title".split())
 BLOCKS = frozenset("address article aside blockquote div dl dt dd fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul".split())
-URL_ATTRIBUTES = frozenset("href src data-src poster action formaction background".split())
+#: Attributes that hold one URL (fixed values).
+URL_ATTRIBUTES = frozenset("action formaction href poster src xlink:href".split())
+#: Bars under an article, by id and class (fixed values).
+BAR_IDS, BAR_CLASS = frozenset(("content_bottom_area", "js_article_bottom_bar")), "__bottom-bar__"
+#: Within a table of Markdown: elements that stay, elements that go with their content, and attributes that stay, on any element and on some (fixed values).
+TABLE_TAGS = frozenset("a b blockquote br caption code col colgroup del em i img li ol p pre s span strong table tbody td tfoot th thead tr ul".split())
+TABLE_DROPS = frozenset("base embed iframe link math meta noscript object script style svg".split())
+TABLE_ATTRIBUTES = {"": frozenset("align colspan rowspan scope span".split()), "a": frozenset("href title".split()), "img": frozenset("alt height src title width".split())}
+#: Images that may stand in the URL itself (fixed values).
+RASTER = re.compile(r"data:image/(?:avif|bmp|gif|jpe?g|png|webp);base64,[a-z0-9+/]+=*", re.I)
 #: Deepest nesting that is followed; deeper elements are read as children of the last one.
 DEEPEST = 256
 
@@ -64,42 +75,85 @@ def parse(source: str) -> Node:
     return tree.root
 
 
-def safe_url(value: str) -> bool:
-    plain = re.sub(r"[\x00-\x20]+", "", entities.unescape(value)).lower()
-    scheme = re.match(r"([a-z][a-z0-9+.-]*):", plain)
-    return not scheme or scheme[1] in ("http", "https", "mailto", "tel") or plain.startswith("data:image/")
+def _compact(value: str) -> str:
+    return re.sub(r"[\x00-\x20]+", "", value)
+
+
+def safe_attribute(tag: str, name: str, value: str) -> bool:
+    """Whether an attribute neither runs anything nor loads what runs; data URLs are for the source of an image only."""
+    if name.startswith("on") or name == "srcdoc" or not re.fullmatch(r"[a-z_:@][\w:.@-]*", name):
+        return False
+    plain = _compact(value).lower()
+    if name == "srcset":
+        return not re.search("(?:javascript|vbscript|data):", plain)
+    if name not in URL_ATTRIBUTES:
+        return True
+    if plain.startswith("data:"):
+        return tag == "img" and name == "src" and plain.startswith("data:image/")
+    return not plain.startswith(("javascript:", "vbscript:"))
+
+
+def safe_link(value: str, mail: bool = True, raster: bool = False) -> bool:
+    """Whether a URL of Markdown leads to a page, a message or, with raster, to an image of dots."""
+    plain = _compact(value)
+    if plain.lower().startswith("data:"):
+        return raster and RASTER.fullmatch(plain) is not None
+    scheme = re.match(r"([a-z][a-z0-9+.-]*):", plain, re.I)
+    return bool(plain) and (not scheme or scheme[1].lower() in ("http", "https", *(["mailto"] if mail else [])))
+
+
+def _element(node: Node, attrs: list[tuple[str, str]], inner: str) -> str:
+    return f"<{node.tag}{''.join(f' {k}=\"{entities.escape(v)}\"' for k, v in attrs)}>" + ("" if node.tag in VOID else f"{inner}</{node.tag}>")
 
 
 def _write(node: Node | str) -> str:
     if isinstance(node, str):
         return entities.escape(node, quote=False)
-    inner = "".join(map(_write, node.children))
-    if not node.tag:
-        return inner
-    if node.tag in ACTIVE:
+    tag = node.tag
+    if tag in ACTIVE or (tag == "meta" and (node.get("http-equiv") or "").strip().lower() == "refresh"):
+        return ""
+    if tag in ("set", "animate") and _compact(node.get("attributename") or "").lower().endswith("href"):
         return ""
-    kept = []
-    for k, v in node.attrs:
-        if k.startswith("on") or k == "srcdoc" or (k in URL_ATTRIBUTES and not safe_url(v or "")) or (k == "style" and re.search(r"expression\s*\(|javascript:|url\s*\(", v or "", re.I)):
-            continue
-        kept.append(f' {k}="{entities.escape(v or "")}"')
-    if node.tag == "iframe":
-        kept = [a for a in kept if not a.startswith(" sandbox=")] + [' sandbox="allow-scripts allow-same-origin"']
-    if node.tag == "img" and node.get("src") is None and safe_url(node.get("data-src") or "javascript:"):
-        kept.append(f' src="{entities.escape(node.get("data-src") or "")}"')
-    return f"<{node.tag}{''.join(kept)}>" + ("" if node.tag in VOID else f"{inner}</{node.tag}>")
+    # a sheet is no markup, and must be none where it stands in a drawing
+    inner = "".join(str(c) for c in node.children).replace("<", "\\3c ") if tag == "style" else "".join(map(_write, node.children))
+    if not tag:
+        return inner
+    attrs = [(k, v or "") for k, v in node.attrs if safe_attribute(tag, k, v or "")]
+    if tag == "iframe":
+        attrs = [(k, v) for k, v in attrs if k not in ("sandbox", "referrerpolicy", "allow")] + [("sandbox", ""), ("referrerpolicy", "no-referrer")]
+    if tag == "img" and not node.get("src") and node.get("data-src") and safe_attribute("img", "src", node.get("data-src") or ""):
+        attrs = [(k, v) for k, v in attrs if k != "src"] + [("src", node.get("data-src") or "")]
+    return _element(node, attrs, inner)
 
 
 def sanitise(source: str) -> str:
-    """HTML without active elements, event handlers and unsafe URLs; lazy images get their source, frames a sandbox."""
+    """HTML without active elements, event handlers and unsafe URLs; lazy images get their source, frames an empty sandbox."""
     return _write(parse(source))
 
 
+def _is_bar(node: Node) -> bool:
+    return node.get("id") in BAR_IDS or BAR_CLASS in (node.get("class") or "").split()
+
+
+def _table(node: Node | str) -> str:
+    """A table as it may stand in Markdown: known elements with known attributes and safe URLs; of others the content."""
+    if isinstance(node, str):
+        return entities.escape(node, quote=False)
+    if node.tag in TABLE_DROPS or _is_bar(node):
+        return ""
+    inner = "".join(map(_table, node.children))
+    if node.tag not in TABLE_TAGS:
+        return inner
+    known = TABLE_ATTRIBUTES[""] | TABLE_ATTRIBUTES.get(node.tag, frozenset())
+    attrs = [(k, v or "") for k, v in node.attrs if k in known and (k != "href" or safe_link(v or "")) and (k != "src" or safe_link(v or "", mail=False, raster=True))]
+    return _element(node, attrs, inner)
+
+
 def _text(node: Node | str, out: list[str]) -> None:
     if isinstance(node, str):
         out.append(node)
         return
-    if node.tag in ACTIVE or node.tag in ("head", "title"):
+    if node.tag in SILENT:
         return
     block = node.tag in BLOCKS or node.tag == "br"
     if block:
@@ -126,7 +180,7 @@ def _markdown(node: Node | str, depth: int = 0, mark: str = "-") -> str:
     if isinstance(node, str):
         return re.sub(r"([\\`*_\[\]])", r"\\\1", node)
     tag, children = node.tag, node.children
-    if tag in ACTIVE or tag in ("head", "title"):
+    if tag in SILENT or _is_bar(node):
         return ""
     if re.fullmatch("h[1-6]", tag):
         return f"\n\n{'#' * int(tag[1])} {_inline(children).strip()}\n\n"
@@ -140,10 +194,10 @@ def _markdown(node: Node | str, depth: int = 0, mark: str = "-") -> str:
         return "\n\n* * *\n\n"
     if tag == "a":
         href, inner = node.get("href") or "", _inline(children).strip()
-        return f"[{inner}]({href})" if href and safe_url(href) else inner
+        return f"[{inner}]({href})" if safe_link(href) else inner
     if tag == "img":
         src = node.get("src") or node.get("data-src") or ""
-        return f"![{node.get('alt') or ''}]({src})" if src and safe_url(src) else ""
+        return f"![{node.get('alt') or ''}]({src})" if safe_link(src, mail=False, raster=True) else ""
     if tag in ("code", "kbd") and not any(isinstance(c, Node) for c in children):
         return f"`{''.join(children)}`"
     if tag == "pre":
@@ -151,7 +205,7 @@ def _markdown(node: Node | str, depth: int = 0, mark: str = "-") -> str:
         _text(node, out)
         return f"\n\n```\n{''.join(out).strip()}\n```\n\n"
     if tag == "table":
-        return f"\n\n{_write(node)}\n\n"
+        return f"\n\n{_table(node)}\n\n"
     if tag in ("ul", "ol"):
         items = [c for c in children if isinstance(c, Node) and c.tag == "li"]
         lines = []
@@ -167,7 +221,7 @@ def _markdown(node: Node | str, depth: int = 0, mark: str = "-") -> str:
 
 
 def to_markdown(source: str) -> str:
-    """Markdown with # headings, dashes, fenced code; tables stay as sanitised HTML."""
+    """Markdown with # headings, dashes, fenced code; tables stay as HTML of few elements; bars and images that could run go."""
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n(?! )", lambda m: "  \n" if m[0].startswith("  ") else "\n", _markdown(parse(source)))).strip()
 
 

@@ -152,10 +152,13 @@ def search_results(page: Column | str) -> Column:
 
 
 def ranked_candidates(pages: DataFrame, page: str, name: str, floor: Column, order: str, most: int = 300) -> DataFrame:
-    """Hits of an account over result pages in the order of a column: of one title and time the last counts, newest first, `most` of them; hits without a time last."""
+    """Hits of an account over result pages in the order of a column: of one document id, or else of one account, time and title, the last counts; newest first, `most` of them; hits without a time last."""
     rows = pages.withColumn("__i", F.col(order)).select("__i", F.posexplode(search_results(page)).alias("__k", "r")).select("__i", "__k", "r.*")
     mine = rows.filter(wanted_candidate(F.col("account"), name, F.col("epoch"), floor))
-    w = W.partitionBy("title", "epoch").orderBy(F.desc("__i"), F.desc("__k"))
+    identity = F.when(F.col("document_id") != "", F.struct("document_id", F.lit(None).cast("string").alias("a"), F.lit(None).cast("long").alias("e"), F.lit(None).cast("string").alias("t"))).otherwise(
+        F.struct(F.lit(None).cast("string").alias("document_id"), F.col("account").alias("a"), F.col("epoch").alias("e"), F.col("title").alias("t"))
+    )
+    w = W.partitionBy(identity).orderBy(F.desc("__i"), F.desc("__k"))
     return mine.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n").orderBy(F.desc("epoch"), "__i", "__k").limit(most).drop("__i", "__k")
 
 
@@ -185,10 +188,23 @@ def article_meta(page: Column | str) -> Column:
     )
 
 
+def _unescaped(x: Column) -> Column:
+    """A script string with \\xHH, \\uHHHH and quoted characters decoded; any other backslash stays."""
+    parts = F.regexp_extract_all(x, F.lit(r"(?s)(?:\\u[0-9a-fA-F]{4})+|\\x[0-9a-fA-F]{2}|\\.|[^\\]+|\\"), F.lit(0))
+    named = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"} | {c: c for c in "\\'\"/"}
+
+    def decoded(p: Column) -> Column:
+        code = F.when(p.rlike(r"^\\u[0-9a-fA-F]{4}"), F.replace(p, F.lit("\\u"), F.lit(""))).when(p.rlike(r"^\\x[0-9a-fA-F]{2}$"), F.concat(F.lit("00"), F.substring(p, 3, 2)))
+        plain = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for k, v in named.items() for v in (f"\\{k}", v)]), p), p)
+        return F.when(code.isNotNull(), F.decode(F.unhex(code), "UTF-16BE")).otherwise(plain)
+
+    return F.array_join(F.transform(parts, decoded), "")
+
+
 def joined_redirect(page: Column | str) -> Column:
-    """The URL that a redirect page puts together from `url += '...'` fragments."""
-    parts = F.regexp_extract_all(_c(page), F.lit(r"""url\s*\+=\s*["']([^"']*)["']"""), F.lit(1))
-    return F.replace(F.replace(F.array_join(parts, ""), F.lit("@"), F.lit("")), F.lit(r"\x26"), F.lit("&"))
+    """The URL that a redirect page puts together from `url += '...'` fragments, which may hold quoted characters."""
+    parts = F.regexp_extract_all(_c(page), F.lit(r"(?s)\burl\s*\+=\s*'([^'\\]*+(?:\\.[^'\\]*+)*+)'"), F.lit(1))
+    return F.array_join(F.transform(parts, _unescaped), "")
 
 
 def article_text(row: Column) -> Column:

@@ -17,6 +17,8 @@ SQL: dict[str, str] = {}
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"{f.__name__} is registered twice")
         QUERIES[f.__name__] = f
         if sql is not None:
             SQL[f.__name__] = sql
@@ -410,6 +412,36 @@ def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", html.html_markdown("html").alias("markdown"))
 
 
+#: Parts of pages with what the cleaner and Markdown make of them; {s} is a document's source, {i} its id. A part stands in the pages whose id its divisor divides.
+HOSTILE = (
+    (1, "<p onclick=\"x('{i}')\" style=\"background:url(/{i})\">{s} &amp; {i}</p>", "<p style=\"background:url(/{i})\">{s} &amp; {i}</p>", "{s} & {i}"),
+    (2, "<script>bad({i})</script><object data=\"/x\"><p>in</p></object><base href=\"/b\"><meta http-equiv=\"Refresh\" content=\"0\">", "", None),
+    (3, "<p><a href=\"java\nscript:{i}\" title=\"t\">{s}</a></p>", "<p><a title=\"t\">{s}</a></p>", "{s}"),
+    (4, "<p><a href=\"data:image/svg+xml,{i}\" xlink:href=\" vbscript:x\">a{i}</a></p>", "<p><a>a{i}</a></p>", "a{i}"),
+    (5, "<p><img src=\"data:image/png;base64,iVBORw0KGgo=\" alt=\"{s}\" srcset=\"javascript:x 1x\" onerror=\"y()\"></p>", "<p><img src=\"data:image/png;base64,iVBORw0KGgo=\" alt=\"{s}\"></p>", "![{s}](data:image/png;base64,iVBORw0KGgo=)"),
+    (6, "<iframe src=\"https://v.example/{i}\" srcdoc=\"x\" allow=\"camera\" sandbox=\"allow-scripts\"></iframe>", "<iframe src=\"https://v.example/{i}\" sandbox=\"\" referrerpolicy=\"no-referrer\"></iframe>", None),
+    (7, "<form action=\"javascript:x\"><input value=\"{i}\" formaction=\"/ok\"></form>", "<form><input value=\"{i}\" formaction=\"/ok\"></form>", None),
+    (8, "<div class=\"a __bottom-bar__\"><img src=\"data:image/svg+xml;base64,TT4=\"></div><div id=\"content_bottom_area\">bar</div>", "<div class=\"a __bottom-bar__\"><img src=\"data:image/svg+xml;base64,TT4=\"></div><div id=\"content_bottom_area\">bar</div>", None),
+    (9, "<table onclick=\"x()\" style=\"a\"><tr><td colspan=\"2\"><form>{s}</form><img src=\"images/{i}.png\" class=\"c\"><img src=\"data:image/svg+xml;base64,TT4=\"><svg>q</svg><a href=\"javascript:y\">l</a></td></tr></table>",
+     "<table style=\"a\"><tr><td colspan=\"2\"><form>{s}</form><img src=\"images/{i}.png\" class=\"c\"><img src=\"data:image/svg+xml;base64,TT4=\"><svg>q</svg><a>l</a></td></tr></table>",
+     "<table><tr><td colspan=\"2\">{s}<img src=\"images/{i}.png\"><img><a>l</a></td></tr></table>"),
+    (10, "<style>p > a{}</style><h2>{s}</h2>", "<style>p > a{}</style><h2>{s}</h2>", "## {s}"),
+    (11, "<p><img data-src=\"https://i.example/{i}\" alt=\"z\"></p>", "<p><img data-src=\"https://i.example/{i}\" alt=\"z\" src=\"https://i.example/{i}\"></p>", "![z](https://i.example/{i})"),
+)
+
+
+def _hostile_sql(part: int) -> str:
+    quoted = [(n, (p[part] or "").replace("'", "''")) for n, *p in HOSTILE if p[part]]
+    return ", ".join(f"CASE WHEN doc_id % {n} = 0 THEN replace(replace('{t}', '{{s}}', source), '{{i}}', CAST(doc_id AS VARCHAR)) END" for n, t in quoted)
+
+
+@query(f"""SELECT doc_id, concat_ws('', {_hostile_sql(1)}) AS clean, concat_ws(chr(10) || chr(10), {_hostile_sql(2)}) AS markdown FROM documents""")
+def hostile_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id").cast("string")
+    page = F.concat(*[F.when(F.col("doc_id") % n == 0, F.replace(F.replace(F.lit(p[0]), F.lit("{s}"), F.col("source")), F.lit("{i}"), i)).otherwise("") for n, *p in HOSTILE])
+    return load(spark, sf_dir, "documents").select("doc_id", html.html_clean(page).alias("clean"), html.html_markdown(page).alias("markdown"))
+
+
 @query("""WITH t AS (SELECT doc_id, trim(regexp_replace(nfc_normalize(text), '[\\s\\p{Z}]+', ' ', 'g')) AS title FROM documents) SELECT doc_id, md5(title) AS title, md5(regexp_replace(lower(title), '[\\s\\p{Z}\\p{P}\\p{S}]+', '', 'g')) AS relaxed FROM t""")
 def relaxed_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.md5(text.title_key("text")).alias("title"), F.md5(text.relaxed_title_key("text")).alias("relaxed"))
@@ -425,17 +457,13 @@ def noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.lines(load(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "line_no", names.is_noise("line").alias("noise"))
 
 
-#: Names with the reason for which each is doubted.
-DOUBTED = (
-    ("x", "invalid_length"), ("总结", "chapter_heading"), ("平台：Steam", "metadata_label"), ("Some Game。", "sentence_punctuation"), ("这是什么?", "sentence_question"), ("Game www.x.y", "url"),
-    ("Game  Ltd", "inline_publisher_suffix"), ("这个产品整体可以让玩家很开心啊", "sentence_like"), ("Plain name", ""), ("发行商：", "chapter_heading,metadata_label,sentence_punctuation"),
-)
-
-
-@query(f"""SELECT p_partkey, [{', '.join(f"'{reason}'" for _, reason in DOUBTED)}][CAST(p_partkey % {len(DOUBTED)} + 1 AS INTEGER)] AS reasons FROM part""")
+@query("""WITH n AS (SELECT doc_id, length(source) + CASE WHEN doc_id % 7 = 0 THEN 3 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 8 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 5 ELSE 0 END + CASE WHEN doc_id % 11 = 0 THEN 80 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS size FROM documents)
+SELECT doc_id, concat_ws(',', CASE WHEN size > 80 THEN 'invalid_length' END, CASE WHEN doc_id % 7 = 0 THEN 'metadata_label' END, CASE WHEN doc_id % 2 = 0 THEN 'sentence_punctuation' END, CASE WHEN doc_id % 3 = 0 THEN 'url' END, CASE WHEN doc_id % 5 = 0 THEN 'inline_publisher_suffix' END) AS reasons FROM n""")
 def suspicious_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.array(*[F.lit(n) for n, _ in DOUBTED])[(F.col("p_partkey") % len(DOUBTED)).cast("int")]
-    return load(spark, sf_dir, "part").select("p_partkey", F.array_join(names.suspicious(name), ",").alias("reasons"))
+    i = F.col("doc_id")
+    part = lambda n, x: F.when(i % n == 0, x).otherwise("")
+    name = F.concat(part(7, "平台："), "source", part(3, " www.x.y"), part(11, F.repeat(F.lit("x"), 80)), part(5, "  Ltd"), part(2, "。"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(names.suspicious(name), ",").alias("reasons"))
 
 
 @query(f"""SELECT doc_id, {ALIAS_CASE} AS publisher FROM documents""")
@@ -470,17 +498,6 @@ def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(*[f"{c}_count" for c in counts], "unknown_publisher_ratio", "suspicious_name_ratio", "publisher_conflict_ratio", "status", F.array_join("failures", ",").alias("failures"), F.array_join("warnings", ",").alias("warnings"))
 
 
-@query(f"""WITH p AS (SELECT doc_id, {ALIAS_CASE} AS publisher, source AS name FROM documents), k AS (SELECT regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS key, count(DISTINCT publisher) AS n FROM p GROUP BY 1)
-SELECT count(*) AS product_record_count, count(*) FILTER (WHERE publisher IS NULL) AS unknown_publisher_count, (SELECT count(*) FROM k) AS unique_product_count, (SELECT count(*) FROM k WHERE n > 1) AS publisher_conflict_count,
-round(count(*) FILTER (WHERE publisher IS NULL) / count(*), 6) AS unknown_publisher_ratio, round((SELECT count(*) FROM k WHERE n > 1) / (SELECT count(*) FROM k), 6) AS publisher_conflict_ratio, 'pass' AS status FROM p""")
-def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = load(spark, sf_dir, "documents")
-    found = names.detect("text", ALIASES)
-    p = d.select("doc_id", F.col("source").alias("name"), F.coalesce(found, F.lit("")).alias("publisher"), F.filter(F.array(found), lambda x: x.isNotNull()).alias("candidates"))
-    m = quality.gate(quality.metrics(p, d.select("doc_id"), "doc_id"))
-    return m.select("product_record_count", "unknown_publisher_count", "unique_product_count", "publisher_conflict_count", "unknown_publisher_ratio", "publisher_conflict_ratio", "status")
-
-
 @query("""WITH d AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), g AS (SELECT l_partkey, count(*) AS n_values, string_agg(l_suppkey, ',' ORDER BY l_suppkey) AS vals FROM d GROUP BY l_partkey HAVING count(*) > 1),
 o AS (SELECT l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey) AS n FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem))
 SELECT l_partkey, n_values, vals, string_agg(l_orderkey, ',' ORDER BY l_orderkey) AS sources FROM g JOIN o USING (l_partkey) WHERE n <= 10 GROUP BY ALL""")

@@ -115,11 +115,11 @@ def frontmatter_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", *[blocks.frontmatter(page, k).alias(k) for k in ("title", "url", "account")])
 
 
-@query("""SELECT doc_id, 'https://a.b/s?x=' || doc_id || '&y=' || lang AS url, CASE WHEN doc_id % 4 = 0 THEN 'Confirmed' WHEN doc_id % 4 = 1 THEN 'Probable' ELSE 'Strongly linked' END AS confidence,
+@query("""SELECT doc_id, 'https://a.b/s?x=' || doc_id || '&y=me@' || lang || '''中\\n=z' AS url, CASE WHEN doc_id % 4 = 0 THEN 'Confirmed' WHEN doc_id % 4 = 1 THEN 'Probable' ELSE 'Strongly linked' END AS confidence,
 CASE doc_id % 4 WHEN 0 THEN '韩国' WHEN 1 THEN '芬兰' WHEN 2 THEN '可能香港/中国' ELSE '未知' END AS region, CASE doc_id % 4 WHEN 0 THEN false WHEN 1 THEN false END AS domestic FROM documents""")
 def redirects_and_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id") % 4
-    page = F.concat(F.lit("url += 'https://a.b/s?x='; url += '"), "doc_id", F.lit("\\x26y=@'; url += '"), "lang", F.lit("';"))
+    page = F.concat(F.lit("url += 'https://a.b/s?x='; url += '"), "doc_id", F.lit("\\x26y=me@'; url += '"), "lang", F.lit("\\'\\u4e2d\\\\n\\x3d'; url+='z';"))
     entity = F.when(n == 0, "X (韩国)").when(n == 1, "可能 Y").when(n == 2, "a/b").otherwise("Z")
     r = text.region(F.when(n == 0, "Wemade Co").when(n == 1, "Rovio Oy").when(n == 2, "Some Holdings").otherwise("Zed"))
     return load(spark, sf_dir, "documents").select("doc_id", articles.joined_redirect(page).alias("url"), articles.confidence(entity).alias("confidence"), r["region"].alias("region"), r["domestic"].alias("domestic"))
@@ -180,7 +180,7 @@ def publisher_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, source || chr(10) || lang || ' & bold go' || chr(10) || 'one' || chr(10) || doc_id || chr(10) || 'end' AS text,
-'<h1>' || source || '</h1><p>' || lang || ' &amp; <b>bold</b> <a href="https://a.b/' || doc_id || '">go</a></p><ul><li>one</li><li>' || doc_id || '</li></ul><img src="https://i/1" alt="pic"><p>end</p>' AS clean,
+'<h1>' || source || '</h1><p>' || lang || ' &amp; <b>bold</b> <a href="https://a.b/' || doc_id || '">go</a></p><style>p{}</style><ul><li>one</li><li>' || doc_id || '</li></ul><img src="https://i/1" alt="pic"><p>end</p>' AS clean,
 '# ' || source || chr(10) || chr(10) || lang || ' & **bold** [go](https://a.b/' || doc_id || ')' || chr(10) || chr(10) || '-   one' || chr(10) || '-   ' || doc_id || chr(10) || chr(10) || '![pic](https://i/1)' || chr(10) || chr(10) || 'end' AS markdown FROM documents""")
 def html_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")

@@ -70,12 +70,13 @@ def imported_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGE = '<ul><li d="%s"><h3><a href="/l?u=%s&amp;v=1"><em>%s</em> &amp; x</a></h3><span class="all-time-y2">%s</span><script>timeConvert(\'%s\')</script></li><li><h3>none</h3></li></ul>'
 
 
-@query("""WITH h AS (SELECT doc_id, source || ' & x' AS title, n_chars AS epoch FROM documents WHERE lang = 'en' AND n_chars >= 500),
-r AS (SELECT *, row_number() OVER (PARTITION BY title, epoch ORDER BY doc_id DESC) AS n FROM h)
-SELECT 'd' || doc_id AS document_id, title, '/l?u=' || doc_id || '&v=1' AS url, epoch FROM r WHERE n = 1 ORDER BY epoch DESC, doc_id LIMIT 300""")
+@query("""WITH h AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN 'd' || doc_id ELSE 'e' || doc_id % 40 END AS document_id, source || ' & x' AS title, n_chars % 100 + 450 AS epoch FROM documents WHERE lang = 'en' AND n_chars % 100 >= 50),
+r AS (SELECT *, row_number() OVER (PARTITION BY document_id, CASE WHEN document_id = '' THEN title || '/' || epoch END ORDER BY doc_id DESC) AS n FROM h)
+SELECT document_id, title, '/l?u=' || doc_id || '&v=1' AS url, epoch FROM r WHERE n = 1 ORDER BY epoch DESC, doc_id LIMIT 300""")
 def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id").cast("string")
-    pages = doc(spark, sf_dir).select("doc_id", F.format_string(PAGE, F.concat(F.lit("d"), i), i, F.col("source"), F.col("lang"), F.col("n_chars")).alias("page"))
+    document = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.concat(F.lit("d"), i)).otherwise(F.concat(F.lit("e"), F.col("doc_id") % 40))
+    pages = doc(spark, sf_dir).select("doc_id", F.format_string(PAGE, document, i, F.col("source"), F.col("lang"), F.col("n_chars") % 100 + 450).alias("page"))
     return articles.ranked_candidates(pages, "page", "en", F.lit(500), "doc_id").select("document_id", "title", "url", "epoch")
 
 

@@ -101,8 +101,9 @@ def renumber(rows: DataFrame, order: str, into: str = "pos") -> DataFrame:
 
 
 def _digest(df: DataFrame) -> tuple:
-    """Rows and an order-free hash of a table, combined on the executors."""
-    return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64(*df.columns)), F.sum(F.pmod(F.xxhash64(F.lit(1), *df.columns), F.lit(1 << 31)))).first())
+    """Rows and an order-free hash of a table, combined on the executors. A map is hashed as its JSON."""
+    own = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64(*own)), F.sum(F.pmod(F.xxhash64(F.lit(1), *own), F.lit(1 << 31)))).first())
 
 
 def write_staged(df: DataFrame, target: str, fmt: str = "parquet", least_rows: int = 0, after: Callable[[str], None] | None = None) -> int:
@@ -174,10 +175,13 @@ SHEET_ROWS, CELL_CHARS = 1_048_576, 32_767
 def write_sheet(df: DataFrame, target: str, name: str = "Sheet1") -> int:
     """One spreadsheet file (xlsx) with a header row; the number of rows. Rows come to the driver one by one and are never held together.
 
-    Numbers stay numbers, booleans too; other values are text, cut at what a cell holds. More rows
-    than a sheet holds are an error, and the file is put in place only when it is whole.
+    Numbers stay numbers, booleans too; other values are text. More rows than a sheet holds, or a
+    text longer than a cell holds, are an error that names the place: nothing is cut. The file is put
+    in place only when it is whole. It is one file on the driver's disk, of 1,048,575 rows at most;
+    larger tables go through write_table.
     """
     kinds = [f.dataType.typeName() for f in df.schema.fields]
+    n = 0
 
     def cell(value, kind: str) -> str:
         if value is None:
@@ -186,7 +190,9 @@ def write_sheet(df: DataFrame, target: str, name: str = "Sheet1") -> int:
             return f'<c t="b"><v>{int(value)}</v></c>'
         if kind in ("byte", "short", "integer", "long", "float", "double", "decimal") and str(value) not in ("nan", "inf", "-inf"):
             return f"<c><v>{value}</v></c>"
-        plain = re.sub(r"[^\t\n\r\x20-\uD7FF\uE000-\uFFFD\U00010000-\U0010FFFF]", "", str(value))[:CELL_CHARS]
+        plain = re.sub(r"[^\t\n\r\x20-\uD7FF\uE000-\uFFFD\U00010000-\U0010FFFF]", "", str(value))
+        if len(plain) > CELL_CHARS:
+            raise ValueError(f"row {n}: a cell holds {CELL_CHARS} characters, not {len(plain)}")
         return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(plain)}</t></is></c>'
 
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -199,7 +205,7 @@ def write_sheet(df: DataFrame, target: str, name: str = "Sheet1") -> int:
         "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="{escape(name)}" sheetId="1" r:id="r1"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{parts}/relationships"><Relationship Id="r1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
     }
-    n, fresh = 0, f"{target}.staged"
+    fresh = f"{target}.staged"
     try:
         with zipfile.ZipFile(fresh, "w", zipfile.ZIP_DEFLATED) as book:
             for path, body in fixed.items():

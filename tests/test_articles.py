@@ -46,8 +46,14 @@ def test_pages(spark):
     assert (m.title, m.account, m.digest, m.biz, m.mid, m.create_time) == ("A & B", "N x", "d", "Mz==", "12", 1757347200)
     about = spark.createDataFrame([("<dl><dt>主体</dt><dd> X 公司 </dd></dl>",)], "p string").select(articles.about_fields("p", {"owner": "主体", "none": "无"}).alias("a")).first().a
     assert about[:] == ("X 公司", "")
-    red = spark.createDataFrame([("url += 'https://a.b/s?x=1'; url += '\\x26y=2@';",)], "p string").select(articles.joined_redirect("p")).first()[0]
-    assert red == "https://a.b/s?x=1&y=2"
+    pages = {
+        "url += 'https://a.b/s?x=1'; url += '\\x26y=2@';": "https://a.b/s?x=1&y=2@",
+        "url += 'https://a.b/s?u=me@x.y&q=\\x41B'; url += '\\x3d1'": "https://a.b/s?u=me@x.y&q=AB=1",
+        "myurl += 'no'; url+='a\\u0026\\uD83D\\uDE00'; url  += '\\'\\\\\\/\\q'": "a&\U0001f600'\\/\\q",
+        "none": "",
+    }
+    got = spark.createDataFrame([(k,) for k in pages], "p string").select("p", articles.joined_redirect("p").alias("r")).collect()
+    assert {r.p: r.r for r in got} == pages
 
 
 def test_text_by_kind(spark):

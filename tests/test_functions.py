@@ -1,5 +1,7 @@
 """Golden cases of functions and rules."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +86,19 @@ def test_html():
     assert html.to_markdown("<h2>T</h2><p>a <b>b</b> <a href='https://x.y'>c</a></p><pre>q\n r</pre>") == "## T\n\na **b** [c](https://x.y)\n\n```\nq\n r\n```"
     assert html.to_markdown("<table><tr onclick='x'><td>1</td></tr></table>") == "<table><tr><td>1</td></tr></table>"
     assert html.sanitise('<p onclick="x" style="a">t<script>bad()</script><a href=" java\nscript:x">l</a><img data-src="https://i/1"></p>') == '<p style="a">t<a>l</a><img data-src="https://i/1" src="https://i/1"></p>'
+    page = html.sanitise("""<body><script>probe = true</script><a href="java\nscript:alert(1)" onclick="alert(1)">bad</a><img src="https://i.example/safe.png" onerror="alert(1)">
+      <iframe src="https://v.example/player" srcdoc="<script>alert(1)</script>" allow="camera"></iframe><svg><a xlink:href="javascript:x">s</a></svg><img srcset="javascript:x"><img src="data:image/png;base64,x"><a href="data:image/png;base64,x">d</a>
+      <form action="vbscript:x"><input name="n"></form><svg><style><img src=x onerror=y></style><animate attributeName="href" to="javascript:x"/></svg><noscript><p title="</noscript><img src=x onerror=y>">n</p></noscript></body>""")
+    assert not re.search(r"<script|onclick|srcdoc|javascript:|vbscript:|allow=|<animate|<img src=x|<a href", page)
+    assert 'src="https://i.example/safe.png"' in page and '<iframe src="https://v.example/player" sandbox="" referrerpolicy="no-referrer">' in page and '<input name="n">' in page and 'src="data:image/png;base64,x"' in page
+    told = html.to_markdown("""<html><head><title>noise title</title><style>body { color: red; }</style></head><body><article><h1>H</h1><p>B</p><table><tbody><tr><td>C</td></tr></tbody></table></article>
+      <div class="layout __bottom-bar__"><img src="data:image/svg+xml;base64,NOISE">read</div><div id="content_bottom_area">say</div><div id="js_article_bottom_bar">more</div></body></html>""")
+    assert told == "# H\n\nB\n\n<table><tbody><tr><td>C</td></tr></tbody></table>"
+    told = html.to_markdown("""<table onclick="steal()" style="background:url(https://tracker.test)"><tbody><tr><td onmouseover="steal()">safe<script>steal()</script><img src="javascript:steal()" onerror="steal()" alt="cover">
+      <a href="javascript:steal()">link</a><div class="__bottom-bar__">bar</div></td></tr></tbody></table>""")
+    assert "<table>" in told and "safe" in told and 'alt="cover"' in told and not re.search("steal|javascript:|onerror|style=|tracker|bar", told)
+    told = html.to_markdown("""<table><tr><td><img src="images/001.png"><img src="../images/002.png"><img src="data:image/png;base64,iVBORw0KGgo="><img src="data:image/svg+xml;base64,PHN2Zz4="><a href="./details/page.html">d</a></td></tr></table><img src="data:image/svg+xml;base64,PHN2Zz4=">""")
+    assert all(f'src="{x}"' in told for x in ("images/001.png", "../images/002.png", "data:image/png;base64,iVBORw0KGgo=")) and 'href="./details/page.html"' in told and "svg" not in told
     assert html.to_text("<div>a<script>x</script><p>b   c</p>d<br>e</div>") == "a\nb c\nd\ne"
     page = r"<script>window.cgiDataNew = {a: JsDecode('A\x26B'), 'n': '42' * 1, list: [1, -2.5, !0], q: {z: null}};</script>"
     assert html.script_value(page, "cgiDataNew") == '{"a": "A&B", "n": 42, "list": [1, -2.5, true], "q": {"z": null}}'

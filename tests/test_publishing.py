@@ -99,7 +99,7 @@ def test_strict_json_lines(spark, tmp_path):
 
 def test_sheet(spark, tmp_path):
     target = tmp_path / "t.xlsx"
-    df = spark.createDataFrame([(1, 2.5, "a <b> & \x01c\nd", True, None), (None, float("nan"), "漢" * 40_000, False, [1, 2])], "i long, x double, s string, b boolean, l array<int>")
+    df = spark.createDataFrame([(1, 2.5, "a <b> & \x01c\nd", True, None), (None, float("nan"), "漢" * 32_767, False, [1, 2])], "i long, x double, s string, b boolean, l array<int>")
     assert files.write_sheet(df, str(target), "Name & more") == 2
     with zipfile.ZipFile(target) as book:
         assert all(ElementTree.fromstring(book.read(n)) is not None for n in book.namelist())
@@ -108,7 +108,15 @@ def test_sheet(spark, tmp_path):
     cells = [["".join(c.itertext()) for c in r] for r in rows]
     assert cells[0] == ["i", "x", "s", "b", "l"] and cells[1] == ["1", "2.5", "a <b> & c\nd", "1", ""]
     assert cells[2][1] == "nan" and len(cells[2][2]) == files.CELL_CHARS and cells[2][3:] == ["0", "[1, 2]"]
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["t.xlsx"]
+    before = target.read_bytes()
+    with pytest.raises(ValueError, match="row 2: a cell holds 32767 characters, not 32768"):
+        files.write_sheet(spark.createDataFrame([("a",), ("x" * 32_768,)], "s string").coalesce(1), str(target))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t.xlsx"] and target.read_bytes() == before
+
+
+def test_staged_tables_may_hold_maps_and_dots(spark, tmp_path):
+    df = spark.createDataFrame([(1, {"k": 1}), (2, None)], "`a.b` int, m map<string,int>")
+    assert files.write_staged(df, str(tmp_path / "t")) == 2
 
 
 def test_images_within_pages(spark):
