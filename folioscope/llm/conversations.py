@@ -46,22 +46,20 @@ def flagged(rows: DataFrame) -> DataFrame:
     collection after them. Rows of one turn stand in the order of role and text.
     """
     text = F.rtrim(F.col("text"), F.lit(SPACE))
-    order = [F.col("turn").asc_nulls_first(), "role", "text"]
-    line = W.partitionBy("conv_id", "alive").orderBy(*order)
-    same = W.partitionBy("conv_id", "alive", "role", "text").orderBy(F.col("turn").asc_nulls_first())
-    fault = (
-        F.when(text == "", "blank")
-        .when(F.row_number().over(same) > 1, "duplicate")
-        .when(~F.substring(text, -1, 1).isin(".", "!", "?"), "truncated")
-    )
+    line = W.partitionBy("conv_id", "alive").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    same = W.partitionBy("conv_id", "alive", "role", "text")
+    placed = rows.repartition("conv_id").withColumn("place", F.row_number().over(line))
+    # rows that are equal in all stand in any order, so the first of them is told by its place
+    seen = placed.withColumn("seen", F.col("place") > F.min("place").over(same))
+    fault = F.when(text == "", "blank").when(F.col("seen"), "duplicate").when(~F.substring(text, -1, 1).isin(".", "!", "?"), "truncated")
     initial = F.substring("role", 1, 1)
-    pair = F.concat(F.lag(initial).over(line), initial)
-    dealt = rows.repartition("conv_id")
-    return dealt.withColumn("fault", fault).select(
+    placed_line = W.partitionBy("conv_id", "alive").orderBy("place")
+    pair = F.concat(F.lag(initial).over(placed_line), initial)
+    return seen.select(
         "*",
-        F.row_number().over(line).alias("place"),
+        fault.alias("fault"),
         initial.alias("initial"),
-        (F.col("turn").isNotNull() & ~F.col("turn").eqNullSafe(F.lag("turn").over(line))).alias("new_turn"),
+        (F.col("turn").isNotNull() & ~F.col("turn").eqNullSafe(F.lag("turn").over(placed_line))).alias("new_turn"),
         F.coalesce(~pair.isin("su", "ua", "au"), F.lit(False)).alias("illegal"),
     )
 

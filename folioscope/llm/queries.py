@@ -128,16 +128,19 @@ OP4_KINDS = (
 
 
 def _op4_sql() -> str:
-    """op4 in SQL: matches and the gaps between them, one query a kind; lengths add up to positions."""
+    """op4 in SQL: the matches of a kind and the gaps between them are taken once a text; running sums of their lengths are positions."""
 
     def kind(order: int, name: str, pattern: str, group: int, least: int) -> str:
         p = pattern.replace("'", "''")
         return f"""
-SELECT doc_id, '{name}' AS kind, {order} AS o, list_sum(list_transform(string_split_regex(t, '{p}')[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(regexp_extract_all(t, '{p}')[1:i-1], lambda x: length(x))), 0) AS s,
-  length(regexp_extract_all(t, '{p}')[i]) AS n FROM (SELECT doc_id, t, unnest(range(1, len(regexp_extract_all(t, '{p}')) + 1)) AS i FROM d) WHERE length(regexp_extract_all(t, '{p}', {group})[i]) >= {least}"""
+SELECT doc_id, '{name}' AS kind, {order} AS o, e - n AS s, e FROM (
+  SELECT doc_id, length(hit) AS n, own, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (
+    SELECT doc_id, unnest(gaps[1:len(hits)]) AS gap, unnest(hits) AS hit, unnest(own) AS own, unnest(range(len(hits))) AS i
+    FROM (SELECT doc_id, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS hits, list_transform(regexp_extract_all(t, '{p}', {group}), lambda x: length(x)) AS own FROM d)))
+WHERE own >= {least}"""
 
     found = " UNION ALL ".join(kind(n, *k) for n, k in enumerate(OP4_KINDS))
-    one = "kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT)"
+    one = "kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT)"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}),
 r AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
@@ -175,11 +178,12 @@ r AS (
   SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text
   FROM h JOIN (VALUES (1), (2)) AS n(copy) ON kind <> 0 AND (copy = 1 OR kind = 3)),
 f AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
-    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM r),
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+  FROM r),
+p AS (SELECT *, place > min(place) OVER (PARTITION BY conv_id, role, text) AS seen FROM f),
 g AS (
   SELECT *, role[1] AS i, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY place) AS before,
-    CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM f),
+    CASE WHEN bare = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM p),
 counts AS (
   SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
     count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE before || i NOT IN ('su', 'ua', 'au')) AS illegal, max(place) AS n FROM g GROUP BY conv_id),

@@ -110,6 +110,20 @@ def test_tables_that_hold_little(spark):
     assert [tuple(r) for r in gone] == [(dropped, 0, 0, 0, 0, 0, 0, "", [])]
 
 
+def test_equal_rows_of_one_turn(spark):
+    """The first of equal rows stays, however the windows order them."""
+    rng = random.Random(7)
+    rows = []
+    for c in range(60):
+        for t in range(5):
+            rows += [(c, t, rng.choice(["user", "assistant"]), rng.choice(["One.", "Two.", "Three"]))] * rng.randint(1, 4)
+    rng.shuffle(rows)
+    for r in conversations.repair(spark.createDataFrame(rows, SHAPE)).collect():
+        turns = [(role, text) for c, t, role, text in sorted(rows) if c == r.conv_id]
+        faults, cost, audit, lines = by_hand(turns)
+        assert (r.duplicate, r.cost, r.audit, tuple(r.lines)) == (faults.count("duplicate"), cost, audit, lines), turns
+
+
 @pytest.mark.parametrize("text", ["a" * 300_000, "a." + " " * 300_000, "\n" * 300_000])
 def test_very_long_texts(spark, text):
     r = conversations.repair(spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", "A.")], SHAPE)).first()
