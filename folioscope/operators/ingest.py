@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from folioscope.functions.html import decode_entities
 from folioscope.functions.text import seconds_from
 from folioscope.functions.urls import param
+from folioscope.operators import graphs
 
 ARTICLE = "aid string, title string, link string, cover string, digest string, create_time bigint, update_time bigint, itemidx int, item_show_type int, author_name string, copyright_type int, is_deleted boolean"
 PUBLISH_PAGE = "struct<publish_list: array<struct<publish_type: int, publish_info: string>>>"
@@ -67,6 +68,15 @@ def threads(comments: DataFrame, replies: DataFrame, thread: str, order: str) ->
     return top.join(below, thread, "left").select(thread, "comments", n.alias("replies"), (F.col("comments") + n).alias("total"), F.coalesce("transcript", F.lit("")).alias("transcript"))
 
 
+def pages_in_order(pages: DataFrame, thread: str, cursor: str = "buffer", following: str = "next_buffer", more: str = "continue_flag") -> DataFrame:
+    """Pages of comments with place, their order in the thread, and the reason of what does not fit.
+
+    A thread begins at the page that was asked for with an empty cursor; each page names the cursor
+    of the next one as long as it says that there is more. See `graphs.chained` for the reasons.
+    """
+    return graphs.chained(pages, thread, cursor, following, more)
+
+
 def replies_or_embedded(stored: Column, embedded: Column) -> Column:
     """The stored replies if there are any, else the embedded ones, by time and place."""
     chosen = F.when(F.coalesce(F.size(stored), F.lit(0)) > 0, stored).otherwise(embedded)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from folioscope.functions.text import filled
 from folioscope.functions.urls import message_of
+from folioscope.operators import graphs
 
 
 def _pick(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -120,7 +120,9 @@ def recover(rows: DataFrame, stored: DataFrame, account: str, key: str, link: st
     """New rows in order of seq, without those whose key or link is stored or was kept before.
 
     Greedy within an account: a row that is left out blocks no later one. Rows whose key and link no
-    other new row of the account has are kept as they are; only the others are walked through.
+    other new row of the account has are kept as they are; only the others go through the rounds of
+    `graphs.greedy`, where an account of any size is spread over tasks. Null accounts, keys and links
+    are equal to each other.
     """
     fresh = either_key_anti(rows, stored, [key, link])
     shared = [fresh.groupBy(account, c).agg(F.count("*").alias("__n")).filter("__n > 1").drop("__n").withColumn(f"__shares_{c}", F.lit(True)) for c in (key, link)]
@@ -128,20 +130,7 @@ def recover(rows: DataFrame, stored: DataFrame, account: str, key: str, link: st
     clash = F.coalesce(f"__shares_{key}", f"__shares_{link}", F.lit(False)) | F.col(account).isNull() | F.col(key).isNull() | F.col(link).isNull()
     alone, some = marked.filter(~clash).select(*fresh.columns), marked.filter(clash).select(*fresh.columns)
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(seq)
-        keys: set = set()
-        urls: set = set()
-        kept = []
-        for k, u in zip(rows[key], rows[link], strict=True):
-            ok = k not in keys and u not in urls
-            kept.append(ok)
-            if ok:
-                keys.add(k)
-                urls.add(u)
-        return rows[kept]
-
-    return alone.unionByName(some.groupBy(account).applyInPandas(keep, fresh.schema))  # nulls are equal, as everywhere in a group
+    return alone.unionByName(graphs.greedy(some, [[account, key], [account, link]], seq))
 
 
 def match_cardinality(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -43,13 +43,29 @@ def reply_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.array_join(F.transform(ingest.replies_or_embedded(stored, F.col("embedded")), lambda r: r["id"]), ",").alias("replies"))
 
 
-@query("""WITH n AS (SELECT doc_id, lang, n_chars % 400 AS key, 'u' || doc_id % 300 AS link FROM documents WHERE doc_id % 2 = 1), s AS (SELECT n_chars % 400 AS key, 'u' || doc_id % 300 AS link FROM documents WHERE doc_id % 10 = 0),
-f AS (SELECT *, doc_id AS seq FROM n WHERE key NOT IN (SELECT key FROM s) AND link NOT IN (SELECT link FROM s))
-SELECT lang, count(*) AS fresh, count(DISTINCT key) AS keys, count(DISTINCT link) AS links FROM f GROUP BY lang""")
+@query("""WITH RECURSIVE n AS (SELECT doc_id, lang, n_chars % 200 AS key, 'u' || doc_id * 7 % 300 AS link FROM documents WHERE doc_id % 10 <> 0), s AS (SELECT n_chars % 200 AS key, 'u' || doc_id * 7 % 300 AS link FROM documents WHERE doc_id % 50 = 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM n WHERE key NOT IN (SELECT key FROM s) AND link NOT IN (SELECT link FROM s)),
+w AS (SELECT lang, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS doc_id, false AS kept, CAST([] AS BIGINT[]) AS keys, CAST([] AS VARCHAR[]) AS links FROM f GROUP BY lang
+UNION ALL SELECT lang, i, doc_id, ok, CASE WHEN ok THEN list_append(keys, key) ELSE keys END, CASE WHEN ok THEN list_append(links, link) ELSE links END
+FROM (SELECT f.*, w.keys, w.links, NOT list_contains(w.keys, f.key) AND NOT list_contains(w.links, f.link) AS ok FROM w JOIN f ON f.lang = w.lang AND f.i = w.i + 1))
+SELECT doc_id, lang FROM w WHERE kept""")
 def recoverable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = doc(spark, sf_dir).select("doc_id", "lang", (F.col("n_chars") % 400).alias("key"), F.concat(F.lit("u"), F.col("doc_id") % 300).alias("link"))
-    fresh = records.either_key_anti(d.filter("doc_id % 2 = 1"), d.filter("doc_id % 10 = 0"), ["key", "link"])
-    return fresh.groupBy("lang").agg(F.count("*").alias("fresh"), F.count_distinct("key").alias("keys"), F.count_distinct("link").alias("links"))
+    d = doc(spark, sf_dir).select("doc_id", "lang", (F.col("n_chars") % 200).alias("key"), F.concat(F.lit("u"), F.col("doc_id") * 7 % 300).alias("link"))
+    return records.recover(d.filter("doc_id % 10 <> 0"), d.filter("doc_id % 50 = 0"), "lang", "key", "link", "doc_id").select("doc_id", "lang")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) AS m FROM conversations),
+p AS (SELECT *, turn < m OR conv_id % 7 = 2 AS more FROM c WHERE NOT (conv_id % 5 = 1 AND turn = 2))
+SELECT conv_id, turn, CASE WHEN conv_id % 5 = 1 AND turn > 2 THEN NULL ELSE turn END AS place,
+CASE WHEN conv_id % 5 = 1 AND turn > 2 THEN 'unreached' WHEN conv_id % 5 = 1 AND turn = 1 AND m >= 2 THEN 'broken' WHEN turn = m AND conv_id % 7 = 2 THEN CASE WHEN m = 0 OR conv_id % 5 = 1 AND m = 2 THEN 'broken' ELSE 'loop' END END AS reason FROM p""")
+def comment_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = load(spark, sf_dir, "conversations").select("conv_id", "turn")
+    c = c.join(c.groupBy("conv_id").agg(F.max("turn").alias("m")), "conv_id").filter("NOT (conv_id % 5 = 1 AND turn = 2)")
+    cursor = lambda t: F.when(t == 0, "").otherwise(F.concat(F.lit("b"), t))
+    last = F.col("turn") == F.col("m")
+    following = F.when(last & (F.col("conv_id") % 7 == 2), F.lit("b1")).otherwise(cursor(F.col("turn") + 1))
+    pages = c.select("conv_id", "turn", cursor(F.col("turn")).alias("buffer"), following.alias("next_buffer"), (~last | (F.col("conv_id") % 7 == 2)).alias("continue_flag"))
+    return ingest.pages_in_order(pages, "conv_id").select("conv_id", "turn", "place", "reason")
 
 
 @query("""SELECT doc_id, unnest(CASE doc_id % 3 WHEN 0 THEN [source] WHEN 1 THEN [source, lang] ELSE [] END) AS title FROM documents""")

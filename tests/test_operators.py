@@ -8,7 +8,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import blocks, ingest, linkage, lookups, quality, records
+from folioscope.operators import blocks, graphs, ingest, linkage, lookups, quality, records
 from folioscope.sources import files
 from folioscope.streaming import incremental
 
@@ -50,6 +50,80 @@ def test_recover_against_a_walk(spark):
     assert sorted(x.seq for x in got.collect()) == want
 
 
+def walked(rows):
+    """seq of the rows that a walk keeps: (group, key, link, seq)."""
+    seen, kept = set(), []
+    for a, k, u, n in sorted(rows, key=lambda x: x[3]):
+        if not {(a, "k", k), (a, "u", u)} & seen:
+            seen |= {(a, "k", k), (a, "u", u)}
+            kept.append(n)
+    return kept
+
+
+def test_greedy_in_rounds(spark, monkeypatch):
+    """The same rows as a walk, by rounds alone and with a walk of what is left, on random graphs and on chains."""
+    r = random.Random(21)
+    shape = "a string, k string, u string, seq int"
+    graphs_of = [[(r.choice(["x", None]), r.choice([f"k{r.randrange(n // 2)}", None]), f"u{r.randrange(n // 2)}", m) for m in r.sample(range(n), n)] for n in (60, 300)]
+    graphs_of.append([("x", f"k{m // 2}", f"u{(m + 1) // 2}", m) for m in range(14)])
+    for walk_rows in (0, 20):
+        monkeypatch.setattr(graphs, "WALK_ROWS", walk_rows)
+        for rows in graphs_of:
+            got = graphs.greedy(spark.createDataFrame(rows, shape), [["a", "k"], ["a", "u"]], "seq")
+            assert sorted(x.seq for x in got.collect()) == walked(rows)
+    assert graphs.greedy(spark.createDataFrame([], shape), [["a", "k"]], "seq").collect() == []
+
+
+def test_a_hot_account_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "WALK_ROWS", 1000)
+    rows = [("hot", f"k{(n * 7919) % 30_000}", f"u{(n * 104729) % 30_000}", n) for n in range(50_000)]
+    got = graphs.greedy(spark.createDataFrame(rows, "a string, k string, u string, seq int"), [["a", "k"], ["a", "u"]], "seq")
+    assert sorted(x.seq for x in got.collect()) == walked(rows)
+
+
+def test_chains(spark):
+    rows = [("long", "" if n == 0 else f"b{n}", f"b{n + 1}", n < 99, n) for n in range(100)]
+    rows += [("gap", "", "x", True, 0), ("gap", "y", "z", True, 1), ("gap", "z", None, False, 2)]
+    rows += [("loop", "", "p", True, 0), ("loop", "p", "q", True, 1), ("loop", "q", "r", True, 2), ("loop", "r", "p", True, 3)]
+    rows += [("self", "", "", True, 0), ("headless", "m", "n", False, 0), ("null", None, "x", True, 0), ("null", "", None, True, 1)]
+    rows += [("twice", "", "t", True, 0), ("twice", "t", None, False, 1), ("twice", "t", None, False, 1), (None, "", "n", True, 0), (None, "n", None, None, 1)]
+    r = random.Random(2)
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, at string, nxt string, more boolean, n int").repartition(3)
+    got = {}
+    for x in graphs.chained(df, "g", "at", "nxt", "more").collect():
+        got.setdefault(x.g, []).append((x.n, x.place, x.reason))
+    got = {g: sorted(v, key=str) for g, v in got.items()}
+    assert sorted(got["long"], key=lambda v: v[0]) == [(n, n, None) for n in range(100)]
+    assert got["gap"] == [(0, 0, "broken"), (1, None, "unreached"), (2, None, "unreached")]
+    assert got["loop"] == [(0, 0, None), (1, 1, None), (2, 2, None), (3, 3, "loop")]
+    assert got["self"] == [(0, 0, "loop")] and got["headless"] == [(0, None, "unreached")]
+    assert got["null"] == [(0, None, "unreached"), (1, 0, "broken")]
+    assert got["twice"] == [(0, 0, None), (1, 1, None), (1, None, "repeated")]
+    assert got[None] == [(0, 0, None), (1, 1, None)]
+
+
+def test_components(spark):
+    edges = [(n, n + 1) for n in range(20)] + [(40, 30), (30, 35), (50, 50)]
+    got = {x.node: x.root for x in graphs.components(spark.createDataFrame(edges, "u int, v int")).collect()}
+    assert got == {**{n: 0 for n in range(21)}, 30: 30, 35: 30, 40: 30}
+
+
+def test_link_catalog_of_one_hot_title(spark):
+    """One title for all: dates alone, dates tied by paths that hold another entry's date."""
+    r = random.Random(5)
+    for days in (3, 9, 25):
+        day = [f"2025-03-{d:02d}" for d in range(1, days + 1)]
+        entries = [(k, "T", r.choice(day)) for k in range(60)]
+        files = [(f"/{k}/{r.choice(day).replace('-', '') if r.random() < 0.6 else 'x'}/{r.choice(day).replace('-', '') if r.random() < 0.1 else ''}", "T", r.choice(day)) for k in range(40)]
+        free, want = {f: d for f, _, d in files}, {}
+        for k, _, d in entries:
+            found = next(((x[0], n) for n, x in enumerate(([f for f in free if free[f] == d], [f for f in free if d.replace("-", "") in f])) if len(x) == 1), None)
+            want[k] = (found[0], "matched" if free.pop(found[0]) == d else "date-mismatch", linkage.TIERS[found[1]]) if found else (None, "ambiguous" if free else "missing", None)
+        got = linkage.link_catalog(spark.createDataFrame(entries, "entry int, title string, date string"), spark.createDataFrame(files, "file string, title string, date string"), "2025-01-01").collect()
+        assert {x.entry: (x.file, x.status, x.tier) for x in got} == want, days
+
+
 def test_link_catalog(spark):
     """Against a walk over all entries in order, with titles that several entries and files share."""
     r = random.Random(8)
