@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from folioscope.llm.common import cut_lineage, id_and_text, joined_words, shingle_bounds, shuffle_partitions, sliced_texts
-from folioscope.llm.simhash import components
+from folioscope.operators.graphs import components
 
 SEED = 42
 #: Bands of a signature and values of a band. Each permutation gives two values, its least and its

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscope.llm.common import cut_lineage, id_and_text, joined_words, shingle_bounds, shuffle_partitions, sliced_texts
+from folioscope.operators.graphs import components
 
 BITS = 64
 SEED = 42
@@ -212,27 +213,6 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
     return dealt_out.select(*keys, "fp", "table").mapInArrow(run, "u long, v long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node of the links (u, v) reaches.
-
-    Alternating large-star and small-star contraction; every round is one checkpoint, the driver
-    sees a count and a sum per round. Rounds grow with the logarithm of the longest chain.
-    """
-    e = cut_lineage(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut_lineage(low.select("u", F.col("m").alias("v")).unionByName(small).filter("u <> v").distinct())
-        state = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if state == seen:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen = state
-
-
 def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) of every row.
 
