@@ -4,13 +4,10 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 import zipfile
 from collections.abc import Callable
 from xml.sax.saxutils import escape
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from folioscope.operators.blocks import frontmatter
@@ -44,16 +41,31 @@ def read_json_lines(spark: SparkSession, path: str, schema: str, strict: bool =
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
+def first_bad_lines(lines: DataFrame, bad: Column) -> DataFrame:
+    """(file, line): the first line of each file for which bad holds, counted from 1, where there is one.
+
+    lines are those of spark.read.text. Each split of a file counts its own lines and finds its own
+    first bad one; running sums of the counts over a file's splits give the places. No line is moved.
+    """
+    own = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    splits = own.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min(F.when(bad, F.col("id"))).alias("bad"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a split
+    placed = splits.select("file", (before + F.col("bad") - F.col("first") + 1).alias("line"))
+    return placed.filter("line IS NOT NULL").groupBy(F.url_decode("file").alias("file")).agg(F.min("line").alias("line"))
+
+
 def read_json_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Objects of JSON lines; blank lines and other JSON values go, a line that is no JSON is an error that names file and line.
 
-    Files are read line by line with their place in the file, so each is one task: for files that one task can read.
+    Lines are looked through before they are read, in the splits in which they are read: a file of any size is many tasks.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
-    full = lines.filter(F.trim("line") != "")
-    good = F.try_parse_json("line").isNotNull()
-    where = F.concat(F.url_decode("file"), F.lit(":"), (F.col("n") + 1).cast("string"), F.lit(": no JSON"))
-    checked = full.withColumn("line", F.when(good, F.col("line")).otherwise(F.raise_error(where).cast("string")))
+    lines = spark.read.text(path)
+    bad = (F.trim("value") != "") & F.try_parse_json("value").isNull()
+    found = first_bad_lines(lines, bad).orderBy("file").first()
+    if found:
+        raise ValueError(f"{found.file}:{found.line}: no JSON")
+    changed = F.raise_error(F.concat(F.url_decode("_metadata.file_path"), F.lit(": no JSON"))).cast("string")
+    checked = lines.select(F.when(bad, changed).otherwise(F.col("value")).alias("line"))
     return checked.filter(F.ltrim("line").startswith("{")).select(F.from_json("line", schema).alias("o")).select("o.*")
 
 
@@ -63,22 +75,6 @@ def read_json_lines_split(spark: SparkSession, path: str, schema: str) -> tuple[
     return kept.filter("_bad is null").drop("_bad"), kept.filter("_bad is not null").select(F.col("_bad").alias("line"))
 
 
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, embedding) of a file with a count and a width, two little-endian unsigned 32-bit integers, and rows of floats; a wrong size is an error."""
-
-    def run(batches):
-        for pdf in batches:
-            for blob in pdf["content"]:
-                n, width = struct.unpack_from("<II", blob)
-                if len(blob) != 8 + 4 * n * width:
-                    raise ValueError("the file's size does not fit its header")
-                rows = np.frombuffer(blob, "<f4", offset=8).reshape(n, width)
-                for s in range(0, n, 4096):
-                    yield pd.DataFrame({"pos": np.arange(s, min(n, s + 4096)), "embedding": list(rows[s : s + 4096])})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "pos long, embedding array<float>")
-
-
 def aligned(rows: DataFrame, vectors: DataFrame, pos: str = "pos") -> DataFrame:
     """rows with their vectors by position; a row or a vector alone is an error when the result is read."""
     both = rows.withColumn("__row", F.lit(True)).join(vectors.withColumn("__vector", F.lit(True)), pos, "full")
@@ -156,11 +152,6 @@ def append_aligned(stored: DataFrame, new: DataFrame, target: str, order: str =
     return write_staged(stored.unionByName(more.select(*stored.columns)), target)
 
 
-def write_texts(df: DataFrame, path_col: str, text_col: str, root: str) -> None:
-    """One text file folder per row's path below root, written by the executors."""
-    df.select(F.col(path_col).alias("path"), F.col(text_col).alias("value")).write.mode("overwrite").partitionBy("path").text(root)
-
-
 def write_table(df: DataFrame, target: str, fmt: str) -> None:
     """CSV with a header, JSON lines or Parquet; nested columns of CSV go as JSON."""
     nested = {f.name for f in df.schema if f.dataType.typeName() in ("array", "struct", "map")}

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators import blocks, graphs, ingest, linkage, lookups, quality, records
-from folioscope.sources import files
+from folioscope.sources import files, formats
 from folioscope.streaming import incremental
 
 
@@ -305,7 +305,7 @@ def test_files(spark, tmp_path):
 
 def test_vectors_and_sinks(spark, tmp_path):
     (tmp_path / "v.bin").write_bytes(struct.pack("<II6f", 3, 2, 1, 2, 3, 4, 5, 6))
-    v = files.read_vectors(spark, f"{tmp_path}/v.bin")
+    v = formats.read_vectors(spark, f"{tmp_path}/v.bin")
     assert [r.embedding for r in v.orderBy("pos").collect()] == [[1, 2], [3, 4], [5, 6]]
     rows = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "pos long, t string")
     assert files.aligned(rows, v).count() == 3
@@ -313,7 +313,7 @@ def test_vectors_and_sinks(spark, tmp_path):
         files.aligned(rows.limit(2), v).collect()
     (tmp_path / "bad.bin").write_bytes(struct.pack("<II1f", 3, 2, 1))
     with pytest.raises(Exception, match="size"):
-        files.read_vectors(spark, f"{tmp_path}/bad.bin").collect()
+        formats.read_vectors(spark, f"{tmp_path}/bad.bin").collect()
     kept = files.renumber(rows.filter("pos <> 1").withColumnRenamed("pos", "old"), "old")
     assert [(r.t, r.pos) for r in kept.orderBy("pos").collect()] == [("a", 0), ("c", 1)]
     target = f"{tmp_path}/out"
@@ -323,5 +323,5 @@ def test_vectors_and_sinks(spark, tmp_path):
     assert spark.read.parquet(target).count() == 1
     files.write_table(rows.withColumn("a", F.array("t")), f"{tmp_path}/csv", "csv")
     assert spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/csv").orderBy("pos").first().a == '["a"]'
-    files.write_texts(rows, "t", "t", f"{tmp_path}/txt")
-    assert spark.read.text(f"{tmp_path}/txt").count() == 3
+    formats.write_files(rows, "t", "t", f"{tmp_path}/txt")
+    assert sorted(p.name for p in (tmp_path / "txt").iterdir()) == ["a", "b", "c"]
