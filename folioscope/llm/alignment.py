@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark import TaskContext
@@ -19,12 +20,12 @@ from folioscope.llm.packing import IdEncoder, _byte_alphabet
 #: Labels of a byte at which tokens end: of A alone, of B alone, of both. A byte inside tokens has none.
 NONE, A_END, B_END, BOTH = b"-", b"a", b"b", b"c"
 _LABELS = np.frombuffer(NONE + A_END + B_END + BOTH, np.uint8)
-#: A span of labels up to each byte where both end: one group of tokens.
-SPAN = re.compile(rb"[ab]*c")
+#: Spans of labels up to each byte where both end: groups of tokens.
+SPAN = re.compile(rb"[ab]+c|c+")
 #: Characters of the texts that are one block of counts.
 BLOCK_CHARS = 4 << 20
-#: Words whose pieces a task remembers.
-KNOWN_WORDS = 200_000
+#: Spans whose counts a task remembers.
+KNOWN_SPANS = 100_000
 _MARK = "▁"
 
 
@@ -32,7 +33,7 @@ class BytePieces:
     """Ids of A and the bytes of each: a byte-level vocabulary file."""
 
     def __init__(self, path: str):
-        self.encode = IdEncoder(path, plain_special=True)
+        self.own = IdEncoder(path, plain_special=True)
         byte = _byte_alphabet()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -41,35 +42,26 @@ class BytePieces:
         for token, i in vocab.items():
             self.bytes_of[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
 
+    def encode(self, text: str) -> np.ndarray:
+        if self.own.fast is not None:
+            try:
+                return np.array(self.own.fast.encode_ordinary(text), np.int64)
+            except BaseException as e:  # noqa: BLE001  the engine panics on some very long runs, outside Exception
+                if isinstance(e, KeyboardInterrupt | SystemExit | MemoryError):
+                    raise
+        return self.own(text).astype(np.int64)
 
-class WordPieces:
-    """Ids of B and the bytes of each: a sentencepiece model that marks spaces and falls back to bytes.
 
-    No piece of the model holds the mark of a space behind another character (looked up at load; a
-    model that has one is run on whole texts), so that no merge reaches over the beginning of a word:
-    a text's pieces are those of its words, and words come again.
-    """
+class WordPieces:
+    """Ids of B and the bytes of each: a sentencepiece model that marks spaces and falls back to bytes."""
 
     def __init__(self, path: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = self.model.get_piece_size()
-        pieces = [self.model.id_to_piece(i) for i in range(size)]
-        self.bytes_of = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace(_MARK, " ").encode() for p in pieces]
-        self.by_word = not any(re.search(f"[^{_MARK}]{_MARK}", p) for p in pieces)
-        self.space = self.model.piece_to_id(_MARK)
-        self.known: dict[str, np.ndarray] = {}
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.bytes_of = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(pieces)]
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.by_word or _MARK in text:
-            return np.asarray(self.model.encode(text), np.int32)
-        words = re.findall(" +[^ ]*", f" {text}")
-        new = list(set(words) - self.known.keys())
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known, new = {}, list(set(words))
-        for word, ids in zip(new, self.model.encode([w[1:] for w in new], num_threads=1), strict=True):
-            # an empty text has no pieces, but a space at a text's end is one
-            self.known[word] = np.asarray(ids if word != " " else [self.space], np.int32)
-        return np.concatenate([self.known[w] for w in words])
+        return np.array(self.model.encode(text), np.int64)
 
 
 def labels(a_lengths: np.ndarray, b_lengths: np.ndarray) -> bytes:
@@ -81,18 +73,25 @@ def labels(a_lengths: np.ndarray, b_lengths: np.ndarray) -> bytes:
 
 
 class _Counts(dict):
-    """Tokens of A and of B in a span of labels."""
+    """Groups in a span of labels and, in each, tokens of A and of B, as one number."""
 
-    def __missing__(self, span: bytes) -> tuple[int, int]:
-        self[span] = found = (span.count(A_END) + 1, span.count(B_END) + 1)
+    def __missing__(self, span: bytes) -> int:
+        if len(self) > KNOWN_SPANS:
+            self.clear()
+        runs, a, b = (len(span), 1, 1) if span[:1] == BOTH else (1, span.count(A_END) + 1, span.count(B_END) + 1)
+        self[span] = found = (runs << 42) + (a << 21) + b
         return found
 
 
 def groups(label: bytes, known: dict) -> tuple[np.ndarray, np.ndarray]:
-    """How many tokens of A, and of B, each group takes: one group for each span of labels up to a place where both end."""
+    """How many tokens of A, and of B, each group takes: a group for each span of labels up to a place where both end.
+
+    Places where both end that follow one another without another end are one match: each is a group of one and one.
+    """
     spans = SPAN.findall(label.translate(None, NONE))
-    counts = np.array([known[s] for s in spans], np.int64).reshape(-1, 2)
-    return counts[:, 0], counts[:, 1]
+    counts = np.fromiter(map(known.__getitem__, spans), np.int64, len(spans))
+    runs = counts >> 42
+    return np.repeat(counts >> 21 & 0x1FFFFF, runs), np.repeat(counts & 0x1FFFFF, runs)
 
 
 def pairs(label: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -102,29 +101,35 @@ def pairs(label: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(a) - a, np.cumsum(b) - b
 
 
-def written(a: np.ndarray, b: np.ndarray, a_counts: np.ndarray, b_counts: np.ndarray, a_text: tuple[list, list], b_text: tuple[list, list]) -> Iterator[bytes]:
-    """`a1,a2|b1;a3|b2,b3`: the ids of each group, in parts. a_text and b_text hold each id with a comma and with what ends it."""
-    for k in range(0, len(a_counts), 1 << 16):
-        n_a, n_b = a_counts[k : k + (1 << 16)], b_counts[k : k + (1 << 16)]
-        a_end, b_end = np.cumsum(n_a), np.cumsum(n_b)
-        own_a, own_b = a[: a_end[-1]].tolist(), b[: b_end[-1]].tolist()
+def told_ids(a_size: int, b_size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and their number of each id of A with a comma and with the bar that ends A's part of a group, then of B with a comma and with a semicolon."""
+    told = [b"%d%s" % (i, end) for size, ends in ((a_size, (b",", b"|")), (b_size, (b",", b";"))) for i in range(size) for end in ends]
+    table = np.array(told)
+    return table.view(np.uint8).reshape(len(told), -1), np.array([len(t) for t in told])
+
+
+def written(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, a_size: int, told: tuple[np.ndarray, np.ndarray]) -> Iterator[bytes]:
+    """`a1,a2|b1;a3|b2,b3`: the ids of each group, in parts of 65,536 groups."""
+    step = 1 << 16
+    table, sizes = told
+    for k in range(0, len(n_a), step):
+        a_counts, b_counts = n_a[k : k + step], n_b[k : k + step]
+        a_end, b_end = np.cumsum(a_counts), np.cumsum(b_counts)
+        own_a, own_b = 2 * a[: a_end[-1]], 2 * (b[: b_end[-1]] + a_size)
         a, b = a[a_end[-1] :], b[b_end[-1] :]
+        own_a[a_end - 1] += 1
+        own_b[b_end - 1] += 1
         # the place of each token in the written order: behind the groups before, A's before B's
-        at_a = np.arange(len(own_a)) + np.repeat(b_end - n_b, n_a)
-        at_b = np.arange(len(own_b)) + np.repeat(a_end, n_b)
-        parts = np.empty(len(own_a) + len(own_b), object)
-        comma, end = a_text
-        texts = [comma[i] for i in own_a]
-        for j in (a_end - 1).tolist():
-            texts[j] = end[own_a[j]]
-        parts[at_a] = texts
-        comma, end = b_text
-        texts = [comma[i] for i in own_b]
-        for j in (b_end - 1).tolist():
-            texts[j] = end[own_b[j]]
-        parts[at_b] = texts
-        joined = b"".join(parts.tolist())
-        yield joined if k + (1 << 16) < len(a_counts) else joined[:-1]
+        parts = np.empty(len(own_a) + len(own_b), np.int64)
+        parts[np.arange(len(own_a)) + np.repeat(b_end - b_counts, a_counts)] = own_a
+        parts[np.arange(len(own_b)) + np.repeat(a_end, b_counts)] = own_b
+        size = sizes[parts]
+        ends = np.cumsum(size)
+        out, starts = np.empty(ends[-1], np.uint8), ends - size
+        for j in range(table.shape[1]):
+            some = np.flatnonzero(size > j)
+            out[starts[some] + j] = table[parts[some], j]
+        yield out.tobytes() if k + step < len(n_a) else out[:-1].tobytes()
 
 
 _BLOCKS = pa.schema(
@@ -145,26 +150,26 @@ def encoded(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         first, second = BytePieces(shipped(a_name)), WordPieces(shipped(b_name))
         a_size, b_size = (np.array([len(x) for x in v.bytes_of]) for v in (first, second))
         width = len(second.bytes_of)
-        a_text, b_text = ([[b"%d%s" % (i, end) for i in range(len(v.bytes_of))] for end in ends] for v, ends in ((first, (b",", b"|")), (second, (b",", b";"))))
-        known = _Counts()
+        told = told_ids(len(first.bytes_of), width)
+        known, none = _Counts(), np.zeros(0, np.int64)
         for nth, (ids, texts) in enumerate(sliced_texts(batches, BLOCK_CHARS)):
             rows, links = [], []
             for doc_id, text in zip(ids, texts, strict=True):
                 whole = f" {text}".encode() if text else b""
-                a = first.encode(f" {text}").astype(np.int64) if text else np.zeros(0, np.int64)
-                b = second.encode(text).astype(np.int64) if text else np.zeros(0, np.int64)
-                if not text or b"".join([first.bytes_of[i] for i in a.tolist()]) != whole or b"".join([second.bytes_of[i] for i in b.tolist()]) != whole:
+                a, b = (first.encode(f" {text}"), second.encode(text)) if text else (none, none)
+                if not text or any(b"".join(map(v.bytes_of.__getitem__, ids.tolist())) != whole for v, ids in ((first, a), (second, b))):
                     rows.append((doc_id, 0, 0, 0, 0, ""))
                     continue
                 label = labels(a_size[a], b_size[b])
                 n_a, n_b = groups(label, known)
                 digest = hashlib.sha256()
-                for part in written(a, b, n_a, n_b, a_text, b_text):
+                for part in written(a, b, n_a, n_b, len(first.bytes_of), told):
                     digest.update(part)
                 at_a, at_b = pairs(label)
                 links.append(a[at_a] * width + b[at_b])
                 rows.append((doc_id, len(a), len(b), len(n_a), len(at_a), digest.hexdigest()))
-            found, place, n = np.unique(np.concatenate(links) if links else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
+            place, found = pd.factorize(np.concatenate(links) if links else none)
+            n = np.bincount(place, minlength=len(found))
             packed = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in (place.astype(np.uint32), found, n)]
             names = [f.name for f in _BLOCKS.field("docs").type.value_type]
             listed = pa.array([[dict(zip(names, r, strict=True)) for r in rows]], _BLOCKS.field("docs").type)

@@ -78,11 +78,11 @@ def test_documents(spark):
     check(spark, [r.text for r in rows])
 
 
-def test_blocks_and_known_words_do_not_matter(spark, monkeypatch):
+def test_blocks_and_known_spans_do_not_matter(spark, monkeypatch):
     texts = [f"{t} {k}" for k in range(3) for t in ODD if t]
     want = by_hand(texts)
     monkeypatch.setattr(alignment, "BLOCK_CHARS", 50)
-    monkeypatch.setattr(alignment, "KNOWN_WORDS", 3)
+    monkeypatch.setattr(alignment, "KNOWN_SPANS", 3)
     got = alignment.align(spark.createDataFrame(list(enumerate(texts)), SHAPE), A, B).collect()
     assert {r.doc_id: tuple(r)[1:] for r in got} == dict(enumerate(want))
 
