@@ -131,6 +131,11 @@ def sanitise(source: str) -> str:
     return _write(parse(source))
 
 
+def sanitise_node(node: Node | str) -> str:
+    """A node of a tree as HTML, sanitised."""
+    return _write(node)
+
+
 def _is_bar(node: Node) -> bool:
     return node.get("id") in BAR_IDS or BAR_CLASS in (node.get("class") or "").split()
 
@@ -344,6 +349,29 @@ def script_value(source: str, name: str) -> str | None:
         return None
 
 
+_TRIVIA = re.compile(r"(?:\s+|//[^\n]*|/\*.*?\*/)*", re.S)
+
+
+def call_arguments(source: str, name: str) -> list:
+    """The arguments of a page's calls `name(literal)`, in order; calls with anything but one plain literal are passed over, nothing is run."""
+    found, at = [], source.find(name)
+    while at >= 0:
+        after = at + len(name)
+        m = _TRIVIA.match(source, after)
+        if not re.match(r"[\w$.]", source[at - 1 : at]) and source[m.end() : m.end() + 1] == "(":
+            try:
+                literal = _Literal(source, _TRIVIA.match(source, m.end() + 1).end())
+                value = literal.value()
+                end = _TRIVIA.match(source, literal.at).end()
+                if source[end : end + 1] == ")":
+                    found.append(value)
+                    after = end + 1
+            except (ValueError, TypeError, OverflowError, RecursionError):
+                pass
+        at = source.find(name, after)
+    return found
+
+
 def _udf(f: Callable[..., str | None]):
     return F.pandas_udf(lambda s: s.map(f, na_action="ignore").astype(object), "string")
 
@@ -367,6 +395,15 @@ def html_script_value(x: Column | str, name: str) -> Column:
     return F.pandas_udf(run, "string")(_c(x))
 
 
+def html_call_arguments(x: Column | str, name: str) -> Column:
+    """A JSON array of the literal arguments of a page's calls of a name."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: json.dumps(call_arguments(t, name), ensure_ascii=False), na_action="ignore").astype(object)
+
+    return F.pandas_udf(run, "string")(_c(x))
+
+
 def decode_entities(x: Column | str) -> Column:
     """Ampersand entities of URLs, decoded."""
     out = _c(x)

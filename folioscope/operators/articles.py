@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from folioscope.functions import html, text, urls
+from folioscope.functions.select import Field, select_fields
 from folioscope.functions.text import _c, collapse, filled, first_filled, publish_epoch
 
 #: The full article row (name and type), with what a missing value becomes.
@@ -237,3 +238,92 @@ def recovered(manifest: DataFrame, account: str, biz: str, canonical_only: bool
     at = F.coalesce(publish_epoch("publish_date"), F.floor(F.col("mtime_ms") / 1000))
     index = F.when(urls.positive(urls.item_index("link")), urls.item_index("link").try_cast("int")).otherwise(1)
     return article_rows(rows, fakeid=F.lit(biz), aid=urls.aid_of("link"), link="link", author_name="account", create_time=at, update_time=at, itemidx=index)
+
+
+#: Marks of a page that was withheld, and labels of a mirror's page (fixed values).
+WITHHELD, MIRROR_SOURCE, MIRROR_TIME = ("环境异常", "访问过于频繁"), "来源：", "时间："
+#: Longest label of a mirror's page, and characters of a digest (fixed values).
+LABEL_CHARS, DIGEST_CHARS = 160, 240
+#: Where an article page says what (fixed values).
+ARTICLE_FIELDS = {
+    "og_title": Field('meta[property="og:title"]', "@content"), "page_title": Field(".rich_media_title"), "name": Field("#js_name"), "nickname": Field(".profile_nickname"), "author": Field('meta[name="author"]', "@content"),
+    "cover": Field('meta[property="og:image"]', "@content"), "digest": Field('meta[name="description"]', "@content"), "full": Field("#js_content", "full"),
+}
+MIRROR_FIELDS = {
+    "title": Field("h1"), "labels": Field("div", "texts"), "original": Field('a[href*="mp.weixin.qq.com/s"]', "@href"),
+    "body": Field(".kch-detailBox", "html", ("script", "style", "link", "noscript", "iframe")), "full": Field(".kch-detailBox", "full", ("script", "style", "link", "noscript", "iframe")),
+}
+
+
+def article_url(link: Column) -> Column:
+    """The link without its fragment if it is one of an article, else null."""
+    bare = F.regexp_replace(F.trim(link), "#.*$", "")
+    return F.when(bare.rlike(r"^https://mp\.weixin\.qq\.com/s(?:/[A-Za-z0-9_-]+)?(?:\?.*)?$"), bare)
+
+
+def verified_article(page: Column | str, expected_biz: Column | str, link: Column | str) -> Column:
+    """Struct of a page's article, with reason: why it is not the account's article, or null where it is verified.
+
+    The page must not be withheld, name the account that was expected, a message, a place and a time
+    of ten digits, hold text or an image, and have a title and the name of an account.
+    """
+    page, link = _c(page), _c(link)
+
+    def checked(f: Column) -> Column:
+        biz, mid, idx, sn = (html.assigned(page, k) for k in ("biz", "mid", "idx", "sn"))
+        number = lambda x: F.coalesce(x.try_cast("long"), F.lit(0).cast("long"))
+        at = F.coalesce(F.nullif(F.regexp_extract(page, r"""var\s+oriCreateTime\s*=\s*["'](\d{10})["']""", 1), F.lit("")), F.regexp_extract(page, r"""\bori_create_time:\s*["'](\d{10})["']""", 1))
+        title, account = first_filled(f["og_title"], f["page_title"], F.lit("")), first_filled(f["name"], f["nickname"], F.lit(""))
+        reason = (
+            F.when(F.array_contains(F.array(*[page.contains(w) for w in WITHHELD]), True), "withheld")
+            .when((biz == "") | (biz != _c(expected_biz)), "account differs")
+            .when((number(mid) == 0) | (number(idx) == 0) | (number(at) == 0) | ~f["full"], "incomplete")
+            .when((title == "") | (account == ""), "no title or account")
+            .when(article_url(link).isNull(), "no article link")
+        )
+        canonical = F.concat(F.lit("https://mp.weixin.qq.com/s?__biz="), F.url_encode(biz), F.lit("&mid="), number(mid), F.lit("&idx="), number(idx), F.when(sn != "", F.concat(F.lit("&sn="), F.url_encode(sn))).otherwise(""))
+        return F.struct(
+            reason.alias("reason"), F.concat_ws("_", number(mid), number(idx)).alias("aid"), account.alias("account"), title.alias("title"), f["author"].alias("author"), biz.alias("biz"), number(mid).alias("mid"), number(idx).alias("idx"),
+            number(at).alias("publish_time"), f["cover"].alias("cover"), F.left(f["digest"], F.lit(DIGEST_CHARS)).alias("digest"), canonical.alias("canonical_link"), article_url(link).alias("link"),
+        )
+
+    return text.bind(select_fields(page, ARTICLE_FIELDS), checked)
+
+
+def mirror_article(page: Column | str) -> Column:
+    """Struct of a mirror's page: title, account, publish_date, original_url, body and reason, which is null where all are there."""
+
+    def checked(f: Column) -> Column:
+        labels = F.filter(f["labels"], lambda t: F.char_length(t) <= LABEL_CHARS)
+        sources = F.array_sort(F.transform(F.filter(labels, lambda t: t.startswith(MIRROR_SOURCE)), lambda t, k: F.struct(F.char_length(t).alias("n"), k.alias("k"), t.alias("t"))))
+        account = F.coalesce(collapse(F.replace(F.get(sources, F.lit(0))["t"], F.lit(MIRROR_SOURCE), F.lit(""))), F.lit(""))
+        dated = F.get(F.filter(labels, lambda t: t.rlike(rf"^{MIRROR_TIME}\d{{4}}-\d{{2}}-\d{{2}}$")), F.lit(0))
+        date = F.coalesce(F.right(dated, F.lit(10)), F.lit(""))
+        original = article_url(f["original"])
+        reason = F.when(original.isNull(), "no original link").when((f["title"] == "") | (account == "") | (date == "") | ~f["full"], "incomplete")
+        return F.struct(reason.alias("reason"), f["title"].alias("title"), account.alias("account"), date.alias("publish_date"), original.alias("original_url"), f["body"].alias("body"))
+
+    return text.bind(select_fields(page, MIRROR_FIELDS), checked)
+
+
+AUTH = "struct<principal: string, userName: string, appId: string, relativeURL: string, category: array<struct<id: string, name: string, desc: string>>>"
+PLACE = "struct<countryName: string, countryId: string, provinceName: string, provinceId: string, cityName: string, cityId: string>"
+
+
+def about_data(page: Column | str) -> Column:
+    """Struct of what an about page's scripts hold: services that act for the account, and its place.
+
+    Services stand in an assigned list and in calls that add to it; of those that agree in principal,
+    user name and app id the first counts.
+    """
+    base = F.from_json(html.html_script_value(page, "cgiData"), f"struct<auth_3rd_list: array<{AUTH}>>")["auth_3rd_list"]
+    pushed = F.from_json(html.html_call_arguments(page, "window.cgiData.auth_3rd_list.push"), f"array<{AUTH}>")
+    none = F.array().cast(f"array<{AUTH}>")
+    every = F.filter(F.concat(F.coalesce(base, none), F.coalesce(pushed, none)), lambda a: a.isNotNull())
+
+    def distinct(all_of: Column) -> Column:
+        keys = F.transform(all_of, lambda a: F.to_json(F.struct(*[F.coalesce(a[k], F.lit("")).alias(k) for k in ("principal", "userName", "appId")])))
+        return text.bind(F.struct(all_of.alias("a"), keys.alias("k")), lambda s: F.filter(s["a"], lambda a, k: F.array_position(s["k"], F.get(s["k"], k)) == k + 1))
+
+    place = F.from_json(html.html_script_value(page, "ip_wording"), PLACE)
+    return F.struct(text.bind(every, distinct).alias("services"), place.alias("place"))

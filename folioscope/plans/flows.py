@@ -392,3 +392,46 @@ def product_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = blocks.products(doc(spark, sf_dir).select("doc_id", body.alias("body")), "doc_id", "body", [("(?i)first firm", "Firm One")])
     return found.select("doc_id", "block", "name", "publisher", *[F.array_join(c, "|").alias(c) for c in ("candidates", "platforms", "links", "highlights")], "description")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 11 = 5 THEN 'withheld' WHEN doc_id % 13 = 6 THEN 'account differs' WHEN doc_id % 7 = 2 OR doc_id = 0 THEN 'incomplete' WHEN doc_id % 17 = 8 THEN 'no title or account' WHEN doc_id % 19 = 9 THEN 'no article link' END AS reason,
+doc_id || '_1' AS aid, CASE WHEN doc_id % 17 = 8 THEN '' WHEN doc_id % 5 = 0 THEN source || ' x' ELSE 'N' || lang END AS account, source || ' & ' || lang AS title, 1700000000 + doc_id AS publish_time, repeat('d', 240) AS digest,
+'https://mp.weixin.qq.com/s?__biz=M' || source || '%3D%3D&mid=' || doc_id || '&idx=1' || CASE WHEN doc_id % 2 = 0 THEN '&sn=s' || doc_id ELSE '' END AS canonical_link, CASE WHEN doc_id % 19 <> 9 THEN 'https://mp.weixin.qq.com/s/a' || doc_id END AS link FROM documents""")
+def verified_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    name = F.when(i % 17 == 8, "").when(i % 5 == 0, F.concat(F.lit('<a class="a" id="js_name"> '), "source", F.lit(" <b> x</b></a>"))).otherwise(F.concat(F.lit('<strong class="b profile_nickname">N'), "lang", F.lit("</strong>")))
+    content = F.when(i % 7 == 2, "<div id=js_content> <script>var t = 'none';</script></div>").when(i % 7 == 3, '<div id="js_content"><p><img src="x"></p></div>').otherwise('<div id="js_content">some <i>text</i></div>')
+    page = F.concat(
+        F.lit('<html><head><meta property="og:title" content="'), "source", F.lit(' &amp; '), "lang", F.lit('"><meta name="description" content="'), F.repeat(F.lit("d"), 300), F.lit('"></head><body>'), name,
+        F.lit('<script>var biz = "" || "M'), "source", F.lit('=="; var mid = "'), i, F.lit('"; var idx = 1; '), F.when(i % 2 == 0, F.concat(F.lit('var sn = "s'), i, F.lit('"; '))).otherwise(""), F.lit("var oriCreateTime = '"), i + 1700000000, F.lit("';</script>"),
+        F.when(i % 11 == 5, "<p>环境异常</p>").otherwise(""), content, F.lit("</body></html>"),
+    )
+    expected = F.when(i % 13 == 6, "other").otherwise(F.concat(F.lit("M"), "source", F.lit("==")))
+    link = F.concat(F.when(i % 19 == 9, "http").otherwise("https"), F.lit("://mp.weixin.qq.com/s/a"), i, F.lit("#top"))
+    a = doc(spark, sf_dir).select("doc_id", articles.verified_article(page, expected, link).alias("a"))
+    return a.select("doc_id", *[f"a.{c}" for c in ("reason", "aid", "account", "title", "publish_time", "digest", "canonical_link", "link")])
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN 'no original link' WHEN doc_id % 5 = 1 OR doc_id % 11 = 4 THEN 'incomplete' END AS reason, 'T ' || source AS title, lang || ' ' || doc_id AS account, CASE WHEN doc_id % 5 = 1 THEN '' ELSE '2025-01-02' END AS publish_date,
+CASE WHEN doc_id % 7 <> 3 THEN 'https://mp.weixin.qq.com/s/b' || doc_id END AS original_url, CASE WHEN doc_id % 11 = 4 THEN '<p> </p>' ELSE '<p>body ' || doc_id || '</p>' END AS body FROM documents""")
+def mirror_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    page = F.concat(
+        F.lit("<h1> T "), "source", F.lit("</h1><h1>other</h1><div>来源：longer "), "lang", F.lit(" label <div>来源： "), "lang", F.lit("\n"), i, F.lit("</div><div>时间：2025-01-02"), F.when(i % 5 == 1, " 10:00").otherwise(""), F.lit("</div></div>"),
+        F.lit('<a href="https://other.example/s">no</a><a href="'), F.when(i % 7 == 3, "http").otherwise("https"), F.lit("://mp.weixin.qq.com/s/b"), i, F.lit('#x">original</a><div class="a kch-detailBox"><style>p{}</style><script>x()</script><p>'),
+        F.when(i % 11 == 4, " ").otherwise(F.concat(F.lit("body "), i)), F.lit('</p><iframe src="y">z</iframe></div>'),
+    )
+    return doc(spark, sf_dir).select("doc_id", articles.mirror_article(page).alias("a")).select("doc_id", "a.*")
+
+
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'A' || doc_id || '|B|C' WHEN 1 THEN 'A' || doc_id || '|C' ELSE 'B|C' END AS services, CASE doc_id % 3 WHEN 0 THEN 'first' WHEN 1 THEN 'first' ELSE 'pushed' END AS first_url, CASE WHEN doc_id % 2 = 0 THEN lang END AS province FROM documents""")
+def about_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    entry = lambda p, url: F.concat(F.lit("{principal: '"), p, F.lit("', userName: 'u', appId: JsDecode('i\\\\x31'), relativeURL: '"), F.lit(url), F.lit("', __x: 1}"))
+    own = F.concat(F.lit("A"), i)
+    base = F.when(i % 3 == 2, "").otherwise(F.concat(F.lit("<script>var cgiData = {auth_3rd_list: ["), entry(own, "first"), F.when(i % 3 == 0, F.concat(F.lit(", "), entry(F.lit("B"), "first"))).otherwise(""), F.lit("], n: '1' * 1};</script>")))
+    call = lambda x: F.concat(F.lit("window.cgiData.auth_3rd_list.push /* c */ ( "), x, F.lit(" );\n"))
+    pushed = F.concat(F.lit("<script>"), F.when(i % 3 == 2, call(entry(F.lit("B"), "pushed"))).otherwise(call(entry(own, "again"))), call(F.lit("other()")), F.lit("xwindow.cgiData.auth_3rd_list.push({principal: 'no'});"), call(entry(F.lit("C"), "last")), call(entry(F.lit("C"), "again")), F.lit("</script>"))
+    place = F.when(i % 2 == 0, F.concat(F.lit("<script>window.ip_wording = {countryName: 'x', provinceName: \""), "lang", F.lit('"};</script>'))).otherwise("")
+    a = doc(spark, sf_dir).select("doc_id", articles.about_data(F.concat(base, pushed, place)).alias("a"))
+    return a.select("doc_id", F.array_join(F.transform("a.services", lambda s: s["principal"]), "|").alias("services"), F.get("a.services", F.lit(0))["relativeURL"].alias("first_url"), F.col("a.place.provinceName").alias("province"))

@@ -6,6 +6,7 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.functions import html, select
 from folioscope.operators import articles, paths
 from folioscope.plans import control
 from folioscope.sources import files
@@ -147,3 +148,35 @@ def test_positions_of_a_large_table(spark):
     assert got[:4] == (n, n, 0, n - 1)
     small = files.renumber(rows.filter("id < 1000"), "k").orderBy("pos").collect()
     assert [r.k for r in small] == sorted(r.k for r in small) and [r.pos for r in small] == list(range(1000))
+
+
+def test_selectors(spark):
+    page = """<div class="a b" id="x"><p data-k="one two">P <b>1</b></p><p>Q<script>no()</script></p></div><section><div><p class="a">R</p></div></section><img alt="i">"""
+    want = {
+        ("p", "text"): "P 1", ("p", "texts"): ["P 1", "Q", "R"], ("div.a.b#x p", "texts"): ["P 1", "Q"], (".a", "texts"): ["P 1Q", "R"], ("section p.a", "text"): "R", ("[data-k]", "@data-k"): "one two", ('p[data-k*="e t"]', "text"): "P 1",
+        ('p[data-k^="two"]', "text"): "", ("p[data-k$=two]", "text"): "P 1", ("img", "full"): False, ("section", "full"): True, ("nav", "full"): False, ("section div", "html"): '<p class="a">R</p>', ("img", "@alt"): "i", ("#y", "@id"): "",
+    }
+    fields = {f"f{k}": select.Field(*f) for k, f in enumerate(want)}
+    df = spark.createDataFrame([(page,), (None,), ("",)], "p string")
+    got = [r.f for r in df.select(select.select_fields("p", fields).alias("f")).collect()]
+    assert got[1] is None and list(got[0]) == list(want.values()) and got[2].f0 == "" and got[2].f1 == []
+    for bad in ("a > b", "p:first", "[", "x!y"):
+        with pytest.raises(ValueError, match="no selector"):
+            select.select_fields("p", {"f": select.Field(bad)})
+
+
+def test_call_arguments():
+    source = r"""f('a\x26b'); // f('x')
+    f /* c */ ( {k: [1, -2], s: htmlDecode('a&amp;b')} ) ; g.f(1); xf(2); f(); f(h()); f(3, 4); f([ ; f("last")"""
+    assert html.call_arguments(source, "f") == ["a&b", "x", {"k": [1, -2], "s": "a&b"}, "last"]
+    assert html.call_arguments("f({__proto__: 1})", "f") == [] and html.call_arguments("", "f") == [] and html.call_arguments("f(" * 3000, "f") == []
+
+
+def test_verified_articles(spark):
+    good = '<meta property="og:title" content="T"><b id="js_name">N</b><script>var biz = "M"; var mid = 5; var idx = 1; var oriCreateTime = "1700000000";</script><div id="js_content">x</div>'
+    pages = {good: None, good.replace("x</div>", "</div>"): "incomplete", good.replace('"1700000000"', '"17"'): "incomplete", good.replace('"M"', '"Z"'): "account differs", good + "访问过于频繁": "withheld", good.replace(">N<", "> <"): "no title or account", "": "account differs"}
+    df = spark.createDataFrame([(p,) for p in pages], "p string")
+    got = df.select("p", articles.verified_article("p", F.lit("M"), F.lit("https://mp.weixin.qq.com/s/q?a=1#f")).alias("a")).collect()
+    assert {r.p: r.a.reason for r in got} == pages
+    one = next(r.a for r in got if r.p == good)
+    assert (one.aid, one.account, one.title, one.canonical_link, one.link) == ("5_1", "N", "T", "https://mp.weixin.qq.com/s?__biz=M&mid=5&idx=1", "https://mp.weixin.qq.com/s/q?a=1")
