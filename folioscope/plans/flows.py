@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from folioscope.functions import names, render, text
-from folioscope.operators import articles, blocks, ingest, linkage, lookups, paths, publishing, records
+from folioscope.functions import aliases, names, render, text
+from folioscope.operators import articles, blocks, extractors, ingest, linkage, lookups, merged, paths, publishing, records
 from folioscope.plans.catalog import load, query
+from folioscope.session import shared_folder
 
 
 def doc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,3 +438,37 @@ def about_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.when(i % 2 == 0, F.concat(F.lit("<script>window.ip_wording = {countryName: 'x', provinceName: \""), "lang", F.lit('"};</script>'))).otherwise("")
     a = doc(spark, sf_dir).select("doc_id", articles.about_data(F.concat(base, pushed, place)).alias("a"))
     return a.select("doc_id", F.array_join(F.transform("a.services", lambda s: s["principal"]), "|").alias("services"), F.get("a.services", F.lit(0))["relativeURL"].alias("first_url"), F.col("a.place.provinceName").alias("province"))
+
+
+@query("""WITH m AS (SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))
+SELECT doc_id, CAST(min(item_id) AS VARCHAR) AS first_item, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items FROM m GROUP BY doc_id""")
+def dictionary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = aliases.words_of(load(spark, sf_dir, "benchmark"), "text", "item_id", "item_id", ignore_case=False)
+    found = doc(spark, sf_dir).select("doc_id", aliases.first_name("text", shared).alias("first_item"), aliases.all_names("text", shared).alias("items"))
+    return found.filter("first_item IS NOT NULL").select("doc_id", "first_item", F.array_join("items", ",").alias("items"))
+
+
+@query("""SELECT doc_id, 'structured' AS source, CAST(1 AS BIGINT) AS nth, 'Game ' || lang AS name, CASE WHEN doc_id % 2 = 0 THEN 'Firm ' || source END AS publisher, 'two' AS platform, CASE WHEN doc_id % 3 = 0 THEN 'https://play.google.com/store/apps/details?id=a.b' || doc_id END AS google_play, CASE WHEN doc_id % 3 = 0 THEN 'a.b' || doc_id END AS package_id, NULL AS hints FROM documents
+UNION ALL SELECT doc_id, 'structured', 2, 'Second', NULL, NULL, NULL, NULL, NULL FROM documents
+UNION ALL SELECT doc_id, 'inline', CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END, 'Other ' || doc_id || 'x', 'House of ' || lang, NULL, NULL, NULL, '乐元素' FROM documents WHERE doc_id % 5 <> 4""")
+def two_extractors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    body = F.concat(
+        F.lit('---\ntitle: "x"\n游戏名字：Not this\n---\n游戏公司：nobody\n游戏名字： Game '), "lang", F.lit("\n平台：one\n"), F.when(i % 2 == 0, F.concat(F.lit("游戏公司: Firm "), "source", F.lit("\n"))).otherwise(""), F.lit("平台：two\n游戏名字：Second\n"),
+        F.when(i % 3 == 0, F.concat(F.lit("Game "), "lang", F.lit("    Some Firm\nsee https://play.google.com/store/apps/details?id=a.b"), i, F.lit(" now\n"))).otherwise(""),
+        F.lit("- Listed     Firm\n# Head     Firm\n"), F.when(i % 5 != 4, F.concat(F.lit("1.Other "), i, F.lit("x     House of "), "lang", F.lit(" \n![](x)\n就是乐元素吧\n"))).otherwise(""), F.lit("an end"),
+    )
+    found = extractors.products(doc(spark, sf_dir).select("doc_id", body.alias("body")), "doc_id", "body")
+    return found.select("doc_id", "source", "nth", "name", "publisher", "platform", "google_play", "package_id", F.array_join("hints", ",").alias("hints"))
+
+
+@query("""SELECT lang || doc_id % 30 AS id, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, min(source) AS account FROM documents GROUP BY ALL""")
+def merged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = doc(spark, sf_dir).select(F.concat("lang", F.col("doc_id") % 30).alias("id"), F.array("source").alias("sources"), F.col("source").alias("account"), F.col("source").alias("seq"))
+    folder = f"{shared_folder(spark)}/merged-{uuid.uuid4().hex}"
+    stored, rule = "id string, sources array<string>, account string", merged.with_sources(["id"], "seq", ["sources"], "account")
+    half = F.xxhash64("account") % 2 == 0
+    ordered = d.select("id", "sources", "account", "seq")
+    for part in (ordered.filter(half), ordered.filter(~half)):
+        merged.merge_into(spark, folder, part, ["id"], rule, stored, buckets=16)
+    return merged.read(spark, folder).select("id", F.array_join(F.array_sort("sources"), ",").alias("sources"), F.array_min("sources").alias("account"))

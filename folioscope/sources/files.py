@@ -11,6 +11,7 @@ from xml.sax.saxutils import escape
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from folioscope.operators.blocks import frontmatter
+from folioscope.operators.extractors import of_known_account
 from folioscope.session import cut_lineage
 
 
@@ -21,6 +22,13 @@ def read_articles(spark: SparkSession, root: str, name: str = "index.md") -> Dat
     return rows.filter(~F.col("path").rlike(r"/(\.[^/]+|images)/"))
 
 
+def read_articles_one_level(spark: SparkSession, root: str, name: str = "index.md") -> DataFrame:
+    """(path, modified, text) of the article files in the folders right below root, without those of accounts that nobody knows."""
+    files = spark.read.text(f"{root}/*/{name}", wholetext=True)
+    rows = files.select(F.url_decode("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text"))
+    return rows.filter(of_known_account(F.col("path")))
+
+
 def manifest(articles: DataFrame) -> DataFrame:
     """(path, modified, title, account, publish_date, url) of the articles that name a URL, the latest first."""
     parts = F.split("path", "/")
