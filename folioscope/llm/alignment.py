@@ -23,7 +23,7 @@ _LABELS = np.frombuffer(NONE + A_END + B_END + BOTH, np.uint8)
 #: Spans of labels up to each byte where both end: groups of tokens.
 SPAN = re.compile(rb"[ab]+c|c+")
 #: Characters of the texts that are one block of counts.
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 1 << 20
 #: Spans whose counts a task remembers.
 KNOWN_SPANS = 100_000
 _MARK = "▁"
@@ -145,12 +145,20 @@ def encoded(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     links, pairs and counts are compressed arrays; a pair is A's id times the size of B's vocabulary plus B's id.
     """
     a_name, b_name = ship(docs, a_path), ship(docs, b_path)
+    # a worker loads the vocabularies once and keeps them with this value, whatever its number of tasks
+    shared = docs.sparkSession.sparkContext.broadcast({})
+
+    def loaded() -> tuple:
+        held = shared.value
+        if not held:
+            first, second = BytePieces(shipped(a_name)), WordPieces(shipped(b_name))
+            sizes = [np.array([len(x) for x in v.bytes_of]) for v in (first, second)]
+            held["all"] = (first, second, *sizes, told_ids(len(first.bytes_of), len(second.bytes_of)))
+        return held["all"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = BytePieces(shipped(a_name)), WordPieces(shipped(b_name))
-        a_size, b_size = (np.array([len(x) for x in v.bytes_of]) for v in (first, second))
+        first, second, a_size, b_size, told = loaded()
         width = len(second.bytes_of)
-        told = told_ids(len(first.bytes_of), width)
         known, none = _Counts(), np.zeros(0, np.int64)
         for nth, (ids, texts) in enumerate(sliced_texts(batches, BLOCK_CHARS)):
             rows, links = [], []
