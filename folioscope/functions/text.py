@@ -105,6 +105,8 @@ def duration_seconds(x: Column | str) -> Column:
 
 #: Labels of item kinds (fixed values).
 ITEM_TYPES = {0: "普通图文", 5: "视频分享", 6: "音乐分享", 7: "音频分享", 8: "图片分享", 10: "文本分享", 11: "文章分享", 17: "短文"}
+#: Kinds of accounts by their number (fixed values).
+ACCOUNT_TYPES = {0: "订阅号", 1: "订阅号", 2: "服务号"}
 UNKNOWN_ITEM = "未识别"
 
 

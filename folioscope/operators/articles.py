@@ -327,3 +327,31 @@ def about_data(page: Column | str) -> Column:
 
     place = F.from_json(html.html_script_value(page, "ip_wording"), PLACE)
     return F.struct(text.bind(every, distinct).alias("services"), place.alias("place"))
+
+
+#: Title and author of an article of which only the link is known (fixed values).
+UNTITLED, NOBODY = "未命名文章", "--"
+
+
+def stub_rows(links: DataFrame, link: str, now: Column) -> DataFrame:
+    """An article row for each link alone: account, message and place from the link, times of now, nothing fetched."""
+    fakeid, mid, idx = (F.coalesce(urls.param(link, k), F.lit("")) for k in ("__biz", "mid", "idx"))
+    own = links.select(F.col(link).alias("link"), fakeid.alias("fakeid"), mid.alias("mid"), idx.alias("idx"))
+    return article_rows(own, fakeid="fakeid", aid=F.concat_ws("_", "mid", "idx"), link="link", title=F.lit(UNTITLED), author_name=F.lit(NOBODY), create_time=now, update_time=now, itemidx=F.coalesce(F.col("idx").try_cast("int"), F.lit(0)))
+
+
+#: Elements that tell a fetched page: its content, and what stands where it was deleted (fixed values).
+COMPLETENESS = {"content": Field("#js_content", "@id"), "layout": Field("#js_fullscreen_layout_padding", "@id")}
+
+
+def completeness(page: Column | str) -> Column:
+    """complete, deleted (to be passed over) or failed (to be fetched again), by the elements that a page has."""
+    return text.bind(select_fields(F.coalesce(_c(page), F.lit("")), COMPLETENESS), lambda f: F.when(f["content"] != "", "complete").when(f["layout"] != "", "deleted").otherwise("failed"))
+
+
+def grid(articles: DataFrame, keyword: str = "", hide_deleted: bool = False, order: tuple[tuple[str, bool], ...] = ()) -> DataFrame:
+    """Rows whose title holds a keyword, white space collapsed and in any case, without deleted ones if they are hidden, by any columns (name, descending); nulls last."""
+    wanted = " ".join(keyword.split()).lower()
+    rows = articles.filter(F.lower(collapse(F.coalesce("title", F.lit("")))).contains(wanted)) if wanted else articles
+    rows = rows.filter(~F.coalesce("is_deleted", F.lit(False))) if hide_deleted else rows
+    return rows.orderBy(*[F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in order]) if order else rows

@@ -81,3 +81,47 @@ def plan_digest(plan: DataFrame, key: str) -> DataFrame:
     """(rows, digest): a digest of a plan that does not depend on its order, combined on the executors."""
     h = F.xxhash64(key, "action", "content_hash")
     return plan.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), F.bit_xor(h).cast("string"), F.sum(F.pmod(h, F.lit(1 << 31))).cast("string")), 256).alias("digest"))
+
+
+def noise_by_name(docs: DataFrame, name: str, noise: Column) -> DataFrame:
+    """(name, documents) of the names that are noise, most documents first."""
+    return docs.filter(noise).groupBy(F.col(name).alias("name")).agg(F.count("*").alias("documents")).orderBy(F.desc("documents"), "name")
+
+
+#: Samples that a list of the report holds.
+SAMPLES = 10
+
+
+def report(mentions: DataFrame, products: DataFrame, most: int = SAMPLES) -> DataFrame:
+    """A row for each publisher: by how many articles it is mentioned and by how many alone, how many products are its own, its ranks in both, and samples.
+
+    mentions: publisher, article, title, single; products: publisher, name, seq. The samples are the
+    first `most` distinct titles and product names: they are ranked before they are listed, so that
+    no list is longer than that on its way. Products of no known publisher have no row.
+    """
+    from pyspark.sql import Window as W
+
+    def samples(rows: DataFrame, value: str, order: str, into: str) -> DataFrame:
+        first = rows.groupBy("publisher", value).agg(F.min(order).alias("__at"))
+        ranked = first.withColumn("__n", F.row_number().over(W.partitionBy("publisher").orderBy("__at", value))).filter(F.col("__n") <= most)
+        return ranked.groupBy("publisher").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", value))), lambda s: s[value]).alias(into))
+
+    known = products.filter(~F.col("publisher").isin(names.UNKNOWN, names.CONFLICT) & (F.col("publisher") != ""))
+    told = mentions.groupBy("publisher").agg(F.count("*").alias("articles"), F.count_if("single").alias("alone"))
+    own = known.groupBy("publisher").agg(F.count("*").alias("products"), F.count_distinct("name").alias("names"))
+    both = told.join(own, "publisher", "full").join(samples(mentions, "title", "article", "titles"), "publisher", "left").join(samples(known, "name", "seq", "product_names"), "publisher", "left")
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<string>")
+    rows = both.select("publisher", *[F.coalesce(c, zero).alias(c) for c in ("articles", "alone", "products", "names")], *[F.coalesce(c, none).alias(c) for c in ("titles", "product_names")])
+    # one row a publisher: the ranks see that many rows
+    return rows.withColumn("rank_by_articles", F.row_number().over(W.orderBy(F.desc("articles"), "publisher"))).withColumn("rank_by_products", F.row_number().over(W.orderBy(F.desc("products"), "publisher")))
+
+
+def report_text(rows: DataFrame, found: DataFrame) -> str:
+    """The report as Markdown: the gate's one row of metrics, then a line and the samples for each publisher by its rank, fetched one by one."""
+    m = found.first()
+    out = ["# Products and publishers", "", f"> {m.article_count} articles, {m.product_record_count} products, gate {m.status.upper()}: unknown publishers {m.unknown_publisher_ratio:.2%}, doubtful names {m.suspicious_name_count}, conflicts {m.publisher_conflict_count}", "", "| Rank | Publisher | Articles | Alone | Products | Names |", "|-|-|-|-|-|-|"]
+    listed = []
+    for r in rows.orderBy("rank_by_articles").toLocalIterator():
+        out.append(f"| {r.rank_by_articles} | {r.publisher} | {r.articles} | {r.alone} | {r.products} | {r.names} |")
+        listed += ["", f"## {r.publisher}", "", *[f"- **{n}**" for n in r.product_names], *[f"- {t}" for t in r.titles]]
+    return "\n".join([*out, *listed, ""])

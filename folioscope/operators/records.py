@@ -63,9 +63,16 @@ def patch(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return joined.select(*[F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in changes.columns and c != key else F.col(c) for c in df.columns])
 
 
-def delete_cascade(tables: dict[str, DataFrame], key: str, gone: DataFrame) -> dict[str, DataFrame]:
-    """Each table without the rows whose key is in gone."""
-    return {name: t.join(gone.select(key).distinct(), key, "left_anti") for name, t in tables.items()}
+def touch(df: DataFrame, touched: DataFrame, key: str, column: str, now: Column) -> DataFrame:
+    """df with a time set to now in the rows whose key is touched; a key without a row makes none."""
+    known = touched.select(F.col(key).alias("__key")).distinct()
+    joined = df.join(known, df[key] == F.col("__key"), "left")
+    return joined.select(*[F.when(F.col("__key").isNotNull(), now).otherwise(F.col(c)).alias(c) if c == column else F.col(c) for c in df.columns])
+
+
+def delete_cascade(tables: dict[str, DataFrame], key: str, gone: DataFrame, cleared: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Each table without the rows whose key is in gone; a cleared table loses all its rows, whatever the keys."""
+    return {name: t.filter(F.lit(False)) if name in cleared else t.join(gone.select(key).distinct(), key, "left_anti") for name, t in tables.items()}
 
 
 def new_counts(rows: DataFrame, stored: DataFrame, account: str, aid: str) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from folioscope.functions import aliases, names, render, text
-from folioscope.operators import articles, blocks, extractors, ingest, linkage, lookups, merged, paths, publishing, records
+from folioscope.operators import articles, blocks, extractors, ingest, linkage, lookups, merged, paths, publishing, quality, records
 from folioscope.plans.catalog import load, query
 from folioscope.session import shared_folder
 
@@ -472,3 +472,63 @@ def merged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in (ordered.filter(half), ordered.filter(~half)):
         merged.merge_into(spark, folder, part, ["id"], rule, stored, buckets=16)
     return merged.read(spark, folder).select("id", F.array_join(F.array_sort("sources"), ",").alias("sources"), F.array_min("sources").alias("account"))
+
+
+@query("""SELECT source || ':' || doc_id AS key FROM documents""")
+def article_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc(spark, sf_dir).select(F.concat_ws(":", "source", F.col("doc_id").cast("string")).alias("key"))
+
+
+@query("""WITH a AS (SELECT lang AS fakeid, max(doc_id) AS last_update_time FROM documents GROUP BY lang) SELECT fakeid, CASE WHEN fakeid IN ('en', 'de') THEN 1700000000 ELSE last_update_time END AS last_update_time FROM a""")
+def touched_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accounts = doc(spark, sf_dir).groupBy(F.col("lang").alias("fakeid")).agg(F.max("doc_id").alias("last_update_time"))
+    touched = spark.createDataFrame([("en",), ("de",), ("de",), ("none",)], "fakeid string")
+    return records.touch(accounts, touched, "fakeid", "last_update_time", F.lit(1700000000).cast("long"))
+
+
+@query("""SELECT 'articles' AS tab, lang, count(*) AS n FROM documents WHERE lang <> 'fr' GROUP BY lang""")
+def cleared_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = doc(spark, sf_dir).select("lang", "doc_id")
+    left = records.delete_cascade({"articles": d, "api": d}, "lang", spark.createDataFrame([("fr",)], "lang string"), cleared=("api",))
+    counted = [t.groupBy("lang").agg(F.count("*").alias("n")).select(F.lit(name).alias("tab"), "lang", "n") for name, t in left.items()]
+    return counted[0].unionByName(counted[1])
+
+
+@query("""SELECT 'M' || source AS fakeid, doc_id || '_' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '2' END AS aid, '未命名文章' AS title, '--' AS author_name, 1700000000 AS create_time, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 2 END AS itemidx FROM documents""")
+def stub_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    link = F.concat(F.lit("https://mp.weixin.qq.com/s?__biz=M"), "source", F.lit("&mid="), i, F.when(i % 3 == 0, "").otherwise("&idx=2"))
+    rows = articles.stub_rows(doc(spark, sf_dir).select(link.alias("l")), "l", F.lit(1700000000))
+    return rows.select("fakeid", "aid", "title", "author_name", F.col("create_time").cast("int").alias("create_time"), F.col("itemidx").cast("int").alias("itemidx"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN '服务号' WHEN 3 THEN '' ELSE '订阅号' END AS kind, CASE doc_id % 3 WHEN 0 THEN 'complete' WHEN 1 THEN 'deleted' ELSE 'failed' END AS page FROM documents""")
+def account_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    page = F.when(i % 3 == 0, F.concat(F.lit('<p>x</p><div class="a" id="js_content">'), "source", F.lit("</div>"))).when(i % 3 == 1, "<div id='js_fullscreen_layout_padding'></div><p>js_content</p>").when(i % 2 == 0, "<p id=js_contents></p>")
+    return doc(spark, sf_dir).select("doc_id", text.labelled(i % 4, text.ACCOUNT_TYPES, "").alias("kind"), articles.completeness(page).alias("page"))
+
+
+@query("""SELECT doc_id, n_chars FROM documents d LEFT JOIN labels l USING (doc_id) WHERE contains(lower(trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g'))), 'the th') AND coalesce(toxic, 0) <> 1""")
+def keyword_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records.enrich(doc(spark, sf_dir).select("doc_id", "n_chars", F.col("text").alias("title")), load(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("is_deleted")), "doc_id", "has")
+    return articles.grid(rows, "  The\n TH", hide_deleted=True, order=(("n_chars", True), ("doc_id", False))).select("doc_id", "n_chars")
+
+
+@query("""SELECT source AS name, count(*) AS documents FROM documents WHERE n_chars < 400 GROUP BY source""")
+def noise_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.noise_by_name(doc(spark, sf_dir), "source", F.col("n_chars") < 400)
+
+
+@query("""WITH m AS (SELECT source AS publisher, doc_id, lang || doc_id % 7 AS title, doc_id % 3 = 0 AS single FROM documents), p AS (SELECT CASE doc_id % 5 WHEN 0 THEN '未知' WHEN 1 THEN 'Only ' || lang ELSE source END AS publisher, 'n' || doc_id % 23 AS name, doc_id AS seq FROM documents),
+k AS (SELECT * FROM p WHERE publisher <> '未知'), mt AS (SELECT publisher, title, row_number() OVER (PARTITION BY publisher ORDER BY min(doc_id), title) AS n FROM m GROUP BY publisher, title), kt AS (SELECT publisher, name, row_number() OVER (PARTITION BY publisher ORDER BY min(seq), name) AS n FROM k GROUP BY publisher, name),
+a AS (SELECT publisher, count(*) AS articles, count(*) FILTER (WHERE single) AS alone FROM m GROUP BY publisher), b AS (SELECT publisher, count(*) AS products, count(DISTINCT name) AS names FROM k GROUP BY publisher),
+t AS (SELECT publisher, string_agg(title, ',' ORDER BY n) AS titles FROM mt WHERE n <= 10 GROUP BY publisher), u AS (SELECT publisher, string_agg(name, ',' ORDER BY n) AS product_names FROM kt WHERE n <= 10 GROUP BY publisher),
+j AS (SELECT coalesce(a.publisher, b.publisher) AS publisher, coalesce(articles, 0) AS articles, coalesce(alone, 0) AS alone, coalesce(products, 0) AS products, coalesce(names, 0) AS names FROM a FULL JOIN b ON a.publisher = b.publisher)
+SELECT publisher, articles, alone, products, names, coalesce(titles, '') AS titles, coalesce(product_names, '') AS product_names, CAST(row_number() OVER (ORDER BY articles DESC, publisher) AS INTEGER) AS rank_by_articles, CAST(row_number() OVER (ORDER BY products DESC, publisher) AS INTEGER) AS rank_by_products
+FROM j LEFT JOIN t USING (publisher) LEFT JOIN u USING (publisher)""")
+def publisher_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, i = doc(spark, sf_dir), F.col("doc_id")
+    mentions = d.select(F.col("source").alias("publisher"), i.alias("article"), F.concat("lang", i % 7).alias("title"), (i % 3 == 0).alias("single"))
+    products = d.select(F.when(i % 5 == 0, "未知").when(i % 5 == 1, F.concat(F.lit("Only "), "lang")).otherwise(F.col("source")).alias("publisher"), F.concat(F.lit("n"), i % 23).alias("name"), i.alias("seq"))
+    return quality.report(mentions, products).withColumns({c: F.array_join(c, ",") for c in ("titles", "product_names")})

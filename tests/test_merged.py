@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import aliases, names
-from folioscope.operators import extractors, merged
+from folioscope.operators import extractors, merged, quality
 from folioscope.sources import files
 
 
@@ -108,3 +108,15 @@ def test_folders_of_one_level(spark, tmp_path):
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_text("x")
     assert [r.path.rsplit("/", 2)[1] for r in files.read_articles_one_level(spark, str(tmp_path)).collect()] == ["a"]
+
+
+def test_report(spark):
+    mentions = spark.createDataFrame([("A", k, f"t{k % 13:02d}", k % 2 == 0) for k in range(40)] + [("B", 1, "x", True)], "publisher string, article int, title string, single boolean")
+    products = spark.createDataFrame([("B", "p1", 1), ("B", "p1", 2), ("C", "p0", 0), ("未知", "u", 3), ("", "e", 4)], "publisher string, name string, seq int")
+    rows = quality.report(mentions, products)
+    got = {r.publisher: r for r in rows.collect()}
+    assert got["A"].titles == [f"t{k:02d}" for k in range(10)] and (got["A"].articles, got["A"].alone, got["A"].rank_by_articles) == (40, 20, 1)
+    assert got["B"].product_names == ["p1"] and (got["B"].products, got["B"].names, got["B"].rank_by_products) == (2, 1, 1) and got["C"].articles == 0 and set(got) == {"A", "B", "C"}
+    gate = quality.gate(quality.metrics(products.select(F.col("seq").alias("k"), "name", "publisher", F.array().cast("array<string>").alias("candidates")), mentions.select(F.col("article").alias("k")), "k"))
+    told = quality.report_text(rows, gate)
+    assert told.startswith("# Products") and "| 1 | A | 40 | 20 | 0 | 0 |" in told and "## B\n\n- **p1**\n- x" in told
