@@ -16,6 +16,8 @@ from folioscope.llm.common import id_and_text, sliced_texts
 SIZES = (3, 4)
 #: Documents of one language that the filters are learned from, in expectation; the bound of the sample.
 SAMPLE_DOCS = 3000
+#: Values of lang that are taken for languages.
+MOST_LANGUAGES = 1024
 #: Slots of the filters, each one bit per language, and slots set per n-gram.
 SLOTS, HASHES = 1 << 22, 2
 _SPACE = 32
@@ -131,16 +133,18 @@ def bucket_of(doc_id: Column | str, folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, folds: int = 5) -> Filters:
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, folds: int = 5, most_languages: int = MOST_LANGUAGES) -> Filters:
     """Filters from rows with a non-null text and lang whose crc32(doc_id) mod folds is not 0.
 
     About sample_docs rows of each language are read, drawn by a hash of the id, so repeated rows
     are drawn together; every n-gram of them is entered. Tasks set bits and send the words of slots
     that are not zero, which meet by bitwise or: the driver receives SLOTS words for each 64
-    languages at most. No labelled row, an empty table among them, gives filters without a language.
+    languages at most; more than most_languages values of lang are an error. No labelled row, an empty table among them, gives filters without a language.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter("lang is not null and text is not null").filter(bucket_of("doc_id", folds) != 0)
-    counts = base.groupBy("lang").count().collect()
+    counts = base.groupBy("lang").count().limit(most_languages + 1).collect()
+    if len(counts) > most_languages:
+        raise ValueError(f"lang has more than {most_languages} values: it names no languages")
     languages = sorted(lang for lang, _ in counts)
     slots = no_slots(len(languages))
     if not counts:

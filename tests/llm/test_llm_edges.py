@@ -69,3 +69,18 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         cut_lineage(Frame())
     assert context.master.startswith("local")
+
+
+def test_truncated_licenses_are_no_licenses(spark):
+    """Mandatory wording that is missing from the end of a text is missing."""
+    for label in ("unlicense", "boost"):
+        words = licenses.TEMPLATES[label].split("<<opt>>For more")[0].replace("<<opt>>", "").replace("<<end>>", "").split()
+        texts = [" ".join(words), " ".join(words[:46]), " ".join(words[:75]), " ".join(words[:-2]), " ".join(words[: len(words) // 2])]
+        got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        assert label in got[0].split(",") and not any(label in got[k].split(",") for k in (1, 2, 3, 4)), label
+
+
+def test_a_column_of_free_text_names_no_languages(spark):
+    rows = [(k, f"text {k}", f"lang {k % 30}") for k in range(100)]
+    with pytest.raises(ValueError, match="more than 20 values"):
+        langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_languages=20)

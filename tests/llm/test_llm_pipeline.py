@@ -114,3 +114,10 @@ def test_extra_columns(spark):
         docs = stage(spark, docs, "")
         assert docs.columns == names
     assert docs.count() == 20
+
+
+def test_a_column_of_maps_goes_through(spark):
+    shape = "doc_id long, text string, lang string, source string, n_chars long, m map<string,int>"
+    docs = spark.createDataFrame([(1, "the same words in a row of some length", "en", "s", 1, {"k": 1}), (2, "the same words in a row of some length", "en", "s", 1, None), (3, "quite another text", "en", "s", 1, {"z": 2})], shape)
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert {(r.doc_id, str(r.m)) for r in got.collect()} == {(1, "{'k': 1}"), (3, "{'z': 2}")} and got.dtypes == docs.dtypes
