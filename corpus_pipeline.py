@@ -32,7 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("least")
     stay = cut_lineage(found.join(ids, "row_key").groupBy("component_id").agg(least).select(F.col("least.row_key").alias("kept_key")))
     own = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.struct(*own).alias("row"), row_key, F.xxhash64(*own).alias("all"))
+    plain = [c for c, kind in zip(own, docs.dtypes, strict=True) if not any(k in kind[1] for k in ("map<", "variant"))]  # maps have no hash and no order
+    rows = docs.select(F.struct(*own).alias("row"), row_key, F.xxhash64(*plain).alias("all"))
     kept = rows.join(stay, F.col("row_key") == F.col("kept_key")).withColumn("nth", F.row_number().over(W.partitionBy("kept_key").orderBy("all")))
     return kept.filter("nth = 1").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
