@@ -118,6 +118,19 @@ def _blobs(vectors: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(vectors), [None, pa.py_buffer(np.arange(len(vectors) + 1, dtype=np.int32) * size), pa.py_buffer(np.ascontiguousarray(vectors, np.float64).tobytes())])
 
 
+def probed_cells(row: np.ndarray, first: np.ndarray, second: np.ndarray, axes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, first axis, bits of second axes) of probed pairs of axes, 4,096 at a time: memory follows the pairs, not the square of the axes."""
+    cells, of = np.unique(row.astype(np.int64) * axes + first, return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    of, second = of[order], second[order]
+    for s in range(0, len(cells), 4096):
+        some = cells[s : s + 4096]
+        lo, hi = np.searchsorted(of, (s, s + len(some)))
+        bits = np.zeros((len(some), axes), bool)
+        bits[of[lo:hi] - s, second[lo:hi]] = True
+        yield some // axes, some % axes, np.packbits(bits, axis=1)
+
+
 def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, tables: int = TABLES) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products found for each row whose vec_id is divisible by `every`.
 
@@ -190,12 +203,12 @@ def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, tables: int
             for b in bands:
                 take = (nth < want[:, b, None]) & (nth >= (probes if further else 0)) & ~whole[:, b, None] & held[b, t][one]
                 at, i = np.nonzero(take)
-                bits = np.zeros((len(unit), 2 * size, 2 * size), bool)
-                bits[at, one[at, i], two[at, i]] = True
+                yield from ((b, *found) for found in probed_cells(at, one[at, i], two[at, i], 2 * size))
                 if t == 0:
-                    bits[whole[:, b]] = held[b, 0][None, :, None]
-                row, first = np.nonzero(bits.any(axis=2))
-                yield b, row, first, np.packbits(bits[row, first], axis=1)
+                    rows, firsts = np.flatnonzero(whole[:, b]), np.flatnonzero(held[b, 0])
+                    every_cell = np.packbits(np.ones(2 * size, bool))
+                    for r in rows:
+                        yield b, np.full(len(firsts), r), firsts, np.broadcast_to(every_cell, (len(firsts), len(every_cell)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -1,7 +1,9 @@
 """Odd tables through every operator: nothing but nulls, one row, no query, vectors of one component."""
 
 import math
+import tracemalloc
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 
@@ -84,3 +86,19 @@ def test_a_column_of_free_text_names_no_languages(spark):
     rows = [(k, f"text {k}", f"lang {k % 30}") for k in range(100)]
     with pytest.raises(ValueError, match="more than 20 values"):
         langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_languages=20)
+
+
+def test_probed_axes_of_wide_vectors_stay_small():
+    """At 768 components a dense square of axes for 128 queries would take 537 MB."""
+    rng = np.random.default_rng(3)
+    axes, probes = 2048, 600
+    row = np.repeat(np.arange(128), probes)
+    first, second = rng.integers(0, axes, (2, len(row)))
+    tracemalloc.start()
+    seen = set()
+    for r, f, bits in ann.probed_cells(row, first, second, axes):
+        at, s = np.nonzero(np.unpackbits(bits, axis=1))
+        seen |= set(zip(r[at].tolist(), f[at].tolist(), s.tolist(), strict=True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == set(zip(row.tolist(), first.tolist(), second.tolist(), strict=True)) and peak < 100e6
