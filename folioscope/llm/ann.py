@@ -118,16 +118,20 @@ def _blobs(vectors: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(vectors), [None, pa.py_buffer(np.arange(len(vectors) + 1, dtype=np.int32) * size), pa.py_buffer(np.ascontiguousarray(vectors, np.float64).tobytes())])
 
 
-def probed_cells(row: np.ndarray, first: np.ndarray, second: np.ndarray, axes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, first axis, bits of second axes) of probed pairs of axes, 4,096 at a time: memory follows the pairs, not the square of the axes."""
-    cells, of = np.unique(row.astype(np.int64) * axes + first, return_inverse=True)
-    order = np.argsort(of, kind="stable")
-    of, second = of[order], second[order]
-    for s in range(0, len(cells), 4096):
-        some = cells[s : s + 4096]
-        lo, hi = np.searchsorted(of, (s, s + len(some)))
+def probed_cells(row: np.ndarray, first: np.ndarray, second: np.ndarray, axes: int, most_bytes: int = 32 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, first axis, bits of second axes) of probed pairs of axes, so many at a time as most_bytes hold: memory follows rows and axes, not the square of the axes."""
+    if not len(row):
+        return
+    code = row.astype(np.int64) * axes + first
+    flags = np.zeros(int(code.max()) + 1, bool)
+    flags[code] = True
+    cells, of = np.flatnonzero(flags), (np.cumsum(flags) - 1)[code]
+    step = max(1, most_bytes // axes)
+    for s in range(0, len(cells), step):
+        some = cells[s : s + step]
+        here = slice(None) if len(cells) <= step else np.flatnonzero((of >= s) & (of < s + step))
         bits = np.zeros((len(some), axes), bool)
-        bits[of[lo:hi] - s, second[lo:hi]] = True
+        bits[of[here] - s, second[here]] = True
         yield some // axes, some % axes, np.packbits(bits, axis=1)
 
 
@@ -207,8 +211,10 @@ def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, tables: int
                 if t == 0:
                     rows, firsts = np.flatnonzero(whole[:, b]), np.flatnonzero(held[b, 0])
                     every_cell = np.packbits(np.ones(2 * size, bool))
-                    for r in rows:
-                        yield b, np.full(len(firsts), r), firsts, np.broadcast_to(every_cell, (len(firsts), len(every_cell)))
+                    step = max(1, (16 << 20) // (8 * width * max(1, len(firsts))))
+                    for s in range(0, len(rows), step):
+                        some = np.repeat(rows[s : s + step], len(firsts))
+                        yield b, some, np.tile(firsts, len(rows[s : s + step])), np.broadcast_to(every_cell, (len(some), len(every_cell)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
