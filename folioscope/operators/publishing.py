@@ -63,10 +63,11 @@ def with_assets(pages: DataFrame, assets: DataFrame) -> DataFrame:
 
     pages: url, html, resources (all that the page names); assets: resource, asset. Resources that
     are not stored keep their address. Assets meet pages by resource, a row each, so that one that
-    all pages name is joined as any other; longer addresses are replaced first.
+    all pages name is joined as any other; longer addresses are replaced first. Pages may share a
+    url: each takes the assets of its own resources.
     """
-    named = pages.select("url", F.explode(F.array_distinct("resources")).alias("resource")).join(assets, "resource")
-    held = named.groupBy("url").agg(F.array_sort(F.collect_list(F.struct((-F.length("resource")).alias("n"), "resource", "asset"))).alias("__held"))
+    own = pages.select("url", "resources").distinct().select("url", "resources", F.explode(F.array_distinct("resources")).alias("resource"))
+    held = own.join(assets, "resource").groupBy(F.col("url").alias("__url"), F.col("resources").alias("__own")).agg(F.array_sort(F.collect_list(F.struct((-F.length("resource")).alias("n"), "resource", "asset"))).alias("__held"))
     none = F.array().cast("array<struct<n:int,resource:string,asset:string>>")
 
     def put(a: Column, x: Column) -> Column:
@@ -74,7 +75,8 @@ def with_assets(pages: DataFrame, assets: DataFrame) -> DataFrame:
         plain = F.replace(a, x["resource"], x["asset"])
         return F.replace(plain, F.replace(x["resource"], F.lit("&"), F.lit("&amp;")), x["asset"])
 
-    return pages.join(held, "url", "left").select("url", F.aggregate(F.coalesce("__held", none), F.col("html"), put).alias("html"))
+    same = F.col("url").eqNullSafe(F.col("__url")) & (F.col("resources") == F.col("__own"))
+    return pages.join(held, same, "left").select("url", F.aggregate(F.coalesce("__held", none), F.col("html"), put).alias("html"))
 
 
 def data_uris(resources: DataFrame) -> DataFrame:

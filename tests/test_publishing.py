@@ -125,6 +125,14 @@ def test_images_within_pages(spark):
     assert publishing.with_assets(pages, publishing.data_uris(stored)).first().html == '<img src="data:image/png;base64,YWJj">'
 
 
+def test_pages_of_one_url_take_their_own_images(spark):
+    rows = [("u", "'//i/1' '//i/2'", ["//i/1"]), ("u", "'//i/1' '//i/2'", ["//i/2"]), ("u", "'//i/2'", None), (None, "'//i/1'", ["//i/1"]), ("u", "'//i/2' '//i/9'", ["//i/9"])]
+    pages = spark.createDataFrame(rows, "url string, html string, resources array<string>")
+    assets = spark.createDataFrame([("//i/1", "a"), ("//i/2", "b")], "resource string, asset string")
+    got = sorted(r.html for r in publishing.with_assets(pages, assets).collect())
+    assert got == sorted(["'a' '//i/2'", "'//i/1' 'b'", "'//i/2'", "'a'", "'//i/2' '//i/9'"])
+
+
 def test_lists_of_leading_blocks(spark):
     text = "---\na: [x, 'y z', \"q\"]\nb:\n  - one\n  - 'two: 2'\nc: single\nd: []\n---\nb:\n- no"
     df = spark.createDataFrame([(text,)], "t string")
