@@ -85,6 +85,15 @@ def seconds_from(x: Column | str) -> Column:
     return F.when(_c(x) > 10_000_000_000, F.floor(_c(x) / 1000)).otherwise(_c(x)).cast("long")
 
 
+def epoch_of(x: Column | str) -> Column:
+    """Epoch second of a time without zone, whatever the session's zone is: rounded to milliseconds (halves away from zero), then cut off."""
+    t = _c(x)
+    minutes = (F.unix_date(t.cast("date")).cast("long") * 24 + F.hour(t)) * 60 + F.minute(t)
+    # the seconds are decimals of six places, so that round() is exact
+    milliseconds = F.round((minutes * 60 + F.date_part(F.lit("SECOND"), t)) * 1000).cast("long")
+    return (milliseconds / 1000).cast("long")
+
+
 def format_epoch(x: Column | str) -> Column:
     return F.date_format(F.timestamp_seconds(_c(x)), "yyyy-MM-dd HH:mm:ss")
 

@@ -30,6 +30,20 @@ def test_dates(value):
     assert value(text.floor_epoch(F.lit("99999999999"), F.lit(1800000000))) == 1800000000 - 366 * 86400
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_epoch_of_a_time_without_zone(spark, value, zone):
+    times = {
+        "2024-01-05 00:00:00.999499": 1704412800, "2024-01-05 00:00:00.9995": 1704412801, "2024-03-10 02:30:00.1": 1710037800, "2024-11-03 01:30:00": 1730597400,
+        "1969-12-31 23:59:59.9995": 0, "1969-12-31 23:59:58.2": -1, "1969-12-31 23:59:57.9995": -2,
+    }
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert {t: value(text.epoch_of(F.lit(t).cast("timestamp_ntz"))) for t in times} == times
+        assert value(text.epoch_of(F.lit(None).cast("timestamp_ntz"))) is None
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_identity(value):
     short = f"https://{SITE}/s/short-token"
     assert value(text.hash31(F.lit(short))) == 1606272576
