@@ -75,17 +75,22 @@ def delete_cascade(tables: dict[str, DataFrame], key: str, gone: DataFrame, clea
     return {name: t.filter(F.lit(False)) if name in cleared else t.join(gone.select(key).distinct(), key, "left_anti") for name, t in tables.items()}
 
 
-def new_counts(rows: DataFrame, stored: DataFrame, account: str, aid: str) -> DataFrame:
+def new_counts(rows: DataFrame, stored: DataFrame, account: str, aid: str, parts: int | None = None) -> DataFrame:
     """(account, articles, messages): distinct articles not stored, and messages of which no article is.
 
     rows and stored hold account and aid. An article counts if its key is not stored; a message
-    counts if none of its articles is.
+    counts if none of its articles is. parts: over how many tasks the articles are dealt, for tables
+    that are large; else the session decides.
     """
     def marked(df: DataFrame, new: bool) -> DataFrame:
         return df.select(account, message_of(aid).alias("__msg"), F.col(aid).alias("__aid"), F.lit(new).alias("__new"))
 
     # one pass over both tables: what is known of an article, then of its message, then of the account
-    of_article = marked(rows, True).unionByName(marked(stored, False)).groupBy(account, "__msg", "__aid").agg(F.bool_and("__new").alias("__fresh"))
+    both = marked(rows, True).unionByName(marked(stored, False))
+    if parts:
+        # few articles repeat, so a task would keep all of its rows before the shuffle and again behind it
+        both = both.repartition(parts, account, "__msg", "__aid")
+    of_article = both.groupBy(account, "__msg", "__aid").agg(F.bool_and("__new").alias("__fresh"))
     of_message = of_article.groupBy(account, "__msg").agg(F.count_if("__fresh").alias("__n"), F.bool_and("__fresh").alias("__unseen"))
     n = F.sum("__n")
     return of_message.groupBy(account).agg(n.alias("articles"), F.count_if((F.col("__n") > 0) & F.col("__unseen")).alias("messages")).filter("articles > 0")

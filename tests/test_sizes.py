@@ -2,6 +2,7 @@
 
 import re
 
+from folioscope.operators import records
 from folioscope.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +21,11 @@ def test_parts_grow_with_rows(spark):
 def test_pages_are_shuffled_once(spark, monkeypatch):
     monkeypatch.setattr(catalog, "parts_of", lambda *_: 37)
     assert [n for _, n in exchanges(catalog.QUERIES["published_pages"](spark, SF))] == ["37"]
+
+
+def test_new_counts_are_dealt_by_articles(spark):
+    rows = spark.createDataFrame([("a", f"{m}_{k}") for m in range(40) for k in range(3)], "account string, aid string")
+    stored = rows.filter("aid LIKE '%7_1'")
+    dealt = records.new_counts(rows, stored, "account", "aid", 37)
+    assert [len(k.split(",")) for k, n in exchanges(dealt) if n == "37"] == [3]
+    assert sorted(dealt.collect()) == sorted(records.new_counts(rows, stored, "account", "aid").collect()) == [("a", 116, 36)]
