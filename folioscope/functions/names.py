@@ -84,8 +84,10 @@ ENTITIES = {
 ENDINGS = r"[。，；：:]$"
 CJK_CHAR = r"[一-鿿]"
 WIDE_GAP = r"[ \t 　]{2,}"
-#: What a line that names a product holds at least: a colon, emphasis, a heading, a number in front, a wide gap, or Latin words alone.
-MAY_NAME = rf"[：:*]|^(?U:\s)*(?:#{{2,4}}\s|\d)|\S{WIDE_GAP}|^(?U:\s)*[A-Z][A-Za-z0-9][A-Za-z0-9\s:!&\-'.]{{2,55}}(?U:\s)*$"
+#: The characters of (?U)\s, for trimming: a pattern looks at each white space of a text, btrim() at its ends alone.
+WHITE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: How a line begins that is a heading or has a number in front, or is Latin words alone.
+MAY_NAME = r"^(?U:\s)*(?:#{2,4}\s|\d|[A-Z][A-Za-z0-9][A-Za-z0-9\s:!&\-'.]{2,55}(?U:\s)*$)"
 
 
 def _any(x: Column, words: tuple[str, ...], how: str) -> Column:
@@ -119,10 +121,13 @@ def is_noise_old(x: Column | str) -> Column:
 
 def clean_value(x: Column | str) -> Column:
     """Text without list marks, heading marks, emphasis and surrounding white space."""
-    s = F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"(?U)^\s+|\s+$", "")
-    s = F.regexp_replace(F.regexp_replace(s, r"^\s*[-+*]\s+", ""), r"^#{1,6}\s+", "")
-    s = F.regexp_replace(F.regexp_replace(s, r"\*\*|__", ""), r"(?U)^\s+|\s+$", "")
-    return F.regexp_replace(s, r"^[*` \t]+|[*` \t]+$", "")
+    def clean(text: Column) -> Column:
+        s = F.regexp_replace(F.regexp_replace(F.btrim(text, F.lit(WHITE)), r"^\s*[-+*]\s+", ""), r"^#{1,6}\s+", "")
+        # few texts have emphasis, and only those are searched for it
+        plain = F.when(text.contains("**") | text.contains("__"), F.regexp_replace(s, r"\*\*|__", "")).otherwise(s)
+        return F.btrim(F.btrim(plain, F.lit(WHITE)), F.lit("*` \t"))
+
+    return bind(F.coalesce(_c(x), F.lit("")), clean)
 
 
 def field_key(label: Column) -> Column:
@@ -189,8 +194,14 @@ def is_plausible(x: Column | str) -> Column:
 def candidate(x: Column | str) -> Column:
     """Struct (name, publisher) of a line that names a product: labelled, bold, heading, columns or a Latin title; else null."""
     raw = F.coalesce(_c(x), F.lit(""))
-    line = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
-    return F.when(raw.rlike(MAY_NAME), bind(line, lambda line: bind(clean_value(line), lambda cleaned: _candidate(line, cleaned))))
+    line = F.btrim(raw, F.lit(WHITE))
+    return F.when(_may_name(raw), bind(line, lambda line: bind(clean_value(line), lambda cleaned: _candidate(line, cleaned))))
+
+
+def _may_name(line: Column) -> Column:
+    """Whether a line holds what one that names a product has at least: a colon, emphasis, a heading, a number in front, a wide gap, or Latin words alone."""
+    wide = line.contains("  ") | line.contains("\t") | line.contains("\u00a0") | line.contains("\u3000")
+    return line.contains(":") | line.contains("：") | line.contains("*") | line.rlike(MAY_NAME) | (wide & line.rlike(rf"\S{WIDE_GAP}"))
 
 
 def _found(name: Column, publisher: Column | None = None, ok: Column | None = None) -> Column:

@@ -127,3 +127,12 @@ def test_html_columns(value):
     assert value(html.resources(F.lit(src))) == ["https://i/1?a=1&b=2", "/s.css", "/b.png"]
     assert value(html.html_script_value(F.lit("var x = [1,2]"), "x")) == "[1, 2]"
     assert value(html.content_status(F.lit("a gone b"), "body", "gone", "err")) == "Deleted"
+
+
+def test_clean_values_are_trimmed_as_by_patterns(spark):
+    ends = [*names.WHITE, "​", "᠎", "*", "`", "- ", "## ", "**", "__", "_**_", "\r\n", " *", ""]
+    rows = spark.createDataFrame([(f"{a}{b}x y{a}z{b}{a}",) for a in ends for b in ends], "t string")
+    s = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    s = F.regexp_replace(F.regexp_replace(s, r"^\s*[-+*]\s+", ""), r"^#{1,6}\s+", "")
+    s = F.regexp_replace(F.regexp_replace(s, r"\*\*|__", ""), r"(?U)^\s+|\s+$", "")
+    assert rows.filter(names.clean_value("t") != F.regexp_replace(s, r"^[*` \t]+|[*` \t]+$", "")).count() == 0

@@ -29,3 +29,9 @@ def test_new_counts_are_dealt_by_articles(spark):
     dealt = records.new_counts(rows, stored, "account", "aid", 37)
     assert [len(k.split(",")) for k, n in exchanges(dealt) if n == "37"] == [3]
     assert sorted(dealt.collect()) == sorted(records.new_counts(rows, stored, "account", "aid").collect()) == [("a", 116, 36)]
+
+
+def test_products_read_and_deal_texts_once(spark):
+    df = catalog.QUERIES["product_extraction"](spark, SF)
+    assert [k for k, _ in exchanges(df)] == [re.search(r"doc_id#\d+L", str(exchanges(df)))[0]]
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
